@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from countloom.llm.common import shared_dir
+
+
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.wavelet import read_documents, write_shards
+
+    path = f"{shared_dir(spark)}/countloom/shards-{uuid.uuid4().hex}"
+    write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, end_id=1)
+    return read_documents(spark, path)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.toxicity import fold, score, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +33,33 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), capacity=2048, end_id=0)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, radius=2)
+
+
+def op7_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.avi import store_texts
+
+    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.vptree import neighbours
+
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_best_fit_packing": op4_best_fit_packing}
+    return {
+        "op2_wavelet_shards": op2_wavelet_shards,
+        "op3_toxicity": op3_toxicity,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_simhash": op6_simhash,
+        "op7_motion_jpeg": op7_motion_jpeg,
+        "op10_vantage_point_trees": op10_vantage_point_trees,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
