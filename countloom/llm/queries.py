@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from countloom.llm.common import shared_dir
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.passages import repeated_passages
+
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from countloom.llm.wavelet import read_documents, write_shards
 
@@ -45,6 +51,18 @@ def op7_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.bpe_table import encode_decode
+
+    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.pitman_yor import score_documents
+
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from countloom.llm.vptree import neighbours
 
@@ -53,11 +71,14 @@ def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_compact_windows": op1_compact_windows,
         "op2_wavelet_shards": op2_wavelet_shards,
         "op3_toxicity": op3_toxicity,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_simhash": op6_simhash,
         "op7_motion_jpeg": op7_motion_jpeg,
+        "op8_word_table_bpe": op8_word_table_bpe,
+        "op9_pitman_yor": op9_pitman_yor,
         "op10_vantage_point_trees": op10_vantage_point_trees,
     }
 

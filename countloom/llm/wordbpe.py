@@ -87,11 +87,15 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends])[offsets]
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts between ASCII white space, and the place of each text's first word (one place more than texts)."""
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts between ASCII white space, and the place of each text's first word (one place more than
+    texts). ``lower``: A-Z lower-cased first."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if texts.offset:  # some string kernels read a slice from its parent's start
+        texts = pa.concat_arrays([texts, texts[:0]])
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace((pc.ascii_lower(texts) if lower else texts).cast(pa.large_string()))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     return lists.flatten(), offsets - offsets[0]
 
