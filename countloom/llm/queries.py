@@ -39,6 +39,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), capacity=2048, end_id=0)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.licenses import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].drop("row")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from countloom.llm.simhash import near_duplicates
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_wavelet_shards": op2_wavelet_shards,
         "op3_toxicity": op3_toxicity,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_license_scan": op5_license_scan,
         "op6_simhash": op6_simhash,
         "op7_motion_jpeg": op7_motion_jpeg,
         "op8_word_table_bpe": op8_word_table_bpe,
@@ -84,4 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from countloom.llm import licenses
+
+    return {"op5_license_scan": licenses.oracle_sql()}
