@@ -1,7 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Each task splits its texts at white space and writes a run of documents as a *chunk*: the chunk's distinct words,
-   numbered by falling frequency (slots), and every document's words as slots, compressed. Texts move no further.
+1. Each task splits its texts at white space, and words of letters from the marks after them, and turns a run of
+   documents into a *chunk*: the chunk's distinct words, numbered by falling frequency (slots), and every document's
+   words as slots, compressed. Texts move no further.
 2. One shuffle by key takes words to their word and chunks to their name. Each distinct word of the whole table is
    encoded once, with the tokenizers library; its ids are joined to the vocabulary's pieces, which spells the word as
    decoded.
@@ -49,28 +50,39 @@ def open_chunk(blob: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     return [None if z else d for d, z in zip(names, null, strict=True)], offsets, slots, distinct
 
 
-def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+def chunked(docs: DataFrame, tokenizer: str, chunk_bytes: int) -> DataFrame:
     """Word rows (key: the word; chunk, slot) and chunk rows (key: the chunk, which no word can be; blob)."""
 
     def run(batches):
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, plain = TaskContext.get().partitionId(), 0, encoder(tokenizer).plain
         names = ["key", "chunk", "slot", "blob"]
         types = [pa.string(), pa.string(), pa.int32(), pa.binary()]
         for batch in batches:
             for piece in slices(batch, "text", chunk_bytes):
                 words, offsets = split_words(piece.column("text"))
                 coded = words.dictionary_encode()
-                index = coded.indices.to_numpy(zero_copy_only=False)
-                many = len(coded.dictionary)
+                known: dict[str, int] = {}
+                flat, size = [], []
+                for w in coded.dictionary.to_pylist():
+                    m = plain(w)
+                    own = (w,) if m is None else (m[1].lower(), m[2]) if m[2] else (w.lower(),)
+                    flat += [known.setdefault(x, len(known)) for x in own]
+                    size.append(len(own))
+                index, ends = laid_out(np.array(flat, np.int32), np.array(size, np.int64), coded.indices.to_numpy(zero_copy_only=False))
+                offsets = np.concatenate([[0], ends])[offsets]
+                del words, coded, flat
+                many = len(known)
                 order = np.argsort(-np.bincount(index, minlength=many), kind="stable")
-                slot = np.empty(many, np.int64)
-                slot[order] = np.arange(many)
+                slot = np.empty(many, np.int32)
+                slot[order] = np.arange(many, dtype=np.int32)
                 chunk, k = f"\n{part}:{k}", k + 1
-                blob = pack_chunk(piece.column("doc_id"), offsets, slot[index] if many else index, many)
+                blob = pack_chunk(piece.column("doc_id"), offsets, slot[index], many)
+                distinct = pa.array(known, types[0])
+                del known, index
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], types[0]), pa.nulls(1, types[1]), pa.nulls(1, types[2]), pa.array([blob], types[3])], names)
                 for at in range(0, many, 20_000):
-                    own = coded.dictionary[at : at + 20_000].cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([own, pa.array([chunk] * len(own), types[1]), pa.array(slot[at : at + 20_000].astype(np.int32)), pa.nulls(len(own), types[3])], names)
+                    own = distinct[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([own, pa.array([chunk] * len(own), types[1]), pa.array(slot[at : at + 20_000]), pa.nulls(len(own), types[3])], names)
 
     return docs.mapInArrow(run, "key string, chunk string, slot int, blob binary")
 
@@ -90,6 +102,7 @@ def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         for batch in batches:
             own = batch.column(0)
+            enc.bodies.clear()  # every word comes once
             found = [np.frombuffer(enc.word(w), "<u4") for w in own.to_pylist()]
             size = np.array([len(f) for f in found], np.int64)
             many = np.maximum(size, 1)  # a word without ids keeps one row, with a null id
@@ -140,18 +153,21 @@ def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
     return tokens.join(pieces, "id", "left").select("word", "pos", "n", "id", "piece").mapInArrow(spell, "word string, ids binary, piece string")
 
 
-def encode_decode(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and, with ``keep``, ids and decoded) for every row.
 
     A null or empty text has no ids and decodes to an empty text; null and repeated ids keep their rows.
     """
     tokenizer = tokenizer or vocabulary_path()
     n = parts(docs.sparkSession)
-    rows = chunked(id_and_text(docs, id_col, text_col), chunk_bytes).repartition(n, "key")
-    words = rows.where("chunk IS NOT NULL").select(F.col("key").alias("word"), "chunk", "slot")
+    rows = chunked(id_and_text(docs, id_col, text_col), tokenizer, chunk_bytes).repartition(n, "key")
+    # Both kinds of rows come from one shuffle: a filter that isn't deterministic and looks at every column stays above
+    # it, so both branches have the same plan below and Spark reuses the exchange, with its partitioning by key.
+    word_row = F.col("chunk").isNotNull() & F.col("slot").isNotNull() & F.col("blob").isNull()
+    words = rows.where(F.when(F.spark_partition_id() >= 0, word_row).otherwise(False)).select(F.col("key").alias("word"), "chunk", "slot")
     table = word_table(words.select("word").distinct(), tokenizer)
     placed = words.join(table, "word").select(F.col("chunk").alias("at"), "slot", "ids", "piece")
-    chunks = rows.where("chunk IS NULL").select("key", "blob")
+    chunks = rows.where(F.when(F.spark_partition_id() >= 0, ~word_row).otherwise(False)).select("key", "blob")
 
     def lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], [], []]

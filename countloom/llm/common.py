@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """Writes ``df`` as a Parquet table to the shared folder; its path."""
+    path = os.path.join(shared_dir(df.sparkSession), "countloom", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "countloom", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` wrote and nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, fill: bool = True) -> DataFrame:
@@ -36,6 +48,34 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, fill: bool = True)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if fill else text).alias("text"))
 
 
+#: A table of ids of so many rows (16 bytes each) may be broadcast; a larger one is joined by shuffle.
+MOST_BROADCAST = 2_000_000
+
+
+def sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``small``, to be broadcast in a join if a count finds it small enough, else as it is."""
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one value after the other, and where each begins (one place more than values); null: none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.offset or column.null_count:
+        column = pa.concat_arrays([column, column[:0]])
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, np.int32, len(column) + 1).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def binary_array(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose values are runs of ``data``, with so many bytes each."""
+    places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = np.ascontiguousarray(data).reshape(-1).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(data)])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import id_and_text, written
+from countloom.llm.common import id_and_text, sized, written
 from countloom.llm.components import components
 from countloom.llm.wordbpe import slices
 
@@ -239,3 +239,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, radius: int = 2, bucket:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The documents without those that ``groups`` (doc_id, component_id) links to a smaller id, columns unchanged.
+
+    Rows with a null id stay, and so do all rows that share a kept id.
+    """
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(sized(gone), docs[id_col] == F.col("gone_id"), "left_anti")

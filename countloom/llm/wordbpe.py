@@ -124,6 +124,7 @@ def encoder(path: str) -> WordEncoder:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
     """The batch in runs of rows with about ``most`` bytes of text (one row at least)."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between runs; a worker lives long
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(size), 0
     while at < len(size):
