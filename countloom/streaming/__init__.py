@@ -1,0 +1 @@
+"""Incremental count tables."""
