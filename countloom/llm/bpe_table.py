@@ -3,11 +3,11 @@
 1. Each task splits its texts at white space, and words of letters from the marks after them, and turns a run of
    documents into a *chunk*: the chunk's distinct words, numbered by falling frequency (slots), and every document's
    words as slots, compressed. Texts move no further.
-2. One shuffle by key takes words to their word and chunks to their name. Each distinct word of the whole table is
-   encoded once, with the tokenizers library; its ids are joined to the vocabulary's pieces, which spells the word as
-   decoded.
-3. Word rows (chunk, slot) join the table of words by word and go to their chunk; there ids and pieces are laid out by
-   position into every document's ids and decoded text.
+2. One shuffle by key, sorted by it, makes the table of words: each distinct word's rows stand together, and it is
+   encoded once, with the tokenizers library. A chunk's row goes to its name's place.
+3. Ids return to their chunk and slot, where they are laid out by position into every document's ids. Words' ids are
+   joined to the vocabulary's pieces there (a map-side join: the vocabulary is as long as the tokenizer is), and the
+   pieces of a document's words make its decoded text.
 
 A frequent word has one row a chunk, not one an occurrence, so no key is hot. A chunk that misses a word raises.
 """
@@ -23,10 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import id_and_text, parts
+from countloom.llm.common import flat_binary, id_and_text, parts
 from countloom.llm.wordbpe import encoder, laid_out, slices, split_words, vocabulary_path
 
 
@@ -46,111 +46,82 @@ def open_chunk(blob: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
     null = np.frombuffer(body, np.uint8, n, 8 * n).tolist()
     offsets = np.frombuffer(body, "<i8", n + 1, 9 * n)
     planes = np.frombuffer(body, np.uint8, 4 * words, 17 * n + 8).reshape(4, words)
-    slots = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    slots = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).view(np.int32)
     return [None if z else d for d, z in zip(names, null, strict=True)], offsets, slots, distinct
 
 
 def chunked(docs: DataFrame, tokenizer: str, chunk_bytes: int) -> DataFrame:
     """Word rows (key: the word; chunk, slot) and chunk rows (key: the chunk, which no word can be; blob)."""
+    names, types = ["key", "chunk", "slot", "blob"], [pa.string(), pa.string(), pa.int32(), pa.binary()]
 
     def run(batches):
-        part, k, plain = TaskContext.get().partitionId(), 0, encoder(tokenizer).plain
-        names = ["key", "chunk", "slot", "blob"]
-        types = [pa.string(), pa.string(), pa.int32(), pa.binary()]
+        part, made, plain = TaskContext.get().partitionId(), 0, encoder(tokenizer).plain
+
+        def spelled(w: str) -> tuple[str, ...]:
+            m = plain(w)
+            return (w,) if m is None else (m[1].lower(), m[2]) if m[2] else (w.lower(),)
+
         for batch in batches:
             for piece in slices(batch, "text", chunk_bytes):
-                words, offsets = split_words(piece.column("text"))
-                coded = words.dictionary_encode()
                 known: dict[str, int] = {}
-                flat, size = [], []
-                for w in coded.dictionary.to_pylist():
-                    m = plain(w)
-                    own = (w,) if m is None else (m[1].lower(), m[2]) if m[2] else (w.lower(),)
-                    flat += [known.setdefault(x, len(known)) for x in own]
-                    size.append(len(own))
-                index, ends = laid_out(np.array(flat, np.int32), np.array(size, np.int64), coded.indices.to_numpy(zero_copy_only=False))
-                offsets = np.concatenate([[0], ends])[offsets]
-                del words, coded, flat
-                many = len(known)
+                runs, lengths = [], []
+                for own in slices(piece, "text", 4 << 20):
+                    words, offsets = split_words(own.column("text"))
+                    coded = words.dictionary_encode()
+                    flat, size = [], []
+                    for w in coded.dictionary.to_pylist():
+                        found = spelled(w)
+                        flat += [known.setdefault(x, len(known)) for x in found]
+                        size.append(len(found))
+                    index, ends = laid_out(np.array(flat, np.int32), np.array(size, np.int64), coded.indices.to_numpy(zero_copy_only=False))
+                    runs.append(index)
+                    lengths.append(np.diff(np.concatenate([[0], ends])[offsets]))
+                index, many = np.concatenate(runs), len(known)
+                del runs
                 order = np.argsort(-np.bincount(index, minlength=many), kind="stable")
                 slot = np.empty(many, np.int32)
                 slot[order] = np.arange(many, dtype=np.int32)
-                chunk, k = f"\n{part}:{k}", k + 1
-                blob = pack_chunk(piece.column("doc_id"), offsets, slot[index], many)
-                distinct = pa.array(known, types[0])
-                del known, index
+                chunk, made = f"\n{part}:{made}", made + 1
+                blob = pack_chunk(piece.column("doc_id"), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), slot[index], many)
+                del index
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], types[0]), pa.nulls(1, types[1]), pa.nulls(1, types[2]), pa.array([blob], types[3])], names)
+                words = list(known)
+                del known, blob
                 for at in range(0, many, 20_000):
-                    own = distinct[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays([own, pa.array([chunk] * len(own), types[1]), pa.array(slot[at : at + 20_000]), pa.nulls(len(own), types[3])], names)
+                    own = words[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, types[0]), pa.array([chunk] * len(own), types[1]), pa.array(slot[at : at + 20_000]), pa.nulls(len(own), types[3])], names)
 
     return docs.mapInArrow(run, "key string, chunk string, slot int, blob binary")
 
 
-def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
-    """id, piece: the tokenizer's whole vocabulary."""
+def vocabulary(tokenizer: str) -> pa.Array:
+    """The piece of every id, the whole vocabulary's."""
     with open(tokenizer) as f:
         spec = json.load(f)
     rows = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    return spark.createDataFrame(sorted(rows.items()), "id int, piece string")
+    return pa.array([rows.get(i) for i in range(max(rows) + 1)], pa.string())
 
 
-def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
-    """word, ids (little-endian), piece (the word as decoded; null without ids) for distinct words."""
+def encoded(words: DataFrame, tokenizer: str) -> DataFrame:
+    """chunk, slot, ids (little-endian, two bytes each if the vocabulary allows) of rows sorted by word: each word is encoded once."""
+    wide = np.dtype("<u2" if len(vocabulary(tokenizer)) <= 1 << 16 else "<u4")
 
-    def encode(batches):
-        enc = encoder(tokenizer)
+    def run(batches):
+        enc, last, last_ids = encoder(tokenizer), None, b""
         for batch in batches:
-            own = batch.column(0)
+            if not batch.num_rows:
+                continue
             enc.bodies.clear()  # every word comes once
-            found = [np.frombuffer(enc.word(w), "<u4") for w in own.to_pylist()]
-            size = np.array([len(f) for f in found], np.int64)
-            many = np.maximum(size, 1)  # a word without ids keeps one row, with a null id
-            pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            ids = np.zeros(many.sum(), np.int64)
-            none = np.repeat(size == 0, many)
-            ids[~none] = np.concatenate(found) if size.sum() else []
-            yield pa.RecordBatch.from_arrays(
-                [own.take(pa.array(np.repeat(np.arange(len(own)), many))), pa.array(pos.astype(np.int32)), pa.array(np.repeat(many, many).astype(np.int32)), pa.array(ids.astype(np.int32), mask=none)],
-                ["word", "pos", "n", "id"],
-            )
-
-    def spell(batches):
-        """Rows of a word stand together and in order, as the join with a broadcast table leaves them; else it raises."""
-        left = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = (table if left is None else pa.concat_tables([left, table])).combine_chunks()
-            pos, n = table.column("pos").to_numpy(), table.column("n").to_numpy()
-            begin = np.flatnonzero(pos == 0)
-            if len(begin) and begin[-1] + n[begin[-1]] > len(pos):
-                cut, begin = begin[-1], begin[:-1]
-            else:
-                cut = len(pos)
-            left = table.slice(cut)
-            if len(begin):
-                yield words_of(table.slice(0, cut), begin)
-        if left is not None and len(left):
-            raise RuntimeError("a word's ids do not stand together")
-
-    def words_of(table: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-        pos, n, ids = (table.column(c).combine_chunks() for c in ("pos", "n", "id"))
-        size = n.to_numpy()[begin]
-        if begin[0] or (pos.to_numpy() != np.arange(len(pos)) - np.repeat(begin, size)).any():
-            raise RuntimeError("a word's ids do not stand together")
-        ends = np.append(begin, len(pos))
-        raw = pc.fill_null(ids, 0).to_numpy().astype("<u4").tobytes()
-        some = pc.is_valid(ids).to_numpy(zero_copy_only=False)[begin]
-        held = [raw[4 * a : 4 * b] if s else b"" for a, b, s in zip(ends[:-1].tolist(), ends[1:].tolist(), some.tolist(), strict=True)]
-        pieces = table.column("piece").combine_chunks()
-        pieces = pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) else pieces
-        spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pieces), " ")
-        word = table.column("word").combine_chunks().take(pa.array(begin))
-        return pa.RecordBatch.from_arrays([word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word, pa.array(held, pa.binary()), spelled], ["word", "ids", "piece"])
-
-    tokens = words.mapInArrow(encode, "word string, pos int, n int, id int")
-    pieces = F.broadcast(vocabulary(words.sparkSession, tokenizer))  # as many rows as the tokenizer has ids
-    return tokens.join(pieces, "id", "left").select("word", "pos", "n", "id", "piece").mapInArrow(spell, "word string, ids binary, piece string")
+            coded = batch.column("word").dictionary_encode()
+            table = []
+            for w in coded.dictionary.to_pylist():
+                if w != last:
+                    last, last_ids = w, np.frombuffer(enc.word(w), "<u4").astype(wide).tobytes()
+                table.append(last_ids)
+            ids = pa.array(table, pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("slot"), ids], ["chunk", "slot", "ids"])
+
+    return words.mapInArrow(run, "chunk string, slot int, ids binary")
 
 
 def encode_decode(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -160,13 +131,14 @@ def encode_decode(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes:
     """
     tokenizer = tokenizer or vocabulary_path()
     n = parts(docs.sparkSession)
+    pieces = vocabulary(tokenizer)
+    wide = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
     rows = chunked(id_and_text(docs, id_col, text_col), tokenizer, chunk_bytes).repartition(n, "key")
     # Both kinds of rows come from one shuffle: a filter that isn't deterministic and looks at every column stays above
     # it, so both branches have the same plan below and Spark reuses the exchange, with its partitioning by key.
     word_row = F.col("chunk").isNotNull() & F.col("slot").isNotNull() & F.col("blob").isNull()
     words = rows.where(F.when(F.spark_partition_id() >= 0, word_row).otherwise(False)).select(F.col("key").alias("word"), "chunk", "slot")
-    table = word_table(words.select("word").distinct(), tokenizer)
-    placed = words.join(table, "word").select(F.col("chunk").alias("at"), "slot", "ids", "piece")
+    placed = encoded(words.sortWithinPartitions("word"), tokenizer)
     chunks = rows.where(F.when(F.spark_partition_id() >= 0, ~word_row).otherwise(False)).select("key", "blob")
 
     def lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -177,16 +149,14 @@ def encode_decode(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes:
         order = np.argsort(left.column("slot").to_numpy())
         if len(order) != distinct or (distinct and left.column("slot").to_numpy()[order[-1]] != distinct - 1):
             raise RuntimeError("a chunk misses words")
-        ids = left.column("ids").combine_chunks().take(pa.array(order))
-        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        piece = left.column("piece").combine_chunks().take(pa.array(order))
-        piece = piece.combine_chunks() if isinstance(piece, pa.ChunkedArray) else piece
-        size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        held = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-        spelled = pc.is_valid(piece).to_numpy(zero_copy_only=False)
+        raw_ids, begins = flat_binary(left.column("ids").take(pa.array(order)))
+        held, size = raw_ids.view(wide).astype("<u4"), np.diff(begins) // wide.itemsize
+        # The words' ids joined to their pieces; a word without ids has none.
+        spelled = size > 0
+        piece = pc.binary_join(pa.ListArray.from_arrays(pa.array((begins // wide.itemsize).astype(np.int32)), pieces.take(pa.array(held))), " ")
         at, ends = 0, offsets[1:]
         while at < len(names):  # a bounded number of words at a time
-            stop = max(at + 1, int(np.searchsorted(ends, offsets[at] + (1 << 19), "right")))
+            stop = max(at + 1, int(np.searchsorted(ends, offsets[at] + (1 << 18), "right")))
             own = slots[offsets[at] : offsets[stop]]
             bounds = offsets[at : stop + 1] - offsets[at]
             flat, upto = laid_out(held, size, own)
@@ -204,4 +174,4 @@ def encode_decode(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes:
         return pa.table(cols | ({"ids": pa.array(out[4], pa.list_(pa.int32())), "decoded": pa.array(out[5], pa.string())} if keep else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-    return placed.groupBy("at").cogroup(chunks.groupBy("key")).applyInArrow(lambda left, right: lay_out(left, right), schema)
+    return placed.groupBy("chunk").cogroup(chunks.groupBy("key")).applyInArrow(lambda left, right: lay_out(left, right), schema)

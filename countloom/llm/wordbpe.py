@@ -7,6 +7,7 @@ tokenizers library.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -123,11 +124,19 @@ def encoder(path: str) -> WordEncoder:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
-    """The batch in runs of rows with about ``most`` bytes of text (one row at least)."""
+    """The batch in runs of rows with about equally many bytes of text, ``most`` at most (one row at least)."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between runs; a worker lives long
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(size), 0
+    most = -(-int(ends[-1]) // max(1, -(-int(ends[-1]) // most))) if len(ends) else most
     while at < len(size):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, stop - at)
+        trim()
         at = stop
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
