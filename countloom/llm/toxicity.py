@@ -194,7 +194,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def vote(rows: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+def vote(rows: list[np.ndarray], toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """The votes of all voters: one for each lexicon feature, then the patterns."""
     n, place = len(rows), {int(f): k for k, f in enumerate(toxic)}
     quiet = {int(f) for f in clean}
@@ -212,7 +212,7 @@ def vote(rows: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, clean: np
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, features: int = 4096, voters: int = 120, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, features: int = 1024, voters: int = 80, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fits the three models. Without any labelled row, or with one class only, every score is that class's share (0.5 without)."""
     own = id_and_text(docs, id_col, text_col)
     sample = written(labelled_sample(own, labels, most_labelled), "toxicity")
@@ -221,16 +221,26 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, fe
     if not n1 or not n0:
         share = 0.5 if not n1 + n0 else (n1 + 0.5) / (n1 + n0 + 1)
         return ToxicityModel({}, np.array([np.log(share / (1 - share))]))
-    # Log odds ratio with its standard error, as a z value; a bounded number of features leaves the cluster.
-    a, b, c, d = F.col("toxic") + 0.5, F.col("clean") + 0.5, F.lit(n1) - F.col("toxic") + 0.5, F.lit(n0) - F.col("clean") + 0.5
-    z = (F.log(a) - F.log(b) - F.log(c) + F.log(d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    told = feature_counts(sample).where(F.col("toxic") + F.col("clean") >= 4).withColumn("z", z)
-    top = told.orderBy(F.desc(F.abs("z")), "feature").limit(features).collect()
+    # How surprising a feature's counts are if it told nothing (the G statistic, with the direction as its sign): unlike
+    # an odds ratio's z value it is largest for features that many toxic documents and no clean ones have, and small for
+    # the words of a few copies. A bounded number of features leaves the cluster.
+    n = n1 + n0
+    both = F.col("toxic") + F.col("clean")
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g = 2 * (term(F.col("toxic"), both * n1 / n) + term(F.col("clean"), both * n0 / n) + term(n1 - F.col("toxic"), (n - both) * n1 / n) + term(n0 - F.col("clean"), (n - both) * n0 / n))
+    g = F.when(F.col("toxic") * n0 > F.col("clean") * n1, g).otherwise(-g)
+    told = feature_counts(sample).where(both >= 4).withColumn("g", F.when(both < n, g).otherwise(0.0))
+    top = told.orderBy(F.desc(F.abs("g")), "feature").limit(features).collect()
     vocabulary = {r.feature: k for k, r in enumerate(top)}
     odds = np.array([((r.toxic + 0.5) / (n1 + 1)) / ((r.clean + 0.5) / (n0 + 1)) for r in top])
-    zs = np.array([r.z for r in top])
-    toxic = np.flatnonzero((odds > 4) & (zs > 3))[:voters]
-    clean = np.flatnonzero(zs < -2)[:voters]
+    gs = np.array([r.g for r in top])
+    toxic = np.flatnonzero((odds > 20) & (gs > 20))[:voters]
+    if not len(toxic):  # few labels: the strongest there are
+        toxic = np.flatnonzero((odds > 4) & (gs > 4))[:voters]
+    clean = np.flatnonzero(gs < -6)[:voters]
 
     def run(batches):
         for batch in batches:
@@ -241,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, fe
     seen = sample.select("text").mapInArrow(run, "features array<int>, words long").collect()  # as many rows as most_labelled
     seen.sort(key=lambda r: (list(r.features), r.words))
     rows = [np.array(r.features, np.int64) for r in seen]
-    votes = vote(rows, np.array([r.words for r in seen]), toxic, clean)
+    votes = vote(rows, toxic, clean)
     model = LabelModel.fit(votes, prior=n1 / (n1 + n0))
     return ToxicityModel(vocabulary, logistic(rows, model.posterior(votes), len(vocabulary)), model)
 
