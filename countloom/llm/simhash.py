@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import id_and_text, sized, written
 from countloom.llm.components import components
+from countloom.llm.passages import shingle_hashes
 from countloom.llm.wordbpe import slices
 
 BITS = 64
@@ -241,6 +242,89 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, radius: int = 2, bucket:
 
 
 
+def word_fingerprint(text: str | None, letters: int = 4, fewest: int = 5) -> int:
+    """The fingerprint of a text's distinct words of so many bytes or more (of all its words, if these are too few).
+
+    An edited word changes one feature here but up to five five-word shingles, so texts whose shingles have a similarity
+    of 0.8 differ in few of its bits, while the words that unrelated texts share are short.
+    """
+    words = set((text or "").encode().lower().split())
+    long = [w for w in words if len(w) >= letters]
+    own = long if len(long) >= fewest else list(words)
+    if not own:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
+    total = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(own)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -> DataFrame:
+    """The pairs (a, b: ids of ``docs``, which has doc_id and text) whose sets of word shingles have a Jaccard similarity of
+    ``similar`` or more. A text of fewer words has itself as its only shingle."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.join(sized(ids), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    def shingles(text: pa.Array) -> np.ndarray:
+        found = shingle_hashes(text, width)[0]
+        if not len(found):
+            found = np.array([xxhash.xxh64_intdigest(b" ".join((text[0].as_py() or "").encode().lower().split()))], np.uint64)
+        return np.unique(found)
+
+    def each(batch, side: str):
+        last, own = None, None
+        for k, i in enumerate(batch.column(side).to_pylist()):
+            if i != last:
+                own, last = shingles(batch.column("text").slice(k, 1)), i
+            yield own
+
+    def first(batches):
+        for batch in batches:
+            sets = [s.astype("<u8").tobytes() for s in each(batch, "a")]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], ["a", "b", "shingles"])
+
+    def second(batches):
+        for batch in batches:
+            keep = []
+            for raw, y in zip(batch.column("shingles").to_pylist(), each(batch, "b"), strict=True):
+                x = np.frombuffer(raw, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similar * (len(x) + len(y) - both))
+            table = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield from table.to_batches()
+
+    one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").mapInArrow(first, "a long, b long, shingles binary")
+    return one.join(texts.withColumnRenamed("doc_id", "b"), "b").mapInArrow(second, "a long, b long")
+
+
+def near_copies(docs: DataFrame, *, radius: int = 4, width: int = 5, similar: float = 0.8, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest id linked, directly or not) of rows with an id.
+
+    Equal texts (A-Z lower-cased, white space as one space) are linked. Different ones are, if their word fingerprints
+    differ in at most ``radius`` bits and their ``width``-word shingles verify. A group whose fingerprints are equal is
+    verified against its first text. Null texts count as empty, and empty ones are linked like any other.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                fps = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                keys = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps), pa.array(keys, pa.binary())], ["doc_id", "fp", "key"])
+
+    own = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    rows = written(own.mapInArrow(run, "doc_id long, fp long, key binary"), "fingerprints")
+    nodes = written(rows.groupBy("fp", "key").agg(F.min("doc_id").alias("doc")), "nodes")
+    hubs = written(nodes.groupBy("fp").agg(F.min("doc").alias("hub")), "hubs")
+    same = nodes.join(hubs, "fp").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    near = links(hubs, radius, bucket)
+    near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    pairs = written(same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "candidates")
+    found = components(verified(pairs, own, width=width, similar=similar))
+    grouped = nodes.join(found, nodes.doc == found.node, "left").select("fp", "key", F.coalesce("component", "doc").alias("component_id"))
+    return rows.join(grouped, ["fp", "key"]).select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The documents without those that ``groups`` (doc_id, component_id) links to a smaller id, columns unchanged.
 
