@@ -98,7 +98,11 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace((pc.ascii_lower(texts) if lower else texts).cast(pa.large_string()))
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    return lists.flatten(), offsets - offsets[0]
+    words, offsets = lists.flatten(), offsets - offsets[0]
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not some.all():  # white space at a text's ends leaves empty words
+        words, offsets = words.filter(pa.array(some)), np.concatenate([[0], np.cumsum(some)])[offsets]
+    return words, offsets
 
 
 def laid_out(held: np.ndarray, lengths: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
