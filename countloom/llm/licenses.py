@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "text")
     return docs.select(F.explode(kept).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.94, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables: a row a document, and a row for each block and template that meet.
 
     Documents: row (a number of its own), doc_id, n_words, n_base, first_word, last_word (of phrase starts; null
@@ -141,7 +141,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: l
     return documents, matches
 
 
-def oracle_sql(threshold: float = 0.95) -> str:
+def oracle_sql(threshold: float = 0.94) -> str:
     """DuckDB SQL of the documents' rows (all but ``row``): every block against every template."""
     sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     quoted = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r})" for k, (label, t) in enumerate(TEMPLATES))

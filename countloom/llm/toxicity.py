@@ -118,9 +118,10 @@ class LabelModel:
     @classmethod
     def fit(cls, votes: np.ndarray, prior: float, rounds: int = 25, correlated: float = 0.25, widest: int = 4) -> LabelModel:
         m, k = cls(prior=prior), votes.shape[1]
-        total = votes.sum(axis=1)
-        post = np.clip(1 / (1 + np.exp(-2.0 * total)), 0.02, 0.98)
         m.blocks = [[j] for j in range(k)]
+        m.merge(votes, np.zeros(len(votes)), 0.95, widest)  # voters that say the same thing are one from the start
+        total = sum(np.sign(votes[:, b].sum(axis=1)) for b in m.blocks)
+        post = np.clip(1 / (1 + np.exp(-2.0 * total)), 0.02, 0.98)
         for stage in range(2):
             for _ in range(rounds):
                 m.tables = [m.table(votes[:, b], post) for b in m.blocks]
@@ -144,7 +145,7 @@ class LabelModel:
         return {tuple(key): (a, b) for key, a, b in zip(keys.tolist(), (p / p.sum()).tolist(), (q / q.sum()).tolist(), strict=True)}
 
     def merge(self, votes: np.ndarray, post: np.ndarray, correlated: float, widest: int) -> None:
-        """Joins voters whose residuals, given the class, correlate; the strongest pairs first, blocks of ``widest`` at most."""
+        """Joins blocks with voters whose residuals, given the class, correlate; the strongest pairs first, ``widest`` voters at most."""
         x = votes.astype(float)
         mean1 = (post @ x) / max(post.sum(), 1e-9)
         mean0 = ((1 - post) @ x) / max((1 - post).sum(), 1e-9)
@@ -152,7 +153,7 @@ class LabelModel:
         scale = np.sqrt((res * res).mean(axis=0))
         corr = (res.T @ res) / len(x) / np.maximum(np.outer(scale, scale), 1e-12)
         pairs = [(abs(corr[i, j]), i, j) for i in range(len(corr)) for j in range(i) if abs(corr[i, j]) >= correlated]
-        home = {j: [j] for j in range(len(corr))}
+        home = {j: b for b in map(list, self.blocks) for j in b}
         for _, i, j in sorted(pairs, reverse=True):
             a, b = home[i], home[j]
             if a is not b and len(a) + len(b) <= widest:
@@ -237,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = 12_000, fe
     vocabulary = {r.feature: k for k, r in enumerate(top)}
     odds = np.array([((r.toxic + 0.5) / (n1 + 1)) / ((r.clean + 0.5) / (n0 + 1)) for r in top])
     gs = np.array([r.g for r in top])
-    toxic = np.flatnonzero((odds > 20) & (gs > 20))[:voters]
+    sure = np.array([r.toxic >= 9 * r.clean for r in top])  # a voter is right nine times of ten
+    toxic = np.flatnonzero((odds > 20) & (gs > 20) & sure)[:voters]
     if not len(toxic):  # few labels: the strongest there are
         toxic = np.flatnonzero((odds > 4) & (gs > 4))[:voters]
     clean = np.flatnonzero(gs < -6)[:voters]
