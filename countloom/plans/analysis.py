@@ -60,6 +60,8 @@ class Result:
     global_test: DataFrame | None = None
     pairwise: DataFrame | None = None
     corrected: DataFrame | None = None
+    table: DataFrame | None = None
+    samples: DataFrame | None = None
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -212,6 +214,12 @@ def t_test(w: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(w.to_numpy(float), dof.to_numpy(float))).fillna(1.0)
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_test(w: pd.Series) -> pd.Series:
+    """The two-sided p-value of w under the normal distribution."""
+    return pd.Series(t_two_sided(w.to_numpy(float), np.inf))
+
+
 def variance_chain(long: DataFrame, var_delta: DataFrame, s0_perc: float) -> DataFrame:
     """Adds the variance of the bias, then the regulariser s0 (a quantile over taxa): taxon, coef, j, lfc, se, W, dof."""
     own = long.join(F.broadcast(var_delta), "coef")
@@ -281,12 +289,17 @@ def pairwise_test(result: DataFrame, est: DataFrame, d: Design, method: str, alp
 
     tested = group_blocks(result, est, d).mapInPandas(run, "taxon string, contrast string, lfc double, se double, W double, p double")
     screen = global_test(result, est, d, "bh", alpha).select("taxon", F.col("diff").alias("screened"))
+    return within_taxa(tested, screen, len(labels), method, alpha)
+
+
+def within_taxa(tested: DataFrame, screen: DataFrame, tests: int, method: str, alpha: float) -> DataFrame:
+    """p is 1 for taxa that fail the screen (taxon, screened); q is adjusted within each taxon, for as many tests as a
+    taxon has times the share of taxa that pass."""
     sizes = screen.agg(F.count("*").alias("taxa"), F.count_if("screened").alias("r")).first()
-    masked = tested.join(screen, "taxon").withColumn("masked", F.when(F.col("screened"), F.col("p")).otherwise(1.0))
+    own = tested.join(screen, "taxon").withColumn("p", F.when(F.col("screened"), F.col("p")).otherwise(1.0)).drop("screened")
     if not sizes.r:
-        return masked.withColumn("q", F.lit(1.0)).withColumn("diff", F.lit(False)).drop("screened", "masked")
-    n = F.lit(len(labels) * sizes.taxa / sizes.r)
-    return adjust(masked, "masked", ["taxon"], "contrast", method, n=n).withColumn("diff", F.col("q") <= alpha).drop("screened", "masked")
+        return own.withColumn("q", F.lit(1.0)).withColumn("diff", F.lit(False))
+    return adjust(own, "p", ["taxon"], "contrast", method, n=F.lit(tests * sizes.taxa / sizes.r)).withColumn("diff", F.col("q") <= alpha)
 
 
 def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
@@ -337,4 +350,57 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         global_test=global_test(primary, est2, d, cfg.p_adjust, cfg.alpha) if cfg.global_test and wide else None,
         pairwise=pairwise_test(primary, est2, d, cfg.fwer, cfg.alpha) if cfg.pairwise and wide else None,
         corrected=transforms.subtract_by_sample(y2, theta_table),
+        table=o2,
+        samples=own,
     )
+
+
+@dataclass
+class PlainResult:
+    primary: DataFrame
+    theta: DataFrame
+    zeros: DataFrame | None
+    mixtures: dict[str, Mixture]
+
+
+def analyze_plain(counts: DataFrame, samples: DataFrame, cfg: Config, conserve: bool = False) -> PlainResult:
+    """The earlier form of the analysis: one table, a pseudo-count for all cells, normal tests, no regulariser.
+
+    Structural zeros stay in the table; where a level differs from the group's first in being one, se, p and q of its
+    coefficient are 0 and it is called different.
+    """
+    spark: SparkSession = counts.sparkSession
+    screened = screens.library_filter(screens.prevalence_filter(counts, samples.count(), cfg.prv_cut), cfg.lib_cut)
+    own = samples if cfg.lib_cut <= 0 else samples.join(screened.select("sample").distinct(), "sample", "left_semi")
+    d = design(own, parse(cfg.formula), cfg.group)
+    check_identifiable(d)
+    t = kept(packed(log_table(screened, own, cfg.pseudo), d), "logs")
+    before, theta, _ = iterate(t, d, cfg.tol, cfg.max_iter)
+    est = kept(estimates(t, d, before, theta), "fit")
+    long = long_estimates(est, d)
+    mix = mixtures(long, d.columns, cfg.em_tol, cfg.em_max_iter)
+    bias = spark.createDataFrame([(c, float(m.delta), float(m.var_delta)) for c, m in mix.items()], "coef string, delta double, vd double")
+    v = F.col("variance") + F.col("vd") + 2 * F.sqrt(F.col("variance") * F.col("vd")) if conserve else F.col("variance")
+    table = long.join(F.broadcast(bias), "coef").select("taxon", "coef", (F.col("lfc") - F.col("delta")).alias("lfc"), F.sqrt(v).alias("se"))
+    table = table.withColumn("W", F.try_divide("lfc", "se")).withColumn("p", normal_test("W"))
+    table = adjust(table.withColumn("p", F.when(~F.isnan("p"), F.col("p"))), "p", ["coef"], "taxon", cfg.p_adjust)
+    zeros = None
+    if cfg.struc_zero:
+        if not cfg.group:
+            raise ValueError("structural zeros need a group")
+        zeros = kept(screens.structural_zeros(counts, samples.select("sample", F.col(cfg.group).alias("grp")), cfg.neg_lb), "zeros")
+        names = spark.createDataFrame([(d.columns[j], d.group_levels[k]) for j, k in d.group_columns.items()], "coef string, grp string")
+        first = zeros.where(F.col("grp") == d.group_levels[0]).select("taxon", F.col("is_zero").alias("base"))
+        marks = zeros.join(F.broadcast(names), "grp").join(first, "taxon").where("is_zero <> base").select("taxon", "coef", F.lit(True).alias("apart"))
+        table = table.join(marks, ["taxon", "coef"], "left")
+        table = table.withColumns({c: F.when(F.col("apart"), 0.0).otherwise(F.col(c)) for c in ("se", "p", "q")}).drop("apart")
+    primary = table.withColumn("diff", F.coalesce(F.col("q") <= cfg.alpha, F.lit(False)))
+    delta = np.array([mix[c].delta if c in mix else 0.0 for c in d.columns])
+    biases = sample_biases(t, d, est, delta)
+    theta_table = spark.createDataFrame([(s, None if np.isnan(b) else float(b)) for s, b in zip(d.samples, biases, strict=True)], "sample string, theta double")
+    return PlainResult(primary, theta_table, zeros, mix)
+
+
+def log_table(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
+    """The log table as it is."""
+    return transforms.log_counts(densify(counts, samples) if pseudo > 0 else counts, pseudo)

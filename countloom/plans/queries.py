@@ -215,6 +215,48 @@ register("analysis_pairwise", _analysis("dense", "pairwise", pairwise=True), Non
 register("analysis_sampling_fractions", _analysis("dense", "theta"), None)
 
 
+def _companion(spark: SparkSession, d: str, what: str) -> DataFrame:
+    import numpy as np
+
+    from countloom.plans import analysis, correlations, group_tests, log_ratios, sensitivity, simulation
+
+    table, own = counts(spark, d), samples(spark, d)
+    cfg = analysis.Config("grp + x", group="grp", global_test=True, pairwise=True)
+    if what == "plain":
+        return analysis.analyze_plain(table, own, analysis.Config("grp + x", group="grp", pseudo=1, tol=1e-5, max_iter=100)).primary
+    if what == "conservative":
+        return sensitivity.conservative(table, own, cfg)["primary"]
+    if what == "nonconservative":
+        return sensitivity.nonconservative(analysis.analyze(table, own, cfg), cfg)["primary"]
+    if what == "dunnett":
+        return group_tests.dunnett(analysis.analyze(table, own, cfg), cfg)
+    if what == "trend":
+        up = np.eye(4) - np.eye(4, k=-1)
+        return group_tests.trend(analysis.analyze(table, own, cfg), cfg, {"up": (up, 3), "down": (-up, 3)})
+    if what == "log_ratios":
+        return log_ratios.log_ratio_tests(table, own, "grp")[0]
+    if what in ("pearson", "spearman"):
+        return correlations.linear_correlations(table, own, lib_cut=0, method=what)
+    levels = {"n_taxa": [60], "n_samp": [40], "da_proportion": [0.1, 0.3], "log_fc": [1.0], "zero_inflation": [0.1], "lib_mean": [10_000.0], "lib_cv": [0.3], "confound": [False, True]}
+    cells = simulation.grid(spark, 5, **levels)
+    return simulation.simulate(cells) if what == "simulation" else simulation.truth(cells)
+
+
+for _name, _what in (
+    ("analysis_plain", "plain"),
+    ("sensitivity_conservative", "conservative"),
+    ("sensitivity_nonconservative", "nonconservative"),
+    ("dunnett", "dunnett"),
+    ("trend", "trend"),
+    ("log_ratio_tests", "log_ratios"),
+    ("linear_correlations_pearson", "pearson"),
+    ("linear_correlations_spearman", "spearman"),
+    ("simulation", "simulation"),
+    ("simulation_truth", "truth"),
+):
+    register(_name, lambda s, d, w=_what: _companion(s, d, w), None)
+
+
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in _QUERIES.items()}
 
