@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import id_and_text, sized, written
+from countloom.llm.common import id_and_text, parts, sized, written
 from countloom.llm.components import components
 from countloom.llm.passages import shingle_hashes
 from countloom.llm.wordbpe import slices
@@ -218,10 +218,11 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = 32, own_plan: Plan |
     few = shared.where(F.col("n") <= bucket)
     pairs = few.alias("x").join(few.alias("y"), ["slot", "key"]).where("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    many = shared.where(F.col("n") > bucket).select("fp").distinct()
+    # Each fingerprint gets very many keys, which Spark can't foresee: they are made over all partitions and never broadcast.
+    many = shared.where(F.col("n") > bucket).select("fp").distinct().repartition(parts(nodes.sparkSession), "fp")
     starred = star_keys(many, radius)
     hubs = starred.groupBy("slot", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("slot", "key", "a")
-    stars = starred.join(hubs, ["slot", "key"]).where("a <> fp").select("a", F.col("fp").alias("b"))
+    stars = starred.hint("merge").join(hubs.hint("merge"), ["slot", "key"]).where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
