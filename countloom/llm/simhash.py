@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import id_and_text, parts, sized, written
+from countloom.llm.common import binary_array, flat_binary, id_and_text, parts, sized, written
 from countloom.llm.components import components
-from countloom.llm.passages import shingle_hashes
+from countloom.llm.passages import MIX, multipliers, shingle_hashes
 from countloom.llm.wordbpe import slices
 
 BITS = 64
@@ -242,21 +242,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, radius: int = 2, bucket:
 
 
 
+def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """``bands`` keys (columns) of each text with shingles: a hash of ``rows`` of its min-hashes.
 
-def word_fingerprint(text: str | None, letters: int = 4, fewest: int = 5) -> int:
-    """The fingerprint of a text's distinct words of so many bytes or more (of all its words, if these are too few).
-
-    An edited word changes one feature here but up to five five-word shingles, so texts whose shingles have a similarity
-    of 0.8 differ in few of its bits, while the words that unrelated texts share are short.
+    Two texts agree on a min-hash as often as their shingles' Jaccard similarity J tells, wherever the words differ, and
+    so share a key with a chance of 1 - (1 - J**rows)**bands.
     """
-    words = set((text or "").encode().lower().split())
-    long = [w for w in words if len(w) >= letters]
-    own = long if len(long) >= fewest else list(words)
-    if not own:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own))
-    total = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * total > len(own)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    starts = begins[:-1][np.diff(begins) > 0]
+    keys = np.zeros((bands, len(starts)), np.uint64)
+    if not len(starts):
+        return keys.T
+    mixed = shingles ^ (shingles >> np.uint64(31))
+    for f, odd in enumerate(multipliers(bands * rows)):
+        key = (keys[f // rows] ^ np.minimum.reduceat(mixed * odd, starts)) * MIX[0]
+        keys[f // rows] = key ^ (key >> np.uint64(29))
+    return keys.T
 
 
 def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -> DataFrame:
@@ -297,33 +297,51 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -
     return one.join(texts.withColumnRenamed("doc_id", "b"), "b").mapInArrow(second, "a long, b long")
 
 
-def near_copies(docs: DataFrame, *, radius: int = 4, width: int = 5, similar: float = 0.8, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: float, bucket: int) -> DataFrame:
+    """Links (a, b) that verify, among texts that share a key; ``keys`` has slot, key, doc. All pairs of a key with at
+    most ``bucket`` texts are tried, and in a larger one each text with the first."""
+    sizes = keys.groupBy("slot", "key").agg(F.count("*").alias("n"), F.min("doc").alias("hub")).where("n > 1")
+    shared = written(keys.join(sizes, ["slot", "key"]), "shared")
+    few, many = shared.where(F.col("n") <= bucket).drop("hub"), shared.where(F.col("n") > bucket)
+    pairs = few.alias("x").join(few.alias("y"), ["slot", "key"]).where("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    stars = many.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    return verified(written(pairs.unionByName(stars).distinct(), "candidates"), docs, width=width, similar=similar)
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands: int = 24, rows: int = 5, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (the smallest id linked, directly or not) of rows with an id.
 
-    Equal texts (A-Z lower-cased, white space as one space) are linked. Different ones are, if their word fingerprints
-    differ in at most ``radius`` bits and their ``width``-word shingles verify. A group whose fingerprints are equal is
-    verified against its first text. Null texts count as empty, and empty ones are linked like any other.
+    Equal texts (A-Z lower-cased, white space as one space) are linked. Different ones are, if they share one of their
+    band keys and their ``width``-word shingles verify; of pairs with a similarity of 0.8, 1 in 10,000 shares none, of
+    more similar ones fewer. Null texts count as empty, and empty ones are linked like any other; so short a text that it
+    has no shingle is only linked to equal ones.
     """
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                fps = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
-                keys = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps), pa.array(keys, pa.binary())], ["doc_id", "fp", "key"])
+            for part in slices(batch, "text", 4 << 20):
+                keys = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in part.column("text").to_pylist()]
+                shingles, begins = shingle_hashes(part.column("text"), width)
+                found = band_keys(shingles, begins, bands, rows)
+                held = binary_array(found.astype("<u8"), np.where(np.diff(begins) > 0, 8 * bands, 0))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), held], ["doc_id", "key", "bands"])
+
+    def spread(batches):
+        for batch in batches:
+            raw, begins = flat_binary(batch.column("bands"))
+            own = batch.column("doc").filter(pa.array(np.diff(begins) > 0))
+            keys = raw.view("<i8").reshape(-1, bands)
+            for band in range(bands):
+                cols = [pa.array(np.full(len(own), band, np.int32)), pa.array(np.ascontiguousarray(keys[:, band])), own]
+                yield pa.RecordBatch.from_arrays(cols, ["slot", "key", "doc"])
 
     own = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    rows = written(own.mapInArrow(run, "doc_id long, fp long, key binary"), "fingerprints")
-    nodes = written(rows.groupBy("fp", "key").agg(F.min("doc_id").alias("doc")), "nodes")
-    hubs = written(nodes.groupBy("fp").agg(F.min("doc").alias("hub")), "hubs")
-    same = nodes.join(hubs, "fp").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    near = links(hubs, radius, bucket)
-    near = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
-    pairs = written(same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "candidates")
-    found = components(verified(pairs, own, width=width, similar=similar))
-    grouped = nodes.join(found, nodes.doc == found.node, "left").select("fp", "key", F.coalesce("component", "doc").alias("component_id"))
-    return rows.join(grouped, ["fp", "key"]).select("doc_id", "component_id")
+    texts = written(own.mapInArrow(run, "doc_id long, key binary, bands binary"), "texts")
+    nodes = written(texts.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
+    keys = written(nodes.mapInArrow(spread, "slot int, key long, doc long"), "keys")
+    found = components(verified_links(keys, own, width=width, similar=similar, bucket=bucket))
+    grouped = nodes.join(found, nodes.doc == found.node, "left").select("key", F.coalesce("component", "doc").alias("component_id"))
+    return texts.select("doc_id", "key").join(grouped, "key").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -113,6 +113,36 @@ def test_only_similar_texts_are_verified(spark):
     assert got == {(r.a, r.b) for r in pairs.collect() if share(text[r.a], text[r.b]) >= 0.8} and (0, 1) in got and (0, 3) not in got
 
 
+def edited_copies():
+    """(doc_id, text) of groups of three far apart: a text of new words, and two copies with words replaced or appended."""
+    rng, rows, word = np.random.default_rng(3), [], iter(range(10**9))
+    for n in (100, 300):
+        for share in (0.81, 0.85, 0.9, 0.95):
+            for _ in range(12):
+                base = [f"word{next(word)}" for _ in range(n)]
+                grams = n - 4
+                longer = base + [f"word{next(word)}" for _ in range(int(grams / share) - grams)]
+                other = list(base)
+                gone = 0
+                for k in rng.permutation(np.arange(5, n - 5, 5)):
+                    if (grams - gone - 5) / (grams + gone + 5) < share:
+                        break
+                    other[k], gone = f"word{next(word)}", gone + 5
+                rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate((base, longer, other))]
+    return rows
+
+
+def test_near_copies_recall_against_brute_force(spark):
+    rows = edited_copies()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = closure(len(rows), [(a, b) for g in range(0, len(rows), 3) for a, b in combinations(range(g, g + 3), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {i for i in got if want[i] != i}
+    assert len(linked) == 2 * len(rows) // 3
+    assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == i for i in got if want[i] == i)
+
+
 def brute_windows(shingles, least, odd):
     """Compact windows by their definition, over one text."""
     mixed = (shingles ^ (shingles >> np.uint64(31))) * odd
