@@ -143,6 +143,25 @@ def test_near_copies_recall_against_brute_force(spark):
     assert all(got[i] == i for i in got if want[i] == i)
 
 
+def test_texts_that_a_hub_rejects_are_linked_to_each_other(spark):
+    rng = np.random.default_rng(8)
+    common = [f"common{k}" for k in range(30)]
+    rows = []
+    for c in range(5):  # five classes that share a key and, between them, only the common words
+        base = common + [f"own{c}x{k}" for k in range(100)]
+        for _ in range(9):
+            at = int(rng.integers(40, 120))
+            rows.append((len(rows), " ".join([*base[:at], f"edit{len(rows)}", *base[at + 1 :]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = closure(len(rows), [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert len(set(want)) == 5
+    keys = spark.createDataFrame([(0, 7, i) for i, _ in rows], "slot int, key long, doc long")
+    for bucket in (4, 100):
+        links = [(r.a, r.b) for r in simhash.verified_links(keys, docs, width=5, similar=0.8, bucket=bucket).collect()]
+        assert closure(len(rows), links) == want
+
+
 def brute_windows(shingles, least, odd):
     """Compact windows by their definition, over one text."""
     mixed = (shingles ^ (shingles >> np.uint64(31))) * odd
