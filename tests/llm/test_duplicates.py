@@ -2,12 +2,13 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from countloom.llm import simhash
 from countloom.llm.components import components
-from countloom.llm.passages import compact_windows, remove_passages, repeated_passages, without_spans
+from countloom.llm.passages import compact_windows, multipliers, remove_passages, repeated_passages, shingle_hashes, without_spans
 
 
 def closure(n, links):
@@ -216,6 +217,39 @@ def test_passages_cover_all_repeats(docs, no_docs, texts):
     assert repeated_passages(no_docs).count() == 0
 
 
+def scattered_passages(groups=8, members=60):
+    """Documents with passages of 50 words between words of their own, each passage with the min-hash of five of the first
+    six functions at its begin; and where each passage begins."""
+    rng, shared, tried = np.random.default_rng(12), [], 0
+    while len(shared) < groups:
+        words, tried = [f"p{tried}w{i}" for i in range(50)], tried + 1
+        hashes = shingle_hashes(pa.array([" ".join(words)]), 5)[0]
+        mixed = hashes ^ (hashes >> np.uint64(31))
+        if sum(int(np.argmin((mixed * odd) >> np.uint64(32))) < 12 for odd in multipliers(6)) >= 5:
+            shared.append(words)
+    rows, places = [], {}
+    for doc in range(members):
+        words = []
+        for k in rng.permutation(groups):
+            words += [f"own{doc}x{len(words) + i}" for i in range(int(rng.integers(60, 90)))]
+            places[doc, int(k)] = len(words)
+            words += shared[k]
+        rows.append((doc, " ".join([*words, *(f"end{doc}x{i}" for i in range(60))])))
+    return rows, places
+
+
+def missed_passages(found, places):
+    covered = defaultdict(set)
+    for r in found:
+        covered[r.doc_id] |= set(range(r.first_word, r.last_word + 1))
+    return [(d, k) for (d, k), at in places.items() if d and not set(range(at, at + 50)) <= covered[d]]
+
+
+def test_short_passages_of_large_groups(spark):
+    rows, places = scattered_passages()
+    assert not missed_passages(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), places)
+
+
 def test_cutting(docs, texts):
     found = repeated_passages(docs)
     left = {r.doc_id: r.text for r in remove_passages(docs, found).select("doc_id", "text").where("doc_id >= 100").collect()}
