@@ -89,40 +89,40 @@ def sandwich(x: np.ndarray, residual: np.ndarray, bread: np.ndarray, missing: fl
     return bread @ (xs.T @ xs + missing * (~whole).sum()) @ bread
 
 
-def minimise(f: Callable[[float], float], start: float, lower: float = 0.0, tol: float = 1e-6, most: int = 1000) -> float:
-    """A one-dimensional simplex search above ``lower``: reflect, expand, contract or shrink the worse of two points."""
-    clamp = lambda v: max(lower, v)
-    a = clamp(start)
-    b = clamp(start + (0.75 * abs(start) if start else 0.75))
-    if a == b:
-        b = a + 1
-    fa, fb = f(a), f(b)
-    used = 2
-    while used < most:
-        if fb < fa:
-            a, b, fa, fb = b, a, fb, fa
-        if abs(fb - fa) <= tol * (abs(fb) + tol):
+GOLDEN = (5**0.5 - 1) / 2
+
+
+def minimise(f: Callable[[float], float], start: float, lower: float = 0.0, tol: float = 1e-6) -> float:
+    """Where f is least above ``lower``, near ``start``: an interval around a lower point is found by doubling steps, then
+    cut by the golden section until it is narrower than ``tol`` (of the place, beyond 1)."""
+    middle = max(lower, start)
+    width = max(abs(middle), 1.0) / 4
+    left, right = max(lower, middle - width), middle + width
+    best, at_left, at_right = f(middle), f(left), f(right)
+    while at_right < best:  # downhill to the right
+        left, middle, best, width = middle, right, at_right, 2 * width
+        right = middle + width
+        at_right = f(right)
+        if width > 1e12:
             break
-        r = clamp(2 * a - b)
-        fr = f(r)
-        used += 1
-        if fr < fa:
-            e = clamp(a + 2 * (a - b))
-            fe = f(e)
-            used += 1
-            b, fb = (e, fe) if fe < fr else (r, fr)
-        elif fr < fb:
-            b, fb = r, fr
+    while left > lower and at_left < best:  # downhill to the left
+        right, middle, best, width = middle, left, at_left, 2 * width
+        left = max(lower, middle - width)
+        at_left = f(left)
+    u, v = right - GOLDEN * (right - left), left + GOLDEN * (right - left)
+    at_u, at_v = f(u), f(v)
+    while right - left > tol * max(1.0, abs(middle)):
+        if at_u <= at_v:
+            right, v, at_v = v, u, at_u
+            u = right - GOLDEN * (right - left)
+            at_u = f(u)
         else:
-            c = clamp(a + 0.5 * (a - b))
-            fc = f(c)
-            used += 1
-            if fc >= fb:
-                c = clamp(b + 0.5 * (a - b))
-                fc = f(c)
-                used += 1
-            b, fb = c, fc
-    return a if fa <= fb else b
+            left, u, at_u = u, v, at_v
+            v = left + GOLDEN * (right - left)
+            at_v = f(v)
+        middle = (left + right) / 2
+    # A minimum at the bound itself is only ever approached.
+    return min((lower, middle), key=f) if left <= lower else middle
 
 
 @dataclass

@@ -19,7 +19,7 @@ def adjust(table: DataFrame, p: str, by: list[str], key: str, method: str, out:
     if method not in METHODS:
         raise ValueError(f"no such method: {method}")
     if method == "hommel":
-        return hommel(table, p, by, out)
+        return hommel(table, p, by, out, n)
     family = Window.partitionBy(*by, F.col(p).isNull())
     up = family.orderBy(F.col(p), F.col(key))
     so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -38,9 +38,12 @@ def adjust(table: DataFrame, p: str, by: list[str], key: str, method: str, out:
     return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.when(F.col("_n") <= 1, F.col(p)).otherwise(value))).drop("_n", "_i")
 
 
-def hommel_array(p: np.ndarray) -> np.ndarray:
-    """Hommel's closed procedure. With Simes' bound c_m(p) of every subset size m, the adjusted value is the greatest of
+def hommel_array(p: np.ndarray, family: float | None = None) -> np.ndarray:
+    """Hommel's closed procedure; a ``family`` larger than p is filled up with ones (whole ones). With Simes' bound c_m(p) of every subset size m, the adjusted value is the greatest of
     these bounds that any subset with the hypothesis attains."""
+    given = len(p)
+    if family is not None and family > given:
+        p = np.append(p, np.ones(int(family - given)))
     n = len(p)
     if n <= 1:
         return p.copy()
@@ -56,17 +59,20 @@ def hommel_array(p: np.ndarray) -> np.ndarray:
         best = np.maximum(best, own)
     out = np.empty(n)
     out[order] = np.minimum(1.0, np.maximum(best, s))
-    return out
+    return out[:given]
 
 
-def hommel(table: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
+def hommel(table: DataFrame, p: str, by: list[str], out: str, n: Column | None = None) -> DataFrame:
     """Quadratic in a family's size, so each family must fit a task."""
+    schema = table.withColumn(out, F.lit(0.0)).schema
 
     def run(pdf):
+        family = pdf.pop("_n").iloc[0]
         pdf[out] = np.nan
         seen = pdf[p].notna()
-        pdf.loc[seen, out] = hommel_array(pdf.loc[seen, p].to_numpy())
+        pdf.loc[seen, out] = hommel_array(pdf.loc[seen, p].to_numpy(), family if family > 0 else None)
         pdf[out] = pdf[out].astype(object).where(seen, None)
         return pdf
 
-    return table.groupBy(*by).applyInPandas(run, table.withColumn(out, F.lit(0.0)).schema)
+    sized = table.withColumn("_n", F.lit(0.0) if n is None else n.cast("double"))
+    return sized.groupBy(*by).applyInPandas(run, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MISSING = ("", "NA", "NaN")
+CORRUPT = "_whole_row"
 
 
 def number(cell: Column) -> Column:
@@ -17,40 +21,65 @@ def separator(path: str) -> str:
     return "," if path.removesuffix(".gz").endswith(".csv") else "\t"
 
 
+def first_rows(spark: SparkSession, path: str, n: int) -> list[list[str]]:
+    """The cells of a file's first lines; quotes may hold separators."""
+    lines = [r[0] for r in spark.read.text(path).take(n)]
+    return list(csv.reader(lines, delimiter=separator(path)))
+
+
+def body(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """All lines but a file's first, as text columns. A row of another width is an error."""
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*columns, CORRUPT])
+    rows = spark.read.csv(path, sep=separator(path), header=True, quote='"', escape='"', schema=schema, enforceSchema=True, columnNameOfCorruptRecord=CORRUPT)
+    # Every column is asked for, since a reader that skips columns doesn't see a row's width.
+    whole = F.concat_ws("", *(F.col(f"`{c.replace('`', '``')}`") for c in columns)) >= ""
+    if bad := rows.where(F.col(CORRUPT).isNotNull() & whole).select(CORRUPT).take(1):
+        raise ValueError(f"a row's width differs from the header's: {bad[0][0]!r}")
+    return rows.drop(CORRUPT)
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """A wide table whose header names the samples only, as long rows. Zero cells are dropped, missing cells kept.
+    """A wide table whose header names the samples, after an empty cell or without one, as long rows. Zero cells are
+    dropped, missing cells kept.
 
-    A taxon that occurs twice, or a row of another width than the header asks for, is an error.
+    A taxon or sample that occurs twice, or a row of another width than the header asks for, is an error.
     """
-    sep = separator(path)
-    lines = spark.read.text(path)
-    header = lines.first()
-    if header is None:
+    header = first_rows(spark, path, 1)
+    if not header:
         raise ValueError("an empty counts file")
-    names = [c.strip().strip('"') for c in header[0].split(sep)]
+    names = [c.strip() for c in header[0]]
     if names and names[0] == "":
         names = names[1:]
-    wide = spark.read.csv(path, sep=sep, header=False, quote='"', escape='"', schema=", ".join(["taxon string", *(f"c{k} string" for k in range(len(names))), "rest string"]), enforceSchema=True)
-    first = names[0] if names else None
-    body = wide.where(F.col("taxon").isNotNull() & ~((F.col("taxon") == F.lit(first)) if len(names) else F.lit(False)) & ~((F.col("taxon") == "") & (F.col("c0") == F.lit(first))))
-    bad = body.where(F.col("rest").isNotNull() | F.col(f"c{len(names) - 1}").isNull() & (F.size(F.array_compact(F.array(*(f"c{k}" for k in range(len(names)))))) == 0)).limit(1).count()
-    twice = body.groupBy("taxon").count().where("count > 1").limit(1).collect()
-    if twice or bad:
-        raise ValueError(f"taxon {twice[0].taxon} occurs twice" if twice else "a row's width differs from the header's")
-    cells = F.array(*(F.struct(F.lit(n).alias("sample"), number(F.col(f"c{k}")).alias("n")) for k, n in enumerate(names)))
-    long = body.select("taxon", F.explode(cells).alias("cell")).select("taxon", "cell.sample", "cell.n")
+    if len(set(names)) < len(names):
+        raise ValueError("a sample occurs twice")
+    places = [f"c{k}" for k in range(len(names))]
+    rows = body(spark, path, ["taxon", *places])
+    if twice := rows.groupBy("taxon").count().where("count > 1").take(1):
+        raise ValueError(f"taxon {twice[0].taxon} occurs twice")
+    cells = F.array(*(F.struct(F.lit(n).alias("sample"), number(F.col(c)).alias("n")) for c, n in zip(places, names, strict=True)))
+    long = rows.select("taxon", F.explode(cells).alias("cell")).select("taxon", "cell.sample", "cell.n")
     return long.where("n IS NULL OR n <> 0")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """A table of covariates, all text, whose header may lack the sample column's name."""
-    sep = separator(path)
-    header = spark.read.text(path).first()[0].split(sep)
-    rows = spark.read.csv(path, sep=sep, header=False, quote='"', escape='"')
-    names = ["sample", *header] if len(rows.columns) == len(header) + 1 else ["sample", *header[1:]]
-    names = [n.strip().strip('"') for n in names]
-    named = rows.toDF(*names)
-    return named.where(F.col(names[1]) != F.lit(names[1])) if len(names) > 1 else named
+    top = first_rows(spark, path, 2)
+    if not top:
+        raise ValueError("an empty metadata file")
+    names = [c.strip() for c in top[0]]
+    lacks = len(top) > 1 and len(top[1]) == len(names) + 1
+    return body(spark, path, ["sample", *(names if lacks else names[1:])])
+
+
+def typed(table: DataFrame, keep: tuple[str, ...] = ("sample",)) -> DataFrame:
+    """Text columns whose cells are all numbers or missing (and some a number) as doubles; missing cells as null."""
+    own = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keep]
+    if not own:
+        return table
+    some = {c: ~F.coalesce(F.trim(F.col(c)).isin(*MISSING), F.lit(True)) for c in own}
+    sums = table.agg(*(F.count_if(some[c]).alias(f"n{k}") for k, c in enumerate(own)), *(F.count_if(some[c] & number(F.col(c)).isNull()).alias(f"t{k}") for k, c in enumerate(own))).first()
+    numeric = [c for k, c in enumerate(own) if sums[f"n{k}"] and not sums[f"t{k}"]]
+    return table.withColumns({c: number(F.col(c)) if c in numeric else F.when(some[c], F.col(c)) for c in own})
 
 
 def from_events(rows: DataFrame, taxon: Column, sample: Column, value: Column | None = None) -> DataFrame:
@@ -73,6 +102,18 @@ def densify(counts: DataFrame, samples: DataFrame) -> DataFrame:
     return grid.join(counts, ["taxon", "sample"], "left").select("taxon", "sample", F.when(F.col("n").isNull() & ~F.coalesce(F.col("seen"), F.lit(False)), 0.0).otherwise(F.col("n")).alias("n")) if "seen" in counts.columns else grid.join(counts.withColumn("seen", F.lit(True)), ["taxon", "sample"], "left").select("taxon", "sample", F.when(F.col("seen").isNull(), 0.0).otherwise(F.col("n")).alias("n"))
 
 
+def printed(c: Column) -> Column:
+    """A number as text: at most 15 digits, whole ones bare, missing ones and not-a-number NA, infinite ones Inf or -Inf."""
+    exact = F.format_string("%.14e", c).cast("double")
+    whole = (F.floor(exact) == exact) & (F.abs(exact) < 1e15)
+    text = F.when(whole, exact.cast("bigint").cast("string")).otherwise(exact.cast("string"))
+    inf = F.lit(float("inf"))
+    return F.when(c.isNull() | F.isnan(c), "NA").when(c == inf, "Inf").when(c == -inf, "-Inf").otherwise(text)
+
+
 def write_table(table: DataFrame, path: str) -> None:
-    """A result as tab-separated text with a header; missing values as NA."""
-    table.write.csv(path, sep="\t", header=True, nullValue="NA", mode="overwrite")
+    """A result, by its first column, as tab-separated text with a header; missing values as NA."""
+    numbers = {f.name for f in table.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    flags = {f.name for f in table.schema if isinstance(f.dataType, T.BooleanType)}
+    named = [(printed(F.col(c).cast("double")) if c in numbers else F.upper(F.col(c).cast("string")) if c in flags else F.col(c).cast("string")).alias(c) for c in table.columns]
+    table.sort(table.columns[0]).select(*named).write.csv(path, sep="\t", header=True, nullValue="NA", mode="overwrite")

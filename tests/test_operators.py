@@ -2,6 +2,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from countloom.functions import dist
 from countloom.functions.kernels import bias_mixture, fit_taxon, least_squares, minimise, sandwich
@@ -10,7 +11,7 @@ from countloom.operators import screens, transforms
 from countloom.plans import queries as plans
 from countloom.plans.analysis import Config, analyze
 from countloom.plans.formula import check_identifiable, design, parse
-from countloom.sources.counts import densify, read_counts, read_metadata, write_table
+from countloom.sources.counts import densify, read_counts, read_metadata, typed, write_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,10 +54,23 @@ def test_tables_are_read_and_written(spark, tmp_path):
     (tmp_path / "twice.csv").write_text(",s1\nt1,4\nt1,5\n")
     with pytest.raises(ValueError, match="twice"):
         read_counts(spark, f"{tmp_path}/twice.csv")
+    (tmp_path / "named.csv").write_text('"a,b",s2\na,1,2\nb,3,0\n')  # a taxon with another's sample's name; a quoted separator
+    (tmp_path / "like.csv").write_text("a,s2\na,1,2\nb,3,0\n")
+    assert {(r.taxon, r.sample): r.n for r in read_counts(spark, f"{tmp_path}/like.csv").collect()} == {("a", "a"): 1.0, ("a", "s2"): 2.0, ("b", "a"): 3.0}
+    assert {r.sample for r in read_counts(spark, f"{tmp_path}/named.csv").collect()} == {"a,b", "s2"}
+    for k, bad in enumerate(("s1,s2\nt1,4\n", "s1,s2\nt1,4,5,6\n")):
+        (tmp_path / f"bad{k}.csv").write_text(bad)
+        with pytest.raises(ValueError, match="width"):
+            read_counts(spark, f"{tmp_path}/bad{k}.csv")
     (tmp_path / "m.tsv").write_text("group\tage\ns1\tg1\t3\ns2\tg2\tNA\n")
     assert {r.sample: (r.group, r.age) for r in read_metadata(spark, f"{tmp_path}/m.tsv").collect()} == {"s1": ("g1", "3"), "s2": ("g2", "NA")}
+    assert {r.sample: (r.group, r.age) for r in typed(read_metadata(spark, f"{tmp_path}/m.tsv")).collect()} == {"s1": ("g1", 3.0), "s2": ("g2", None)}
     write_table(spark.createDataFrame([("a", None)], "taxon string, p double"), f"{tmp_path}/out")
     assert "NA" in spark.read.text(f"{tmp_path}/out").collect()[-1][0]
+    odd = [("a", float("nan")), ("b", float("inf")), ("c", float("-inf")), ("d", 12.0), ("e", 0.1 + 0.2), ("f", -3.0e-5)]
+    write_table(spark.createDataFrame(odd, "taxon string, p double").coalesce(1), f"{tmp_path}/odd")
+    lines = [r[0] for r in spark.read.text(f"{tmp_path}/odd").collect()]
+    assert [x.split("\t")[1] for x in lines if not x.startswith("taxon")] == ["NA", "Inf", "-Inf", "12", "0.3", "-3.0E-5"]
 
 
 P = [0.01, 0.02, 0.03, 0.04, 0.05, 0.011, 0.6]
@@ -82,6 +96,15 @@ def test_hommel_lies_between_hochberg_and_the_values():
         hochberg[order] = np.minimum(1, np.minimum.accumulate(((len(p) - np.arange(len(p))) * p[order])[::-1])[::-1])
         assert (q >= p - 1e-15).all() and (q <= hochberg + 1e-12).all()
     assert np.allclose(hommel_array(np.array([0.01, 0.02])), [0.02, 0.02])
+    for family in (2.0, 5.0, 7.9):
+        assert np.allclose(hommel_array(np.array([0.01, 0.02]), family), hommel_array(np.array([0.01, 0.02] + [1.0] * (int(family) - 2)))[:2])
+
+
+def test_hommel_takes_the_size_of_the_family(spark):
+    rows = spark.createDataFrame([("x", 1, 0.01), ("x", 2, 0.02), ("x", 3, None)], "f string, k int, p double")
+    got = {r.k: r.q for r in adjust(rows, "p", ["f"], "k", "hommel", n=F.lit(6.5)).collect()}
+    want = hommel_array(np.array([0.01, 0.02, 1, 1, 1, 1]))
+    assert np.allclose([got[1], got[2]], want[:2]) and got[3] is None
 
 
 def test_tails():
@@ -110,6 +133,18 @@ def test_fits():
     assert abs(minimise(lambda v: (v - 2) ** 2, 0.5) - 2) < 1e-2
 
 
+def test_least_points_match_a_grid():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        at, start = rng.exponential(3) * (rng.random() < 0.8), rng.exponential(3)
+        assert abs(minimise(lambda v: (v - at) ** 2 * (1 + 0.1 * np.cos(v - at)), start) - at) < 1e-4
+    v, e = rng.uniform(0.01, 0.5, 300), rng.normal(0, 1.3, 300)
+    loss = lambda k: float((np.log(v + k) + e**2 / (v + k)).sum())
+    grid = np.linspace(0, 20, 20001)
+    assert abs(minimise(loss, 0.1) - grid[np.argmin([loss(k) for k in grid])]) < 2e-3
+    assert minimise(lambda v: v + 1, 5.0) == 0 and abs(minimise(lambda v: abs(v - 1e6), 0.0) - 1e6) < 2
+
+
 def test_bias_is_found():
     rng = np.random.default_rng(3)
     nu = rng.uniform(0.01, 0.03, 400)
