@@ -64,14 +64,13 @@ def hommel_array(p: np.ndarray, family: float | None = None) -> np.ndarray:
 
 def hommel(table: DataFrame, p: str, by: list[str], out: str, n: Column | None = None) -> DataFrame:
     """Quadratic in a family's size, so each family must fit a task."""
-    schema = table.withColumn(out, F.lit(0.0)).schema
+    schema = table.withColumn(out, F.lit(None).cast("double")).schema
 
     def run(pdf):
         family = pdf.pop("_n").iloc[0]
         pdf[out] = np.nan
         seen = pdf[p].notna()
         pdf.loc[seen, out] = hommel_array(pdf.loc[seen, p].to_numpy(), family if family > 0 else None)
-        pdf[out] = pdf[out].astype(object).where(seen, None)
         return pdf
 
     sized = table.withColumn("_n", F.lit(0.0) if n is None else n.cast("double"))
