@@ -92,7 +92,7 @@ def sandwich(x: np.ndarray, residual: np.ndarray, bread: np.ndarray, missing: fl
 GOLDEN = (5**0.5 - 1) / 2
 
 
-def minimise(f: Callable[[float], float], start: float, lower: float = 0.0, tol: float = 1e-6) -> float:
+def minimise(f: Callable[[float], float], start: float, lower: float = 0.0, tol: float = 1e-8) -> float:
     """Where f is least above ``lower``, near ``start``: an interval around a lower point is found by doubling steps, then
     cut by the golden section until it is narrower than ``tol`` (of the place, beyond 1)."""
     middle = max(lower, start)
