@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), one made here."""
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set in the context. Where both are
+    unset, a local session (tests) gets one; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="countloom-")
         spark.sparkContext.setCheckpointDir(root)
@@ -42,6 +46,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does once the driver has let go of their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, fill: bool = True) -> DataFrame:
     """Two columns, ``doc_id`` and ``text``, whatever else the table has; a null text is empty if ``fill``."""
     text = F.col(text_col).cast("string")

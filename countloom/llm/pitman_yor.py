@@ -1,22 +1,30 @@
 """A hierarchical Pitman-Yor language model, its seating sampled by Gibbs, and scores of documents under it.
 
-Each context is a restaurant whose customers are the tokens that follow it; a new table's dish is drawn from its
-parent, the unigram restaurant, which all contexts share and where each table counts as one customer; the root is
-uniform over the vocabulary and one unknown word. A context is the spelling class of the word before (a hash of its
-first bytes, or the document's start), so there are ``CLASSES`` restaurants however large the corpus is, each seating
-any number of customers. Gibbs sampling redraws every dish's tables customer by customer, given all restaurants' totals
-of the sweep before; these totals, CLASSES numbers, are all that meets on the driver. Predictive probabilities are
-averaged over the samples after burn-in.
-
-Counting and scoring move no texts: a task turns a run of documents into a chunk, its tokens coded as numbers of
-distinct (word, context) pairs, and one row for each distinct word. Word rows meet by word, where counts are summed.
-The seating is a table of blocks of words, rewritten by each sweep. For scores, word rows fetch the model's numbers by
-word and take them back to their chunk.
+Each word is a context: a restaurant whose customers are the words that follow it in training documents (a document's
+first word follows its neighbour's end). A new table's dish comes from the parent that all contexts share, the unigram
+restaurant, where each table is one customer; its base is uniform over the vocabulary and one unknown word. Contexts,
+words and cells (a word after a context) are as many as the corpus has.
+
+A sweep draws, each given all else: for every context u a gamma variable g(u) of shape strength / discount + tables(u),
+given which its dishes are independent; the shared weights P of the unigram restaurant, gamma variables by word; every
+cell's number of tables m, from S(c, m) (discount g(u) P(w))**m, S being generalised Stirling numbers; and every word's
+tables in the unigram restaurant in the same way. So all cells are drawn at once without approximating by old totals,
+but for one thing: what the unigram restaurant takes from its base is spread evenly over words, not drawn. Predictive
+probabilities are averaged over the samples after burn-in. Discounts are set from the counts of counts.
+
+Nothing of the size of the vocabulary meets in one place. Words and contexts are dealt into parts by hash: a cell lives
+in its word's part, a context's totals in the context's. Cells of one customer have one table for ever, so in a sweep
+only cells of two or more travel: two small shuffles, of masses to the words' parts and of tables to the contexts'.
+A task turns a run of documents into a chunk: its cells go to their parts once, its tokens wait in a table, and scores
+of cells come back to it at the end. A word is known by a 64-bit hash. A part holds a word's cells whole, one for each
+different context it has.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,19 +33,61 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import binary_array, dropped, flat_binary, parts, stored, written
+from countloom.llm.common import dropped, parts, reclaim, shared_dir
+from countloom.llm.stirling import draw_tables
 from countloom.llm.wordbpe import slices, split_words
 
-CLASSES = 256
-END = "\n"  # the end of a document, which no word can be
+END = np.uint64(xxhash.xxh64_intdigest("\n"))  # the end of a document, which no word can be
+
+# ---------------------------------------------------------------- rows: arrays as bytes
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays (whole numbers from 0, or floats) in as few bytes as their greatest value needs, by byte planes."""
+    heads, planes = [struct.pack("<H", len(arrays))], []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        if a.dtype.kind == "f":
+            a = a.astype("<f4")
+            code = 14
+        else:
+            top = int(a.max()) if len(a) else 0
+            code = next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k)
+            a = a.astype(f"<u{code}")
+        heads.append(struct.pack("<BQ", code, len(a)))
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return b"".join(heads) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    (n,) = struct.unpack_from("<H", blob)
+    heads = [struct.unpack_from("<BQ", blob, 2 + 9 * k) for k in range(n)]
+    body, at, out = zstandard.ZstdDecompressor().decompress(memoryview(blob)[2 + 9 * n :], max_output_size=max(1, sum(k % 10 * m for k, m in heads))), 0, []
+    for code, m in heads:
+        width = code % 10
+        flat = np.ascontiguousarray(np.frombuffer(body, np.uint8, width * m, at).reshape(width, m).T).reshape(-1)
+        out.append(flat.view("<f4" if code == 14 else f"<u{width}"))
+        at += width * m
+    return out
+
+
+#: kind of row, the part (as its bucket) or chunk it is for, the part or chunk it is from, and its arrays.
+ROW = "kind string, bucket int, peer long, blob binary"
+NAMES, TYPES = ["kind", "bucket", "peer", "blob"], [pa.string(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(NAMES, TYPES, strict=True))})
 
 
-def spelling_class(word: str) -> int:
-    """1 to CLASSES - 1; 0 is the start of a document."""
-    return 1 + xxhash.xxh32_intdigest(word.encode()[:2]) % (CLASSES - 1)
+def buckets(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n parts such that a shuffle into n partitions by it gives each its own."""
+    ids = spark.range(4 * n * max(4, n.bit_length())).select(F.col("id").cast("int").alias("b"))
+    first = ids.groupBy(F.pmod(F.hash("b"), F.lit(n)).alias("k")).agg(F.min("b").alias("b")).collect()  # n rows
+    return np.array([r.b for r in sorted(first, key=lambda r: r.k)], np.int32)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -45,417 +95,434 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def coded(batch: pa.RecordBatch):
-    """A run of texts as tokens: END and the words; each document's end; the distinct (word, context) pairs, sorted, as
-    word * CLASSES + class; and each token's pair. Only 4 MB of text at a time are held as 64-bit numbers."""
-    known, kinds, classes = {END: 0}, bytearray(1), {}  # the end's class stands before each start
-    runs, ends, total = [], [], 0
+# ---------------------------------------------------------------- counting
+
+
+def tokens_of(batch: pa.RecordBatch, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes by part, each token as a word's place there (words of a text, then its end), and texts' sizes."""
+    runs, sizes = [], []
     for own in slices(batch, "text", 4 << 20):
         words, offsets = split_words(own.column("text"), lower=True)
         local = words.dictionary_encode()
-        place = np.empty(len(local.dictionary), np.int64)
-        for k, w in enumerate(local.dictionary.to_pylist()):
-            number = known.get(w)
-            if number is None:
-                number = known[w] = len(known)
-                if w[:2] not in classes:
-                    classes[w[:2]] = spelling_class(w)
-                kinds.append(classes[w[:2]])
-            place[k] = number
+        spelled = local.dictionary.to_pylist()
         size = np.diff(offsets) + 1
-        end = np.cumsum(size)
-        token = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
+        token = np.full(int(size.sum()), len(spelled), np.int32)
         inner = np.ones(len(token), bool)
-        inner[end - 1] = False
-        token[inner] = place[local.indices.to_numpy(zero_copy_only=False)] if len(place) else 0
-        kind = np.frombuffer(bytes(kinds), np.uint8)
-        before = np.append(np.uint8(0), kind[token[:-1]])
-        token *= CLASSES
-        token += before
-        pairs = pa.array(token).dictionary_encode()
-        runs.append((pairs.dictionary.to_numpy(), pairs.indices.to_numpy()))
-        ends.append(end + total)
-        total += len(token)
-    distinct = np.unique(np.concatenate([d for d, _ in runs]))
-    index = np.empty(total, np.int32)
-    at = 0
-    for d, i in runs:
-        index[at : at + len(i)] = np.searchsorted(distinct, d).astype(np.int32)[i]
-        at += len(i)
-    return list(known), np.concatenate(ends), distinct, index
-
-
-def training_rows(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """word, classes (bytes), counts (32-bit: a run has fewer tokens than that): of each run of training documents."""
+        inner[np.cumsum(size) - 1] = False
+        token[inner] = local.indices.to_numpy(zero_copy_only=False)
+        runs.append((np.append(np.fromiter((xxhash.xxh64_intdigest(w) for w in spelled), np.uint64, len(spelled)), END), token))
+        sizes.append(size)
+    keys = np.unique(np.concatenate([k for k, _ in runs]))
+    order = np.lexsort((keys, keys % np.uint64(n_parts)))
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.arange(len(keys), dtype=np.int32)
+    tokens = np.concatenate([place[np.searchsorted(keys, k)][t] for k, t in runs])
+    return keys[order], tokens, np.concatenate(sizes)
 
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch, "text", chunk_bytes):
-                spelled, _, pair, index = coded(piece)
-                size = np.bincount(pair // CLASSES, minlength=len(spelled))
-                count = np.bincount(index, minlength=len(pair))
-                begin = np.concatenate([[0], np.cumsum(size)])
-                for at in range(0, len(spelled), 50_000):
-                    own = slice(begin[at], begin[min(at + 50_000, len(spelled))])
-                    sizes = size[at : at + 50_000]
-                    cols = [pa.array(spelled[at : at + 50_000], pa.string()), binary_array((pair[own] % CLASSES).astype(np.uint8), sizes), binary_array(count[own].astype("<u4"), sizes * 4)]
-                    yield pa.RecordBatch.from_arrays(cols, ["word", "classes", "counts"])
 
-    return docs.mapInArrow(run, "word string, classes binary, counts binary")
+def before(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Each token's context: the token before; the end before the first."""
+    return np.append(np.int32(np.flatnonzero(keys == END)[0]), tokens[:-1])
 
 
-def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Word rows (key: the word; chunk, slot, context classes) and chunk rows (key: the chunk; blob)."""
-    names, types = ["key", "chunk", "slot", "blob"], [pa.string(), pa.string(), pa.int32(), pa.binary()]
+def chunked(docs: DataFrame, bucket: np.ndarray, chunk_bytes: int) -> DataFrame:
+    """Rows "cells" (a chunk's words, contexts, cells and their training counts in one part) and "tokens" (a chunk's documents)."""
+    n_parts = len(bucket)
 
     def run(batches):
-        part, made = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in slices(batch, "text", chunk_bytes):
-                chunk, made = f"\n\n{part}:{made}", made + 1
-                spelled, ends, pair, index = coded(piece)
-                n = len(piece)
-                ids, null = pc.fill_null(piece.column("doc_id"), 0).to_numpy().astype("<i8"), piece.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                keys, tokens, size = tokens_of(piece, n_parts)
                 held = piece.column("held_out").to_numpy(zero_copy_only=False)
-                classes, size = (pair % CLASSES).astype(np.uint8), np.bincount(pair // CLASSES, minlength=len(spelled))
-                order = np.argsort(-np.bincount(index, minlength=len(pair)), kind="stable")  # frequent pairs get small numbers
-                rank = np.empty(len(order), np.uint32)
-                rank[order] = np.arange(len(order), dtype=np.uint32)
-                squeeze = zstandard.ZstdCompressor(level=1).compressobj()
-                packed = [squeeze.compress(x) for x in (ids.tobytes(), null.tobytes(), held.tobytes(), ends.astype("<i8").tobytes(), order.astype("<u4").tobytes())]
-                for k in range(4):  # a byte plane of the tokens' pairs at a time
-                    plane = (rank >> np.uint32(8 * k)).astype(np.uint8)
-                    packed.append(squeeze.compress(plane[index].tobytes()))
-                blob = struct.pack("<QQQQ", n, len(index), len(pair), len(spelled)) + b"".join(packed) + squeeze.flush()
-                del packed, index, rank, plane, squeeze
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], types[0]), pa.nulls(1, types[1]), pa.nulls(1, types[2]), pa.array([blob], types[3])], names)
-                begin = np.concatenate([[0], np.cumsum(size)])
-                for at in range(0, len(spelled), 50_000):
-                    own = spelled[at : at + 50_000]
-                    lists = binary_array(classes[begin[at] : begin[at + len(own)]], size[at : at + len(own)])
-                    yield pa.RecordBatch.from_arrays([pa.array(own, types[0]), pa.array([chunk] * len(own), types[1]), pa.array(np.arange(at, at + len(own), dtype=np.int32)), lists], names)
-
-    return docs.mapInArrow(run, "key string, chunk string, slot int, blob binary")
-
-
-# ---------------------------------------------------------------- the seating
-#
-# A row is a block of words: words, and body with the number of each word's cells, the cells (class, customers, tables,
-# tables summed over samples) and the roots (a word's unigram customers and tables: now, then of each sample), all 64-bit
-# integers, compressed. A row with null words has its task's totals instead.
-
-TABLE = "words array<string>, body binary"
-
-
-@dataclass
-class Totals:
-    """Of all restaurants: customers and tables by class, those of the root, and the counts that set the discounts."""
-
-    customers: np.ndarray
-    tables: np.ndarray
-    root_customers: int = 0
-    root_tables: int = 0
-    types: int = 0
-    once: int = 0
-    twice: int = 0
-    words_once: int = 0
-    words_twice: int = 0
-
-    @classmethod
-    def zero(cls) -> Totals:
-        return cls(np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64))
-
-    def add(self, of_class, customers, tables, root, total) -> None:
-        self.customers += np.bincount(of_class, customers, CLASSES).astype(np.int64)
-        self.tables += np.bincount(of_class, tables, CLASSES).astype(np.int64)
-        self.root_customers += int(root[:, 0].sum())
-        self.root_tables += int(root[:, 1].sum())
-        self.types += int((total > 0).sum())
-        self.once += int((customers == 1).sum())
-        self.twice += int((customers == 2).sum())
-        self.words_once += int((total == 1).sum())
-        self.words_twice += int((total == 2).sum())
-
-    def pack(self) -> bytes:
-        rest = [self.root_customers, self.root_tables, self.types, self.once, self.twice, self.words_once, self.words_twice]
-        return np.concatenate([self.customers, self.tables, rest]).astype("<i8").tobytes()
-
-    @classmethod
-    def merge(cls, blobs: list[bytes]) -> Totals:
-        x = sum((np.frombuffer(b, "<i8") for b in blobs), np.zeros(2 * CLASSES + 7, np.int64))
-        return cls(x[:CLASSES].copy(), x[CLASSES : 2 * CLASSES].copy(), *map(int, x[2 * CLASSES :]))
-
-    @property
-    def tokens(self) -> int:
-        return int(self.customers.sum())
-
-    @property
-    def discount(self) -> float:
-        return float(np.clip(self.once / max(1, self.once + 2 * self.twice), 0.05, 0.95))
-
-    @property
-    def root_discount(self) -> float:
-        return float(np.clip(self.words_once / max(1, self.words_once + 2 * self.words_twice), 0.05, 0.95))
-
-
-def root_chance(customers, tables, totals: Totals, strength: float, vocabulary: int):
-    d = totals.root_discount
-    return (np.maximum(customers - d * tables, 0) + (strength + d * totals.root_tables) / (vocabulary + 1)) / (strength + totals.root_customers)
-
-
-def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after seating its customers one after the other.
-
-    A customer opens a table with weight ``pull`` (the restaurant's new-table mass times the dish's parent probability)
-    against n - discount * tables. Past 256 customers they come in groups of a 64th of those seated, within which the
-    weights stand still.
-    """
-    order = np.argsort(-customers, kind="stable")
-    c, a = customers[order], pull[order]
-    t = np.minimum(c, 1).astype(np.float64)
-    n = 1
-    rising = -c
-    while len(c) and c[0] > n:
-        live = int(np.searchsorted(rising, -n, "left"))
-        step = 1 if n < 256 else n // 64
-        p = a[:live] / (a[:live] + n - discount * t[:live])
-        t[:live] += rng.random(live) < p if step == 1 else rng.binomial(np.minimum(step, c[:live] - n), p)
-        n += step
-    out = np.empty(len(c), np.int64)
-    out[order] = t
-    return out
-
-
-def pack_block(words: pa.Array, size: np.ndarray, cells: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-    head = struct.pack("<QQQ", len(size), len(cells), root.shape[1] if root.ndim == 2 else 2)
-    body = head + zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<i8").T.tobytes() for x in (size, cells, root)))
-    held = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-    return pa.RecordBatch.from_arrays([held, pa.array([body], pa.binary())], ["words", "body"])
-
-
-def open_block(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m, wide = struct.unpack_from("<QQQ", body)
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[24:]), "<i8")
-    return flat[:n], flat[n : n + 4 * m].reshape(4, m).T.copy(), flat[n + 4 * m :].reshape(wide, n).T.copy()
-
-
-def totals_row(totals: Totals) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(pa.string())), pa.array([totals.pack()], pa.binary())], ["words", "body"])
-
-
-def counted(rows: DataFrame) -> DataFrame:
-    """The seating with all counts, each dish at one table; ``rows`` as of training_rows, sorted by word in their partitions."""
-
-    def run(batches):
-        totals, held = Totals.zero(), None
-
-        def summed(table: pa.Table):
-            """The distinct words of sorted rows, each one's number of cells, and the cells' class and count."""
-            word, classes, counts = (table.column(c).combine_chunks() for c in ("word", "classes", "counts"))
-            start = np.append(True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False))
-            (kind, places), (raw, _) = flat_binary(classes), flat_binary(counts)
-            group = np.repeat(np.cumsum(start) - 1, np.diff(places))
-            pair, inverse = np.unique(group * CLASSES + kind, return_inverse=True)
-            count = np.zeros(len(pair), np.int64)
-            np.add.at(count, inverse, raw.view("<u4"))
-            return word.filter(pa.array(start)), np.bincount(pair // CLASSES, minlength=int(start.sum())), pair % CLASSES, count
-
-        def finish(table: pa.Table):
-            word, size, kind, count = summed(table)
-            total = np.add.reduceat(count, np.concatenate([[0], np.cumsum(size)[:-1]]))
-            tables = np.ones(len(count), np.int64)
-            root = np.stack([size, np.ones(len(size), np.int64)], axis=1)
-            totals.add(kind, count, tables, root, total)
-            return word, size, np.stack([kind, count, tables, np.zeros(len(count), np.int64)], axis=1), root
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
-            word = table.column("word").combine_chunks()
-            cut = len(word) - int(pc.sum(pc.equal(word, word[-1])).as_py())
-            held = table.slice(cut)
-            if cut:
-                yield pack_block(*finish(table.slice(0, cut).combine_chunks()))
-            elif len(held) > 50_000:  # one word in very many chunks: its counts are summed as they come
-                own, _, kind, count = summed(held.combine_chunks())
+                pair = tokens.astype(np.int64) * len(keys)
+                pair += before(tokens, keys)
+                pair *= 2
+                pair += np.repeat(held, size)
+                pair.sort()
+                cell = pair >> 1
+                start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                count = np.add.reduceat(1 - (pair & 1), start)
+                cell = cell[start]
+                word, context = cell // len(keys), cell % len(keys)
+                del pair, cell, start
+                w = np.searchsorted(keys % np.uint64(n_parts), np.arange(n_parts + 1, dtype=np.uint64))
+                c = np.searchsorted(word, w)
                 rows = []
-                while count.any():  # a sum beyond 32 bits goes into more rows
-                    part = np.minimum(count, (1 << 32) - 1)
-                    rows.append((part[part > 0].astype("<u4").tobytes(), kind[part > 0].astype(np.uint8).tobytes()))
-                    count = count - part
-                held = pa.table({"word": pa.array([own[0].as_py()] * len(rows)), "classes": pa.array([k for _, k in rows], pa.binary()), "counts": pa.array([c for c, _ in rows], pa.binary())})
-        if held is not None and len(held):
-            yield pack_block(*finish(held.combine_chunks()))
-        yield totals_row(totals)
-
-    return rows.mapInArrow(run, TABLE)
-
-
-def sweep(table: DataFrame, totals: Totals, number: int, keep: bool, strength: float) -> DataFrame:
-    """One Gibbs sweep; with ``keep`` its seating is a sample."""
-    vocabulary = totals.types
-    room = strength + totals.discount * totals.tables
-    pull_root = (strength + totals.root_discount * totals.root_tables) / (vocabulary + 1)
-
-    def run(batches):
-        rng, new = np.random.default_rng([11, number, TaskContext.get().partitionId()]), Totals.zero()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                size, cells, root = open_block(batch.column("body")[k].as_py())
-                row = np.repeat(np.arange(len(size)), size)
-                parent = root_chance(root[:, 0], root[:, 1], totals, strength, vocabulary)
-                cells[:, 2] = seat(cells[:, 1], room[cells[:, 0]] * parent[row], totals.discount, rng)
-                customers = np.bincount(row, cells[:, 2], len(size)).astype(np.int64)
-                now = np.stack([customers, seat(customers, np.full(len(size), pull_root), totals.root_discount, rng)], axis=1)
-                if keep:
-                    cells[:, 3] += cells[:, 2]
-                new.add(cells[:, 0], cells[:, 1], cells[:, 2], now, np.bincount(row, cells[:, 1], len(size)).astype(np.int64))
-                yield pack_block(batch.column("words")[k].values, size, cells, np.concatenate([now, root[:, 2:], *([now] if keep else [])], axis=1))
-        yield totals_row(new)
-
-    return table.where("words IS NOT NULL").mapInArrow(run, TABLE)
-
-
-def totals_of(table: DataFrame) -> Totals:
-    """From the rows of totals: one for each task."""
-    return Totals.merge([bytes(r.body) for r in table.where("words IS NULL").select("body").collect()])
-
-
-@dataclass
-class Model:
-    """The last seating's table, and the totals of each sample."""
-
-    table: DataFrame
-    samples: list[Totals]
+                for p in range(n_parts):
+                    if c[p] < c[p + 1]:
+                        own = slice(c[p], c[p + 1])
+                        seen, at = np.unique(context[own], return_inverse=True)
+                        rows.append(("cells", int(bucket[p]), number, pack(keys[w[p] : w[p + 1]], np.bincount(word[own] - w[p]), keys[seen], at, count[own])))
+                order = np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")  # frequent words get small numbers
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                ids = pc.fill_null(piece.column("doc_id"), 0).to_numpy().astype(np.int64)
+                null = piece.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(keys == END)
+                rows.append(("tokens", 0, number, pack(ids.view(np.uint64), null, held, size, first, order, rank[tokens])))
+                number += 1
+                yield from rows_of(rows).to_batches()
+
+    return docs.mapInArrow(run, ROW)
+
+
+def grouped(tables: list[DataFrame], n_parts: int, each: Callable[[int, dict[str, list]], list[tuple]]) -> DataFrame:
+    """``each`` over the rows of one bucket: its bucket, and by kind the (peer, arrays) in order of peer."""
+
+    def run(key, table):
+        found: dict[str, list] = {}
+        for kind, peer, blob in sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "peer", "blob")), strict=True)):
+            found.setdefault(kind, []).append((peer, unpack(blob)))
+        return rows_of(each(key[0].as_py(), found))
+
+    together = tables[0]
+    for t in tables[1:]:
+        together = together.unionByName(t)
+    return together.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(run, ROW)
+
+
+def kept(df: DataFrame, name: str) -> str:
+    """Rows as a table with a folder for each kind; its path."""
+    path = f"{shared_dir(df.sparkSession)}/countloom/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy("kind").parquet(path)
+    return path
+
+
+def rows(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    return spark.read.schema(ROW).parquet(path).where(F.col("kind").isin(*kinds)).select(*NAMES)
+
+
+def sums(spark: SparkSession, path: str) -> np.ndarray:
+    """The sum of all parts' rows "sums": a few numbers a part."""
+    found = [unpack(bytes(r.blob)) for r in rows(spark, path, "sums").collect()]
+    return np.sum([[float(x) for a in arrays for x in a] for arrays in found], axis=0) if found else np.zeros(8)
+
+
+def gathered(bucket: np.ndarray) -> Callable:
+    """Of a part's rows "cells": "full" (its words, their cells and counts), "maps" (where each chunk's cells are), "live" (the
+    cells of two or more customers, one table each yet), "join" (to each context's part) and "sums"."""
+    n_parts = np.uint64(len(bucket))
+    part_of = {int(b): k for k, b in enumerate(bucket)}
+
+    def each(own: int, found: dict[str, list]) -> list[tuple]:
+        chunks = found["cells"]
+        words = np.unique(np.concatenate([a[0] for _, a in chunks]))
+        contexts = np.unique(np.concatenate([a[2] for _, a in chunks]))
+        order = np.lexsort((contexts, contexts % n_parts))
+        place = np.empty(len(contexts), np.int64)
+        place[order] = np.arange(len(contexts))
+        keys = []
+        for _, (w, size, u, at, _) in chunks:
+            keys.append(np.repeat(np.searchsorted(words, w), size) * len(contexts) + place[np.searchsorted(contexts, u)][at])
+        contexts = contexts[order]
+        cells = np.unique(np.concatenate(keys))
+        count = np.zeros(len(cells), np.int64)
+        out = []
+        for (chunk, a), key in zip(chunks, keys, strict=True):
+            index = np.searchsorted(cells, key)
+            np.add.at(count, index, a[4].astype(np.int64))
+            out.append(("maps", own, chunk, pack(np.diff(index, prepend=0))))
+        word, context = cells // len(contexts), cells % len(contexts)
+        size = np.bincount(word, minlength=len(words))
+        live, one = count >= 2, count == 1
+        total = np.bincount(word, count, len(words)).astype(np.int64)
+        started = np.zeros(len(contexts), bool)
+        started[context[live]] = True
+        q = np.searchsorted(contexts % n_parts, np.arange(len(bucket) + 1, dtype=np.uint64))
+        customers = np.bincount(context, count, len(contexts)).astype(np.int64)
+        fixed, moving = np.bincount(context[one], minlength=len(contexts)), np.bincount(context[live], minlength=len(contexts))
+        for k in range(len(bucket)):
+            s = slice(q[k], q[k + 1])
+            if q[k] < q[k + 1]:
+                out.append(("join", int(bucket[k]), part_of[own], pack(contexts[s], started[s], customers[s], fixed[s], moving[s][started[s]])))
+        per_part = np.add.reduceat(np.append(started, False).astype(np.int64), np.minimum(q[:-1], len(started))) * (q[:-1] < q[1:])
+        number = np.cumsum(started) - 1
+        tables = np.ones(int(live.sum()), np.int64)
+        fixed_by_word = np.bincount(word[one], minlength=len(words))
+        at_root = fixed_by_word + np.bincount(word[live], minlength=len(words))
+        out.append(("full", own, 0, pack(size, context, count, total)))
+        out.append(("live", own, 0, pack(word[live], number[context[live]], count[live], tables, 0 * tables, per_part, fixed_by_word, np.minimum(at_root, 1), np.zeros(len(words), np.float32))))
+        numbers = [count.sum(), (total > 0).sum(), one.sum(), (count == 2).sum(), (at_root == 1).sum(), (at_root == 2).sum(), at_root.sum()]
+        out.append(("sums", own, 0, pack(np.array(numbers, np.int64))))
+        return out
+
+    return each
+
+
+# ---------------------------------------------------------------- Gibbs sampling
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What doesn't change from sweep to sweep: discounts of contexts and root, strengths, the vocabulary and all tokens."""
+
+    discount: float
+    root_discount: float
     strength: float
+    root_strength: float
+    types: int
+    tokens: int
 
-    def words(self) -> DataFrame:
-        """word, total (customers), root (64-bit integers), cells (class, customers, tables summed over samples)."""
+    @classmethod
+    def of(cls, n: np.ndarray, strength: float) -> Shape:
+        """From the sums: cells, and words' tables, that have one customer against those with two."""
+        fair = lambda one, two: float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.9))
+        return cls(fair(n[2], n[3]), fair(n[4], n[5]), strength, strength, int(n[1]), int(n[0]))
 
-        def run(batches):
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    size, cells, root = open_block(batch.column("body")[k].as_py())
-                    total = np.bincount(np.repeat(np.arange(len(size)), size), cells[:, 1], len(size)).astype(np.int64)
-                    lists = binary_array(cells[:, [0, 1, 3]].astype("<i8"), size * 24)
-                    roots = binary_array(root[:, 2:].astype("<i8"), np.full(len(size), 8 * (root.shape[1] - 2)))
-                    yield pa.RecordBatch.from_arrays([batch.column("words")[k].values, pa.array(total), roots, lists], ["word", "total", "root", "cells"])
 
-        return self.table.where("words IS NOT NULL").mapInArrow(run, "word string, total long, root binary, cells binary")
+@dataclass(frozen=True)
+class Root:
+    """Of one seating: the unigram restaurant's customers and tables, its words' gamma weights' sum, the weight of its base,
+    and its own gamma variable."""
 
+    customers: int
+    tables: int
+    weights: float
+    base: float
+    mass: float
 
-def fit(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 32 << 20) -> Model:
-    """Trains on all of ``docs`` (text, without nulls)."""
-    spark = docs.sparkSession
-    rows = training_rows(docs, chunk_bytes).repartition(parts(spark), "word").sortWithinPartitions("word")
-    path = stored(counted(rows), "seating")
-    totals, seen = totals_of(spark.read.schema(TABLE).parquet(path)), []
-    for k in range(burn_in + samples):
-        new_path = stored(sweep(spark.read.schema(TABLE).parquet(path), totals, k, k >= burn_in, strength), "seating")
-        dropped(spark, path)  # the new table is written whole and needs it no more
-        path = new_path
-        totals = totals_of(spark.read.schema(TABLE).parquet(path))
-        if k >= burn_in:
-            seen.append(totals)
-    return Model(spark.read.schema(TABLE).parquet(path), seen, strength)
+    @classmethod
+    def of(cls, customers: float, tables: float, weights: float, s: Shape, rng: np.random.Generator) -> Root:
+        base = rng.gamma(s.root_strength + s.root_discount * tables)
+        return cls(int(customers), int(tables), weights, base, rng.gamma(s.root_strength / s.root_discount + tables))
+
+
+def word_weights(at_root: np.ndarray, root_tables: np.ndarray, s: Shape, rng: np.random.Generator) -> np.ndarray:
+    """A gamma variable for each word, of what its tables in the unigram restaurant hold."""
+    return rng.gamma(np.maximum(at_root - s.root_discount * root_tables, 0.0))
+
+
+def context_masses(tables: np.ndarray, s: Shape, rng: np.random.Generator) -> np.ndarray:
+    return rng.gamma(s.strength / s.discount + tables)
+
+
+def seat(count, tables, masses, weights, s: Shape, root: Root, rng: np.random.Generator) -> np.ndarray:
+    """New tables of cells, given their contexts' masses and their words' weights."""
+    chance = (weights + root.base / (s.types + 1)) / (root.weights + root.base)
+    return draw_tables(count, s.discount * masses * chance, tables, s.discount, rng)
+
+
+def seat_root(at_root: np.ndarray, root_tables: np.ndarray, s: Shape, root: Root, rng: np.random.Generator) -> np.ndarray:
+    return draw_tables(at_root, np.full(len(at_root), s.root_discount * root.mass / (s.types + 1)), root_tables, s.root_discount, rng)
+
+
+def weighed(bucket: np.ndarray, s: Shape, seed: int) -> Callable:
+    """The first weights of a part's words."""
+
+    def each(own: int, found: dict[str, list]) -> list[tuple]:
+        ((_, a),) = found["live"]
+        word, _, _, tables, _, _, fixed, root_tables = a[:8]
+        at_root = fixed.astype(np.int64) + np.bincount(word, tables, len(fixed)).astype(np.int64)
+        g = word_weights(at_root, root_tables, s, np.random.default_rng([seed, own, 1]))
+        return [("live", own, 0, pack(*a[:8], g)), ("sums", own, 0, pack(np.array([at_root.sum(), root_tables.sum()], np.int64), np.array([g.sum()])))]
+
+    return each
+
+
+def swept(bucket: np.ndarray, s: Shape, root: Root, seed: int, number: int, keep: bool) -> Callable:
+    """A sweep over one part's cells and words: "live" as it is then (with ``keep`` its seating is a sample), "part" (new
+    tables for each context's part) and "sums"."""
+    part_of = {int(b): k for k, b in enumerate(bucket)}
+
+    def each(own: int, found: dict[str, list]) -> list[tuple]:
+        ((_, a),) = found["live"]
+        rng = np.random.default_rng([seed, own, 2, number])
+        word, context, count, tables, total, per_part, fixed, root_tables, g = a[:9]
+        masses = np.concatenate([m for _, (m,) in found.get("mass", [])] or [np.zeros(0)]).astype(float)
+        tables = seat(count.astype(np.int64), tables, masses[context], g.astype(float)[word], s, root, rng)
+        at_root = fixed.astype(np.int64) + np.bincount(word, tables, len(fixed)).astype(np.int64)
+        root_tables = seat_root(at_root, root_tables, s, root, rng)
+        g = word_weights(at_root, root_tables, s, rng).astype(np.float32)
+        samples = [*a[9:], *([at_root, root_tables] if keep else [])]
+        out = [("live", own, 0, pack(word, context, count, tables, total.astype(np.int64) + keep * tables, per_part, fixed, root_tables, g, *samples))]
+        moved = np.bincount(context, tables, int(per_part.sum())).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(per_part.astype(np.int64))])
+        out += [("part", int(bucket[k]), part_of[own], pack(moved[upto[k] : upto[k + 1]])) for k in np.flatnonzero(per_part)]
+        return [*out, ("sums", own, 0, pack(np.array([at_root.sum(), root_tables.sum()], np.int64), np.array([g.astype(float).sum()])))]
+
+    return each
+
+
+def joined(bucket: np.ndarray, s: Shape, seed: int) -> Callable:
+    """A part's contexts from the rows "join": "own" (its contexts' tables of one customer, and which contexts each part's
+    moving cells are in), "all" (which contexts each part has, and customers) and the first "mass" rows."""
+    part_of = {int(b): k for k, b in enumerate(bucket)}
+
+    def each(own: int, found: dict[str, list]) -> list[tuple]:
+        peers = found["join"]
+        contexts = np.unique(np.concatenate([a[0] for _, a in peers]))
+        customers, fixed, moving = (np.zeros(len(contexts), np.int64) for _ in range(3))
+        every, live = [], []
+        for _, (keys, started, n, f, m) in peers:
+            at = np.searchsorted(contexts, keys)
+            customers[at] += n.astype(np.int64)
+            fixed[at] += f.astype(np.int64)
+            at_live = at[started.astype(bool)]
+            moving[at_live] += m.astype(np.int64)
+            every.append(at)
+            live.append(at_live)
+        names, wide = np.array([p for p, _ in peers]), np.array([len(x) for x in every])
+        keep = pack(names, np.array([len(x) for x in live]), np.concatenate(live), fixed)
+        out = [("own", own, 0, keep), ("all", own, 0, pack(names, wide, np.concatenate(every), customers))]
+        g = context_masses(fixed + moving, s, np.random.default_rng([seed, own, 3])).astype(np.float32)
+        return out + [("mass", int(bucket[p]), part_of[own], pack(g[x])) for (p, _), x in zip(peers, live, strict=True) if len(x)]
+
+    return each
+
+
+def totalled(bucket: np.ndarray, s: Shape, seed: int, number: int, keep: bool, last: bool) -> Callable:
+    """A sweep over one part's contexts: new masses for the parts with their cells or, at the ``last`` one, "ask" rows with
+    each context's customers and its samples' tables."""
+    part_of = {int(b): k for k, b in enumerate(bucket)}
+
+    def each(own: int, found: dict[str, list]) -> list[tuple]:
+        ((_, a),) = found["own"]
+        names, wide, at, fixed = a[:4]
+        upto = np.concatenate([[0], np.cumsum(wide.astype(np.int64))])
+        lists = {int(p): at[upto[k] : upto[k + 1]] for k, p in enumerate(names)}
+        tables = fixed.astype(np.int64)
+        for p, (m,) in found.get("part", []):
+            tables[lists[p]] += m.astype(np.int64)
+        samples = [*a[4:], *([tables] if keep else [])]
+        if last:
+            ((_, (names, wide, at, customers)),) = found["all"]
+            upto = np.concatenate([[0], np.cumsum(wide.astype(np.int64))])
+            own_rows = [(int(p), at[upto[k] : upto[k + 1]]) for k, p in enumerate(names)]
+            return [("ask", int(bucket[p]), part_of[own], pack(customers[x], *(t[x] for t in samples))) for p, x in own_rows]
+        g = context_masses(tables, s, np.random.default_rng([seed, own, 4, number])).astype(np.float32)
+        return [("own", own, 0, pack(*a[:4], *samples)), *(("mass", int(bucket[p]), part_of[own], pack(g[x])) for p, x in lists.items() if len(x))]
+
+    return each
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
-
-    Tokens are the text's words (A-Z lower-cased, ASCII white space) and one end. Training rows are those that are not
-    held out. ``base_score`` is the add-half unigram's, ``score`` the model's log10 probability. A null or empty text is
-    its end alone; null and repeated ids keep their rows. Without training rows every token has the root's chance.
-    """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    model = fit(own.where("NOT held_out").select("text"), burn_in=burn_in, samples=samples, strength=strength, chunk_bytes=chunk_bytes)
-    rows = chunked(own, chunk_bytes).repartition(parts(docs.sparkSession), "key")
-    # Both kinds of rows come from one shuffle: a filter that isn't deterministic and looks at every column stays above
-    # it, so both branches have the same plan below and Spark reuses the exchange, with its partitioning by key.
-    word_row = F.col("chunk").isNotNull() & F.col("slot").isNotNull() & F.col("blob").isNotNull()
-    words = rows.where(F.when(F.spark_partition_id() >= 0, word_row).otherwise(False)).select(F.col("key").alias("word"), "chunk", "slot", F.col("blob").alias("classes"))
-    chunks = rows.where(F.when(F.spark_partition_id() >= 0, ~word_row).otherwise(False)).select(F.col("key").alias("name"), F.col("blob").alias("body"))
-    seen, last = model.samples, model.samples[-1]
-    tokens, types = last.tokens, last.types
-    base = tokens + 0.5 * (types + 1)
-
-    def fetch(batches):
-        """Only the cells that a chunk needs go to it: for each of its classes customers and summed tables, in its order."""
-        for batch in batches:
-            (want, places), (raw, begins) = flat_binary(batch.column("classes")), flat_binary(batch.column("cells"))
-            have, many, size = raw.view("<i8").reshape(-1, 3), np.diff(begins) // 24, np.diff(places)
-            key = np.repeat(np.arange(len(many)), many) * CLASSES + have[:, 0]
-            asked = np.repeat(np.arange(len(size)), size) * CLASSES + want
-            got = np.zeros((len(asked), 2), np.int64)
-            if len(key):
-                at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-                got = np.where((key[at] == asked)[:, None], have[at, 1:], 0)
-            root = pc.fill_null(batch.column("root"), b"\0" * 16 * len(seen))
-            cols = [batch.column("chunk"), batch.column("slot"), pc.fill_null(batch.column("total"), 0), root, batch.column("classes"), binary_array(got.astype("<i8"), size * 16)]
-            yield pa.RecordBatch.from_arrays(cols, ["chunk", "slot", "total", "root", "classes", "cells"])
-
-    fetched = words.join(model.words(), "word", "left").select("chunk", "slot", "classes", "total", "root", "cells")
-    fetched = fetched.mapInArrow(fetch, "chunk string, slot int, total long, root binary, classes binary, cells binary")
-
-    def log_chances(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of the averaged predictive chance of each pair, and for each pair the base score and whether its word is known."""
-        (kind, places), (raw, _), (roots, _) = (flat_binary(left.column(c)) for c in ("classes", "cells", "root"))
-        own, root = raw.view("<i8").reshape(-1, 2), roots.view("<i8").reshape(len(left), -1)
-        row = np.repeat(np.arange(len(left)), np.diff(places))
-        chance = np.zeros(len(own))
-        mean_tables = own[:, 1] / len(seen)
-        for k, s in enumerate(seen):
-            d, room = s.discount, strength + s.customers
-            parent = root_chance(root[:, 2 * k], root[:, 2 * k + 1], s, strength, types)
-            chance += (np.maximum(own[:, 0] - d * mean_tables, 0) / room[kind] + ((strength + d * s.tables) / room)[kind] * parent[row]) / len(seen)
-        total = left.column("total").to_numpy()
-        return np.log10(chance), np.log10((total + 0.5) / base)[row], (total > 0)[row]
-
-    def finish(left, right):
-        if len(right) != 1:
+def predictive(count, mean_tables, customers, context_tables, at_root, root_tables, roots: list[Root], s: Shape) -> np.ndarray:
+    """The chance of a word after a context, averaged over samples (lists of ``context_tables``, ``at_root`` and
+    ``root_tables``, one a sample)."""
+    chance = np.zeros(len(count))
+    for t, n, r, root in zip(context_tables, at_root, root_tables, roots, strict=True):
+        parent = (np.maximum(n - s.root_discount * r, 0) + (s.root_strength + s.root_discount * root.tables) / (s.types + 1)) / (s.root_strength + root.customers)
+        chance += (s.strength + s.discount * t) / (s.strength + customers) * parent
+    return np.maximum(count - s.discount * mean_tables, 0) / (s.strength + customers) + chance / len(roots)
+
+
+def answered(s: Shape, roots: list[Root]) -> Callable:
+    """For each chunk the log10 chances of its cells in a part, and the training counts of its words there."""
+
+    def each(own: int, found: dict[str, list]) -> list[tuple]:
+        ((_, (size, context, count, total)),) = found["full"]
+        ((_, live),) = found["live"]
+        asked = [a for _, a in found["ask"]]
+        customers = np.concatenate([a[0] for a in asked]).astype(float)
+        tables = [np.concatenate([a[1 + k] for a in asked]).astype(float)[context] for k in range(len(roots))]
+        word = np.repeat(np.arange(len(size)), size)
+        mean = np.minimum(count, 1).astype(float)
+        mean[count >= 2] = live[4] / len(roots)
+        at_root, root_tables = ([live[9 + 2 * k + j].astype(float)[word] for k in range(len(roots))] for j in (0, 1))
+        chance = np.log10(predictive(count.astype(float), mean, customers[context], tables, at_root, root_tables, roots, s))
+        out = []
+        for chunk, (steps,) in found["maps"]:
+            index = np.cumsum(steps.astype(np.int64))
+            w = word[index]
+            out.append(("score", own, chunk, pack(chance[index], total[w[np.append(True, w[1:] != w[:-1])]])))
+        return out
+
+    return each
+
+
+def scored(s: Shape, bucket: np.ndarray) -> Callable:
+    """Documents' rows of one chunk, from its tokens and all parts' scores."""
+    base = s.tokens + 0.5 * (s.types + 1)
+    part_of = {int(b): k for k, b in enumerate(bucket)}
+
+    def finish(key, table):
+        kinds, source, blobs = (table.column(c).to_pylist() for c in ("kind", "bucket", "blob"))
+        if kinds.count("tokens") != 1:
             raise RuntimeError("a chunk is missing or doubled")
-        blob = right.column("body")[0].as_py()
-        n, m, pairs, distinct = struct.unpack_from("<QQQQ", blob)
-        body = zstandard.ZstdDecompressor().decompressobj().decompress(memoryview(blob)[32:])
-        left = left.take(pa.array(np.argsort(left.column("slot").to_numpy()))).combine_chunks()
-        scores = log_chances(left)
-        if len(left) != distinct or len(scores[0]) != pairs:
+        ids, null, held, size, first, order, rank = unpack(blobs[kinds.index("tokens")])
+        answers = [unpack(b) for _, b in sorted((part_of[p], b) for k, p, b in zip(kinds, source, blobs, strict=True) if k == "score")]
+        chance, total = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
+        if len(total) != len(order):
             raise RuntimeError("a chunk misses words")
-        ids, null = np.frombuffer(body, "<i8", n), np.frombuffer(body, bool, n, 8 * n)
-        held, ends = np.frombuffer(body, bool, n, 9 * n), np.frombuffer(body, "<i8", n, 10 * n)
-        order = np.frombuffer(body, "<u4", pairs, 18 * n)
-        planes = np.frombuffer(body, np.uint8, 4 * m, 18 * n + 4 * pairs).reshape(4, m)
-        index = order[np.ascontiguousarray(planes.T).view("<u4").reshape(-1)]
-        begin = np.append(0, ends[:-1])
-        del planes, body
-        sums: list[list] = [[], [], []]
-        at = 0
-        while at < n:  # about a million tokens at a time, or one document
-            stop = max(at + 1, int(np.searchsorted(ends, begin[at] + (1 << 20), "right")))
-            own = index[begin[at] : ends[stop - 1]]
-            for held_sums, x in zip(sums, (scores[0], scores[1], scores[2].astype(np.int32)), strict=True):
-                held_sums.append(np.add.reduceat(x[own], begin[at:stop] - begin[at]))
-            at = stop
-        sums = [np.concatenate(x) for x in sums]
+        tokens = order[rank].astype(np.int64)
+        pairs = pa.array(tokens * len(order) + np.append(first.astype(np.int64), tokens[:-1])).dictionary_encode()
+        distinct = pairs.dictionary.to_numpy()
+        if len(distinct) != len(chance):
+            raise RuntimeError("a chunk misses cells")
+        place = np.empty(len(distinct), np.int64)
+        place[np.argsort(distinct)] = np.arange(len(distinct))
+        size = size.astype(np.int64)
+        begin = np.cumsum(size) - size
+        score = np.add.reduceat(chance.astype(float)[place][pairs.indices.to_numpy()], begin)
+        n = total.astype(np.int64)
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64(), mask=null),
-                "held_out": pa.array(held),
-                "n_tokens": pa.array(ends - begin),
-                "n_known": pa.array(sums[2].astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, tokens, np.int64)),
-                "base_score": pa.array(sums[1]),
-                "score": pa.array(sums[0]),
+                "doc_id": pa.array(ids.astype(np.uint64).view(np.int64), pa.int64(), mask=null.astype(bool)),
+                "held_out": pa.array(held.astype(bool)),
+                "n_tokens": pa.array(size),
+                "n_known": pa.array(np.add.reduceat((n > 0)[tokens].astype(np.int64), begin)),
+                "train_tokens": pa.array(np.full(len(size), s.tokens, np.int64)),
+                "base_score": pa.array(np.add.reduceat(np.log10((n + 0.5) / base)[tokens], begin)),
+                "score": pa.array(score),
             }
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return fetched.groupBy("chunk").cogroup(chunks.groupBy("name")).applyInArrow(finish, schema)
+    return finish
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 16 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+
+    Tokens are the text's words (A-Z lower-cased, ASCII white space) and one end. Training rows are those that are not
+    held out. ``base_score`` is the add-half unigram's, ``score`` the model's log10 probability (of 32-bit cells'). A null
+    or empty text is its end alone; null and repeated ids keep their rows. Without training rows every token has the
+    root's chance. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(parts(spark), -(-size // chunk_bytes))
+    bucket = buckets(spark, n)
+    chunks = kept(chunked(own, bucket, chunk_bytes), "chunks")
+    cells = kept(grouped([rows(spark, chunks, "cells")], n, gathered(bucket)), "cells")
+    dropped(spark, f"{chunks}/kind=cells")
+    s = Shape.of(sums(spark, cells), strength)
+    contexts = kept(grouped([rows(spark, cells, "join")], n, joined(bucket, s, seed)), "contexts")
+    seating = kept(grouped([rows(spark, cells, "live")], n, weighed(bucket, s, seed)), "seating")
+    dropped(spark, f"{cells}/kind=join")
+    seen = sums(spark, seating)
+    masses, roots = contexts, []
+    for k in range(burn_in + samples):
+        reclaim(spark)
+        keep, last, rng = k >= burn_in, k + 1 == burn_in + samples, np.random.default_rng([seed, 0, 5, k])
+        root = Root.of(*seen[:3], s, rng)
+        new = kept(grouped([rows(spark, seating, "live"), rows(spark, masses, "mass")], n, swept(bucket, s, root, seed, k, keep)), "seating")
+        dropped(spark, seating)
+        seating = new
+        seen = sums(spark, seating)
+        if keep:
+            roots.append(Root(int(seen[0]), int(seen[1]), 0.0, 0.0, 0.0))
+        held = [rows(spark, masses, "own"), rows(spark, seating, "part"), *([rows(spark, contexts, "all")] if last else [])]
+        new = kept(grouped(held, n, totalled(bucket, s, seed, k, keep, last)), "masses")
+        if masses != contexts:
+            dropped(spark, masses)
+        masses = new
+    dropped(spark, contexts)
+    reclaim(spark)
+    found = [rows(spark, cells, "full", "maps"), rows(spark, seating, "live"), rows(spark, masses, "ask")]
+    answers = kept(grouped(found, n, answered(s, roots)), "answers")
+    for path in (cells, seating, masses):
+        dropped(spark, path)
+    reclaim(spark)
+    by_chunk = rows(spark, chunks, "tokens").unionByName(rows(spark, answers, "score"))
+    return by_chunk.repartition(n, "peer").groupBy("peer").applyInArrow(scored(s, bucket), SCORES)
 
 
 def perplexity(scored: DataFrame, *by: str) -> DataFrame:

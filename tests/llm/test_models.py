@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.llm import licenses, pitman_yor, toxicity
+from countloom.llm import licenses, pitman_yor, stirling, toxicity
 
 from .conftest import prose
 
@@ -110,21 +111,83 @@ def test_language_model(spark):
     assert pitman_yor.score_documents(df.limit(0)).count() == 0
 
 
-def test_seating_follows_the_restaurant_process():
-    """Against customers seated one by one: the mean number of tables."""
+def ways(n, m, d):
+    """S(n, m) by its definition: over the sizes of m tables, the first of which has the first customer."""
+    if m == 1:
+        return math.prod(k - d for k in range(1, n))
+    return sum(math.comb(n - 1, k - 1) * math.prod(j - d for j in range(1, k)) * ways(n - k, m - 1, d) for k in range(1, n - m + 2))
+
+
+def test_tables_are_drawn_from_their_conditional():
     rng = np.random.default_rng(0)
-    for pull, d, n in ((0.5, 0.3, 20), (3.0, 0.7, 200), (0.01, 0.5, 5)):
-        got = pitman_yor.seat(np.full(4000, n), np.full(4000, pull), d, rng).mean()
-        tables = np.ones(4000)
-        for k in range(1, n):
-            tables += rng.random(4000) < pull / (pull + k - d * tables)
-        assert abs(got - tables.mean()) < 0.05 * tables.mean() + 0.02
-    assert pitman_yor.seat(np.array([1, 0, 100000]), np.array([1.0, 1.0, 1.0]), 0.5, rng)[:2].tolist() == [1, 0]
+    for d in (0.2, 0.5, 0.8):
+        known = stirling.table(d)
+        assert all(abs(math.exp(known[n, m]) / ways(n, m, d) - 1) < 1e-9 for n in range(1, 9) for m in range(1, n + 1))
+        for c, x in ((2, 0.3), (7, 2.0), (8, 0.01)):
+            weight = np.array([ways(c, m, d) * x**m for m in range(1, c + 1)])
+            got = np.bincount(stirling.draw_tables(np.full(40000, c), np.full(40000, x), np.ones(40000), d, rng), minlength=c + 1)[1:] / 40000
+            assert np.abs(got - weight / weight.sum()).max() < 0.01
+    assert stirling.draw_tables(np.array([0, 1]), np.ones(2), np.zeros(2), 0.5, rng).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.8])
+def test_many_customers_follow_the_same_weights(d):
+    rng, known = np.random.default_rng(1), stirling.table(d, 1500)
+    m = np.array([1, 2, 5, 20, 80, 400, 1200])
+    assert np.abs(stirling.log_stirling(np.full(len(m), 1500), m, d) - known[1500, m]).max() < 0.05
+    for x in (0.05, 4.0, 60.0):
+        weight = known[1500, 1:] + np.arange(1, 1501) * math.log(x)
+        weight = np.exp(weight - weight.max())
+        mean = (weight * np.arange(1, 1501)).sum() / weight.sum()
+        got = stirling.draw_tables(np.full(4000, 1500), np.full(4000, x), np.ones(4000), d, rng, steps=20)
+        assert abs(got.mean() / mean - 1) < 0.03
+
+
+def test_sweeps_match_an_enumerated_posterior():
+    """Two contexts and two words: the mean tables of every cell under all seatings, and under the chain."""
+    count = np.array([3, 2, 4, 1])  # cells (context, word): 00 01 10 11
+    context, word = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
+    s = pitman_yor.Shape(0.6, 0.01, 0.8, 0.8, 2, 10)
+    rising = lambda a, step, n: math.prod(a + step * k for k in range(n))
+    total, mean = 0.0, np.zeros(4)
+    for t in itertools.product(*(range(1, c + 1) for c in count)):
+        seats = math.prod(ways(int(c), m, s.discount) for c, m in zip(count, t))
+        rooms = math.prod(rising(s.strength, s.discount, sum(m for m, u in zip(t, context) if u == k)) for k in (0, 1))
+        n = [t[0] + t[2], t[1] + t[3]]
+        for r in itertools.product(*(range(1, k + 1) for k in n)):
+            root = math.prod(ways(k, m, s.root_discount) for k, m in zip(n, r)) * rising(s.root_strength, s.root_discount, sum(r)) / rising(s.root_strength, 1, sum(n)) / 3 ** sum(r)
+            total += seats * rooms * root
+            mean += seats * rooms * root * np.array(t)
+    rng, tables, root_tables = np.random.default_rng(4), np.ones(4, np.int64), np.ones(2, np.int64)
+    seen, rounds = np.zeros(4), 40000
+    for _ in range(rounds):
+        at_root = np.bincount(word, tables, 2).astype(np.int64)
+        weights = pitman_yor.word_weights(at_root, root_tables, s, rng)
+        root = pitman_yor.Root.of(at_root.sum(), root_tables.sum(), weights.sum(), s, rng)
+        masses = pitman_yor.context_masses(np.bincount(context, tables, 2), s, rng)
+        tables = pitman_yor.seat(count, tables, masses[context], weights[word], s, root, rng)
+        root_tables = pitman_yor.seat_root(np.bincount(word, tables, 2).astype(np.int64), root_tables, s, root, rng)
+        seen += tables
+    assert np.abs(seen / rounds - mean / total).max() < 0.03
 
 
 def test_predictive_chances_sum_to_one():
-    totals = pitman_yor.Totals.zero()
-    totals.root_customers, totals.root_tables, totals.types, totals.words_once, totals.words_twice = 10, 5, 3, 1, 1
-    chances = pitman_yor.root_chance(np.array([6, 3, 1]), np.array([3, 1, 1]), totals, 1.0, 3)
-    unknown = pitman_yor.root_chance(np.array([0]), np.array([0]), totals, 1.0, 3)
-    assert abs(chances.sum() + unknown.sum() - 1) < 1e-12
+    s = pitman_yor.Shape(0.7, 0.4, 1.0, 1.0, 3, 10)
+    roots = [pitman_yor.Root(7, 4, 0, 0, 0), pitman_yor.Root(8, 5, 0, 0, 0)]
+    # One context with customers 4, 2, 0 of three words and none of the unknown one; tables by sample.
+    tables, at_root, root_tables = np.array([[2, 1, 0, 0], [3, 1, 0, 0]]), np.array([[4, 2, 1, 0], [5, 2, 1, 0]]), np.array([[2, 1, 1, 0], [3, 1, 1, 0]])
+    chance = pitman_yor.predictive(np.array([4.0, 2, 0, 0]), tables.mean(axis=0), np.full(4, 6.0), [np.full(4, 3.0), np.full(4, 4.0)], at_root, root_tables, roots, s)
+    assert abs(chance.sum() - 1) < 1e-12 and (chance > 0).all()
+
+
+def test_arrays_survive_packing():
+    arrays = [np.array([0, 255]), np.array([], np.int64), np.array([1 << 40, 3], np.uint64), np.array([1.5, -2.0], np.float32), np.array([True, False]), np.array([70000])]
+    got = pitman_yor.unpack(pitman_yor.pack(*arrays))
+    assert [a.tolist() for a in got] == [a.astype(int).tolist() if a.dtype == bool else a.tolist() for a in arrays]
+
+
+def test_contexts_are_whole_words(spark):
+    """Words with the same first letters are told apart, and what follows them is learned."""
+    docs = [(k, " ".join(random.Random(k).choice(["abcx one", "abcy two"]) for _ in range(200))) for k in range(60)]
+    got = pitman_yor.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").selectExpr("sum(score) / sum(n_tokens) s").first().s
+    assert 10**-got < 1.6  # one choice of two for every two words: 1.41
