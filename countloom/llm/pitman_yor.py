@@ -26,6 +26,7 @@ import struct
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import dropped, parts, reclaim, shared_dir
+from countloom.llm.common import dropped, reclaim, shared_dir
 from countloom.llm.stirling import draw_tables
 from countloom.llm.wordbpe import slices, split_words
 
+CONTEXT = np.uint64(16)  # a context is known by the other 48 bits of its word's hash
 END = np.uint64(xxhash.xxh64_intdigest("\n"))  # the end of a document, which no word can be
 
 # ---------------------------------------------------------------- rows: arrays as bytes
@@ -113,13 +115,17 @@ def tokens_of(batch: pa.RecordBatch, n_parts: int) -> tuple[np.ndarray, np.ndarr
         runs.append((np.append(np.fromiter((xxhash.xxh64_intdigest(w) for w in spelled), np.uint64, len(spelled)), END), token))
         sizes.append(size)
     keys = np.unique(np.concatenate([k for k, _ in runs]))
-    order = np.lexsort((keys, keys % np.uint64(n_parts)))
+    order = np.lexsort((keys, part_of_word(keys, n_parts)))
     place = np.empty(len(keys), np.int32)
     place[order] = np.arange(len(keys), dtype=np.int32)
     tokens = np.concatenate([place[np.searchsorted(keys, k)][t] for k, t in runs])
     return keys[order], tokens, np.concatenate(sizes)
 
 
+def part_of_word(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    return (keys >> CONTEXT) % np.uint64(n_parts)
+
+
 def before(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Each token's context: the token before; the end before the first."""
     return np.append(np.int32(np.flatnonzero(keys == END)[0]), tokens[:-1])
@@ -130,7 +136,7 @@ def chunked(docs: DataFrame, bucket: np.ndarray, chunk_bytes: int) -> DataFrame:
     n_parts = len(bucket)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number = (TaskContext.get().partitionId() << 32) + TaskContext.get().partitionId()
         for batch in batches:
             for piece in slices(batch, "text", chunk_bytes):
                 keys, tokens, size = tokens_of(piece, n_parts)
@@ -146,21 +152,21 @@ def chunked(docs: DataFrame, bucket: np.ndarray, chunk_bytes: int) -> DataFrame:
                 cell = cell[start]
                 word, context = cell // len(keys), cell % len(keys)
                 del pair, cell, start
-                w = np.searchsorted(keys % np.uint64(n_parts), np.arange(n_parts + 1, dtype=np.uint64))
+                w = np.searchsorted(part_of_word(keys, n_parts), np.arange(n_parts + 1, dtype=np.uint64))
                 c = np.searchsorted(word, w)
                 rows = []
                 for p in range(n_parts):
                     if c[p] < c[p + 1]:
                         own = slice(c[p], c[p + 1])
                         seen, at = np.unique(context[own], return_inverse=True)
-                        rows.append(("cells", int(bucket[p]), number, pack(keys[w[p] : w[p + 1]], np.bincount(word[own] - w[p]), keys[seen], at, count[own])))
+                        rows.append(("cells", int(bucket[p]), number, pack(keys[w[p] : w[p + 1]], np.bincount(word[own] - w[p]), keys[seen] >> CONTEXT, at, count[own])))
                 order = np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")  # frequent words get small numbers
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(len(order), dtype=np.int32)
                 ids = pc.fill_null(piece.column("doc_id"), 0).to_numpy().astype(np.int64)
                 null = piece.column("doc_id").is_null().to_numpy(zero_copy_only=False)
                 first = np.flatnonzero(keys == END)
-                rows.append(("tokens", 0, number, pack(ids.view(np.uint64), null, held, size, first, order, rank[tokens])))
+                rows.append(("tokens", int(bucket[number % n_parts]), number, pack(ids.view(np.uint64), null, held, size, first, order, rank[tokens])))
                 number += 1
                 yield from rows_of(rows).to_batches()
 
@@ -168,13 +174,17 @@ def chunked(docs: DataFrame, bucket: np.ndarray, chunk_bytes: int) -> DataFrame:
 
 
 def grouped(tables: list[DataFrame], n_parts: int, each: Callable[[int, dict[str, list]], list[tuple]]) -> DataFrame:
-    """``each`` over the rows of one bucket: its bucket, and by kind the (peer, arrays) in order of peer."""
+    """``each`` over the rows of one bucket: its bucket, and by kind the (peer, arrays) in order of peer. Rows "tokens" go
+    through as they are."""
 
     def run(key, table):
+        waiting = pc.equal(table.column("kind"), "tokens")
+        through, table = table.filter(waiting), table.filter(pc.invert(waiting))
         found: dict[str, list] = {}
         for kind, peer, blob in sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "peer", "blob")), strict=True)):
             found.setdefault(kind, []).append((peer, unpack(blob)))
-        return rows_of(each(key[0].as_py(), found))
+        made = rows_of(each(key[0].as_py(), found)) if found else through[:0]
+        return pa.concat_tables([through.cast(made.schema), made])
 
     together = tables[0]
     for t in tables[1:]:
@@ -199,7 +209,7 @@ def sums(spark: SparkSession, path: str) -> np.ndarray:
     return np.sum([[float(x) for a in arrays for x in a] for arrays in found], axis=0) if found else np.zeros(8)
 
 
-def gathered(bucket: np.ndarray) -> Callable:
+def gathered(bucket: np.ndarray, owners: int) -> Callable:
     """Of a part's rows "cells": "full" (its words, their cells and counts), "maps" (where each chunk's cells are), "live" (the
     cells of two or more customers, one table each yet), "join" (to each context's part) and "sums"."""
     n_parts = np.uint64(len(bucket))
@@ -209,7 +219,7 @@ def gathered(bucket: np.ndarray) -> Callable:
         chunks = found["cells"]
         words = np.unique(np.concatenate([a[0] for _, a in chunks]))
         contexts = np.unique(np.concatenate([a[2] for _, a in chunks]))
-        order = np.lexsort((contexts, contexts % n_parts))
+        order = np.lexsort((contexts, contexts % n_parts))  # the order that they have in chunks
         place = np.empty(len(contexts), np.int64)
         place[order] = np.arange(len(contexts))
         keys = []
@@ -229,10 +239,10 @@ def gathered(bucket: np.ndarray) -> Callable:
         total = np.bincount(word, count, len(words)).astype(np.int64)
         started = np.zeros(len(contexts), bool)
         started[context[live]] = True
-        q = np.searchsorted(contexts % n_parts, np.arange(len(bucket) + 1, dtype=np.uint64))
+        q = np.searchsorted(contexts % n_parts * np.uint64(owners) // n_parts, np.arange(owners + 1, dtype=np.uint64))
         customers = np.bincount(context, count, len(contexts)).astype(np.int64)
         fixed, moving = np.bincount(context[one], minlength=len(contexts)), np.bincount(context[live], minlength=len(contexts))
-        for k in range(len(bucket)):
+        for k in range(owners):
             s = slice(q[k], q[k + 1])
             if q[k] < q[k + 1]:
                 out.append(("join", int(bucket[k]), part_of[own], pack(contexts[s], started[s], customers[s], fixed[s], moving[s][started[s]])))
@@ -476,7 +486,7 @@ def scored(s: Shape, bucket: np.ndarray) -> Callable:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 16 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 12 << 20, part_bytes: int = 16 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Tokens are the text's words (A-Z lower-cased, ASCII white space) and one end. Training rows are those that are not
@@ -488,11 +498,12 @@ def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, stre
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(parts(spark), -(-size // chunk_bytes))
+    n = max(1, -(-size // part_bytes))
+    # Contexts are dealt into fewer parts than words, so messages between parts grow less than with the square of parts.
+    owners = min(n, 2 * ceil(sqrt(n)))
     bucket = buckets(spark, n)
-    chunks = kept(chunked(own, bucket, chunk_bytes), "chunks")
-    cells = kept(grouped([rows(spark, chunks, "cells")], n, gathered(bucket)), "cells")
-    dropped(spark, f"{chunks}/kind=cells")
+    cells = kept(grouped([chunked(own, bucket, chunk_bytes)], n, gathered(bucket, owners)), "cells")
+    reclaim(spark)
     s = Shape.of(sums(spark, cells), strength)
     contexts = kept(grouped([rows(spark, cells, "join")], n, joined(bucket, s, seed)), "contexts")
     seating = kept(grouped([rows(spark, cells, "live")], n, weighed(bucket, s, seed)), "seating")
@@ -518,10 +529,10 @@ def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, stre
     reclaim(spark)
     found = [rows(spark, cells, "full", "maps"), rows(spark, seating, "live"), rows(spark, masses, "ask")]
     answers = kept(grouped(found, n, answered(s, roots)), "answers")
-    for path in (cells, seating, masses):
+    for path in (seating, masses, f"{cells}/kind=full", f"{cells}/kind=maps", f"{cells}/kind=live"):
         dropped(spark, path)
     reclaim(spark)
-    by_chunk = rows(spark, chunks, "tokens").unionByName(rows(spark, answers, "score"))
+    by_chunk = rows(spark, cells, "tokens").unionByName(rows(spark, answers, "score"))
     return by_chunk.repartition(n, "peer").groupBy("peer").applyInArrow(scored(s, bucket), SCORES)
 
 

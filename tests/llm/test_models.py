@@ -97,7 +97,7 @@ def test_language_model(spark):
     rng = random.Random(8)
     docs = [(k, prose(rng, rng.choice([2, 60, 200]))) for k in range(300)] + [(400, None), (401, ""), (402, "  "), (403, "unseen " * 50), (404, "the " * 20000), (None, "of the of the"), (7, "twice")]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, key int, chunk int").repartition(4)
-    scored = pitman_yor.score_documents(df, chunk_bytes=20_000)
+    scored = pitman_yor.score_documents(df, chunk_bytes=20_000, part_bytes=40_000)
     got = scored.collect()
     tokens = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in docs]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
