@@ -58,6 +58,14 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, fill: bool = True)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if fill else text).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until ``df`` has no such column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A table of ids of so many rows (16 bytes each) may be broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 2_000_000
 

@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-All of it is DataFrame functions. A block is what stands between line breaks or sentence ends; its set is that of its
-lower-cased words. A template is found in a block that contains ``threshold`` of its words or more. The join is exact:
+All of it is DataFrame functions. A block is what stands between blank lines or sentence ends (line breaks inside it are
+white space, so that wrapped notices are whole; the dot of "v. 2" ends none); its set is that of its words, A-Z
+lower-cased. A template is found in a block that contains ``threshold`` of its words or more. The join is exact:
 template words are ordered by their count in the whole corpus, rarest first, and a block can only reach the threshold
 if it has a word of the template's prefix (prefix filter), enough words (length filter) and, counted from the place of
 the first shared word in either order, enough words left (positional filter). What passes is verified.
@@ -18,7 +19,9 @@ from countloom.llm.common import written
 
 #: Not in a word: all ASCII but digits and letters (texts are lower-cased).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_END = r"[.!?]+[ \t\r\f]+|[.!?]*\n"
+BLOCK_END = r"[.!?]+[ \t\r\f\n]+|\n[ \t\r\f]*\n"
+VERSION = r"\b([vV])\."
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases and the label of each.
 PHRASES = {
@@ -51,7 +54,7 @@ TEMPLATES = [
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -108,7 +111,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, templates: l
     read = written(read.withColumn("row", F.monotonically_increasing_id()), "licenses")
 
     ranks = F.create_map(*(x for w, k in rank.items() for x in (F.lit(w), F.lit(k))))
-    blocks = read.where("candidate IS NOT NULL").select("row", "doc_id", F.posexplode(F.split("candidate", BLOCK_END)).alias("block_no", "block"))
+    blocks = read.where("candidate IS NOT NULL").select("row", "doc_id", F.posexplode(F.split(F.regexp_replace("candidate", VERSION, "$1 "), BLOCK_END)).alias("block_no", "block"))
     blocks = blocks.withColumn("set", F.array_distinct(words_of(F.col("block")))).withColumn("n_set", F.size("set"))
     known = F.array_sort(F.transform(F.filter("set", lambda w: w.isin(*vocabulary)), lambda w: ranks[w]))
     blocks = blocks.withColumn("ranks", known).where(F.size("ranks") > 0)
@@ -152,15 +155,15 @@ def oracle_sql(threshold: float = 0.94) -> str:
     return rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         list_filter(string_split_regex(lower(coalesce(text, '')), '{sep}'), lambda x: x <> '') AS words FROM documents
+         list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{sep}'), lambda x: x <> '') AS words FROM documents
 ), places AS (SELECT doc_id, words, unnest(range(len(words))) AS i FROM docs WHERE list_has_any(words, ['mit', 'apache', 'nc'])
 ), base AS ({" UNION ALL ".join(tests)}
 ), by_doc AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels
   FROM base GROUP BY doc_id
 ), blocks AS (
-  SELECT doc_id, unnest(string_split_regex(text, '[.!?]+[ \t\r\f]+|[.!?]*\n')) AS block FROM docs
-), sets AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(block), '{sep}'), lambda x: x <> '')) AS s FROM blocks
+  SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '\b([vV])\.', '\1 ', 'g'), '[.!?]+[ \t\r\f\n]+|\n[ \t\r\f]*\n')) AS block FROM docs
+), sets AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(translate(block, '{UPPER}', '{LOWER}'), '{sep}'), lambda x: x <> '')) AS s FROM blocks
 ), templates(k, label, t) AS (VALUES {quoted}
 ), met AS (
   SELECT doc_id, label, len(list_intersect(s, t)) / len(t) AS c FROM sets, templates

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from countloom.llm.common import binary_array, flat_binary, id_and_text, parts, sized, written
+from countloom.llm.common import binary_array, flat_binary, fresh, id_and_text, parts, sized, written
 from countloom.llm.components import components
 from countloom.llm.passages import MIX, multipliers, shingle_hashes
 from countloom.llm.wordbpe import slices
@@ -219,7 +219,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = 32, own_plan: Plan |
     pairs = few.alias("x").join(few.alias("y"), ["slot", "key"]).where("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     # Each fingerprint gets very many keys, which Spark can't foresee: they are made over all partitions and never broadcast.
-    many = shared.where(F.col("n") > bucket).select("fp").distinct().repartition(parts(nodes.sparkSession), "fp")
+    # Dealt by a hash of fp, as a shuffle by fp itself would be taken for done by distinct() and its few partitions kept.
+    many = shared.where(F.col("n") > bucket).select("fp").distinct().repartition(parts(nodes.sparkSession), F.xxhash64("fp"))
     starred = star_keys(many, radius)
     hubs = starred.groupBy("slot", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("slot", "key", "a")
     stars = starred.hint("merge").join(hubs.hint("merge"), ["slot", "key"]).where("a <> fp").select("a", F.col("fp").alias("b"))
@@ -371,7 +372,9 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands:
 def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The documents without those that ``groups`` (doc_id, component_id) links to a smaller id, columns unchanged.
 
-    Rows with a null id stay, and so do all rows that share a kept id.
+    Rows with a null id stay, and so do all rows that share a kept id; null and empty texts are one group, as ``groups``
+    has them. An empty table stays empty.
     """
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(sized(gone), docs[id_col] == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(sized(gone), docs[id_col] == F.col(name), "left_anti")

@@ -8,7 +8,7 @@ WORDS = "the of and river stone house cloud mountain paper light green walking 
 DOCS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
     # names that operators use themselves
-    + [T.StructField(c, T.LongType()) for c in ("row", "key", "chunk", "slot", "fp", "a", "b", "words", "bucket", "id", "at")]
+    + [T.StructField(c, T.LongType()) for c in ("row", "key", "chunk", "slot", "fp", "a", "b", "words", "bucket", "id", "at", "of_doc", "gone", "gone_id", "greatest", "row_", "kind", "peer")]
 )
 
 
@@ -35,7 +35,7 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark, texts):
-    return spark.createDataFrame([(i, t) + (1,) * 11 for i, t in texts], DOCS).repartition(3)
+    return spark.createDataFrame([(i, t) + (1,) * 18 for i, t in texts], DOCS).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -257,3 +257,12 @@ def test_cutting(docs, texts):
     assert left[100] == before[100] and len(left[101].split()) < len(before[101].split()) and 201 not in left and 400 in left and left[401] == ""
     assert without_spans(" a b  c d\n", [(1, 2)]) == " a  d\n"[:2] + " d\n"
     assert without_spans("a b c", [(0, 0), (2, 2)]) == " b"
+
+
+def test_only_the_greatest_text_of_a_repeated_id_is_cut(spark):
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = [(1, "x " + passage), (2, "zz top " + passage + " end"), (2, "a lesser text " * 40), (2, None), (None, passage), (3, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, gone int, Of_Doc int")
+    left = remove_passages(docs, repeated_passages(docs))
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(1, rows[0][1]), (2, "zz top end"), (2, rows[2][1]), (2, ""), (0, passage), (3, "")])

@@ -71,6 +71,10 @@ TEXTS = [
     "undér the mit licensé",
     "", None, "   ", "mit", "license " * 3000 + "cc by nc", "the mit licence under",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided the following conditions are met:",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+    "released under the mit \u212a license; LICEN\u0130SE under the mit licen\u017fe",
+    "Redistribution and use in source and binary forms,\n\nwith or without modification, are permitted provided that the following conditions are met",
 ]
 
 
@@ -89,6 +93,8 @@ def test_licenses_match_sql(spark):
     by = {r.doc_id: r for r in documents.collect()}
     assert by[1].n_base == 2 and (by[1].first_word, by[1].last_word) == (1, 5) and by[2].labels == "all-rights-reserved,apache-2"
     assert by[5].labels == "gpl-3" and by[6].base_labels == "mit" and by[7].base_labels == "" and by[14].labels == "bsd" and by[14].score < 1
+    assert by[15].labels == "mit" and by[16].labels == "mpl-2" and by[17].base_labels == "" and by[18].labels == ""
+    assert by[17].n_words == 11  # the Kelvin sign is no k, the dotted I no i
     assert matches.count() >= 6
     assert licenses.scan(df.limit(0))[0].count() == 0
 
