@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,18 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, fill: bool = True)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if fill else text).alias("text"))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, jobs hand at most so many rows to Python at a time: for rows that may hold long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it until ``df`` has no such column (names differ by more than case)."""
     taken = {c.lower() for c in df.columns}

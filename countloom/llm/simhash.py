@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from countloom.llm.common import binary_array, flat_binary, fresh, id_and_text, parts, sized, written
+from countloom.llm.common import batches_of, binary_array, flat_binary, fresh, id_and_text, parts, sized, written
 from countloom.llm.components import components
 from countloom.llm.passages import MIX, multipliers, shingle_hashes
 from countloom.llm.wordbpe import slices
@@ -280,19 +280,22 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -
             yield own
 
     def first(batches):
-        for batch in batches:
-            sets = [s.astype("<u8").tobytes() for s in each(batch, "a")]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], ["a", "b", "shingles"])
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                sets = [s.astype("<u8").tobytes() for s in each(batch, "a")]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sets, pa.binary())], ["a", "b", "shingles"])
 
     def second(batches):
-        for batch in batches:
-            keep = []
-            for raw, y in zip(batch.column("shingles").to_pylist(), each(batch, "b"), strict=True):
-                x = np.frombuffer(raw, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similar * (len(x) + len(y) - both))
-            table = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield from table.to_batches()
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                raw, begins = flat_binary(batch.column("shingles"))
+                keep = []
+                for k, y in enumerate(each(batch, "b")):
+                    x = raw[begins[k] : begins[k + 1]].view("<u8")
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= similar * (len(x) + len(y) - both))
+                table = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield from table.to_batches()
 
     one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").mapInArrow(first, "a long, b long, shingles binary")
     return one.join(texts.withColumnRenamed("doc_id", "b"), "b").mapInArrow(second, "a long, b long")
@@ -361,10 +364,11 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands:
                 yield pa.RecordBatch.from_arrays(cols, ["slot", "key", "doc"])
 
     own = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    texts = written(own.mapInArrow(run, "doc_id long, key binary, bands binary"), "texts")
-    nodes = written(texts.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
-    keys = written(nodes.mapInArrow(spread, "slot int, key long, doc long"), "keys")
-    found = components(verified_links(keys, own, width=width, similar=similar, bucket=bucket))
+    with batches_of(docs.sparkSession, 500):
+        texts = written(own.mapInArrow(run, "doc_id long, key binary, bands binary"), "texts")
+        nodes = written(texts.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
+        keys = written(nodes.mapInArrow(spread, "slot int, key long, doc long"), "keys")
+        found = components(verified_links(keys, own, width=width, similar=similar, bucket=bucket))
     grouped = nodes.join(found, nodes.doc == found.node, "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     return texts.select("doc_id", "key").join(grouped, "key").select("doc_id", "component_id")
 
