@@ -37,7 +37,7 @@ def byte_letters() -> dict[int, int]:
 class WordEncoder:
     """Encodes words with the tokenizers library. Remembers at most ``most`` plain word bodies at a time."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
