@@ -65,20 +65,44 @@ class Result:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that executors share (spark.checkpoint.dir; one of its own where that is unset)."""
+    """``df`` as a table in the folder that executors share: spark.checkpoint.dir or the context's checkpoint folder. Where
+    both are unset a local session (tests) gets one; on a cluster that is an error."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="countloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="countloom-")
+        spark.sparkContext.setCheckpointDir(root)
     path = os.path.join(root, "countloom", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def packed(logs: DataFrame, d: Design) -> DataFrame:
-    """taxon, at (sample numbers), y: the observed responses of a taxon, in one row (as long as the study has samples)."""
+def packed(logs: DataFrame, d: Design, center: bool = False) -> DataFrame:
+    """taxon, at (sample numbers), y: the observed responses of a taxon, in one row (as long as the study has samples); with
+    ``center`` less their mean, of the samples that the design leaves out too."""
     order = logs.sparkSession.createDataFrame([(s, k) for k, s in enumerate(d.samples)], "sample string, k int")
-    own = logs.where("y IS NOT NULL").join(F.broadcast(order), "sample")
-    row = F.sort_array(F.collect_list(F.struct("k", "y")))
-    return own.groupBy("taxon").agg(row.alias("cells")).select("taxon", F.col("cells.k").alias("at"), F.col("cells.y").alias("y"))
+    own = logs.where("y IS NOT NULL").join(F.broadcast(order), "sample", "left" if center else "inner")
+    row = F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "y"))))
+    rows = own.groupBy("taxon").agg(row.alias("cells"), F.avg("y").alias("mean"))
+    y = F.transform("cells.y", lambda v: v - F.col("mean")) if center else F.col("cells.y")
+    return rows.select("taxon", F.col("cells.k").alias("at"), y.alias("y"))
+
+
+#: Cells of a dense block of taxa: what a task holds at a time is a few such blocks, however many samples there are.
+BLOCK_CELLS = 4_000_000
+
+
+def blocks(batches, n: int):
+    """Batches of taxa in slices whose dense form has ``BLOCK_CELLS`` cells or fewer, or one taxon."""
+    for pdf in batches:
+        step = max(1, BLOCK_CELLS // max(1, n))
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at : at + step].reset_index(drop=True)
 
 
 def responses(pdf: pd.DataFrame, n: int) -> np.ndarray:
@@ -116,17 +140,23 @@ def iterate(table: DataFrame, d: Design, tol: float, most: int) -> tuple[np.ndar
     n = len(d.samples)
     before, theta, trace = None, np.zeros(n), []
 
+    held = table.sparkSession.sparkContext.broadcast(d)  # the design: a row a sample
+
     def round_of(now: np.ndarray, last: np.ndarray | None):
         def run(batches):
+            d = held.value
             total, count, moved = np.zeros(n), np.zeros(n), 0.0
-            for pdf in batches:
+            for pdf in blocks(batches, n):
                 y = responses(pdf, n)
-                coef, fitted, _ = fit_rows(d, y - now)
-                rest = y - fitted
+                rest = y - fit_rows(d, y - now)[1]
                 total += np.nansum(rest, axis=0)
                 count += np.isfinite(rest).sum(axis=0)
                 if last is not None:
-                    moved += float(np.nansum((coef - fit_rows(d, y - last)[0]) ** 2))
+                    # Coefficients are linear in the response, so what they moved by is the fit of the biases' change, one for
+                    # each pattern of observed samples.
+                    seen, times = np.unique(np.isfinite(y), axis=0, return_counts=True)
+                    change = fit_rows(d, np.where(seen, last - now, np.nan))[0]
+                    moved += float((np.nansum(change**2, axis=1) * times).sum())
             yield pd.DataFrame({"k": np.append(np.arange(n), -1), "total": np.append(total, moved), "count": np.append(count, 0)})
 
         return table.mapInPandas(run, "k long, total double, count double").groupBy("k").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
@@ -153,7 +183,7 @@ def estimates(table: DataFrame, d: Design, offset: np.ndarray, residual_offset:
     bread = ginv(d.x[whole].T @ d.x[whole])
 
     def run(batches):
-        for pdf in batches:
+        for pdf in blocks(batches, n):
             y = responses(pdf, n)
             coef, fitted, dof = fit_rows(d, y - offset)
             with np.errstate(invalid="ignore"):
@@ -193,7 +223,7 @@ def sample_biases(table: DataFrame, d: Design, est: DataFrame, delta: np.ndarray
 
     def run(batches):
         total, count = np.zeros(n), np.zeros(n)
-        for pdf in batches:
+        for pdf in blocks(batches, n):
             y = responses(pdf, n)
             beta = np.array([[np.nan if v is None else v for v in b] for b in pdf["beta"]], float).reshape(len(pdf), -1)
             rest = y - np.nan_to_num(beta - delta) @ x.T
@@ -304,7 +334,7 @@ def within_taxa(tested: DataFrame, screen: DataFrame, tests: int, method: str, a
 
 def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
     """The centred log table; only a positive pseudo-count asks for the absent cells."""
-    return transforms.center(transforms.log_counts(densify(counts, samples) if pseudo > 0 else counts, pseudo))
+    return transforms.center(log_table(counts, samples, pseudo))
 
 
 def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
@@ -313,6 +343,7 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     formula, warnings = parse(cfg.formula), []
     if cfg.group:
         warnings = screens.check_groups(samples, cfg.group)
+    counts, samples = kept(counts, "counts"), kept(samples, "samples")  # each is read many times
     n_samples = samples.count()
     zeros = None
     if cfg.struc_zero:
@@ -323,7 +354,7 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     own = samples if cfg.lib_cut <= 0 else samples.join(screens.library_size(o1).where(F.col("size") >= cfg.lib_cut).select("sample"), "sample", "left_semi")
     d = design(own, formula, cfg.group)
     check_identifiable(d)
-    t1 = kept(packed(centred(o1, own, cfg.pseudo), d), "logs")
+    t1 = kept(packed(log_table(o1, own, cfg.pseudo), d, center=True), "logs")
     before, theta, trace = iterate(t1, d, cfg.tol, cfg.max_iter)
     # The residual's fit is of the round before: y - fitted(theta before) - theta.
     est1 = kept(estimates(t1, d, before, theta), "fit")
@@ -331,7 +362,7 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     delta = np.array([mix[c].delta if c in mix else 0.0 for c in d.columns])
     biases = sample_biases(t1, d, est1, delta)
     y2 = centred(o2, own, cfg.pseudo)
-    t2 = kept(packed(y2, d), "logs")
+    t2 = t1 if zeros is None else kept(packed(log_table(o2, own, cfg.pseudo), d, center=True), "logs")
     est2 = kept(estimates(t2, d, biases, biases), "fit")
     vd = spark.createDataFrame([(c, mix[c].var_delta if c in mix else 0.0) for c in d.columns], "coef string, vd double")
     chain = variance_chain(long_estimates(est2, d), vd, cfg.s0_perc)

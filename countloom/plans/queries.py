@@ -198,6 +198,131 @@ register(
 )
 
 
+register(
+    "variance_chain",
+    lambda s, d: (lambda g: _chain(s, g))(group_means(s, d)),
+    sql("SELECT taxon, coef, round(sqrt(r + quantile_cont(r, 0.05) OVER (PARTITION BY coef)), 8) AS se FROM (SELECT taxon, coef, v + 0.0001 + 2 * sqrt(v * 0.0001) AS r FROM (SELECT taxon, grp AS coef, var_samp(y) / count(y) AS v FROM centred JOIN samples USING (sample) GROUP BY 1, 2))", "dense", _CENTRED),
+)
+
+
+def _chain(spark: SparkSession, means: DataFrame) -> DataFrame:
+    from countloom.plans.analysis import variance_chain
+
+    levels = [r.coef for r in means.select("coef").distinct().collect()]  # five segments
+    long = means.select("taxon", "coef", F.lit(0).alias("j"), "lfc", "variance", F.lit(1.0).alias("dof"))
+    out = variance_chain(long, spark.createDataFrame([(c, 0.0001) for c in levels], "coef string, vd double"), 0.05)
+    return rounded(out.select("taxon", "coef", "se"), "se", places=8)
+
+
+def _one_factor(spark: SparkSession, d: str, what: str) -> DataFrame:
+    """The fit of the segment alone to the centred logs of the filled-up table, where closed forms exist."""
+    import numpy as np
+
+    from countloom.plans.analysis import estimates, kept, log_table, long_estimates, packed, sample_biases
+    from countloom.plans.formula import design, design_table, parse
+
+    own = samples(spark, d)
+    plan = design(own, parse("grp"), "grp")
+    if what == "design":
+        return design_table(spark, plan)
+    none = np.zeros(len(plan.samples))
+    table = kept(packed(log_table(counts(spark, d), own, 0.5), plan, center=True), "logs")
+    fit = kept(estimates(table, plan, none, none), "fit")
+    if what == "fit":
+        return rounded(long_estimates(fit, plan).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", places=8).withColumn("variance", F.round("variance", 10))
+    theta = sample_biases(table, plan, fit, np.zeros(len(plan.columns)))
+    return rounded(spark.createDataFrame(zip(plan.samples, theta.tolist(), strict=True), "sample string, theta double"), "theta")
+
+
+_FILLED = _DENSE + """, filled AS (SELECT taxon, sample, ln(n + 0.5) - avg(ln(n + 0.5)) OVER (PARTITION BY taxon) AS y FROM dense
+), levels AS (SELECT min(grp) AS base FROM samples
+), cells AS (SELECT taxon, grp, y, y - avg(y) OVER (PARTITION BY taxon, grp) AS e FROM filled JOIN samples USING (sample)
+), level_fits AS (SELECT taxon, grp, avg(y) AS m, sum(e * e) / (count(*) * count(*)) AS v FROM cells GROUP BY 1, 2
+), base_fits AS (SELECT taxon, m AS m0, v AS v0 FROM level_fits, levels WHERE grp = base
+), size AS (SELECT (count(*) - count(DISTINCT grp))::DOUBLE AS dof FROM samples)"""
+register(
+    "one_factor_fit",
+    lambda s, d: _one_factor(s, d, "fit"),
+    sql("SELECT taxon, '(Intercept)' AS coef, round(m0, 8) AS lfc, round(v0, 10) AS variance, dof FROM base_fits, size UNION ALL SELECT taxon, 'grp' || grp, round(m - m0, 8), round(v + v0, 10), dof FROM level_fits JOIN base_fits USING (taxon), levels, size WHERE grp <> base", "dense", _FILLED),
+)
+register(
+    "sampling_fractions_one_factor",
+    lambda s, d: _one_factor(s, d, "theta"),
+    sql("SELECT sample, round(avg(y - m), 6) AS theta FROM filled JOIN samples USING (sample) JOIN level_fits USING (taxon, grp) GROUP BY sample", "dense", _FILLED),
+)
+register(
+    "design_table",
+    lambda s, d: _one_factor(s, d, "design"),
+    "WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS sample, c_mktsegment AS grp FROM customer) SELECT sample, '(Intercept)' AS coef, 1.0::DOUBLE AS value FROM s UNION ALL SELECT sample, 'grp' || level, (grp = level)::INTEGER::DOUBLE FROM s, (SELECT DISTINCT grp AS level FROM s WHERE grp > (SELECT min(grp) FROM s))",
+)
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    from countloom.sources.results import wide
+
+    means = group_means(spark, d)
+    levels = sorted(r.coef for r in means.select("coef").distinct().collect())  # five segments
+    named = means.select("taxon", "coef", F.round("lfc", 6).alias("lfc"), F.round(F.sqrt("variance"), 6).alias("se"))
+    return wide(named, "coef", ["lfc", "se"], levels)
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # Fixed values: the levels of c_mktsegment.
+register(
+    "wide_results",
+    _wide,
+    sql("SELECT taxon, " + ", ".join(f"max({e}) FILTER (grp = '{g}') AS \"{c}_{g}\"" for c, e in (("lfc", "lfc"), ("se", "se")) for g in _SEGMENTS) + " FROM (SELECT taxon, grp, round(avg(y), 6) AS lfc, round(sqrt(var_samp(y) / count(y)), 6) AS se FROM centred JOIN samples USING (sample) GROUP BY 1, 2) GROUP BY taxon", "dense", _CENTRED),
+)
+
+
+def _bound(spark: SparkSession, d: str) -> DataFrame:
+    from countloom.sources.results import bound, common_samples
+
+    few, many = counts(spark, d), counts(spark, d, "very_sparse").withColumn("extra", F.lit(1))
+    shared = common_samples([few, many])
+    return bound({k: t.join(shared, "sample", "left_semi") for k, t in (("few", few), ("many", many))})
+
+
+register(
+    "bound_tables",
+    _bound,
+    _COUNTS.format(name=_NAMES["dense"]).split(", samples AS")[0] + ", more AS (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS taxon, CAST(o_custkey AS VARCHAR) AS sample, CAST(count(*) AS DOUBLE) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT 'few - ' || taxon AS taxon, sample, n, NULL::INTEGER AS extra FROM counts WHERE sample IN (SELECT sample FROM more) UNION ALL SELECT 'many - ' || taxon, sample, n, 1 FROM more WHERE sample IN (SELECT sample FROM counts)",
+)
+
+
+def _arms(spark: SparkSession, d: str) -> DataFrame:
+    from countloom.sources.results import arms
+
+    return rounded(arms(group_means(spark, d), ["taxon"], "coef", "lfc"), "difference")
+
+
+register(
+    "arm_differences",
+    _arms,
+    sql("SELECT x.taxon, x.coef AS coef_a, y.coef AS coef_b, round(y.lfc - x.lfc, 6) AS difference FROM m x JOIN m y ON x.taxon = y.taxon AND x.coef < y.coef", "dense", _CENTRED, ", m AS (SELECT taxon, grp AS coef, avg(y) AS lfc FROM centred JOIN samples USING (sample) GROUP BY 1, 2)"),
+)
+
+
+def _results(spark: SparkSession, d: str, what: str) -> DataFrame:
+    from countloom.sources.results import calibration, verdicts
+
+    if what == "calibration":
+        return rounded(calibration(group_means(spark, d).withColumn("se", F.sqrt("variance")), "coef"), "spread", "mean_se", "ratio", places=8)
+    hits = counts(spark, d).join(samples(spark, d), "sample").groupBy("taxon", "grp").agg(F.count_if(F.col("n") == 1).alias("hits"), F.count("*").alias("trials"))
+    return rounded(verdicts(hits, 0.5, "grp"), "rate", "se", places=8)
+
+
+register(
+    "se_calibration",
+    lambda s, d: _results(s, d, "calibration"),
+    sql("SELECT coef, count(lfc) AS n, round(stddev_samp(lfc), 8) AS spread, round(avg(se), 8) AS mean_se, round(avg(se) / stddev_samp(lfc), 8) AS ratio FROM (SELECT taxon, grp AS coef, avg(y) AS lfc, sqrt(var_samp(y) / count(y)) AS se FROM centred JOIN samples USING (sample) GROUP BY 1, 2) GROUP BY coef", "dense", _CENTRED),
+)
+register(
+    "rate_verdicts",
+    lambda s, d: _results(s, d, "verdicts"),
+    sql("SELECT grp, round(hits / trials, 8) AS rate, round(sqrt(0.25 / trials), 8) AS se, abs(hits / trials - 0.5) <= 3 * sqrt(0.25 / trials) AS within FROM (SELECT grp, (count(*) FILTER (n = 1))::DOUBLE AS hits, count(*)::DOUBLE AS trials FROM counts JOIN samples USING (sample) GROUP BY grp)"),
+)
+
+
 def _analysis(kind: str, out: str, **how) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         from countloom.plans.analysis import Config, analyze
