@@ -458,15 +458,19 @@ def scored(s: Shape, bucket: np.ndarray) -> Callable:
         if len(total) != len(order):
             raise RuntimeError("a chunk misses words")
         tokens = order[rank].astype(np.int64)
-        pairs = pa.array(tokens * len(order) + np.append(first.astype(np.int64), tokens[:-1])).dictionary_encode()
-        distinct = pairs.dictionary.to_numpy()
+        pairs = tokens * len(order)
+        pairs[0] += int(first[0])
+        pairs[1:] += tokens[:-1]
+        distinct = np.unique(pairs)
         if len(distinct) != len(chance):
             raise RuntimeError("a chunk misses cells")
-        place = np.empty(len(distinct), np.int64)
-        place[np.argsort(distinct)] = np.arange(len(distinct))
+        each = np.empty(len(tokens), np.float32)
+        for at in range(0, len(tokens), 1 << 18):
+            each[at : at + (1 << 18)] = chance[np.searchsorted(distinct, pairs[at : at + (1 << 18)])]
+        del pairs, distinct
         size = size.astype(np.int64)
         begin = np.cumsum(size) - size
-        score = np.add.reduceat(chance.astype(float)[place][pairs.indices.to_numpy()], begin)
+        score = np.add.reduceat(each, begin, dtype=np.float64)
         n = total.astype(np.int64)
         return pa.table(
             {
@@ -486,7 +490,7 @@ def scored(s: Shape, bucket: np.ndarray) -> Callable:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 12 << 20, part_bytes: int = 16 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, burn_in: int = 1, samples: int = 3, strength: float = 1.0, chunk_bytes: int = 8 << 20, part_bytes: int = 16 << 20, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Tokens are the text's words (A-Z lower-cased, ASCII white space) and one end. Training rows are those that are not
