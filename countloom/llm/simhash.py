@@ -304,10 +304,10 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -
 def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: float, bucket: int) -> DataFrame:
     """Links (a, b) that verify, among texts that share a key; ``keys`` has slot, key, doc.
 
-    All pairs of a key with at most ``bucket`` texts are tried. In a larger one hubs are tried with all of its texts, in
-    rounds: first one hub, then more, from the texts that no hub of this key has accepted yet, until each is accepted or
-    has been a hub. So every text is tried with a representative of each class under its keys. Keys draw their hubs by
-    a hash, differently from each other.
+    All pairs of a key with at most ``bucket`` texts are tried. In a larger one hubs are tried, in rounds, with all of its
+    texts that aren't linked to them yet in any way: first one hub, then more, from the texts that aren't linked to the
+    key's first hub, until each is or has been a hub. So no link between texts that would stay apart is lost. Keys draw
+    their hubs by a hash, differently from each other.
     """
     sizes = keys.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(keys.join(sizes, ["slot", "key"]), "shared")
@@ -315,25 +315,31 @@ def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: flo
     pairs = few.alias("x").join(few.alias("y"), ["slot", "key"]).where("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     tried = written(pairs.distinct(), "candidates")
     found = written(verified(tried, docs, width=width, similar=similar), "verified")
-    rest, hubs_each = many, 1
-    while not rest.isEmpty():
-        if hubs_each == 1:  # by partial aggregation, as a key may be very large yet
-            first = F.min(F.struct(F.xxhash64("slot", "key", "doc").alias("h"), "doc"))
-            hubs = rest.groupBy("slot", "key").agg(first.alias("x")).select("slot", "key", F.col("x.doc").alias("hub"))
-        else:
-            order = Window.partitionBy("slot", "key").orderBy(F.xxhash64("slot", "key", "doc"), "doc")
-            hubs = rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs_each).select("slot", "key", F.col("doc").alias("hub"))
-        hubs = written(hubs, "hubs")
-        new = many.join(hubs, ["slot", "key"]).where("doc <> hub").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    if many.isEmpty():
+        return found
+    # By partial aggregation, as a key may be very large yet.
+    first = F.min(F.struct(F.xxhash64("slot", "key", "doc").alias("h"), "doc"))
+    heads = written(many.groupBy("slot", "key").agg(first.alias("x")).select("slot", "key", F.col("x.doc").alias("hub")), "hubs")
+    hubs, rest, hubs_each, labelled = heads, many, bucket, many.withColumn("class", F.col("doc"))
+    while True:
+        of_hubs = hubs.join(labelled.select("slot", "key", F.col("doc").alias("hub"), F.col("class").alias("hub_class")), ["slot", "key", "hub"])
+        apart = labelled.join(of_hubs, ["slot", "key"]).where("class <> hub_class")
+        new = apart.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
         new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
         tried = tried.unionByName(new)
         found = found.unionByName(written(verified(new, docs, width=width, similar=similar), "verified"))
-        either = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("hub"), F.col("b").alias("doc"))
-        accepted = hubs.select("slot", "key", F.col("hub").alias("doc"))
-        accepted = accepted.unionByName(rest.join(hubs, ["slot", "key"]).join(either, ["hub", "doc"], "left_semi").select("slot", "key", "doc"))
-        rest = written(rest.join(accepted.distinct(), ["slot", "key", "doc"], "left_anti"), "rest")
-        hubs_each = bucket if hubs_each == 1 else 4 * hubs_each
-    return found
+        classes = components(found).select(F.col("node").alias("doc"), F.col("component"))
+        labelled = written(many.join(classes, "doc", "left").select("slot", "key", "doc", F.coalesce("component", "doc").alias("class")), "classes")
+        of_heads = heads.join(labelled.select("slot", "key", F.col("doc").alias("hub"), F.col("class").alias("head_class")), ["slot", "key", "hub"]).drop("hub")
+        left = labelled.join(of_heads, ["slot", "key"]).where("class <> head_class").select("slot", "key", "doc")
+        left = left.join(rest, ["slot", "key", "doc"], "left_semi").join(hubs.withColumnRenamed("hub", "doc"), ["slot", "key", "doc"], "left_anti")
+        rest = written(left, "rest")
+        if rest.isEmpty():
+            return found
+        order = Window.partitionBy("slot", "key").orderBy(F.xxhash64("slot", "key", "doc"), "doc")
+        hubs = rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs_each).select("slot", "key", F.col("doc").alias("hub"))
+        hubs = written(hubs, "hubs")
+        hubs_each *= 4
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands: int = 24, rows: int = 5, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
