@@ -260,6 +260,40 @@ def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int, rows: int) -
     return keys.T
 
 
+#: Bits of a parity sketch.
+SKETCH = 1024
+
+
+def sketches(shingles: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many different shingles each text has, and its parity sketch (rows of ``SKETCH`` / 64 longs).
+
+    Each different shingle flips one bit. Shingles of both texts cancel out, so two sketches differ in no more bits than
+    there are shingles in just one of the texts.
+    """
+    texts = len(begins) - 1
+    owner = np.repeat(np.arange(texts), np.diff(begins))
+    order = np.lexsort((shingles, owner))
+    value, owner = shingles[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    value, owner = value[new], owner[new]
+    place = ((value ^ (value >> np.uint64(32))) % np.uint64(SKETCH)).astype(np.int64)
+    odd = np.bincount(owner * SKETCH + place, minlength=texts * SKETCH) % 2
+    bits = np.packbits(odd.astype(np.uint8).reshape(texts, SKETCH), axis=1, bitorder="little")
+    return np.bincount(owner, minlength=texts), bits.view("<i8").reshape(texts, SKETCH // 64)
+
+
+def plausible(pairs: DataFrame, sketched: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) that can have a Jaccard similarity of ``similar`` or more, by ``sketched`` (doc, n, bits): none that
+    has it goes. With J, two sets of n and m members have at most (1 - J) / (1 + J) * (n + m) of them in just one."""
+    for side in "ab":
+        pairs = pairs.join(sketched.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    most = F.lit((1 - similar) / (1 + similar) + 1e-9) * (F.col("n_a") + F.col("n_b"))
+    even = F.least("n_a", "n_b") >= F.lit(similar - 1e-9) * F.greatest("n_a", "n_b")
+    return pairs.where(even & (differ <= most)).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -> DataFrame:
     """The pairs (a, b: ids of ``docs``, which has doc_id and text) whose sets of word shingles have a Jaccard similarity of
     ``similar`` or more. A text of fewer words has itself as its only shingle."""
@@ -301,8 +335,9 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -
     return one.join(texts.withColumnRenamed("doc_id", "b"), "b").mapInArrow(second, "a long, b long")
 
 
-def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: float, bucket: int) -> DataFrame:
-    """Links (a, b) that verify, among texts that share a key; ``keys`` has slot, key, doc.
+def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: float, bucket: int, sketched: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that verify, among texts that share a key; ``keys`` has slot, key, doc. Pairs that ``sketched`` (doc, n,
+    bits) rules out are not compared as texts.
 
     All pairs of a key with at most ``bucket`` texts are tried. In a larger one hubs are tried, in rounds, with all of its
     texts that aren't linked to them yet in any way: first one hub, then more, from the texts that aren't linked to the
@@ -314,7 +349,13 @@ def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: flo
     few, many = shared.where(F.col("n") <= bucket), shared.where(F.col("n") > bucket).select("slot", "key", "doc")
     pairs = few.alias("x").join(few.alias("y"), ["slot", "key"]).where("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     tried = written(pairs.distinct(), "candidates")
-    found = written(verified(tried, docs, width=width, similar=similar), "verified")
+
+    def links_of(new: DataFrame) -> DataFrame:
+        if sketched is not None:
+            new = written(plausible(new, sketched, similar), "plausible")
+        return written(verified(new, docs, width=width, similar=similar), "verified")
+
+    found = links_of(tried)
     if many.isEmpty():
         return found
     # By partial aggregation, as a key may be very large yet.
@@ -327,7 +368,7 @@ def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: flo
         new = apart.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
         new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
         tried = tried.unionByName(new)
-        found = found.unionByName(written(verified(new, docs, width=width, similar=similar), "verified"))
+        found = found.unionByName(links_of(new))
         classes = components(found).select(F.col("node").alias("doc"), F.col("component"))
         labelled = written(many.join(classes, "doc", "left").select("slot", "key", "doc", F.coalesce("component", "doc").alias("class")), "classes")
         of_heads = heads.join(labelled.select("slot", "key", F.col("doc").alias("hub"), F.col("class").alias("head_class")), ["slot", "key", "hub"]).drop("hub")
@@ -358,7 +399,9 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands:
                 shingles, begins = shingle_hashes(part.column("text"), width)
                 found = band_keys(shingles, begins, bands, rows)
                 held = binary_array(found.astype("<u8"), np.where(np.diff(begins) > 0, 8 * bands, 0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), held], ["doc_id", "key", "bands"])
+                n, bits = sketches(shingles, begins)
+                bits = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, SKETCH // 64, dtype=np.int32), pa.array(bits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), held, pa.array(n), bits], ["doc_id", "key", "bands", "n", "bits"])
 
     def spread(batches):
         for batch in batches:
@@ -371,10 +414,11 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands:
 
     own = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     with batches_of(docs.sparkSession, 500):
-        texts = written(own.mapInArrow(run, "doc_id long, key binary, bands binary"), "texts")
-        nodes = written(texts.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")), "nodes")
-        keys = written(nodes.mapInArrow(spread, "slot int, key long, doc long"), "keys")
-        found = components(verified_links(keys, own, width=width, similar=similar, bucket=bucket))
+        texts = written(own.mapInArrow(run, "doc_id long, key binary, bands binary, n long, bits array<long>"), "texts")
+        firsts = (F.first(c).alias(c) for c in ("bands", "n", "bits"))
+        nodes = written(texts.groupBy("key").agg(F.min("doc_id").alias("doc"), *firsts), "nodes")
+        keys = written(nodes.select("doc", "bands").mapInArrow(spread, "slot int, key long, doc long"), "keys")
+        found = components(verified_links(keys, own, width=width, similar=similar, bucket=bucket, sketched=nodes.select("doc", "n", "bits")))
     grouped = nodes.join(found, nodes.doc == found.node, "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     return texts.select("doc_id", "key").join(grouped, "key").select("doc_id", "component_id")
 
