@@ -361,7 +361,7 @@ def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: flo
     # By partial aggregation, as a key may be very large yet.
     first = F.min(F.struct(F.xxhash64("slot", "key", "doc").alias("h"), "doc"))
     heads = written(many.groupBy("slot", "key").agg(first.alias("x")).select("slot", "key", F.col("x.doc").alias("hub")), "hubs")
-    hubs, rest, hubs_each, labelled = heads, many, bucket, many.withColumn("class", F.col("doc"))
+    hubs, rest, hubs_each, labelled = heads, many, 4 * bucket, many.withColumn("class", F.col("doc"))
     while True:
         of_hubs = hubs.join(labelled.select("slot", "key", F.col("doc").alias("hub"), F.col("class").alias("hub_class")), ["slot", "key", "hub"])
         apart = labelled.join(of_hubs, ["slot", "key"]).where("class <> hub_class")
