@@ -266,3 +266,23 @@ def test_only_the_greatest_text_of_a_repeated_id_is_cut(spark):
     left = remove_passages(docs, repeated_passages(docs))
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(1, rows[0][1]), (2, "zz top end"), (2, rows[2][1]), (2, ""), (0, passage), (3, "")])
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(12)
+    sets = [rng.integers(0, 1 << 63, size=n, dtype=np.uint64) for n in (1, 5, 40, 200, 1500)]
+    for base in list(sets):
+        for share in (0.02, 0.1, 0.11, 0.12, 0.3):  # as many shingles replaced or put behind
+            gone = int(share * len(base))
+            new = rng.integers(0, 1 << 63, size=gone, dtype=np.uint64)
+            sets += [np.concatenate([base[gone:], new]), np.concatenate([base, new, base[:3]])]
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    n, bits = simhash.sketches(np.concatenate(sets), begins)
+    assert n.tolist() == [len(set(x.tolist())) for x in sets]
+    own = [set(x.tolist()) for x in sets]
+    pairs = list(combinations(range(len(sets)), 2))
+    similar = {(a, b) for a, b in pairs if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    assert all(sum(int(x).bit_count() for x in (bits[a] ^ bits[b]).view(np.uint64)) <= len(own[a] ^ own[b]) for a, b in pairs)
+    sketched = spark.createDataFrame([(i, int(n[i]), bits[i].tolist()) for i in range(len(sets))], "doc long, n long, bits array<long>")
+    got = {(r.a, r.b) for r in simhash.plausible(spark.createDataFrame(pairs, "a long, b long"), sketched, 0.8).collect()}
+    assert similar <= got and len(got) < len(pairs) / 2
