@@ -6,7 +6,9 @@ whose gap to a query, times ``factor``, exceeds the query's k-th distance so far
 larger factor skips more. Every shard sees every query, in blocks; the k best of all shards are the answer.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, as query or as candidate. Vectors
-of different lengths are never compared. A query never finds rows with its own id. Ties go to the smaller id.
+of different lengths are never compared. A query never finds rows with its own id. Ties go to the smaller id. Rows that
+repeat both id and vector count once, so they take no places among the k best; an id with several vectors is a
+candidate with each.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from countloom.llm.common import written
 
@@ -30,6 +33,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def numbers(df: DataFrame, vector_col: str) -> Column:
+    """The vectors as they are if they are floats (tasks widen them, shuffles move half the bytes), else as doubles."""
+    kind = df.schema[vector_col].dataType
+    return F.col(vector_col) if kind == ArrayType(FloatType()) else F.col(vector_col).cast("array<double>")
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Equally long lists as rows of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -136,7 +145,7 @@ class Tree:
 
 def build_index(vectors: DataFrame, *, shard_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row a shard: dim, shard, ids, points, nodes, order (binary). Every usable row is in one shard."""
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), numbers(vectors, vector_col).alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     sizes = {r.dim: r.n for r in own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     shards = max([1, *(-(-n // shard_rows) for n in sizes.values())])
 
@@ -148,7 +157,8 @@ def build_index(vectors: DataFrame, *, shard_rows: int = 2048, id_col: str = "ve
         blobs = [[x.tobytes()] for x in (ids.astype("<i8"), points, tree.nodes, tree.order.astype("<i8"))]
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32())} | {c: pa.array(x, pa.binary()) for c, x in zip(("ids", "points", "nodes", "order"), blobs, strict=True)})
 
-    dealt = own.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    # Repeats go before rows are dealt, map side first: however often one row stands in the table, no shard holds it twice.
+    dealt = own.distinct().withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     return dealt.groupBy("dim", "shard").applyInArrow(grow, "dim int, shard int, ids binary, points binary, nodes binary, order binary")
 
 
@@ -156,7 +166,7 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, factor: float =
     """The k nearest of the index to each query: query_id, rank (from 1), vec_id, score (cosine in double precision)."""
     if factor < 1 or k < 1:
         raise ValueError("factor and k are 1 at least")
-    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("query_id").isNotNull())
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), numbers(queries, vector_col).alias("v")).where(usable(F.col("v")) & F.col("query_id").isNotNull())
     q = q.withColumn("dim", F.size("v"))
     blocks = max(1, -(-q.count() // block))
     places = index.select(F.col("dim").alias("of_dim"), F.col("shard").alias("of_shard"))

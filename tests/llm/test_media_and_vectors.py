@@ -122,6 +122,16 @@ def test_exact_search_matches_brute_force(vectors):
     assert vptree.neighbours(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_no_places(spark):
+    near = [(1, [1.0, 0.1])] * 9 + [(2, [1.0, 0.2])] * 7
+    far = [(k, [1.0, float(k)]) for k in range(3, 9)]
+    df = spark.createDataFrame([(0, [1.0, 0.0]), *near, *far], "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id) for r in vptree.neighbours(df, every=50, k=5).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    wide = df.select("vec_id", df.embedding.cast("array<double>").alias("embedding"))
+    assert [(r.rank, r.vec_id) for r in vptree.neighbours(wide, every=50, k=5).orderBy("rank").collect()] == got
+
+
 def test_relaxed_search_keeps_recall(vectors):
     rows, df = vectors
     want = brute(rows[:-1], 10, 5)
