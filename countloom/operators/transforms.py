@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from countloom.functions import running
+
+
 def log_counts(counts: DataFrame, pseudo: float = 0.0) -> DataFrame:
     """taxon, sample, y: the log of n + pseudo; null where that isn't positive. With pseudo > 0 give a dense table."""
     if pseudo < 0:
@@ -38,8 +41,7 @@ def pattern_groups(logs: DataFrame) -> DataFrame:
     """taxon, pattern: taxa with the same observed samples share a number, by the first such taxon's name."""
     seen = logs.where("y IS NOT NULL").groupBy("taxon").agg(F.sha2(F.concat_ws("\x1f", F.sort_array(F.collect_list("sample"))), 256).alias("key"))
     first = seen.groupBy("key").agg(F.min("taxon").alias("first"))
-    # Patterns may be as many as taxa; numbering them needs one order, of these short rows alone.
-    number = first.withColumn("pattern", F.dense_rank().over(Window.orderBy("first")))
+    number = running.numbered(running.in_order(first, [], [F.col("first")]), [], "pattern").select("key", F.col("pattern").cast("int").alias("pattern"))
     return seen.join(number, "key").select("taxon", "pattern")
 
 

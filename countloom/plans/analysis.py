@@ -7,9 +7,6 @@ recomputes the fits of this and the round before from two vectors in the tasks'
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +21,7 @@ from countloom.functions.padjust import adjust
 from countloom.operators import screens, transforms
 from countloom.plans.formula import Design, check_identifiable, design, parse
 from countloom.sources.counts import densify
+from countloom.sources.shared import kept
 
 
 @dataclass(frozen=True)
@@ -64,24 +62,6 @@ class Result:
     samples: DataFrame | None = None
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that executors share: spark.checkpoint.dir or the context's checkpoint folder. Where
-    both are unset a local session (tests) gets one; on a cluster that is an error."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="countloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = os.path.join(root, "countloom", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(logs: DataFrame, d: Design, center: bool = False) -> DataFrame:
     """taxon, at (sample numbers), y: the observed responses of a taxon, in one row (as long as the study has samples); with
     ``center`` less their mean, of the samples that the design leaves out too."""
@@ -329,7 +309,7 @@ def within_taxa(tested: DataFrame, screen: DataFrame, tests: int, method: str, a
     own = tested.join(screen, "taxon").withColumn("p", F.when(F.col("screened"), F.col("p")).otherwise(1.0)).drop("screened")
     if not sizes.r:
         return own.withColumn("q", F.lit(1.0)).withColumn("diff", F.lit(False))
-    return adjust(own, "p", ["taxon"], "contrast", method, n=F.lit(tests * sizes.taxa / sizes.r)).withColumn("diff", F.col("q") <= alpha)
+    return adjust(own, "p", ["taxon"], "contrast", method, n=F.lit(tests * sizes.taxa / sizes.r), short=True).withColumn("diff", F.col("q") <= alpha)
 
 
 def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:

@@ -73,12 +73,26 @@ def threshold_losses(rows: DataFrame, samples: DataFrame, taxa: int, method: str
         each = ranked(each, ["a", "b", "split", "train"])
     train = F.col("train")
     pairs = each.groupBy("a", "b", "split").agg(F.corr(F.when(train, F.col("x")), F.when(train, F.col("y"))).alias("r1"), F.corr(F.when(~train, F.col("x")), F.when(~train, F.col("y"))).alias("r2"))
-    grid = F.array(*(F.lit(highest * k / max(1, thresh_len - 1)) for k in range(thresh_len)))
-    at = pairs.where("r1 IS NOT NULL AND r2 IS NOT NULL AND NOT isnan(r1) AND NOT isnan(r2)").withColumn("thresh", F.explode(grid))
-    size = F.abs("r1") - F.col("thresh") if soft else F.abs("r1")
-    cut = F.when(F.abs("r1") <= F.col("thresh"), 0.0).otherwise(F.signum("r1") * size)
+    # A pair is cut by the thresholds from its cell on: the first that is no less than |r1|. Sums by cell, of which there are
+    # as many as thresholds, add up to those of every threshold.
+    unit = F.lit(float(max(1, thresh_len - 1)))
+    at = lambda k: F.lit(highest) * k / unit
+    size = F.abs("r1")
+    near = F.ceil(size * unit / F.lit(highest)) if highest > 0 else F.lit(0)
+    seen = pairs.where("r1 IS NOT NULL AND r2 IS NOT NULL AND NOT isnan(r1) AND NOT isnan(r2)").withColumn("cell", near.cast("double"))
+    seen = seen.withColumn("cell", F.greatest(F.lit(0.0), F.when(size > at(F.col("cell")), F.col("cell") + 1).when(size <= at(F.col("cell") - 1), F.col("cell") - 1).otherwise(F.col("cell"))))
     weight = F.when(F.col("r2") == 0, 0.0).otherwise(1 / F.abs(F.col("r2") + 1e-10))
-    sums = at.groupBy("split", "thresh").agg(F.sum((cut - F.col("r2")) ** 2).alias("d2"), F.sum(weight * F.abs(cut)).alias("penalty"))
+    rest = size - F.signum("r1") * F.col("r2")
+    parts = {"below": F.col("r2") ** 2, "one": F.lit(1.0), "u": rest, "u2": rest**2, "w": weight, "wr": weight * size}
+    cells = seen.groupBy("split", "cell").agg(*(F.sum(v).alias(k) for k, v in parts.items()))
+    grid = seen.select("split").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(thresh_len - 1)))).withColumn("cell", F.col("cell").cast("double"))
+    filled = grid.join(cells, ["split", "cell"], "full").fillna(0.0)
+    up = Window.partitionBy("split").orderBy("cell")
+    over = up.rowsBetween(1, Window.unboundedFollowing)
+    sums = filled.select("split", "cell", at(F.col("cell")).alias("thresh"), F.sum("below").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("below"), *(F.coalesce(F.sum(k).over(over), F.lit(0.0)).alias(k) for k in list(parts)[1:])).where(F.col("cell") < thresh_len)
+    t = F.col("thresh")
+    d2 = F.col("below") + (F.col("u2") - 2 * t * F.col("u") + t * t * F.col("one") if soft else F.col("u2"))
+    sums = sums.withColumn("d2", F.greatest(F.lit(0.0), d2)).withColumn("penalty", F.col("wr") - t * F.col("w") if soft else F.col("wr"))
     # Pairs count twice, and a taxon with itself once: there only a soft threshold makes a difference.
     fro = 2 * F.col("d2") + (taxa * F.col("thresh") ** 2 if soft else F.lit(0.0))
     losses = sums.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("loss", 0.5 * F.sqrt(fro) + F.col("alpha") * 2 * F.col("penalty"))

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -235,3 +237,39 @@ def test_global_and_pairwise_tests(spark):
     assert set(pairs[pairs["diff"] & pairs["taxon"].isin(["t00", "t01", "t02", "t03"])]["contrast"]) >= {"group2", "group2_group1"}
     with pytest.raises(ValueError, match="fewer than two samples"):
         analyze(*tables(spark, COUNTS, [1] * 9 + [2]), Config("group", group="group"))
+
+
+def closed(p):
+    """The closure of Simes' tests over all subsets."""
+    out = np.zeros(len(p))
+    for m in range(1, len(p) + 1):
+        for own in combinations(range(len(p)), m):
+            simes = min(m * np.sort(p[list(own)]) / np.arange(1, m + 1))
+            out[list(own)] = np.maximum(out[list(own)], simes)
+    return np.minimum(1, out)
+
+
+def test_hommel_is_the_closure_of_simes():
+    rng = np.random.default_rng(2)
+    for k in range(120):
+        p = rng.random(rng.integers(1, 9)) ** rng.integers(1, 4)
+        p = np.round(p, 1) if k % 3 == 0 else p
+        assert np.allclose(hommel_array(p), closed(p), atol=1e-14)
+        assert np.allclose(hommel_array(p, len(p) + 2.9), closed(np.append(p, [1, 1]))[: len(p)], atol=1e-14)
+    assert hommel_array(np.array([])).size == 0 and (hommel_array(np.ones(4)) == 1).all()
+
+
+@pytest.mark.parametrize("method", ["holm", "hochberg", "bh", "by"])
+def test_adjustment_over_many_ranges_equals_one_window(spark, method):
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 7 == 0 else "ab"[k % 2], k, None if k % 50 == 3 else float(np.round(rng.random() ** 3, 3))) for k in range(900)]
+    table = spark.createDataFrame(rows, "f string, k int, p double").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # one range for each shuffle partition
+    try:
+        for by in (["f"], []):
+            far, near = (adjust(table, "p", by, "k", method, short=s).toPandas().sort_values("k") for s in (False, True))
+            assert len(far) == 900 and np.allclose(far["q"], near["q"], equal_nan=True) and far["q"].isna().sum() == 18
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert adjust(table.limit(0), "p", ["f"], "k", method).count() == 0
