@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,38 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder set in the context. Where both are
-    unset, a local session (tests) gets one; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="countloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def stored(df: DataFrame, name: str) -> str:
-    """Writes ``df`` as a Parquet table to the shared folder; its path."""
-    path = os.path.join(shared_dir(df.sparkSession), "countloom", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return path
+from countloom.sources.shared import dropped, kept, shared_dir, stored  # noqa: F401
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts lineage and outlives any executor."""
-    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a table that ``stored`` wrote and nothing reads any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return kept(df, name)
 
 
 def reclaim(spark: SparkSession) -> None:
