@@ -75,6 +75,12 @@ def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.filter_audit import audit
+
+    return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compact_windows": op1_compact_windows,
@@ -87,10 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_word_table_bpe": op8_word_table_bpe,
         "op9_pitman_yor": op9_pitman_yor,
         "op10_vantage_point_trees": op10_vantage_point_trees,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from countloom.llm import licenses
+    from countloom.llm import filter_audit, licenses
 
-    return {"op5_license_scan": licenses.oracle_sql()}
+    return {"op5_license_scan": licenses.oracle_sql(), "op12_filter_audit": filter_audit.oracle_sql()}
