@@ -59,6 +59,20 @@ def sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(small) if small.count() <= most else small
 
 
+#: A key of more than this share of all rows is joined by broadcast; of such keys there are fewer than its inverse.
+HOT_SHARE = 1 / 1024
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, whose keys are unique and stand in ``weight`` of the ``total`` rows: no key is hot in a
+    shuffle, since the frequent ones are broadcast. Both tables are read twice."""
+    most = int(total * HOT_SHARE)
+    hot, rest = table.where(F.col(weight) > most), table.where(F.col(weight) <= most)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return near.unionByName(far)
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

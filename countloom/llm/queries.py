@@ -81,6 +81,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from countloom.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compact_windows": op1_compact_windows,
@@ -94,10 +100,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pitman_yor": op9_pitman_yor,
         "op10_vantage_point_trees": op10_vantage_point_trees,
         "op12_filter_audit": op12_filter_audit,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from countloom.llm import filter_audit, licenses
+    from countloom.llm import conversation_trie, filter_audit, licenses
 
-    return {"op5_license_scan": licenses.oracle_sql(), "op12_filter_audit": filter_audit.oracle_sql()}
+    return {
+        "op5_license_scan": licenses.oracle_sql(),
+        "op12_filter_audit": filter_audit.oracle_sql(),
+        "op13_conversation_trie": conversation_trie.oracle_sql(),
+    }
