@@ -18,11 +18,12 @@ from countloom.sources.shared import kept
 PART, SEQ = "_part", "_seq"
 
 
-def in_order(table: DataFrame, by: list[str], order: list[Column], select: list[Column] | None = None) -> DataFrame:
+def in_order(table: DataFrame, by: list[str], order: list[Column], select: list[Column] | None = None, coarse: list[Column] | None = None) -> DataFrame:
     """The table, or ``select`` of it, sorted by family and ``order``, with ``_part`` (its range) and ``_seq`` (rising
-    along the whole order); nulls sort first."""
-    keys = [F.col(c) for c in by] + order
-    placed = table.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    along the whole order); nulls sort first. Ranges are of ``coarse``, if given: short values that rise with ``order``,
+    as the ranges' bounds meet on the driver."""
+    family = [F.col(c) for c in by]
+    placed = table.repartitionByRange(*family, *(coarse or order)).sortWithinPartitions(*family, *order)
     out = [F.col(c) for c in table.columns] if select is None else select
     return kept(placed.select(*out, F.spark_partition_id().alias(PART), F.monotonically_increasing_id().alias(SEQ)), "ordered")
 
