@@ -33,6 +33,18 @@ def pivots(x: np.ndarray, tol: float = 1e-7) -> list[int]:
     return kept
 
 
+def gram_pivots(gram: np.ndarray, tol: float = 1e-13, columns: list[int] | None = None) -> list[int]:
+    """As ``pivots``, from X'X: a column is left out if less than ``tol`` of its square is outside the span of those kept.
+    (Squares: ``tol`` is near rounding; columns should be centred or of like size.)"""
+    kept: list[int] = []
+    for j in range(len(gram)) if columns is None else columns:
+        own = gram[j, j]
+        rest = own - gram[j, kept] @ np.linalg.solve(gram[np.ix_(kept, kept)], gram[kept, j]) if kept else own
+        if own > 0 and rest > tol * own:
+            kept.append(j)
+    return kept
+
+
 def least_squares(x: np.ndarray, y: np.ndarray, tol: float = 1e-7) -> Fit:
     """Least squares of the columns of y on x; dependent columns of x are aliased."""
     y = y.reshape(len(x), -1)

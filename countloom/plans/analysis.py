@@ -1,13 +1,12 @@
 """The whole analysis: screens, bias-corrected log-linear fits, tests.
 
-Counts stay long and distributed; what meets on the driver has a row for each sample, coefficient or group level. The
-iterated fit keeps no state in a table: each round's coefficients follow from that round's sample biases, so a round
-recomputes the fits of this and the round before from two vectors in the tasks' closure, and returns sums by sample.
+Counts stay long and distributed, fits are passes over a table by sample (``sheets``); what meets on the driver has a row
+for each taxon, coefficient or group level.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -16,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from countloom.functions.dist import chi2_tails, f_tails, t_two_sided
-from countloom.functions.kernels import Mixture, bias_mixture, fit_taxon, ginv, least_squares, pivots, sandwich
+from countloom.functions.kernels import Mixture, bias_mixture, ginv
 from countloom.functions.padjust import adjust
 from countloom.operators import screens, transforms
-from countloom.plans.formula import Design, check_identifiable, design, parse
+from countloom.plans.formula import Design, Frame, check_identifiable, frame, parse
+from countloom.plans.sheets import estimates, fit, iterate, sheets, solvers, theta_of, unscaled, with_biases
 from countloom.sources.counts import densify
+from countloom.sources.results import checked
 from countloom.sources.shared import kept
 
 
@@ -43,6 +44,8 @@ class Config:
     em_tol: float = 1e-5
     em_max_iter: int = 100
     fwer: str = "holm"
+    #: The sandwich skips missing cells (else each adds 0.1 to every entry), and a p-value of 0 stays 0 in pairwise tests.
+    strict: bool = False
 
 
 @dataclass
@@ -51,7 +54,7 @@ class Result:
     vcov: DataFrame
     theta: DataFrame
     zeros: DataFrame | None
-    design: Design
+    design: Frame
     mixtures: dict[str, Mixture]
     epsilons: list[float]
     warnings: list[str] = field(default_factory=list)
@@ -92,90 +95,7 @@ def responses(pdf: pd.DataFrame, n: int) -> np.ndarray:
     return y
 
 
-def fit_rows(d: Design, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, fitted values and degrees of freedom of each row of y; rows with one pattern share a factorisation."""
-    p, n = d.x.shape[1], d.x.shape[0]
-    coef, fitted, dof = np.full((len(y), p), np.nan), np.full((len(y), n), np.nan), np.full(len(y), 999.0)
-    whole = np.isfinite(d.x).all(axis=1)
-    seen = np.isfinite(y) & whole
-    by: dict[bytes, list[int]] = {}
-    for i, mask in enumerate(seen):
-        by.setdefault(mask.tobytes(), []).append(i)
-    for rows in by.values():
-        use = seen[rows[0]]
-        if len(pivots(d.x[use])) == p:
-            own = least_squares(d.x[use], y[np.ix_(rows, use)].T)
-            coef[rows], dof[rows] = own.coef.T, own.dof
-            part = np.zeros((len(rows), n))
-            part[:, use] = own.fitted.T
-            fitted[rows] = part
-        else:
-            for i in rows:
-                coef[i], fitted[i], dof[i] = fit_taxon(d.x, y[i], d.levels, d.group_columns)
-    return coef, fitted, dof
-
-
-def iterate(table: DataFrame, d: Design, tol: float, most: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Sample biases before and after the last round, and each round's change."""
-    n = len(d.samples)
-    before, theta, trace = None, np.zeros(n), []
-
-    held = table.sparkSession.sparkContext.broadcast(d)  # the design: a row a sample
-
-    def round_of(now: np.ndarray, last: np.ndarray | None):
-        def run(batches):
-            d = held.value
-            total, count, moved = np.zeros(n), np.zeros(n), 0.0
-            for pdf in blocks(batches, n):
-                y = responses(pdf, n)
-                rest = y - fit_rows(d, y - now)[1]
-                total += np.nansum(rest, axis=0)
-                count += np.isfinite(rest).sum(axis=0)
-                if last is not None:
-                    # Coefficients are linear in the response, so what they moved by is the fit of the biases' change, one for
-                    # each pattern of observed samples.
-                    seen, times = np.unique(np.isfinite(y), axis=0, return_counts=True)
-                    change = fit_rows(d, np.where(seen, last - now, np.nan))[0]
-                    moved += float((np.nansum(change**2, axis=1) * times).sum())
-            yield pd.DataFrame({"k": np.append(np.arange(n), -1), "total": np.append(total, moved), "count": np.append(count, 0)})
-
-        return table.mapInPandas(run, "k long, total double, count double").groupBy("k").agg(F.sum("total").alias("total"), F.sum("count").alias("count"))
-
-    for _ in range(most):
-        sums = round_of(theta, before).toPandas().set_index("k")  # a row for each sample
-        own = sums.loc[sums.index >= 0].sort_index()
-        new = np.full(n, np.nan)
-        new[own.index] = own["total"] / own["count"].where(own["count"] > 0)
-        moved = float(sums["total"].get(-1, 0.0))
-        with np.errstate(invalid="ignore"):
-            change = (new - theta) ** 2
-        trace.append(float(np.sqrt(moved + np.nansum(change))))
-        before, theta = theta, new
-        if trace[-1] <= tol:
-            break
-    return before, theta, trace
-
-
-def estimates(table: DataFrame, d: Design, offset: np.ndarray, residual_offset: np.ndarray) -> DataFrame:
-    """taxon, beta, vcov (row by row), dof: the fit of y - offset; residuals also lose ``residual_offset``'s difference."""
-    n, p = d.x.shape
-    whole = np.isfinite(d.x).all(axis=1)
-    bread = ginv(d.x[whole].T @ d.x[whole])
-
-    def run(batches):
-        for pdf in blocks(batches, n):
-            y = responses(pdf, n)
-            coef, fitted, dof = fit_rows(d, y - offset)
-            with np.errstate(invalid="ignore"):
-                rest = (y - fitted) - residual_offset
-            vcov = [sandwich(d.x, r, bread).reshape(-1).tolist() for r in rest]
-            beta = [[None if np.isnan(v) else float(v) for v in c] for c in coef]
-            yield pd.DataFrame({"taxon": pdf["taxon"], "beta": beta, "vcov": vcov, "dof": dof})
-
-    return table.mapInPandas(run, "taxon string, beta array<double>, vcov array<double>, dof double")
-
-
-def long_estimates(est: DataFrame, d: Design) -> DataFrame:
+def long_estimates(est: DataFrame, d: Frame) -> DataFrame:
     """taxon, coef, j, lfc, variance, dof."""
     p = len(d.columns)
     names = F.array(*map(F.lit, d.columns))
@@ -197,27 +117,6 @@ def mixtures(long: DataFrame, columns: list[str], tol: float, most: int) -> dict
     return {c: found[c] for c in columns if c in found}
 
 
-def sample_biases(table: DataFrame, d: Design, est: DataFrame, delta: np.ndarray) -> np.ndarray:
-    """The mean over taxa of y less the bias-corrected fit, missing terms of the fit left out."""
-    n, x = len(d.samples), np.nan_to_num(d.x)
-
-    def run(batches):
-        total, count = np.zeros(n), np.zeros(n)
-        for pdf in blocks(batches, n):
-            y = responses(pdf, n)
-            beta = np.array([[np.nan if v is None else v for v in b] for b in pdf["beta"]], float).reshape(len(pdf), -1)
-            rest = y - np.nan_to_num(beta - delta) @ x.T
-            total += np.nansum(rest, axis=0)
-            count += np.isfinite(rest).sum(axis=0)
-        yield pd.DataFrame({"k": np.arange(n), "total": total, "count": count})
-
-    sums = table.join(est.select("taxon", "beta"), "taxon").mapInPandas(run, "k long, total double, count double")
-    own = sums.groupBy("k").agg(F.sum("total").alias("total"), F.sum("count").alias("count")).toPandas().set_index("k").sort_index()
-    out = np.full(n, np.nan)
-    out[own.index] = own["total"] / own["count"].where(own["count"] > 0)
-    return out
-
-
 @F.pandas_udf(T.DoubleType())
 def t_test(w: pd.Series, dof: pd.Series) -> pd.Series:
     """The two-sided p-value of w; 1 where w is missing."""
@@ -244,13 +143,13 @@ def primary_test(chain: DataFrame, method: str, alpha: float) -> DataFrame:
     return adjust(tested, "p", ["coef"], "taxon", method).withColumn("diff", F.col("q") <= alpha)
 
 
-def group_blocks(result: DataFrame, est: DataFrame, d: Design) -> DataFrame:
+def group_blocks(result: DataFrame, est: DataFrame, d: Frame) -> DataFrame:
     """taxon, b, v (the group's coefficients and covariance, with the final variances on its diagonal), dof."""
     rows = result.groupBy("taxon").agg(F.sort_array(F.collect_list(F.struct("j", "lfc", "se"))).alias("own"), F.first("dof").alias("dof"))
     return rows.join(est.select("taxon", "vcov"), "taxon").select("taxon", F.col("own.lfc").alias("b"), F.col("own.se").alias("se"), "vcov", "dof")
 
 
-def global_test(result: DataFrame, est: DataFrame, d: Design, method: str, alpha: float) -> DataFrame:
+def global_test(result: DataFrame, est: DataFrame, d: Frame, method: str, alpha: float) -> DataFrame:
     """taxon, W, p, q, diff: whether any of the group's coefficients differs from zero."""
     p, cols = len(d.columns), sorted(d.group_columns)
 
@@ -272,7 +171,7 @@ def global_test(result: DataFrame, est: DataFrame, d: Design, method: str, alpha
     return adjust(tested, "p", [], "taxon", method).withColumn("diff", F.col("q") <= alpha)
 
 
-def pairwise_test(result: DataFrame, est: DataFrame, d: Design, method: str, alpha: float) -> DataFrame:
+def pairwise_test(result: DataFrame, est: DataFrame, d: Frame, method: str, alpha: float, strict: bool = False) -> DataFrame:
     """taxon, contrast, lfc, se, W, p, q, diff: each level against the first and against each other, the mixed directional
     false discovery rate held: taxa that pass a global screen are adjusted within themselves. Without any such taxon
     every q is 1."""
@@ -299,14 +198,15 @@ def pairwise_test(result: DataFrame, est: DataFrame, d: Design, method: str, alp
 
     tested = group_blocks(result, est, d).mapInPandas(run, "taxon string, contrast string, lfc double, se double, W double, p double")
     screen = global_test(result, est, d, "bh", alpha).select("taxon", F.col("diff").alias("screened"))
-    return within_taxa(tested, screen, len(labels), method, alpha)
+    return within_taxa(tested, screen, len(labels), method, alpha, strict)
 
 
-def within_taxa(tested: DataFrame, screen: DataFrame, tests: int, method: str, alpha: float) -> DataFrame:
+def within_taxa(tested: DataFrame, screen: DataFrame, tests: int, method: str, alpha: float, strict: bool = False) -> DataFrame:
     """p is 1 for taxa that fail the screen (taxon, screened); q is adjusted within each taxon, for as many tests as a
-    taxon has times the share of taxa that pass."""
+    taxon has times the share of taxa that pass. Unless ``strict``, a p-value of exactly 0 becomes 1, as in published results."""
     sizes = screen.agg(F.count("*").alias("taxa"), F.count_if("screened").alias("r")).first()
-    own = tested.join(screen, "taxon").withColumn("p", F.when(F.col("screened"), F.col("p")).otherwise(1.0)).drop("screened")
+    counts = F.col("screened") if strict else F.col("screened") & (F.col("p") != 0)
+    own = tested.join(screen, "taxon").withColumn("p", F.when(counts, F.col("p")).otherwise(1.0)).drop("screened")
     if not sizes.r:
         return own.withColumn("q", F.lit(1.0)).withColumn("diff", F.lit(False))
     return adjust(own, "p", ["taxon"], "contrast", method, n=F.lit(tests * sizes.taxa / sizes.r), short=True).withColumn("diff", F.col("q") <= alpha)
@@ -320,10 +220,11 @@ def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
 def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     """``counts``: taxon, sample, n. ``samples``: sample and covariates; a null group is no group."""
     spark: SparkSession = counts.sparkSession
-    formula, warnings = parse(cfg.formula), []
-    if cfg.group:
-        warnings = screens.check_groups(samples, cfg.group)
+    formula = parse(cfg.formula)
     counts, samples = kept(counts, "counts"), kept(samples, "samples")  # each is read many times
+    warnings = checked(counts, samples)[1]
+    if cfg.group:
+        warnings += screens.check_groups(samples, cfg.group)
     n_samples = samples.count()
     zeros = None
     if cfg.struc_zero:
@@ -332,22 +233,32 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         zeros = kept(screens.structural_zeros(counts, samples.select("sample", F.col(cfg.group).alias("grp")), cfg.neg_lb), "zeros")
     o1, o2 = screens.two_tables(counts.join(samples.select("sample"), "sample", "left_semi"), n_samples, zeros, cfg.prv_cut, cfg.lib_cut)
     own = samples if cfg.lib_cut <= 0 else samples.join(screens.library_size(o1).where(F.col("size") >= cfg.lib_cut).select("sample"), "sample", "left_semi")
-    d = design(own, formula, cfg.group)
-    check_identifiable(d)
-    t1 = kept(packed(log_table(o1, own, cfg.pseudo), d, center=True), "logs")
-    before, theta, trace = iterate(t1, d, cfg.tol, cfg.max_iter)
-    # The residual's fit is of the round before: y - fitted(theta before) - theta.
-    est1 = kept(estimates(t1, d, before, theta), "fit")
+    d = frame(own, formula, cfg.group)
+    gram, _, every = check_identifiable(d)
+    missing = None if cfg.strict else 0.1
+    y1 = kept(centred(o1, own, cfg.pseudo), "logs")
+    s1 = sheets(y1, d, gram, every)
+    known = solvers(s1)
+    beta1, _, trace = iterate(s1, known, cfg.tol, cfg.max_iter)
+    est1 = estimates(s1, known, beta1, beta1, missing)
     mix = mixtures(long_estimates(est1, d), d.columns, cfg.em_tol, cfg.em_max_iter)
     delta = np.array([mix[c].delta if c in mix else 0.0 for c in d.columns])
-    biases = sample_biases(t1, d, est1, delta)
-    y2 = centred(o2, own, cfg.pseudo)
-    t2 = t1 if zeros is None else kept(packed(log_table(o2, own, cfg.pseudo), d, center=True), "logs")
-    est2 = kept(estimates(t2, d, biases, biases), "fit")
+    s1 = with_biases(s1, unscaled(np.linalg.inv(s1.basis), beta1) - delta)
+    theta = theta_of(s1)
+    if lost := theta.where("theta IS NULL").count():
+        warnings.append(f"the biases of {lost} samples can't be estimated: too few counts")
+    y2, s2 = y1, s1
+    if zeros is not None:
+        y2 = kept(centred(o2, own, cfg.pseudo), "logs")
+        s2 = sheets(y2, d, gram, every)
+        s2 = replace(s2, rows=kept(s2.rows.join(s1.rows.select("sample", "theta"), "sample", "left"), "sheets"))
+    known = solvers(s2)
+    beta2, _ = fit(s2, known, None, None)
+    est2 = estimates(s2, known, beta2, None, missing)
     vd = spark.createDataFrame([(c, mix[c].var_delta if c in mix else 0.0) for c in d.columns], "coef string, vd double")
     chain = variance_chain(long_estimates(est2, d), vd, cfg.s0_perc)
     primary = kept(primary_test(chain, cfg.p_adjust, cfg.alpha), "primary")
-    theta_table = spark.createDataFrame([(s, None if np.isnan(v) else float(v)) for s, v in zip(d.samples, biases, strict=True)], "sample string, theta double")
+    theta_table = theta
     wide = cfg.group is not None and len(d.group_levels) >= 3
     return Result(
         primary=primary,
@@ -359,7 +270,7 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         epsilons=trace,
         warnings=warnings,
         global_test=global_test(primary, est2, d, cfg.p_adjust, cfg.alpha) if cfg.global_test and wide else None,
-        pairwise=pairwise_test(primary, est2, d, cfg.fwer, cfg.alpha) if cfg.pairwise and wide else None,
+        pairwise=pairwise_test(primary, est2, d, cfg.fwer, cfg.alpha, cfg.strict) if cfg.pairwise and wide else None,
         corrected=transforms.subtract_by_sample(y2, theta_table),
         table=o2,
         samples=own,
@@ -383,11 +294,12 @@ def analyze_plain(counts: DataFrame, samples: DataFrame, cfg: Config, conserve:
     spark: SparkSession = counts.sparkSession
     screened = screens.library_filter(screens.prevalence_filter(counts, samples.count(), cfg.prv_cut), cfg.lib_cut)
     own = samples if cfg.lib_cut <= 0 else samples.join(screened.select("sample").distinct(), "sample", "left_semi")
-    d = design(own, parse(cfg.formula), cfg.group)
-    check_identifiable(d)
-    t = kept(packed(log_table(screened, own, cfg.pseudo), d), "logs")
-    before, theta, _ = iterate(t, d, cfg.tol, cfg.max_iter)
-    est = kept(estimates(t, d, before, theta), "fit")
+    d = frame(own, parse(cfg.formula), cfg.group)
+    gram, _, every = check_identifiable(d)
+    t = sheets(log_table(screened, own, cfg.pseudo), d, gram, every)
+    known = solvers(t)
+    beta, _, _ = iterate(t, known, cfg.tol, cfg.max_iter)
+    est = estimates(t, known, beta, beta, None if cfg.strict else 0.1)
     long = long_estimates(est, d)
     mix = mixtures(long, d.columns, cfg.em_tol, cfg.em_max_iter)
     bias = spark.createDataFrame([(c, float(m.delta), float(m.var_delta)) for c, m in mix.items()], "coef string, delta double, vd double")
@@ -407,9 +319,8 @@ def analyze_plain(counts: DataFrame, samples: DataFrame, cfg: Config, conserve:
         table = table.withColumns({c: F.when(F.col("apart"), 0.0).otherwise(F.col(c)) for c in ("se", "p", "q")}).drop("apart")
     primary = table.withColumn("diff", F.coalesce(F.col("q") <= cfg.alpha, F.lit(False)))
     delta = np.array([mix[c].delta if c in mix else 0.0 for c in d.columns])
-    biases = sample_biases(t, d, est, delta)
-    theta_table = spark.createDataFrame([(s, None if np.isnan(b) else float(b)) for s, b in zip(d.samples, biases, strict=True)], "sample string, theta double")
-    return PlainResult(primary, theta_table, zeros, mix)
+    theta = theta_of(with_biases(t, unscaled(np.linalg.inv(t.basis), beta) - delta))
+    return PlainResult(primary, theta, zeros, mix)
 
 
 def log_table(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:

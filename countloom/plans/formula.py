@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countloom.functions.kernels import gram_pivots
+
 TOKEN = re.compile(r"\s*(?:([A-Za-z_][\w.]*)|([+\-:*])|([01])|(\S))")
 
 
@@ -59,9 +63,22 @@ def parse(text: str) -> Formula:
     return Formula(tuple(sorted(found, key=len)), intercept)
 
 
+@dataclass
+class Frame:
+    """The design as a table: sample, x (an array, null where a covariate is missing), whole (no such null), level (the
+    group's, from 0; -1: none), and names: columns, the group level that each column is of, and levels in order."""
+
+    rows: DataFrame
+    columns: list[str]
+    numeric: list[int]
+    group_columns: dict[int, int] = field(default_factory=dict)
+    group_levels: list[str] = field(default_factory=list)
+    intercept: bool = True
+
+
 @dataclass
 class Design:
-    """Samples in order, their design rows (nan: incomplete), column names, and the group each column is a level of."""
+    """A collected design: samples in order, their rows (nan: incomplete), and the names of ``Frame``."""
 
     samples: list[str]
     x: np.ndarray
@@ -71,30 +88,38 @@ class Design:
     levels: np.ndarray | None = None
 
 
-def design(samples: DataFrame, formula: Formula, group: str | None = None) -> Design:
-    """The design of a table of samples (column sample). Text columns are factors with sorted levels.
+#: A factor has at most so many levels, since each becomes a coefficient.
+MOST_LEVELS = 1000
 
-    In a main effect the first level has no column; in an interaction without its main effect a factor keeps all. The
-    design has one row a sample and is collected: samples are as many as a study has, not as its counts.
-    """
+
+def levels_of(samples: DataFrame, v: str) -> list:
+    found = [r[0] for r in samples.where(F.col(v).isNotNull()).select(v).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{v} has more than {MOST_LEVELS} levels")
+    return sorted(found)
+
+
+def frame(samples: DataFrame, formula: Formula, group: str | None = None, keep: tuple[str, ...] = ()) -> Frame:
+    """The design of a table of samples (column sample). Text columns are factors with sorted levels; only levels come to
+    the driver. In a main effect the first level has no column; in an interaction without its main effect a factor keeps
+    all. ``keep``: columns to carry along."""
     kinds = {f.name: f.dataType for f in samples.schema.fields}
-    if missing := [v for v in [*formula.variables, *([group] if group else [])] if v not in kinds]:
-        raise ValueError(f"no such covariate: {missing[0]}")
     used = list(dict.fromkeys([*formula.variables, *([group] if group else [])]))
-    rows = samples.select("sample", *used).orderBy("sample").collect()
+    if missing := [v for v in [*used, *keep] if v not in kinds]:
+        raise ValueError(f"no such covariate: {missing[0]}")
     factor = {v: isinstance(kinds[v], T.StringType) or (v == group) for v in used}
-    levels = {v: sorted({r[v] for r in rows if r[v] is not None}) for v in used if factor[v]}
+    levels = {v: levels_of(samples, v) for v in used if factor[v]}
 
-    def pieces(v: str, full: bool) -> list[tuple[str, np.ndarray]]:
+    def pieces(v: str, full: bool) -> list[tuple[str, Column]]:
         if not factor[v]:
-            return [(v, np.array([np.nan if r[v] is None else float(r[v]) for r in rows]))]
+            return [(v, F.col(v).cast("double"))]
         own = levels[v] if full else levels[v][1:]
-        return [(f"{v}{level}", np.array([np.nan if r[v] is None else float(r[v] == level) for r in rows])) for level in own]
+        return [(f"{v}{level}", F.when(F.col(v).isNotNull(), (F.col(v) == F.lit(level)).cast("double"))) for level in own]
 
-    names, cols, of_group = [], [], {}
+    names, cols, of_group, numeric = [], [], {}, []
     if formula.intercept:
         names.append("(Intercept)")
-        cols.append(np.ones(len(rows)))
+        cols.append(F.lit(1.0))
     main = {t[0] for t in formula.terms if len(t) == 1}
     for term in formula.terms:
         full_first = len(term) == 1 and not formula.intercept and term == next((t for t in formula.terms if len(t) == 1 and factor[t[0]]), None)
@@ -103,28 +128,51 @@ def design(samples: DataFrame, formula: Formula, group: str | None = None) -> De
             combo = tuple(reversed(combo))
             if len(term) == 1 and term[0] == group:
                 of_group[len(cols)] = levels[group].index(next(level for level in levels[group] if f"{group}{level}" == combo[0][0]))
+            if not any(factor[v] for v in term):
+                numeric.append(len(cols))
             names.append(":".join(n for n, _ in combo))
-            cols.append(np.prod([c for _, c in combo], axis=0))
-    x = np.column_stack(cols) if cols else np.zeros((len(rows), 0))
-    marks = np.array([-1 if r[group] is None else levels[group].index(r[group]) for r in rows]) if group else None
-    return Design([r.sample for r in rows], x, names, of_group, [str(v) for v in levels.get(group, [])], marks)
+            cols.append(reduce(lambda a, b: a * b, [c for _, c in combo]))
+    level = F.lit(-1)
+    for k, v in enumerate(levels.get(group, [])):
+        level = F.when(F.col(group) == F.lit(v), k).otherwise(level)
+    x = F.array(*cols) if cols else F.array().cast("array<double>")
+    rows = samples.select("sample", x.alias("x"), F.forall(x, lambda v: v.isNotNull()).alias("whole"), level.cast("int").alias("level"), *keep)
+    return Frame(rows, names, numeric, of_group, [str(v) for v in levels.get(group, [])], formula.intercept)
 
 
-def check_identifiable(d: Design) -> None:
-    """Raises for columns that others explain, or no sample beyond the columns."""
-    from countloom.functions.kernels import pivots
-
-    whole = d.x[np.isfinite(d.x).all(axis=1)]
-    kept = pivots(whole)
-    if len(kept) < d.x.shape[1]:
-        raise ValueError("not identifiable: " + ", ".join(d.columns[j] for j in range(d.x.shape[1]) if j not in kept))
-    if len(whole) <= d.x.shape[1]:
+def design(samples: DataFrame, formula: Formula, group: str | None = None) -> Design:
+    """The design collected: a row a sample, for work on taxa that needs all samples of one beside each other."""
+    f = frame(samples, formula, group)
+    rows = f.rows.orderBy("sample").collect()
+    x = np.array([[np.nan if v is None else v for v in r.x] for r in rows], float).reshape(len(rows), len(f.columns))
+    return Design([r.sample for r in rows], x, f.columns, f.group_columns, f.group_levels, np.array([r.level for r in rows]) if group else None)
+
+
+def moments(f: Frame) -> tuple[np.ndarray, int, int]:
+    """X'X and the number of complete samples, and the number of all: sums over the table, a few numbers on the driver."""
+    p = len(f.columns)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    whole = F.col("whole")
+    sums = [F.sum(F.when(whole, F.get("x", F.lit(i)) * F.get("x", F.lit(j)))).alias(f"s{i}_{j}") for i, j in pairs]
+    got = f.rows.agg(F.count_if(whole).alias("whole"), F.count("*").alias("every"), *sums).first()
+    gram = np.zeros((p, p))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = got[f"s{i}_{j}"] or 0.0
+    return gram, got.whole, got.every
+
+
+def check_identifiable(f: Frame) -> tuple[np.ndarray, int, int]:
+    """Raises for columns that others explain, or no sample beyond the columns; else what ``moments`` gives."""
+    gram, whole, every = moments(f)
+    kept = gram_pivots(gram)
+    if len(kept) < len(f.columns):
+        raise ValueError("not identifiable: " + ", ".join(c for j, c in enumerate(f.columns) if j not in kept))
+    if whole <= len(f.columns):
         raise ValueError("no more complete samples than coefficients")
+    return gram, whole, every
 
 
-def design_table(spark, d: Design) -> DataFrame:
+def long_design(f: Frame) -> DataFrame:
     """sample, coef, value: the design as rows."""
-    rows = [(s, c, None if np.isnan(v) else float(v)) for s, r in zip(d.samples, d.x, strict=True) for c, v in zip(d.columns, r, strict=True)]
-    return spark.createDataFrame(rows, "sample string, coef string, value double")
-
-
+    names = F.array(*map(F.lit, f.columns))
+    return f.rows.select("sample", F.posexplode("x").alias("j", "value")).select("sample", F.get(names, F.col("j")).alias("coef"), "value")

@@ -22,9 +22,8 @@ def seeded(taxon: str, seed: int) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(taxon.encode())])
 
 
-def block_of(row, d, cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def block_of(row, p: int, cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """A taxon's group coefficients and their covariance, with the final variances on its diagonal."""
-    p = len(d.columns)
     v = np.array(row.vcov, float).reshape(p, p).copy()
     np.fill_diagonal(v, np.array(row.se, float) ** 2)
     return np.array(row.b, float)[cols], v[np.ix_(cols, cols)]
@@ -34,13 +33,13 @@ def dunnett(result: Result, cfg: Config, draws: int = 100, seed: int = 1) -> Dat
     """taxon, contrast, lfc, se, W, p, q, diff: each level against the first. Taxa pass a screen by their largest W
     against the largest of ``draws`` simulated sets; p is 1 for the others."""
     d, cols = result.design, sorted(result.design.group_columns)
-    names = [d.columns[j] for j in cols]
+    names, size = [d.columns[j] for j in cols], len(d.columns)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples():
-                b, v = block_of(row, d, cols)
+                b, v = block_of(row, size, cols)
                 with np.errstate(all="ignore"):
                     se = np.sqrt(np.diag(v))
                     w = b / se
@@ -54,7 +53,7 @@ def dunnett(result: Result, cfg: Config, draws: int = 100, seed: int = 1) -> Dat
     schema = "taxon string, contrast string, lfc double, se double, W double, p double, screen_p double"
     tested = group_blocks(result.primary, result.vcov, d).mapInPandas(run, schema)
     screen = adjust(tested.groupBy("taxon").agg(F.first("screen_p").alias("screen_p")), "screen_p", [], "taxon", "bh")
-    return within_taxa(tested.drop("screen_p"), screen.select("taxon", (F.col("q") <= cfg.alpha).alias("screened")), len(names), cfg.fwer, cfg.alpha)
+    return within_taxa(tested.drop("screen_p"), screen.select("taxon", (F.col("q") <= cfg.alpha).alias("screened")), len(names), cfg.fwer, cfg.alpha, cfg.strict)
 
 
 def faces(contrast: np.ndarray) -> list[np.ndarray]:
@@ -92,13 +91,13 @@ def trend(result: Result, cfg: Config, patterns: dict[str, tuple[np.ndarray, int
     with a missing coefficient or covariance has a null W and a p-value of 1.
     """
     d, cols = result.design, sorted(result.design.group_columns)
-    k, eye = len(cols), np.eye(len(cols))
+    k, size, eye = len(cols), len(d.columns), np.eye(len(cols))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples():
-                b, v = block_of(row, d, cols)
+                b, v = block_of(row, size, cols)
                 if not (np.isfinite(b).all() and np.isfinite(v).all()):
                     rows.append((row.taxon, None, None, None, None, 1.0))
                     continue

@@ -218,20 +218,22 @@ def _one_factor(spark: SparkSession, d: str, what: str) -> DataFrame:
     """The fit of the segment alone to the centred logs of the filled-up table, where closed forms exist."""
     import numpy as np
 
-    from countloom.plans.analysis import estimates, kept, log_table, long_estimates, packed, sample_biases
-    from countloom.plans.formula import design, design_table, parse
+    from countloom.plans import sheets as passes
+    from countloom.plans.analysis import centred, long_estimates
+    from countloom.plans.formula import check_identifiable, frame, long_design, parse
 
     own = samples(spark, d)
-    plan = design(own, parse("grp"), "grp")
+    plan = frame(own, parse("grp"), "grp")
     if what == "design":
-        return design_table(spark, plan)
-    none = np.zeros(len(plan.samples))
-    table = kept(packed(log_table(counts(spark, d), own, 0.5), plan, center=True), "logs")
-    fit = kept(estimates(table, plan, none, none), "fit")
+        return long_design(plan)
+    gram, _, every = check_identifiable(plan)
+    table = passes.sheets(centred(counts(spark, d), own, 0.5), plan, gram, every)
+    known = passes.solvers(table)
+    beta, _ = passes.fit(table, known, None, None)
     if what == "fit":
-        return rounded(long_estimates(fit, plan).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", places=8).withColumn("variance", F.round("variance", 10))
-    theta = sample_biases(table, plan, fit, np.zeros(len(plan.columns)))
-    return rounded(spark.createDataFrame(zip(plan.samples, theta.tolist(), strict=True), "sample string, theta double"), "theta")
+        fits = passes.estimates(table, known, beta, None)
+        return rounded(long_estimates(fits, plan).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", places=8).withColumn("variance", F.round("variance", 10))
+    return rounded(passes.theta_of(passes.with_biases(table, passes.unscaled(np.linalg.inv(table.basis), beta))), "theta")
 
 
 _FILLED = _DENSE + """, filled AS (SELECT taxon, sample, ln(n + 0.5) - avg(ln(n + 0.5)) OVER (PARTITION BY taxon) AS y FROM dense

@@ -18,7 +18,7 @@ from countloom.functions.dist import f_tails, t_two_sided
 from countloom.functions.kernels import pivots
 from countloom.operators.transforms import sensitivity_scores
 from countloom.plans.analysis import Config, Result, analyze, kept, packed, responses
-from countloom.plans.formula import Design
+from countloom.plans.formula import Design, design, parse
 from countloom.sources.counts import densify
 
 PSEUDO_COUNTS = (0.1, 0.5, 1.0)
@@ -92,7 +92,7 @@ def refit(d: Design, n: np.ndarray, theta: np.ndarray, grid: np.ndarray) -> dict
 def nonconservative(main: Result, cfg: Config, grid: tuple[float, ...] = GRID) -> dict[str, DataFrame]:
     """As ``conservative``, but ss is the share of the grid whose p-value exceeds alpha, and a result passes if the main
     run's p-value is on the same side as all of them."""
-    d, values = main.design, np.array(grid)
+    d, values = design(main.samples, parse(cfg.formula), cfg.group), np.array(grid)
     found = {r.sample: r.theta for r in main.theta.collect()}  # a row for each sample
     theta = np.array([np.nan if found.get(s) is None else found[s] for s in d.samples])
     table = packed(densify(main.table, main.samples).withColumnRenamed("n", "y"), d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, jobs hand at most so many rows to Python at a time: for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> str:
     """Writes ``df`` as a Parquet table to the shared folder; its path."""
     path = os.path.join(shared_dir(df.sparkSession), "countloom", f"{name}-{uuid.uuid4().hex}")

@@ -8,6 +8,7 @@ import pytest
 
 from countloom.plans import correlations, group_tests, log_ratios, sensitivity, simulation
 from countloom.plans.analysis import Config, analyze, analyze_plain
+from countloom.plans.formula import design, parse
 
 GROUPS = [k % 3 for k in range(45)]
 
@@ -49,7 +50,8 @@ def test_nonconservative_sensitivity(study, main):
     row = study[0][7].astype(float)
     theta = np.array([r.theta for r in result.theta.orderBy("sample").collect()])
     x = np.column_stack([np.ones(45), np.array(GROUPS) == 1, np.array(GROUPS) == 2]).astype(float)
-    p = sensitivity.refit(result.design, row, theta, np.array([0.2]))
+    d = design(study[2], parse("grp"), "grp")
+    p = sensitivity.refit(d, row, theta, np.array([0.2]))
     y = np.log(np.where(row == 0, 0.2, row))
     y = y - y.mean() - theta
     beta, rss = np.linalg.lstsq(x, y, rcond=None)[:2]
@@ -60,7 +62,7 @@ def test_nonconservative_sensitivity(study, main):
     assert np.allclose(p["pairwise", "grpg2_grpg1"], t_two_sided((beta[2] - beta[1]) / np.sqrt(cov[1, 1] + cov[2, 2] - 2 * cov[1, 2]), 42))
     f = (((y - y.mean()) ** 2).sum() - rss[0]) / 2 / (rss[0] / 42)
     assert np.allclose(p["global", "global"], f_tails(f, 2, 42)[1])
-    assert all(np.isnan(v).all() for v in sensitivity.refit(result.design, np.full(45, np.nan), theta, np.array([0.2])).values())
+    assert all(np.isnan(v).all() for v in sensitivity.refit(d, np.full(45, np.nan), theta, np.array([0.2])).values())
 
 
 def test_dunnett_and_trend(main):

@@ -12,7 +12,7 @@ from countloom.functions.padjust import adjust, hommel_array
 from countloom.operators import screens, transforms
 from countloom.plans import queries as plans
 from countloom.plans.analysis import Config, analyze
-from countloom.plans.formula import check_identifiable, design, parse
+from countloom.plans.formula import check_identifiable, design, frame, parse
 from countloom.sources.counts import densify, read_counts, read_metadata, typed, write_table
 
 SF = "/root/testdata/sf0.001"
@@ -166,9 +166,9 @@ def test_formulas(spark):
     s = spark.createDataFrame([(f"s{k}", "uvw"[k % 3], float(k), "pq"[k % 2]) for k in range(12)], "sample string, g string, x double, h string")
     d = design(s, parse("g + x + g:h"), "g")
     assert d.columns[:4] == ["(Intercept)", "gv", "gw", "x"] and d.group_columns == {1: 1, 2: 2}
-    check_identifiable(design(s, parse("g * x"), "g"))
+    check_identifiable(frame(s, parse("g * x"), "g"))
     with pytest.raises(ValueError, match="not identifiable"):
-        check_identifiable(design(s.withColumn("y", s.x * 2), parse("x + y")))
+        check_identifiable(frame(s.withColumn("y", s.x * 2), parse("x + y")))
     with pytest.raises(ValueError, match="no such covariate"):
         design(s, parse("nothing"))
 
