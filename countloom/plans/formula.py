@@ -63,6 +63,28 @@ def parse(text: str) -> Formula:
     return Formula(tuple(sorted(found, key=len)), intercept)
 
 
+@dataclass(frozen=True)
+class RandomTerm:
+    """One grouping factor, whether its groups have intercepts, and the covariates with slopes."""
+
+    group: str
+    intercept: bool
+    slopes: tuple[str, ...]
+
+
+def parse_random(text: str) -> RandomTerm:
+    """``(1 | g)``, ``(x | g)`` or ``(1 + x | g)`` (intercepts and slopes), ``(0 + x | g)`` (slopes only)."""
+    found = re.fullmatch(r"\s*\(([^()|]+)\|\s*([A-Za-z_][\w.]*)\s*\)\s*", text)
+    if not found:
+        raise ValueError(f"a random term is (terms | group) with one group, not {text!r}")
+    own = parse(found[1])
+    if any(len(t) > 1 for t in own.terms):
+        raise ValueError("a random term can't have interactions")
+    if not own.terms and not own.intercept:
+        raise ValueError("an empty random term")
+    return RandomTerm(found[2], own.intercept, tuple(t[0] for t in own.terms))
+
+
 @dataclass
 class Frame:
     """The design as a table: sample, x (an array, null where a covariate is missing), whole (no such null), level (the

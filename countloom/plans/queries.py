@@ -342,6 +342,70 @@ register("analysis_pairwise", _analysis("dense", "pairwise", pairwise=True), Non
 register("analysis_sampling_fractions", _analysis("dense", "theta"), None)
 
 
+def _blocks(spark: SparkSession, d: str, what: str) -> DataFrame:
+    """Mixed models of a balanced table, where closed forms exist: lines by brand in each nation and segment, nations random."""
+    from countloom.plans.analysis import Config
+    from countloom.plans.mixed import likelihood_ratio_test, long_fits, mixed_fits
+
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand")
+    customer = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    name = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    segments = sorted(r[0] for r in customer.select("c_mktsegment").distinct().collect())  # five
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("nation"))
+    own = nations.withColumn("grp", F.explode(F.array(*map(F.lit, segments)))).withColumn("sample", F.concat_ws("/", "nation", "grp"))
+    logs = transforms.log_counts(densify(from_events(rows, F.col("p_brand"), name), own), 0.5)
+    est, classes, design, q = mixed_fits(logs, own, Config("1" if what == "one_way" else "grp", group="grp"), "(1 | nation)")
+    if what == "ratio":
+        return rounded(likelihood_ratio_test(classes, design, q, "grp", "none", 0.05).select("taxon", "W", "p"), "W", "p")
+    return rounded(long_fits(est, design.columns).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", "variance", places=7).withColumn("dof", F.round("dof", 3))
+
+
+_BLOCKS = """WITH cells AS (
+  SELECT taxon, nation, grp, ln(coalesce(n, 0) + 0.5) AS y FROM (SELECT DISTINCT p_brand AS taxon FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)
+  CROSS JOIN (SELECT n_nationkey AS nation FROM nation) CROSS JOIN (SELECT DISTINCT c_mktsegment AS grp FROM customer)
+  LEFT JOIN (SELECT p_brand AS taxon, c_nationkey AS nation, c_mktsegment AS grp, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3) USING (taxon, nation, grp)
+), means AS (SELECT *, avg(y) OVER (PARTITION BY taxon) AS m, avg(y) OVER (PARTITION BY taxon, nation) AS mn, avg(y) OVER (PARTITION BY taxon, grp) AS mg FROM cells
+), squares AS (SELECT taxon, count(DISTINCT nation)::DOUBLE AS a, count(DISTINCT grp)::DOUBLE AS k, any_value(m) AS m, sum((mn - m) ** 2) AS ssa, sum((mg - m) ** 2) AS sst, sum((y - mn - mg + m) ** 2) AS sse FROM means GROUP BY taxon
+), size AS (SELECT *, a * k AS n, ssa / (a - 1) AS msa, sse / ((a - 1) * (k - 1)) AS mse, (sse + sst) / (a * (k - 1)) AS msw FROM squares)"""
+register(
+    "mixed_one_way",
+    lambda s, d: _blocks(s, d, "one_way"),
+    _BLOCKS + """ SELECT taxon, '(Intercept)' AS coef, round(m, 7) AS lfc, round(CASE WHEN msa > msw THEN msa ELSE (ssa + sse + sst) / (n - 1) END / n, 7) AS variance, round(CASE WHEN msa > msw THEN a - 1 ELSE n - 1 END, 3) AS dof FROM size""",
+)
+register(
+    "mixed_blocks",
+    lambda s, d: _blocks(s, d, "blocks"),
+    _BLOCKS + """, parts AS (SELECT *, msa > mse AS inside, (ssa + sse) / (n - k) AS pooled, msa / k AS u, mse * (k - 1) / k AS v FROM size
+), base AS (SELECT taxon, avg(y) AS m0 FROM cells WHERE grp = (SELECT min(c_mktsegment) FROM customer) GROUP BY taxon)
+SELECT taxon, '(Intercept)' AS coef, round(m0, 7) AS lfc, round(CASE WHEN inside THEN u + v ELSE pooled END / a, 7) AS variance, round(CASE WHEN inside THEN (u + v) ** 2 / (u ** 2 / (a - 1) + v ** 2 / ((a - 1) * (k - 1))) ELSE n - k END, 3) AS dof FROM parts JOIN base USING (taxon)
+UNION ALL SELECT taxon, 'grp' || grp, round(mg - m0, 7), round(2 * CASE WHEN inside THEN mse ELSE pooled END / a, 7), round(CASE WHEN inside THEN (a - 1) * (k - 1) ELSE n - k END, 3)
+FROM parts JOIN base USING (taxon) JOIN (SELECT taxon, grp, avg(y) AS mg FROM cells GROUP BY 1, 2) USING (taxon) WHERE grp > (SELECT min(c_mktsegment) FROM customer)""",
+)
+register(
+    "mixed_likelihood_ratio",
+    lambda s, d: _blocks(s, d, "ratio"),
+    _BLOCKS + """, best AS (SELECT *, CASE WHEN ssa / a > sse / (a * (k - 1)) THEN a * ln(ssa / a) + a * (k - 1) * ln(sse / (a * (k - 1))) ELSE n * ln((ssa + sse) / n) END AS full_dev,
+  CASE WHEN ssa / a > (sse + sst) / (a * (k - 1)) THEN a * ln(ssa / a) + a * (k - 1) * ln((sse + sst) / (a * (k - 1))) ELSE n * ln((ssa + sse + sst) / n) END AS less_dev FROM size)
+SELECT taxon, round(less_dev - full_dev, 6) AS W, round(exp((full_dev - less_dev) / 2) * (1 + (less_dev - full_dev) / 2), 6) AS p FROM best""",
+)
+
+
+def _mixed(spark: SparkSession, d: str, what: str) -> DataFrame:
+    from countloom.plans.analysis import Config
+    from countloom.plans.mixed import analyze_mixed
+
+    own = samples(spark, d).join(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("sample"), F.col("c_nationkey").alias("nation")), "sample")
+    cfg = Config("grp + x", group="grp", global_test=what == "global_test", pairwise=what == "pairwise")
+    return getattr(analyze_mixed(counts(spark, d), own, cfg, "(1 | nation)"), what)
+
+
+for _what in ("primary", "global_test", "pairwise"):
+    register(f"analysis_mixed_{_what}", lambda s, d, w=_what: _mixed(s, d, w), None)
+
+
 def _companion(spark: SparkSession, d: str, what: str) -> DataFrame:
     import numpy as np
 
