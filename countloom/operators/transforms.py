@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.functions import running
@@ -76,11 +76,18 @@ def cooccurrence(counts: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """The aggregate correlation over rows that have both; null where either doesn't vary."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(logs: DataFrame) -> DataFrame:
     """a, b, r, n over the samples that both taxa have."""
     own = logs.where("y IS NOT NULL")
     pairs = own.select("sample", F.col("taxon").alias("a"), F.col("y").alias("x")).join(own.select("sample", F.col("taxon").alias("b"), "y"), "sample").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return pairs.groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n"))
 
 
 def contrasts(estimates: DataFrame) -> DataFrame:

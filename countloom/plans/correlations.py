@@ -20,6 +20,7 @@ from countloom.operators import screens, transforms
 from countloom.plans.analysis import kept
 from countloom.plans.log_ratios import block_pairs
 from countloom.sources.counts import densify
+from countloom.sources.results import bound, common_samples
 
 
 def corrected_abundances(counts: DataFrame, samples: DataFrame, *, pseudo: float = 0.0, prv_cut: float = 0.5, lib_cut: float = 1000.0) -> tuple[DataFrame, DataFrame]:
@@ -57,22 +58,22 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def splits(samples: DataFrame, n_cv: int, seed: int) -> DataFrame:
-    """sample, split, train: each split's training samples, n - floor(n / log n) of n, by a hash of sample and split."""
+    """sample, split, train: each split's training samples, n - floor(n / log n) of n, by a digest of sample, split and seed."""
     n = samples.count()
     size = n - math.floor(n / math.log(n)) if n > 2 else max(1, n - 1)
     each = samples.select("sample", F.explode(F.sequence(F.lit(1), F.lit(n_cv))).alias("split"))
-    order = Window.partitionBy("split").orderBy(F.xxhash64("sample", "split", F.lit(seed)), "sample")
+    order = Window.partitionBy("split").orderBy(F.md5(F.concat_ws("/", "sample", F.col("split").cast("string"), F.lit(str(seed)))), "sample")
     return each.select("sample", "split", (F.row_number().over(order) <= size).alias("train"))
 
 
 def threshold_losses(rows: DataFrame, samples: DataFrame, taxa: int, method: str, soft: bool, highest: float, thresh_len: int, alphas: tuple[float, ...], n_cv: int, seed: int) -> DataFrame:
     """thresh, alpha, loss: the mean over splits of half the Frobenius distance between the thresholded training
     correlations and the others', plus alpha times their sum weighted by the others' inverses."""
-    each = rows.join(F.broadcast(splits(samples, n_cv, seed)), "sample")  # a row for each sample and split
+    each = rows.join(splits(samples, n_cv, seed), "sample")
     if method == "spearman":
         each = ranked(each, ["a", "b", "split", "train"])
     train = F.col("train")
-    pairs = each.groupBy("a", "b", "split").agg(F.corr(F.when(train, F.col("x")), F.when(train, F.col("y"))).alias("r1"), F.corr(F.when(~train, F.col("x")), F.when(~train, F.col("y"))).alias("r2"))
+    pairs = each.groupBy("a", "b", "split").agg(transforms.correlation(F.when(train, F.col("x")), F.when(train, F.col("y"))).alias("r1"), transforms.correlation(F.when(~train, F.col("x")), F.when(~train, F.col("y"))).alias("r2"))
     # A pair is cut by the thresholds from its cell on: the first that is no less than |r1|. Sums by cell, of which there are
     # as many as thresholds, add up to those of every threshold.
     unit = F.lit(float(max(1, thresh_len - 1)))
@@ -81,7 +82,7 @@ def threshold_losses(rows: DataFrame, samples: DataFrame, taxa: int, method: str
     near = F.ceil(size * unit / F.lit(highest)) if highest > 0 else F.lit(0)
     seen = pairs.where("r1 IS NOT NULL AND r2 IS NOT NULL AND NOT isnan(r1) AND NOT isnan(r2)").withColumn("cell", near.cast("double"))
     seen = seen.withColumn("cell", F.greatest(F.lit(0.0), F.when(size > at(F.col("cell")), F.col("cell") + 1).when(size <= at(F.col("cell") - 1), F.col("cell") - 1).otherwise(F.col("cell"))))
-    weight = F.when(F.col("r2") == 0, 0.0).otherwise(1 / F.abs(F.col("r2") + 1e-10))
+    weight = F.when(F.abs("r2") < 1e-12, 0.0).otherwise(1 / F.abs(F.col("r2") + 1e-10))
     rest = size - F.signum("r1") * F.col("r2")
     parts = {"below": F.col("r2") ** 2, "one": F.lit(1.0), "u": rest, "u2": rest**2, "w": weight, "wr": weight * size}
     cells = seen.groupBy("split", "cell").agg(*(F.sum(v).alias(k) for k, v in parts.items()))
@@ -101,7 +102,7 @@ def threshold_losses(rows: DataFrame, samples: DataFrame, taxa: int, method: str
 
 def suspicious(values: DataFrame, bias: DataFrame, corr_cut: float) -> DataFrame:
     """Taxa that correlate with the sample biases more than ``corr_cut``."""
-    return values.join(bias, "sample").groupBy("taxon").agg(F.corr("y", "diff").alias("r")).where((F.col("r") > corr_cut) & ~F.isnan("r")).select("taxon")
+    return values.join(bias, "sample").groupBy("taxon").agg(transforms.correlation(F.col("y"), F.col("diff")).alias("r")).where((F.col("r") > corr_cut) & ~F.isnan("r")).select("taxon")
 
 
 def masked(pairs: DataFrame, flags: DataFrame, zero: list[str], one: list[str]) -> DataFrame:
@@ -112,18 +113,91 @@ def masked(pairs: DataFrame, flags: DataFrame, zero: list[str], one: list[str])
     return done.select(*pairs.columns)
 
 
-def linear_correlations(counts: DataFrame, samples: DataFrame, *, method: str = "pearson", soft: bool = False, alphas: tuple[float, ...] = (0.0,), thresh_len: int = 100, n_cv: int = 10, thresh_hard: float = 0.0, max_p: float = 0.005, winsor: float = 0.05, corr_cut: float = 0.5, pseudo: float = 0.0, prv_cut: float = 0.5, lib_cut: float = 1000.0, seed: int = 3) -> DataFrame:
-    """a, b, n, corr, p, corr_th (thresholded by cross-validation), corr_fl (kept where p is at most ``max_p``).
+#: A regularised matrix has at most so many taxa: its eigenvalues are found in one task, which holds the matrix a few times.
+MOST_REGULAR = 3000
+
+
+def floored(m: np.ndarray) -> np.ndarray:
+    """A symmetric matrix with its eigenvalues raised to a floor: the one before the largest gap of their ratios to the
+    greatest, but at least 0.01 (an earlier one if need be) and at most 1. Those not positive count as the least positive."""
+    values, axes = np.linalg.eigh(m)
+    values, axes = values[::-1].copy(), axes[:, ::-1]
+    if not (values > 0).any():
+        return np.eye(len(m)) * 0.01
+    values[values <= 0] = values[values > 0].min()
+    at = int(np.argmax(np.diff(values[0] / values))) if len(values) > 1 else 0
+    while values[at] < 0.01 and at > 0:
+        at -= 1
+    floor = min(1.0, max(0.01, values[at]))
+    return (axes * np.maximum(values, floor)) @ axes.T
+
+
+def regularised(cov: np.ndarray, together: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """The correlations of a covariance matrix made positive semidefinite: eigenvalues are floored and pairs that stand
+    ``together`` in fewer than two samples set to 0, until no eigenvalue is below -1e-10."""
+    for _ in range(rounds):
+        cov = np.where(together < 2, 0.0, floored(cov))
+        if np.linalg.eigvalsh(cov)[0] > -1e-10:
+            break
+    else:
+        raise ValueError("the covariance matrix can't be made positive semidefinite")
+    with np.errstate(all="ignore"):
+        scale = 1 / np.sqrt(np.diag(cov))
+    return np.nan_to_num(cov * scale * scale[:, None], nan=0.0, posinf=0.0, neginf=0.0)
+
 
+def regular_correlations(values: DataFrame, method: str) -> DataFrame:
+    """a, b (a < b), corr_reg. ``values``: taxon, sample, y; for ranks, each taxon's own over all its samples. Covariances of
+    pairs are grouped sums; the matrix meets in one task, of at most ``MOST_REGULAR`` taxa."""
+    if method == "spearman":
+        values = transforms.average_rank(values).withColumnRenamed("rank", "y")
+    taxa = sorted(r.taxon for r in values.select("taxon").distinct().limit(MOST_REGULAR + 1).collect())
+    if len(taxa) > MOST_REGULAR:
+        raise ValueError(f"more than {MOST_REGULAR} taxa: correlations can't be regularised, leave regular=False")
+    own = pair_rows(values).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count_if((F.col("x") != 0) & (F.col("y") != 0)).alias("both"))
+    alone = values.groupBy(F.col("taxon").alias("a"), F.col("taxon").alias("b")).agg(F.var_samp("y").alias("cov"), F.count_if(F.col("y") != 0).alias("both"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {t: k for k, t in enumerate(taxa)}
+        cov, both = np.zeros((len(taxa), len(taxa))), np.zeros((len(taxa), len(taxa)))
+        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
+        cov[i, j] = cov[j, i] = np.nan_to_num(pdf["cov"].to_numpy(float))
+        both[i, j] = both[j, i] = pdf["both"].to_numpy()
+        found = regularised(cov, both)
+        i, j = np.triu_indices(len(taxa), 1)
+        return pd.DataFrame({"a": np.array(taxa)[i], "b": np.array(taxa)[j], "corr_reg": found[i, j]})
+
+    return own.unionByName(alone).groupBy().applyInPandas(run, "a string, b string, corr_reg double")
+
+
+def several(counts: dict[str, DataFrame], **how) -> tuple[DataFrame, list[DataFrame]]:
+    """The abundances of several tables bound together, taxa named after their table, and each table's biases. They need ten
+    samples in common; a sample that a table lacks has no abundances of its taxa."""
+    common_samples(list(counts.values()))
+    found = {n: corrected_abundances(t, t.select("sample").distinct(), **how) for n, t in counts.items()}
+    return kept(bound({n: y for n, (y, _) in found.items()}), "abundances"), [b for _, b in found.values()]
+
+
+def linear_correlations(counts: DataFrame | dict[str, DataFrame], samples: DataFrame | None = None, *, method: str = "pearson", soft: bool = False, alphas: tuple[float, ...] = (0.0,), thresh_len: int = 100, n_cv: int = 10, thresh_hard: float = 0.0, max_p: float = 0.005, winsor: float = 0.05, corr_cut: float = 0.5, pseudo: float = 0.0, prv_cut: float = 0.5, lib_cut: float = 1000.0, seed: int = 3, regular: bool = True) -> DataFrame:
+    """a, b, n, corr, p, corr_th (thresholded by cross-validation), corr_fl (kept where p is at most ``max_p``) and, with
+    ``regular``, corr_reg (of a covariance matrix made positive semidefinite).
+
+    ``counts``: one table, with its ``samples``, or several by name; each is screened and corrected on its own, then all
+    taxa are correlated. Two taxa that both follow the biases of a table by more than ``corr_cut`` count as uncorrelated.
     Pairs with fewer than two common samples have correlation 0 and p 1; pairs without any have no row.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError("method is pearson or spearman")
-    y, bias = corrected_abundances(counts, samples, pseudo=pseudo, prv_cut=prv_cut, lib_cut=lib_cut)
+    how = {"pseudo": pseudo, "prv_cut": prv_cut, "lib_cut": lib_cut}
+    if isinstance(counts, dict):
+        y, biases = several(counts, **how)
+    else:
+        y, bias = corrected_abundances(counts, samples, **how)
+        biases = [bias]
     clipped = kept(transforms.winsorize(y, winsor), "clipped")
     rows = pair_rows(clipped)
     own = ranked(rows, ["a", "b"]) if method == "spearman" else rows
-    pairs = own.groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.count_if((F.col("x") != 0) & (F.col("y") != 0)).alias("both"))
+    pairs = own.groupBy("a", "b").agg(transforms.correlation(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n"), F.count_if((F.col("x") != 0) & (F.col("y") != 0)).alias("both"))
     usable = (F.col("both") >= 2) & F.col("r").isNotNull() & ~F.isnan("r")
     pairs = pairs.select("a", "b", "n", F.when(usable, F.col("r")).otherwise(0.0).alias("corr"), F.when(usable, F.coalesce(F.nanvl(correlation_p("r", "n"), F.lit(1.0)), F.lit(1.0))).otherwise(1.0).alias("p"))
     pairs = kept(pairs, "correlations")
@@ -136,7 +210,12 @@ def linear_correlations(counts: DataFrame, samples: DataFrame, *, method: str =
     th = F.when(F.abs("corr") <= cut, 0.0).otherwise(F.signum("corr") * size)
     hard = lambda c: F.when(F.abs(c) <= thresh_hard, 0.0).otherwise(c)
     done = pairs.withColumn("corr_th", hard(th)).withColumn("corr_fl", hard(F.when(F.col("p") <= max_p, F.col("corr")).otherwise(0.0)))
-    return masked(done, suspicious(y, bias, corr_cut), ["corr", "corr_th", "corr_fl"], ["p"])
+    zero = ["corr", "corr_th", "corr_fl"]
+    if regular:
+        done, zero = done.join(regular_correlations(clipped, method), ["a", "b"], "left"), [*zero, "corr_reg"]
+    for bias in biases:
+        done = masked(done, suspicious(y, bias, corr_cut), zero, ["p"])
+    return done
 
 
 def distance_correlation(x: np.ndarray, y: np.ndarray, permutations: int, rng: np.random.Generator) -> tuple[float, float]:

@@ -214,8 +214,9 @@ def _chain(spark: SparkSession, means: DataFrame) -> DataFrame:
     return rounded(out.select("taxon", "coef", "se"), "se", places=8)
 
 
-def _one_factor(spark: SparkSession, d: str, what: str) -> DataFrame:
-    """The fit of the segment alone to the centred logs of the filled-up table, where closed forms exist."""
+def _one_factor(spark: SparkSession, d: str, what: str, pseudo: float = 0.5, missing: float | None = 0.1) -> DataFrame:
+    """The fit of the segment alone to the centred logs of the filled-up table, or of the table with gaps (``pseudo`` 0), where
+    closed forms exist."""
     import numpy as np
 
     from countloom.plans import sheets as passes
@@ -227,11 +228,11 @@ def _one_factor(spark: SparkSession, d: str, what: str) -> DataFrame:
     if what == "design":
         return long_design(plan)
     gram, _, every = check_identifiable(plan)
-    table = passes.sheets(centred(counts(spark, d), own, 0.5), plan, gram, every)
+    table = passes.sheets(centred(counts(spark, d), own, pseudo), plan, gram, every)
     known = passes.solvers(table)
     beta, _ = passes.fit(table, known, None, None)
     if what == "fit":
-        fits = passes.estimates(table, known, beta, None)
+        fits = passes.estimates(table, known, beta, None, missing)
         return rounded(long_estimates(fits, plan).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", places=8).withColumn("variance", F.round("variance", 10))
     return rounded(passes.theta_of(passes.with_biases(table, passes.unscaled(np.linalg.inv(table.basis), beta))), "theta")
 
@@ -247,6 +248,22 @@ register(
     lambda s, d: _one_factor(s, d, "fit"),
     sql("SELECT taxon, '(Intercept)' AS coef, round(m0, 8) AS lfc, round(v0, 10) AS variance, dof FROM base_fits, size UNION ALL SELECT taxon, 'grp' || grp, round(m - m0, 8), round(v + v0, 10), dof FROM level_fits JOIN base_fits USING (taxon), levels, size WHERE grp <> base", "dense", _FILLED),
 )
+_GAPS = _CENTRED + """, cells AS (SELECT taxon, grp, y, avg(y) OVER (PARTITION BY taxon, grp) AS m FROM centred JOIN samples USING (sample)
+), sizes AS (SELECT grp, count(*)::DOUBLE AS n FROM samples GROUP BY grp
+), level_fits AS (SELECT taxon, grp, any_value(m) AS m, any_value(n) AS n, sum((y - m) ** 2) / any_value(n) ** 2 AS v, count(*)::DOUBLE AS seen FROM cells JOIN sizes USING (grp) GROUP BY 1, 2
+), gaps AS (SELECT taxon, (SELECT sum(n) FROM sizes) - sum(seen) AS gaps, sum(seen) - count(*) AS dof FROM level_fits GROUP BY taxon
+), base_fits AS (SELECT taxon, m AS m0, v AS v0, (2 - (SELECT count(*) FROM sizes)) / n AS w0 FROM level_fits WHERE grp = (SELECT min(grp) FROM sizes))"""
+for _rule, _missing in (("", 0.1), ("_strict", 0.0)):  # what a missing cell adds to every entry of the sandwich's middle
+    register(
+        f"one_factor_fit_gaps{_rule}",
+        lambda s, d, m=_missing: _one_factor(s, d, "fit", 0.0, m or None),
+        sql(
+            f"SELECT taxon, '(Intercept)' AS coef, round(m0, 8) AS lfc, round(v0 + {_missing} * gaps * w0 ** 2, 10) AS variance, dof FROM base_fits JOIN gaps USING (taxon) "
+            f"UNION ALL SELECT taxon, 'grp' || grp, round(m - m0, 8), round(v + v0 + {_missing} * gaps * (1 / n - w0) ** 2, 10), dof FROM level_fits JOIN base_fits USING (taxon) JOIN gaps USING (taxon) WHERE grp <> (SELECT min(grp) FROM sizes)",
+            "dense",
+            _GAPS,
+        ),
+    )
 register(
     "sampling_fractions_one_factor",
     lambda s, d: _one_factor(s, d, "theta"),
@@ -409,7 +426,7 @@ for _what in ("primary", "global_test", "pairwise"):
 def _companion(spark: SparkSession, d: str, what: str) -> DataFrame:
     import numpy as np
 
-    from countloom.plans import analysis, correlations, group_tests, log_ratios, sensitivity, simulation
+    from countloom.plans import analysis, correlations, group_tests, log_ratios, sensitivity
 
     table, own = counts(spark, d), samples(spark, d)
     cfg = analysis.Config("grp + x", group="grp", global_test=True, pairwise=True)
@@ -426,11 +443,72 @@ def _companion(spark: SparkSession, d: str, what: str) -> DataFrame:
         return group_tests.trend(analysis.analyze(table, own, cfg), cfg, {"up": (up, 3), "down": (-up, 3)})
     if what == "log_ratios":
         return log_ratios.log_ratio_tests(table, own, "grp")[0]
+    if what == "many_to_one_sensitivity":
+        return sensitivity.nonconservative(analysis.analyze(table, own, cfg), cfg, many_to_one=True)["dunnett"]
+    if what == "distance":
+        return correlations.distance_correlations(table, own, lib_cut=0, permutations=19)
     if what in ("pearson", "spearman"):
         return correlations.linear_correlations(table, own, lib_cut=0, method=what)
-    levels = {"n_taxa": [60], "n_samp": [40], "da_proportion": [0.1, 0.3], "log_fc": [1.0], "zero_inflation": [0.1], "lib_mean": [10_000.0], "lib_cv": [0.3], "confound": [False, True]}
-    cells = simulation.grid(spark, 5, **levels)
-    return simulation.simulate(cells) if what == "simulation" else simulation.truth(cells)
+    raise ValueError(what)
+
+
+def _two_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of brands and of brands' sizes as two tables, over the customers of both."""
+    from countloom.plans.correlations import linear_correlations
+
+    tables = {"brand": counts(spark, d), "size": counts(spark, d, "very_sparse")}
+    found = linear_correlations(tables, prv_cut=0.02, lib_cut=0, n_cv=2, corr_cut=0.3, regular=False)
+    return rounded(found.select("a", "b", "n", "corr"), "corr")
+
+
+def _abundances(name: str, counts: str) -> str:
+    return f""", {name}_kept AS (SELECT taxon, sample, n FROM {counts} JOIN (SELECT taxon FROM {counts} GROUP BY taxon HAVING count(*) / (SELECT count(DISTINCT sample) FROM {counts})::DOUBLE >= 0.02) USING (taxon)
+), {name}_logs AS (SELECT taxon, sample, ln(n) - avg(ln(n)) OVER (PARTITION BY taxon) AS y FROM {name}_kept
+), {name}_bias AS (SELECT sample, sum(y / v) / sum(1 / v) AS diff FROM {name}_logs JOIN (SELECT taxon, var_samp(y) AS v FROM {name}_logs GROUP BY taxon HAVING var_samp(y) > 0) USING (taxon) GROUP BY sample
+), {name}_y AS (SELECT '{name} - ' || taxon AS taxon, sample, y - diff AS y FROM {name}_logs JOIN {name}_bias USING (sample))"""
+
+
+register(
+    "correlations_two_tables",
+    _two_tables,
+    _COUNTS.format(name=_NAMES["dense"]).split(", samples AS")[0]
+    + ", more AS (SELECT p_brand || '/' || CAST(p_size AS VARCHAR) AS taxon, CAST(o_custkey AS VARCHAR) AS sample, CAST(count(*) AS DOUBLE) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+    + _abundances("brand", "counts")
+    + _abundances("size", "more")
+    + """, y AS (SELECT * FROM brand_y UNION ALL SELECT * FROM size_y
+), clipped AS (SELECT taxon, sample, greatest(least(y, hi), lo) AS y FROM y JOIN (SELECT taxon, quantile_cont(y, 0.05) AS lo, quantile_cont(y, 0.95) AS hi FROM y GROUP BY taxon) USING (taxon)
+), marked AS (SELECT y.taxon, corr(y.y, b.diff) > 0.3 AS brand_like, corr(y.y, s.diff) > 0.3 AS size_like FROM y LEFT JOIN brand_bias b USING (sample) LEFT JOIN size_bias s USING (sample) GROUP BY y.taxon
+), pairs AS (SELECT x.taxon AS a, z.taxon AS b, count(*) AS n, count(*) FILTER (x.y <> 0 AND z.y <> 0) AS shared, CASE WHEN count(*) > 1 AND stddev_pop(x.y) > 0 AND stddev_pop(z.y) > 0 THEN corr(x.y, z.y) END AS r FROM clipped x JOIN clipped z ON x.sample = z.sample AND x.taxon < z.taxon GROUP BY 1, 2)
+SELECT a, b, n, round(CASE WHEN coalesce(p.brand_like AND q.brand_like, false) OR coalesce(p.size_like AND q.size_like, false) OR shared < 2 OR r IS NULL OR isnan(r) THEN 0 ELSE r END, 6) AS corr
+FROM pairs JOIN marked p ON p.taxon = a JOIN marked q ON q.taxon = b""",
+)
+
+
+def _losses(spark: SparkSession, d: str) -> DataFrame:
+    from countloom.plans.correlations import pair_rows, threshold_losses
+
+    logs = transforms.log_counts(counts(spark, d)).where("y IS NOT NULL")
+    taxa = logs.select("taxon").distinct().count()
+    own = [threshold_losses(pair_rows(logs), logs.select("sample").distinct(), taxa, "pearson", soft, 0.75, 31, (0.0, 0.01), 3, 3).withColumn("soft", F.lit(soft)) for soft in (False, True)]
+    return rounded(own[0].unionByName(own[1]), "thresh", "loss")
+
+
+register(
+    "threshold_losses",
+    _losses,
+    sql(
+        """SELECT soft, round(t, 6) AS thresh, alpha, round(avg(0.5 * sqrt(2 * d2 + CASE WHEN soft THEN taxa * t * t ELSE 0 END) + alpha * 2 * penalty), 6) AS loss FROM (
+  SELECT split, soft, t, sum((cut - r2) ** 2) AS d2, sum(CASE WHEN abs(r2) < 1e-12 THEN 0 ELSE abs(cut) / abs(r2 + 1e-10) END) AS penalty FROM (
+    SELECT split, soft, t, r2, CASE WHEN abs(r1) <= t THEN 0 ELSE sign(r1) * (abs(r1) - CASE WHEN soft THEN t ELSE 0 END) END AS cut FROM rs, (SELECT 0.75::DOUBLE * k / 30 AS t FROM range(31) AS g(k)), (VALUES (false), (true)) AS s(soft)
+  ) GROUP BY 1, 2, 3), (VALUES (0.0::DOUBLE), (0.01::DOUBLE)) AS al(alpha), (SELECT count(DISTINCT taxon) AS taxa FROM logs) GROUP BY soft, t, alpha""",
+        "dense",
+        _LOGS,
+        """, size AS (SELECT n, n - floor(n / ln(n)) AS n1 FROM (SELECT count(DISTINCT sample) AS n FROM logs)
+), splits AS (SELECT sample, split, row_number() OVER (PARTITION BY split ORDER BY md5(sample || '/' || split || '/3'), sample) <= n1 AS train FROM (SELECT DISTINCT sample FROM logs), range(1, 4) AS g(split), size
+), rs AS (SELECT split, corr(x.y, z.y) FILTER (train) AS r1, corr(x.y, z.y) FILTER (NOT train) AS r2 FROM logs x JOIN logs z ON x.sample = z.sample AND x.taxon < z.taxon JOIN splits ON splits.sample = x.sample GROUP BY split, x.taxon, z.taxon
+  HAVING r1 IS NOT NULL AND r2 IS NOT NULL AND NOT isnan(r1) AND NOT isnan(r2))""",
+    ),
+)
 
 
 for _name, _what in (
@@ -442,8 +520,7 @@ for _name, _what in (
     ("log_ratio_tests", "log_ratios"),
     ("linear_correlations_pearson", "pearson"),
     ("linear_correlations_spearman", "spearman"),
-    ("simulation", "simulation"),
-    ("simulation_truth", "truth"),
+    ("sensitivity_many_to_one", "many_to_one_sensitivity"),
 ):
     register(_name, lambda s, d, w=_what: _companion(s, d, w), None)
 

@@ -19,31 +19,54 @@ from countloom.functions.kernels import pivots
 from countloom.operators.transforms import sensitivity_scores
 from countloom.plans.analysis import Config, Result, analyze, kept, packed, responses
 from countloom.plans.formula import Design, design, parse
+from countloom.plans.group_tests import dunnett, trend
 from countloom.sources.counts import densify
 
 PSEUDO_COUNTS = (0.1, 0.5, 1.0)
 GRID = tuple(k / 100 for k in range(1, 51))
 
-#: Result tables and the column that names a test beside the taxon.
-TABLES = {"primary": ("primary", "coef"), "global": ("global_test", None), "pairwise": ("pairwise", "contrast")}
+#: Result tables: the attribute or function that gives one, the column that names a test beside the taxon, and whose refits
+#: score it. A trend is scored by the global test's refits, as in published results; many-against-one tests by their
+#: coefficients'.
+TABLES = {
+    "primary": ("primary", "coef", "primary"),
+    "global": ("global_test", None, "global"),
+    "pairwise": ("pairwise", "contrast", "pairwise"),
+    "dunnett": ("dunnett", "contrast", "primary"),
+    "trend": ("trend", None, "global"),
+}
+Patterns = dict[str, tuple[np.ndarray, int]]
 
 
 def term_of(column: str | None) -> Column:
     return F.col(column) if column else F.lit("global")
 
 
-def conservative(counts: DataFrame, samples: DataFrame, cfg: Config, main: Result | None = None, pseudos: tuple[float, ...] = PSEUDO_COUNTS) -> dict[str, DataFrame]:
+def tables_of(run: Result, cfg: Config, many_to_one: bool, patterns: Patterns | None) -> dict[str, DataFrame]:
+    """A run's tables. Simulated nulls are drawn by taxon and seed, so those of every run are the same draws."""
+    found = {"primary": run.primary, "global": run.global_test, "pairwise": run.pairwise}
+    if many_to_one:
+        found["dunnett"] = kept(dunnett(run, cfg), "many-to-one")
+    if patterns:
+        found["trend"] = kept(trend(run, cfg, patterns), "trends")
+    return {k: v for k, v in found.items() if v is not None}
+
+
+def conservative(counts: DataFrame, samples: DataFrame, cfg: Config, main: Result | None = None, pseudos: tuple[float, ...] = PSEUDO_COUNTS, many_to_one: bool = False, patterns: Patterns | None = None, own_trend: bool = False) -> dict[str, DataFrame]:
     """The main run's tables with ss (the share of all runs whose q exceeds alpha; null counts), passed_ss (all agree)
-    and diff_robust. Tables that the configuration doesn't ask for are left out."""
+    and diff_robust. Tables that the configuration doesn't ask for are left out. ``many_to_one`` and ``patterns`` add those
+    tests; trends are scored by the global test, which must be asked for, or with ``own_trend`` by their own q."""
+    if patterns and not (cfg.global_test or own_trend):
+        raise ValueError("trends are scored by the global test")
     runs = [main or analyze(counts, samples, cfg), *(analyze(counts, samples, replace(cfg, pseudo=v)) for v in pseudos)]
+    tables = [tables_of(r, cfg, many_to_one, patterns if k == 0 or own_trend else None) for k, r in enumerate(runs)]
     out = {}
-    for name, (attribute, column) in TABLES.items():
-        tables = [getattr(r, attribute) for r in runs]
-        if any(t is None for t in tables):
-            continue
-        values = reduce(DataFrame.unionByName, [t.select("taxon", term_of(column).alias("term"), F.col("q").alias("value")) for t in tables])
+    for name, table in tables[0].items():
+        source = "global" if name == "trend" and not own_trend else name
+        column = TABLES[source][1]
+        values = reduce(DataFrame.unionByName, [t[source].select("taxon", term_of(column).alias("term"), F.col("q").alias("value")) for t in tables])
         scores = kept(sensitivity_scores(values, cfg.alpha), "scores").withColumnRenamed("passed", "passed_ss")
-        joined = tables[0].withColumn("term", term_of(column)).join(scores, ["taxon", "term"]).drop("term")
+        joined = table.withColumn("term", term_of(column)).join(scores, ["taxon", "term"]).drop("term")
         out[name] = joined.withColumn("diff_robust", F.col("diff") & F.col("passed_ss"))
     return out
 
@@ -89,7 +112,7 @@ def refit(d: Design, n: np.ndarray, theta: np.ndarray, grid: np.ndarray) -> dict
     return out
 
 
-def nonconservative(main: Result, cfg: Config, grid: tuple[float, ...] = GRID) -> dict[str, DataFrame]:
+def nonconservative(main: Result, cfg: Config, grid: tuple[float, ...] = GRID, many_to_one: bool = False, patterns: Patterns | None = None) -> dict[str, DataFrame]:
     """As ``conservative``, but ss is the share of the grid whose p-value exceeds alpha, and a result passes if the main
     run's p-value is on the same side as all of them."""
     d, values = design(main.samples, parse(cfg.formula), cfg.group), np.array(grid)
@@ -107,12 +130,10 @@ def nonconservative(main: Result, cfg: Config, grid: tuple[float, ...] = GRID) -
 
     scores = kept(table.mapInPandas(run, "taxon string, kind string, term string, ss double"), "scores")
     out = {}
-    for name, (attribute, column) in TABLES.items():
-        own = getattr(main, attribute)
-        if own is None:
-            continue
+    for name, own in tables_of(main, cfg, many_to_one, patterns).items():
+        _, column, source = TABLES[name]
         above = F.coalesce(F.col("p"), F.lit(1.0)) > cfg.alpha
-        joined = own.withColumn("term", term_of(column)).join(scores.where(F.col("kind") == name).drop("kind"), ["taxon", "term"]).drop("term")
+        joined = own.withColumn("term", term_of(column)).join(scores.where(F.col("kind") == source).drop("kind"), ["taxon", "term"]).drop("term")
         joined = joined.withColumn("passed_ss", ((F.col("ss") == 0) & ~above) | ((F.col("ss") == 1) & above))
         out[name] = joined.withColumn("diff_robust", F.col("diff") & F.col("passed_ss"))
     return out

@@ -182,3 +182,114 @@ def test_simulation_and_recovery(spark):
     assert total.loc[0, "power"] == 1 and total.loc[0, "reps"] == 2
     with pytest.raises(ValueError, match="no level"):
         simulation.grid(spark, 1, n_taxa=[3])
+
+
+def test_many_to_one_and_trend_sensitivity(study, main):
+    cfg, result = main
+    patterns = {"up": (np.array([[1.0, 0], [-1, 1]]), 1)}
+    found = {k: v.toPandas() for k, v in sensitivity.nonconservative(result, cfg, many_to_one=True, patterns=patterns).items()}
+    assert set(found) == {"primary", "global", "pairwise", "dunnett", "trend"}
+    primary = found["primary"].set_index(["taxon", "coef"])
+    for r in found["dunnett"].itertuples():
+        assert r.ss == primary.loc[(r.taxon, r.contrast), "ss"] and r.passed_ss == ((r.ss == 0 and r.p <= cfg.alpha) or (r.ss == 1 and r.p > cfg.alpha))
+    whole = found["global"].set_index("taxon")["ss"]
+    assert (found["trend"].set_index("taxon")["ss"].sort_index() == whole.sort_index()).all() and len(found["trend"]) == 30
+    assert {"t00", "t01"} <= set(found["dunnett"].query("diff_robust")["taxon"]) <= {"t00", "t01", "t02", "t03"}
+    again = {k: v.toPandas() for k, v in sensitivity.conservative(study[1], study[2], cfg, result, pseudos=(0.0,), many_to_one=True, patterns=patterns, own_trend=True).items()}
+    # The same data twice: with the same draws every score is 0 or 1.
+    assert again["dunnett"]["passed_ss"].all() and again["trend"]["passed_ss"].all() and set(again["dunnett"]["ss"]) <= {0.0, 1.0}
+    with pytest.raises(ValueError, match="global"):
+        sensitivity.conservative(study[1], study[2], Config("grp", group="grp"), result, patterns=patterns)
+
+
+def test_regularised_correlations(spark):
+    rng = np.random.default_rng(11)
+    for size in (2, 5, 12):
+        m = rng.normal(size=(size, size))
+        m = (m + m.T) / 2 * rng.choice([0.05, 1, 5])
+        values = np.linalg.eigvalsh(m)[::-1].copy()
+        values[values <= 0] = values[values > 0].min()
+        ratios = values[0] / values
+        at = max(range(size - 1), key=lambda k: ratios[k + 1] - ratios[k])
+        while values[at] < 0.01 and at:
+            at -= 1
+        floor = min(1, max(0.01, values[at]))
+        got = np.linalg.eigvalsh(correlations.floored(m))[::-1]
+        assert np.allclose(np.sort(np.maximum(values, floor)), np.sort(got))
+    y = rng.normal(size=(8, 15)) @ rng.normal(size=(15, 15))
+    y[rng.random(y.shape) < 0.45] = np.nan  # few common samples: not semidefinite by pairs
+    rows = [(f"t{i:02}", f"s{j}", float(y[j, i])) for j in range(8) for i in range(15) if np.isfinite(y[j, i])]
+    values = spark.createDataFrame(rows, "taxon string, sample string, y double")
+    for method in ("pearson", "spearman"):
+        wide = pd.DataFrame(y, columns=[f"t{i:02}" for i in range(15)])
+        wide = wide.rank() if method == "spearman" else wide
+        cov, seen = wide.cov(min_periods=2).fillna(0).to_numpy(), wide.notna().to_numpy().astype(float)
+        together = seen.T @ seen
+        assert np.linalg.eigvalsh(cov)[0] < -1e-3
+        got = np.eye(15)
+        for r in correlations.regular_correlations(values, method).collect():
+            i, j = int(r.a[1:]), int(r.b[1:])
+            got[i, j] = got[j, i] = r.corr_reg
+        present = np.diag(together) >= 2
+        assert np.linalg.eigvalsh(got[np.ix_(present, present)])[0] > -1e-9 and (got[(together < 2) & ~np.eye(15, dtype=bool)] == 0).all()
+        want = correlations.regularised(cov, together)
+        assert np.allclose((got - want)[np.ix_(present, present)], 0, atol=1e-9)
+
+
+def test_several_tables_are_correlated(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=40)
+    cells = lambda n, rows, first: [(f"t{i}", f"s{j:02}", float(np.exp(6 + 0.5 * rng.normal() + (base[j] if i == 0 else 0)) // 1)) for i in range(rows) for j in range(first, n)]
+    schema = "taxon string, sample string, n double"
+    tables = {"one": spark.createDataFrame(cells(40, 5, 0), schema), "two": spark.createDataFrame(cells(40, 4, 12), schema)}
+    got = correlations.linear_correlations(tables, prv_cut=0, lib_cut=0, n_cv=2, thresh_len=10, corr_cut=2).toPandas().set_index(["a", "b"])
+    assert len(got) == 9 * 8 / 2 and got.loc[("one - t0", "one - t1"), "n"] == 40 and got.loc[("one - t0", "two - t0"), "n"] == 28
+    assert got.loc[("one - t0", "two - t0"), "corr"] > 0.6 and got["corr_reg"].notna().all()
+    flagged = correlations.linear_correlations(tables, prv_cut=0, lib_cut=0, n_cv=2, thresh_len=10, corr_cut=-2, regular=False).toPandas()
+    assert (flagged["corr"] == 0).all() and (flagged["p"] == 1).all() and "corr_reg" not in flagged
+    few = {"one": tables["one"], "two": tables["two"].where("sample > 's33'")}
+    with pytest.raises(ValueError, match="in common"):
+        correlations.linear_correlations(few, prv_cut=0, lib_cut=0)
+
+
+def test_constant_abundances_have_no_correlation(spark):
+    rows = [("a", f"s{k}", 1.0) for k in range(5)] + [("b", f"s{k}", float(k)) for k in range(5)]
+    from countloom.operators import transforms
+
+    [row] = transforms.pearson(spark.createDataFrame(rows, "taxon string, sample string, y double")).collect()
+    assert row.r is None and row.n == 5
+
+
+@pytest.mark.parametrize("soft", [False, True])
+def test_losses_of_thresholds(spark, soft):
+    """Against the plain definition, thresholds that equal correlations and greater correlations than any threshold included."""
+    rng = np.random.default_rng(13)
+    y = rng.normal(size=(24, 6))
+    y[:, 1] = y[:, 0]  # r1 = 1, beyond the last threshold
+    samples = spark.createDataFrame([(f"s{k:02}",) for k in range(24)], "sample string")
+    values = spark.createDataFrame([(f"t{i}", f"s{k:02}", float(y[k, i])) for i in range(6) for k in range(24)], "taxon string, sample string, y double")
+    got = {(round(r.thresh, 9), r.alpha): r.loss for r in correlations.threshold_losses(correlations.pair_rows(values), samples, 6, "pearson", soft, 0.5, 11, (0.0, 0.3), 4, 3).collect()}
+    marks = correlations.splits(samples, 4, 3).toPandas()
+    want = {}
+    for k in range(11):
+        t = 0.5 * k / 10
+        for alpha in (0.0, 0.3):
+            losses = []
+            for split in range(1, 5):
+                train = marks[marks["split"] == split].sort_values("sample")["train"].to_numpy()
+                r1, r2 = np.corrcoef(y[train].T), np.corrcoef(y[~train].T)
+                cut = np.where(np.abs(r1) <= t, 0, np.sign(r1) * (np.abs(r1) - t * soft))
+                off = ~np.eye(6, dtype=bool)
+                losses.append(0.5 * np.sqrt(((cut - r2) ** 2).sum()) + alpha * (np.abs(cut) / np.abs(r2 + 1e-10))[off].sum())
+            want[round(t, 9), alpha] = np.mean(losses)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_strict_mode(spark, study):
+    from countloom.plans.analysis import within_taxa
+
+    tested = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.01), ("b", "x", 0.02), ("b", "y", 0.5)], "taxon string, contrast string, p double")
+    screen = spark.createDataFrame([("a", True), ("b", False)], "taxon string, screened boolean")
+    for strict, p in ((False, 1.0), (True, 0.0)):
+        got = {(r.taxon, r.contrast): (r.p, r.q) for r in within_taxa(tested, screen, 2, "holm", 0.05, strict).collect()}
+        assert got["a", "x"][0] == p and got["b", "x"] == (1.0, 1.0) and np.isclose(got["a", "y"][1], 0.03 if strict else 0.04)
