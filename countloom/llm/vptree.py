@@ -45,12 +45,20 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def scaled(points: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near 1: squares can't overflow or vanish, and no
+    digit changes, so cosines are those of the vectors as given."""
+    if not points.size:
+        return points
+    return np.ldexp(points, -np.frexp(np.abs(points).max(axis=1))[1][:, None])
+
+
 class Tree:
     """``order`` lists points so that each leaf is one run of it; ``nodes`` rows are
     (vantage point or -1 for a leaf, begin, end, inner child, outer child, inner low, inner high, outer low, outer high)."""
 
     def __init__(self, points: np.ndarray, nodes: np.ndarray | None = None, order: np.ndarray | None = None):
-        self.points = points
+        self.points = points = scaled(points)
         self.norms = np.sqrt((points * points).sum(axis=1))
         self.unit = points / self.norms[:, None]
         if nodes is None:
@@ -96,6 +104,7 @@ class Tree:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float):
         """For each query its k best ids and cosines here (fewer, if there are fewer)."""
+        queries = scaled(queries)
         norms = np.sqrt((queries * queries).sum(axis=1))
         unit = queries / norms[:, None]
         n = len(queries)

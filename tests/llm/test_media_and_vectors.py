@@ -132,6 +132,21 @@ def test_repeated_rows_take_no_places(spark):
     assert [(r.rank, r.vec_id) for r in vptree.neighbours(wide, every=50, k=5).orderBy("rank").collect()] == got
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324 * 2**60])
+def test_very_large_and_small_components(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=6)) for k in range(60)]
+    want = brute([(i, v.tolist()) for i, v in rows], 10, 5)
+    df = spark.createDataFrame([(i, (v * (size if i % 2 else 1.0)).tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in vptree.neighbours(df, every=10, k=5, shard_rows=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        v, w = rows[r.query_id][1], rows[r.vec_id][1]
+        assert abs(r.score - v @ w / np.sqrt((v @ v) * (w @ w))) < (1e-9 if size != 5e-324 * 2**60 else 1e-6)
+    assert got == want
+    assert np.array_equal(vptree.scaled(np.array([[3.0, -0.1]])), np.array([[0.75, -0.025]]))
+
+
 def test_relaxed_search_keeps_recall(vectors):
     rows, df = vectors
     want = brute(rows[:-1], 10, 5)
