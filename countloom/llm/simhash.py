@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.llm.common import batches_of, binary_array, flat_binary, fresh, id_and_text, parts, sized, written
@@ -283,15 +283,20 @@ def sketches(shingles: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     return np.bincount(owner, minlength=texts), bits.view("<i8").reshape(texts, SKETCH // 64)
 
 
+def can_be_similar(x: str, y: str, similar: float) -> Column:
+    """Whether two sketches (columns n and bits of the aliases) leave room for a Jaccard similarity of ``similar``: true for
+    all pairs that have it. With J, two sets of n and m members have at most (1 - J) / (1 + J) * (n + m) in just one."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    even = F.least(n, m) >= F.lit(similar - 1e-9) * F.greatest(n, m)
+    return even & (differ <= F.lit((1 - similar) / (1 + similar) + 1e-9) * (n + m))
+
+
 def plausible(pairs: DataFrame, sketched: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) that can have a Jaccard similarity of ``similar`` or more, by ``sketched`` (doc, n, bits): none that
-    has it goes. With J, two sets of n and m members have at most (1 - J) / (1 + J) * (n + m) of them in just one."""
-    for side in "ab":
-        pairs = pairs.join(sketched.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
-    most = F.lit((1 - similar) / (1 + similar) + 1e-9) * (F.col("n_a") + F.col("n_b"))
-    even = F.least("n_a", "n_b") >= F.lit(similar - 1e-9) * F.greatest("n_a", "n_b")
-    return pairs.where(even & (differ <= most)).select("a", "b").distinct()
+    """The pairs (a, b) that ``can_be_similar``, by ``sketched`` (doc, n, bits)."""
+    x, y = sketched.alias("x"), sketched.alias("y")
+    joined = pairs.join(x, F.col("a") == F.col("x.doc")).join(y, (F.col("b") == F.col("y.doc")) & can_be_similar("x", "y", similar))
+    return joined.select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -> DataFrame:
@@ -336,41 +341,41 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, similar: float) -
 
 
 def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: float, bucket: int, sketched: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) that verify, among texts that share a key; ``keys`` has slot, key, doc. Pairs that ``sketched`` (doc, n,
-    bits) rules out are not compared as texts.
+    """Links (a, b) that verify, among texts that share a key; ``keys`` has slot, key, doc. Texts of a key meet under the
+    condition that ``sketched`` (doc, n, bits) leaves room for the similarity, so only such pairs leave the join.
 
     All pairs of a key with at most ``bucket`` texts are tried. In a larger one hubs are tried, in rounds, with all of its
     texts that aren't linked to them yet in any way: first one hub, then more, from the texts that aren't linked to the
     key's first hub, until each is or has been a hub. So no link between texts that would stay apart is lost. Keys draw
     their hubs by a hash, differently from each other.
     """
-    sizes = keys.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keys.join(sizes, ["slot", "key"]), "shared")
-    few, many = shared.where(F.col("n") <= bucket), shared.where(F.col("n") > bucket).select("slot", "key", "doc")
-    pairs = few.alias("x").join(few.alias("y"), ["slot", "key"]).where("x.doc < y.doc").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    sizes = keys.groupBy("slot", "key").agg(F.count("*").alias("texts")).where("texts > 1")
+    own = keys.join(sizes, ["slot", "key"])
+    if sketched is not None:
+        own = own.join(sketched, "doc")
+    marks = ["n", "bits"] if sketched is not None else []
+    near = can_be_similar("x", "y", similar) if sketched is not None else F.lit(True)
+    same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key"))
+    shared = written(own, "shared")
+    few, many = shared.where(F.col("texts") <= bucket), shared.where(F.col("texts") > bucket).select("slot", "key", "doc", *marks)
+    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.doc") < F.col("y.doc")) & near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     tried = written(pairs.distinct(), "candidates")
-
-    def links_of(new: DataFrame) -> DataFrame:
-        if sketched is not None:
-            new = written(plausible(new, sketched, similar), "plausible")
-        return written(verified(new, docs, width=width, similar=similar), "verified")
-
-    found = links_of(tried)
+    found = written(verified(tried, docs, width=width, similar=similar), "verified")
     if many.isEmpty():
         return found
     # By partial aggregation, as a key may be very large yet.
     first = F.min(F.struct(F.xxhash64("slot", "key", "doc").alias("h"), "doc"))
     heads = written(many.groupBy("slot", "key").agg(first.alias("x")).select("slot", "key", F.col("x.doc").alias("hub")), "hubs")
-    hubs, rest, hubs_each, labelled = heads, many, 4 * bucket, many.withColumn("class", F.col("doc"))
+    hubs, rest, hubs_each, labelled = heads, many.select("slot", "key", "doc"), 4 * bucket, many.withColumn("class", F.col("doc"))
     while True:
-        of_hubs = hubs.join(labelled.select("slot", "key", F.col("doc").alias("hub"), F.col("class").alias("hub_class")), ["slot", "key", "hub"])
-        apart = labelled.join(of_hubs, ["slot", "key"]).where("class <> hub_class")
-        new = apart.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+        of_hubs = labelled.join(hubs.withColumnRenamed("hub", "doc"), ["slot", "key", "doc"], "left_semi")
+        apart = labelled.alias("x").join(of_hubs.alias("y"), same & (F.col("x.class") != F.col("y.class")) & near)
+        new = apart.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
         new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
         tried = tried.unionByName(new)
-        found = found.unionByName(links_of(new))
+        found = found.unionByName(written(verified(new, docs, width=width, similar=similar), "verified"))
         classes = components(found).select(F.col("node").alias("doc"), F.col("component"))
-        labelled = written(many.join(classes, "doc", "left").select("slot", "key", "doc", F.coalesce("component", "doc").alias("class")), "classes")
+        labelled = written(many.join(classes, "doc", "left").select("slot", "key", "doc", *marks, F.coalesce("component", "doc").alias("class")), "classes")
         of_heads = heads.join(labelled.select("slot", "key", F.col("doc").alias("hub"), F.col("class").alias("head_class")), ["slot", "key", "hub"]).drop("hub")
         left = labelled.join(of_heads, ["slot", "key"]).where("class <> head_class").select("slot", "key", "doc")
         left = left.join(rest, ["slot", "key", "doc"], "left_semi").join(hubs.withColumnRenamed("hub", "doc"), ["slot", "key", "doc"], "left_anti")
