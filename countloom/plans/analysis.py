@@ -6,6 +6,7 @@ for each taxon, coefficient or group level.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -63,6 +64,21 @@ class Result:
     corrected: DataFrame | None = None
     table: DataFrame | None = None
     samples: DataFrame | None = None
+    #: Seconds of each stage, as the driver waits for it.
+    seconds: dict[str, float] = field(default_factory=dict)
+
+
+class Stopwatch:
+    """Seconds between calls, by stage."""
+
+    def __init__(self):
+        self.seconds: dict[str, float] = {}
+        self.at = time.perf_counter()
+
+    def stage(self, name: str) -> None:
+        now = time.perf_counter()
+        self.seconds[name] = self.seconds.get(name, 0.0) + now - self.at
+        self.at = now
 
 
 def packed(logs: DataFrame, d: Design, center: bool = False) -> DataFrame:
@@ -220,6 +236,7 @@ def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
 def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     """``counts``: taxon, sample, n. ``samples``: sample and covariates; a null group is no group."""
     spark: SparkSession = counts.sparkSession
+    watch = Stopwatch()
     formula = parse(cfg.formula)
     counts, samples = kept(counts, "counts"), kept(samples, "samples")  # each is read many times
     warnings = checked(counts, samples)[1]
@@ -238,11 +255,16 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     missing = None if cfg.strict else 0.1
     y1 = kept(centred(o1, own, cfg.pseudo), "logs")
     s1 = sheets(y1, d, gram, every)
+    watch.stage("preprocess")
     known = solvers(s1)
+    watch.stage("pattern_grouping")
     beta1, _, trace = iterate(s1, known, cfg.tol, cfg.max_iter)
+    watch.stage("mle1")
     est1 = estimates(s1, known, beta1, beta1, missing)
+    watch.stage("sandwich1")
     mix = mixtures(long_estimates(est1, d), d.columns, cfg.em_tol, cfg.em_max_iter)
     delta = np.array([mix[c].delta if c in mix else 0.0 for c in d.columns])
+    watch.stage("em")
     s1 = with_biases(s1, unscaled(np.linalg.inv(s1.basis), beta1) - delta)
     theta = theta_of(s1)
     if lost := theta.where("theta IS NULL").count():
@@ -252,12 +274,16 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         y2 = kept(centred(o2, own, cfg.pseudo), "logs")
         s2 = sheets(y2, d, gram, every)
         s2 = replace(s2, rows=kept(s2.rows.join(s1.rows.select("sample", "theta"), "sample", "left"), "sheets"))
+    watch.stage("correction")
     known = solvers(s2)
     beta2, _ = fit(s2, known, None, None)
+    watch.stage("mle2")
     est2 = estimates(s2, known, beta2, None, missing)
+    watch.stage("sandwich2")
     vd = spark.createDataFrame([(c, mix[c].var_delta if c in mix else 0.0) for c in d.columns], "coef string, vd double")
     chain = variance_chain(long_estimates(est2, d), vd, cfg.s0_perc)
     primary = kept(primary_test(chain, cfg.p_adjust, cfg.alpha), "primary")
+    watch.stage("tests")
     theta_table = theta
     wide = cfg.group is not None and len(d.group_levels) >= 3
     return Result(
@@ -274,6 +300,7 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         corrected=transforms.subtract_by_sample(y2, theta_table),
         table=o2,
         samples=own,
+        seconds=watch.seconds,
     )
 
 

@@ -234,7 +234,10 @@ def _one_factor(spark: SparkSession, d: str, what: str, pseudo: float = 0.5, mis
     if what == "fit":
         fits = passes.estimates(table, known, beta, None, missing)
         return rounded(long_estimates(fits, plan).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", places=8).withColumn("variance", F.round("variance", 10))
-    return rounded(passes.theta_of(passes.with_biases(table, passes.unscaled(np.linalg.inv(table.basis), beta))), "theta")
+    theta = passes.theta_of(passes.with_biases(table, passes.unscaled(np.linalg.inv(table.basis), beta)))
+    if what == "corrected":
+        return rounded(transforms.subtract_by_sample(centred(counts(spark, d), own, pseudo), theta), "y")
+    return rounded(theta, "theta")
 
 
 _FILLED = _DENSE + """, filled AS (SELECT taxon, sample, ln(n + 0.5) - avg(ln(n + 0.5)) OVER (PARTITION BY taxon) AS y FROM dense
@@ -269,6 +272,29 @@ register(
     lambda s, d: _one_factor(s, d, "theta"),
     sql("SELECT sample, round(avg(y - m), 6) AS theta FROM filled JOIN samples USING (sample) JOIN level_fits USING (taxon, grp) GROUP BY sample", "dense", _FILLED),
 )
+register(
+    "bias_corrected_one_factor",
+    lambda s, d: _one_factor(s, d, "corrected"),
+    sql("SELECT taxon, sample, round(y - avg(y - m) OVER (PARTITION BY sample), 6) AS y FROM filled JOIN samples USING (sample) JOIN level_fits USING (taxon, grp)", "dense", _FILLED),
+)
+
+
+def _across(spark: SparkSession, d: str) -> DataFrame:
+    from countloom.sources.results import fractions_across
+
+    return fractions_across({"half": _one_factor(spark, d, "theta"), "whole": _one_factor(spark, d, "theta", 1.0)})
+
+
+register(
+    "sampling_fractions_across",
+    _across,
+    sql(
+        "SELECT sample, half, whole FROM (SELECT sample, round(avg(y - m), 6) AS half FROM filled JOIN samples USING (sample) JOIN level_fits USING (taxon, grp) GROUP BY sample) JOIN "
+        "(SELECT sample, round(avg(y - m), 6) AS whole FROM (SELECT taxon, sample, y, avg(y) OVER (PARTITION BY taxon, grp) AS m FROM (SELECT taxon, sample, grp, ln(n + 1) - avg(ln(n + 1)) OVER (PARTITION BY taxon) AS y FROM dense JOIN samples USING (sample))) GROUP BY sample) USING (sample)",
+        "dense",
+        _FILLED,
+    ),
+)
 register(
     "design_table",
     lambda s, d: _one_factor(s, d, "design"),
@@ -356,6 +382,18 @@ register("analysis_primary", _analysis("dense", "primary"), None)
 register("analysis_primary_structural_zeros", _analysis("very_sparse", "primary", struc_zero=True, neg_lb=True, prv_cut=0.05), None)
 register("analysis_global", _analysis("dense", "global_test", global_test=True), None)
 register("analysis_pairwise", _analysis("dense", "pairwise", pairwise=True), None)
+
+
+def _reported(spark: SparkSession, d: str, what: str) -> DataFrame:
+    from countloom.plans.analysis import Config, analyze
+    from countloom.sources.sinks import contract_tables, summary
+
+    result = analyze(counts(spark, d), samples(spark, d), Config("grp + x", group="grp", global_test=True, pairwise=True))
+    return summary(result) if what == "summary" else contract_tables(result)[what]
+
+
+for _table in ("res", "res_global", "res_pair", "summary"):
+    register(f"analysis_table_{_table}", lambda s, d, w=_table: _reported(s, d, w), None)
 register("analysis_sampling_fractions", _analysis("dense", "theta"), None)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,13 +104,24 @@ def densify(counts: DataFrame, samples: DataFrame) -> DataFrame:
     return grid.join(counts, ["taxon", "sample"], "left").select("taxon", "sample", F.when(F.col("n").isNull() & ~F.coalesce(F.col("seen"), F.lit(False)), 0.0).otherwise(F.col("n")).alias("n")) if "seen" in counts.columns else grid.join(counts.withColumn("seen", F.lit(True)), ["taxon", "sample"], "left").select("taxon", "sample", F.when(F.col("seen").isNull(), 0.0).otherwise(F.col("n")).alias("n"))
 
 
-def printed(c: Column) -> Column:
-    """A number as text: at most 15 digits, whole ones bare, missing ones and not-a-number NA, infinite ones Inf or -Inf."""
-    exact = F.format_string("%.14e", c).cast("double")
-    whole = (F.floor(exact) == exact) & (F.abs(exact) < 1e15)
-    text = F.when(whole, exact.cast("bigint").cast("string")).otherwise(exact.cast("string"))
-    inf = F.lit(float("inf"))
-    return F.when(c.isNull() | F.isnan(c), "NA").when(c == inf, "Inf").when(c == -inf, "-Inf").otherwise(text)
+def number_text(v: float) -> str:
+    """Whole numbers bare; others as the shortest decimal that reads back as the same number, or with an exponent if that is
+    longer than 15 decimals and exponent; NA, Inf and -Inf."""
+    if np.isnan(v):
+        return "NA"
+    if np.isinf(v):
+        return "Inf" if v > 0 else "-Inf"
+    if v == int(v) and abs(v) < 1e15:
+        return str(int(v))
+    plain = np.format_float_positional(v, unique=True, trim="-")
+    head, tail = f"{v:.15e}".split("e")
+    power = f"{head}e{int(tail)}"
+    return plain if len(plain) <= len(power) else power
+
+
+@F.pandas_udf(T.StringType())
+def printed(values: pd.Series) -> pd.Series:
+    return values.astype(float).map(number_text)
 
 
 def write_table(table: DataFrame, path: str) -> None:

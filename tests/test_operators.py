@@ -13,7 +13,10 @@ from countloom.operators import screens, transforms
 from countloom.plans import queries as plans
 from countloom.plans.analysis import Config, analyze
 from countloom.plans.formula import check_identifiable, design, frame, parse
-from countloom.sources.counts import densify, read_counts, read_metadata, typed, write_table
+from countloom.plans import sensitivity
+from countloom.sources import sinks
+from countloom.sources.counts import densify, number_text, read_counts, read_metadata, typed, write_table
+from countloom.sources.results import transposed
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,7 +75,7 @@ def test_tables_are_read_and_written(spark, tmp_path):
     odd = [("a", float("nan")), ("b", float("inf")), ("c", float("-inf")), ("d", 12.0), ("e", 0.1 + 0.2), ("f", -3.0e-5)]
     write_table(spark.createDataFrame(odd, "taxon string, p double").coalesce(1), f"{tmp_path}/odd")
     lines = [r[0] for r in spark.read.text(f"{tmp_path}/odd").collect()]
-    assert [x.split("\t")[1] for x in lines if not x.startswith("taxon")] == ["NA", "Inf", "-Inf", "12", "0.3", "-3.0E-5"]
+    assert [x.split("\t")[1] for x in lines if not x.startswith("taxon")] == ["NA", "Inf", "-Inf", "12", "0.30000000000000004", "-0.00003"]
 
 
 P = [0.01, 0.02, 0.03, 0.04, 0.05, 0.011, 0.6]
@@ -225,6 +228,80 @@ def test_a_rare_taxon_is_a_structural_zero(spark):
     assert {(r.taxon, r.grp) for r in own.zeros.where("is_zero").collect()} == {("t01", "1")}
 
 
+# A third, of which one taxon is missing and one zero in most samples of a group.
+GAPS = [
+    [37, 49, 47, 42, 39, 33, 41, 44, 36, 45],
+    [52, 43, 50, 44, 32, 58, 46, 31, 50, 38],
+    [None, None, None, 37, 42, 46, 41, 43, 41, 38],
+    [0, 0, 0, 33, 47, 53, 36, 37, 49, 46],
+    [42, 45, 30, 39, 34, 33, 33, 40, 38, 40],
+    [39, 38, 32, 46, 31, 42, 40, 34, 47, 41],
+]
+GAPS_LFC = [-0.15374079128513832, -0.0809574138051027, -0.10589171020922465, 0.01538822292283294]
+GAPS_SE = [0.4036937023148429, 0.431688469136437, 0.39484144102077334, 0.3776064744666667]
+
+
+def test_missing_counts(spark):
+    cells = [(f"t{i}", f"s{j:02}", None if v is None else float(v)) for i, row in enumerate(GAPS) for j, v in enumerate(row) if v != 0]
+    counts = spark.createDataFrame(cells, "taxon string, sample string, n double")
+    samples = spark.createDataFrame([(f"s{j:02}", "1" if j < 5 else "2") for j in range(10)], "sample string, group string")
+    own = analyze(counts, samples, Config("group", group="group", p_adjust="BH", pseudo=0.5, prv_cut=0, struc_zero=True, neg_lb=True))
+    rows = own.primary.toPandas().query("coef == 'group2'").sort_values("taxon")
+    assert {(r.taxon, r.grp) for r in own.zeros.where("is_zero").collect()} == {("t2", "1"), ("t3", "1")}
+    assert rows["taxon"].tolist() == ["t0", "t1", "t4", "t5"] and np.allclose(rows["lfc"], GAPS_LFC, atol=1e-7) and np.allclose(rows["se"], GAPS_SE, atol=1e-7)
+
+
+def test_inputs_are_checked(spark):
+    counts, samples = tables(spark, COUNTS, GROUPS)
+    with pytest.raises(ValueError, match="no covariates of sample s00"):
+        analyze(counts, samples.where("sample <> 's00'"), Config("group"))
+    with pytest.raises(ValueError, match="listed twice"):
+        analyze(counts, samples.unionByName(samples.limit(1)), Config("group"))
+    wide = spark.createDataFrame([("a", 1, 2.5, 0), ("b", None, 4.0, 7)], "name string, s1 int, s2 double, s3 int")
+    got = {(r.taxon, r.sample): r.n for r in transposed(wide, True).collect()}
+    assert got == {("a", "s1"): 1.0, ("a", "s2"): 2.5, ("b", "s1"): None, ("b", "s2"): 4.0, ("b", "s3"): 7.0}
+    assert {(r.taxon, r.sample): r.n for r in transposed(wide, False).collect()} == {(b, a): n for (a, b), n in got.items()}
+    with pytest.raises(ValueError, match="isn't numeric"):
+        transposed(wide.withColumn("s4", F.lit("x")), True)
+
+
+def test_results_are_written_and_read(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    groups = [k % 3 for k in range(30)]
+    counts, samples = tables(spark, rng.poisson(40, (12, 30)), groups)
+    cfg = Config("group", group="group", pseudo=0.5, global_test=True, pairwise=True, struc_zero=True)
+    result = analyze(counts, samples, cfg)
+    found = sinks.contract_tables(result, sensitivity.nonconservative(result, cfg, grid=(0.1, 0.2)))
+    terms = ["(Intercept)", "group1", "group2"]
+    assert found["res"].columns == ["taxon"] + [f"{m}_{c}" for m in [*sinks.MEASURES, "passed_ss", "diff_robust"] for c in terms]
+    assert found["res_pair"].columns == ["taxon"] + [f"{m}_{c}" for c in ["group1", "group2", "group2_group1"] for m in sinks.MEASURES]
+    assert found["res_global"].columns == ["taxon", "W", "p_val", "q_val", "diff_abn", "passed_ss", "diff_robust_abn"] and found["zero_ind"].columns[1:] == ["structural_zero_0", "structural_zero_1", "structural_zero_2"]
+    assert found["ss_tab"].groupBy("table").count().count() == 3 and found["bias_correct_log_table"].count() == 360
+    lfc = {(r.taxon, r.coef): r.lfc for r in result.primary.collect()}
+    assert all(lfc[r.taxon, c] == r[f"lfc_{c}"] for r in found["res"].collect() for c in terms)
+    sinks.write_results(result, cfg, f"{tmp_path}/out")
+    back = spark.read.csv(f"{tmp_path}/out/res", sep="\t", header=True, inferSchema=True)
+    assert all(lfc[r.taxon, "group2"] == r.lfc_group2 for r in back.collect())  # the shortest decimals read back as the same numbers
+    run = {r.key: r.value for r in spark.read.csv(f"{tmp_path}/out/run", sep="\t", header=True).collect()}
+    assert run["option_formula"] == "group" and float(run["epsilon_1"]) == result.epsilons[0] and float(run["seconds_mle1"]) > 0 and "only 12 taxa" in run["warning_1"]
+    few = {r.coef: (r.taxa, r.tested) for r in sinks.summary(result).collect()}
+    assert few == {c: (12, 12) for c in terms}
+    rows = spark.createDataFrame([("a", 1.5, 2), ("b", None, None), ("c", float("nan"), 3)], "taxon string, x double, k int")
+    sinks.write_rows(rows, f"{tmp_path}/rows")
+    assert sorted(map(tuple, sinks.read_rows(spark, f"{tmp_path}/rows", "taxon string, x double, k int").collect())) == [("a", 1.5, 2), ("b", None, None), ("c", None, 3)]
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set/counts.tsv").write_text("s1\ts2\nt1\t4\t0\n")
+    (tmp_path / "set/meta.tsv").write_text("group\ns1\ta\ns2\tb\n")
+    (tmp_path / "set/analysis.tsv").write_text("key\tvalue\nformula\tgroup\ngroup\tgroup\npseudo\t0.5\nstruc_zero\tTRUE\nmax_iter\t7\nelse\t1\np_adj_method\tBH\n")
+    c, s, own = sinks.read_dataset(spark, f"{tmp_path}/set")
+    assert own == Config("group", group="group", pseudo=0.5, struc_zero=True, max_iter=7, p_adjust="BH") and c.count() == 1 and s.count() == 2
+
+
+@pytest.mark.parametrize("value,text", [(0.1, "0.1"), (1e15, "1000000000000000"), (-2.0, "-2"), (1e-7, "0.0000001"), (1.2345678901234567e-9, "1.234567890123457e-9"), (123456.789, "123456.789"), (5e300, "5.000000000000000e300"), (float("-inf"), "-Inf")])
+def test_numbers_as_text(value, text):
+    assert number_text(value) == text
+
+
 def test_global_and_pairwise_tests(spark):
     rng = np.random.default_rng(5)
     groups = [k % 3 for k in range(45)]
