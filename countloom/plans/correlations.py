@@ -218,22 +218,63 @@ def linear_correlations(counts: DataFrame | dict[str, DataFrame], samples: DataF
     return done
 
 
+def earlier_and_lower(y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each place the sums of ``weights`` (a row each) over earlier places with no larger y: halves of ever larger blocks
+    are merged, so time is n (log n)^2 and memory n."""
+    n, out = len(y), np.zeros((len(weights), len(y)))
+    place, half = np.arange(n), 1
+    while half < n:
+        block, left = place // (2 * half), place % (2 * half) < half
+        order = np.lexsort((~left, y, block))  # of equal ones those of the left half first
+        own, starts = block[order], np.flatnonzero(np.diff(block[order], prepend=-1))
+        run = np.cumsum(np.where(left, weights, 0.0)[:, order], axis=1)
+        before = np.concatenate([np.zeros((len(weights), 1)), run], axis=1)[:, starts]
+        right = ~left[order]
+        out[:, order[right]] += (run - before[:, own])[:, right]
+        half *= 2
+    return out
+
+
+def products_of_distances(x: np.ndarray, y: np.ndarray) -> float:
+    """The sum of |x_i - x_j| |y_i - y_j| over all i and j, for x in order."""
+    weights = np.stack([np.ones(len(x)), x, y, x * y])
+    lower, every = earlier_and_lower(y, weights), np.cumsum(weights, axis=1) - weights
+    far = y * (2 * lower[0] - every[0]) + every[2] - 2 * lower[2]
+    far_x = y * (2 * lower[1] - every[1]) + every[3] - 2 * lower[3]
+    return 2 * float((x * far - far_x).sum())
+
+
+def total_distances(v: np.ndarray) -> np.ndarray:
+    """Each value's sum of distances to all."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    out = np.empty(len(v))
+    out[order] = s * (2 * np.arange(1, len(v) + 1) - len(v)) + s.sum() - 2 * np.cumsum(s)
+    return out
+
+
 def distance_correlation(x: np.ndarray, y: np.ndarray, permutations: int, rng: np.random.Generator) -> tuple[float, float]:
-    """The distance correlation, and its p-value by permutation of y (1 more in numerator and denominator)."""
+    """The distance correlation, and its p-value by permutation of y (1 more in numerator and denominator). Distances are
+    never laid out: memory is as long as the samples."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order] - x.mean(), y[order] - y.mean()
+    a, b = total_distances(x), total_distances(y)
+
+    def covariance(y: np.ndarray, b: np.ndarray) -> float:
+        return products_of_distances(x, y) / n**2 - 2 * (a @ b) / n**3 + a.sum() * b.sum() / n**4
 
-    def centred(v):
-        d = np.abs(v[:, None] - v[None, :])
-        return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
+    def variance(v: np.ndarray, d: np.ndarray) -> float:
+        return 2 * (v @ v) / n - 2 * (d @ d) / n**3 + d.sum() ** 2 / n**4  # values are centred
 
-    a, b = centred(x), centred(y)
-    scale = math.sqrt(max(0.0, (a * a).mean() * (b * b).mean()))
-    if scale <= 0:
+    scale = math.sqrt(max(0.0, variance(x, a)) * max(0.0, variance(y, b)))
+    if scale <= 1e-14 * max(1e-300, float((x @ x) * (y @ y)) ** 0.5 / n):
         return 0.0, 1.0
-    seen = (a * b).mean()
+    seen = covariance(y, b)
     more = 0
     for _ in range(permutations):
-        order = rng.permutation(len(y))
-        more += (a * b[np.ix_(order, order)]).mean() >= seen
+        drawn = rng.permutation(n)
+        more += covariance(y[drawn], b[drawn]) >= seen - 1e-12 * scale
     return math.sqrt(max(0.0, seen / scale)), (1 + more) / (1 + permutations)
 
 

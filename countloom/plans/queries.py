@@ -559,6 +559,7 @@ for _name, _what in (
     ("linear_correlations_pearson", "pearson"),
     ("linear_correlations_spearman", "spearman"),
     ("sensitivity_many_to_one", "many_to_one_sensitivity"),
+    ("distance_correlations", "distance"),
 ):
     register(_name, lambda s, d, w=_what: _companion(s, d, w), None)
 

@@ -155,6 +155,29 @@ def test_linear_correlations(spark):
     assert (flagged["corr"] == 0).all() and (flagged["p"] == 1).all()
 
 
+def test_distance_correlation_is_the_laid_out_one():
+    rng = np.random.default_rng(14)
+
+    def centred(v):
+        d = np.abs(v[:, None] - v[None, :])
+        return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
+
+    for n in (2, 3, 7, 64, 100, 257):
+        x, y = rng.normal(5, 2, n), rng.normal(size=n)
+        if n % 2:
+            x, y = np.round(x), np.round(y + 0.5 * x)  # ties
+        a, b = centred(x), centred(y)
+        scale = np.sqrt((a * a).mean() * (b * b).mean())
+        got, p = correlations.distance_correlation(x, y, 20, np.random.default_rng(1))
+        want = np.sqrt(max(0, (a * b).mean() / scale)) if scale > 1e-12 else 0.0
+        assert abs(got - want) < 1e-6
+        order = np.argsort(x, kind="stable")
+        own, rng_p = b[np.ix_(order, order)], np.random.default_rng(1)
+        drawn = [rng_p.permutation(n) for _ in range(20)]
+        more = sum((a[np.ix_(order, order)] * own[np.ix_(k, k)]).mean() >= (a * b).mean() - 1e-12 * scale for k in drawn)
+        assert p == (1 + more) / 21 or scale <= 1e-12
+
+
 def test_distance_correlations(spark):
     rng = np.random.default_rng(10)
     logs = rng.normal(6, 0.8, (6, 40))
