@@ -197,3 +197,45 @@ def test_contexts_are_whole_words(spark):
     docs = [(k, " ".join(random.Random(k).choice(["abcx one", "abcy two"]) for _ in range(200))) for k in range(60)]
     got = pitman_yor.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).where("held_out").selectExpr("sum(score) / sum(n_tokens) s").first().s
     assert 10**-got < 1.6  # one choice of two for every two words: 1.41
+
+
+def test_label_model_is_a_fixed_point_of_enumerated_em():
+    """Posteriors by products over blocks of each row's vote chances, and these chances by weighted counts, row by row."""
+    rng = np.random.default_rng(31)
+    truth = rng.random(400) < 0.3
+    votes = np.zeros((400, 5), int)
+    for j, right in enumerate((0.9, 0.8, 0.75, 0.85, 0.7)):
+        says = rng.random(400) < 0.7
+        votes[:, j] = np.where(says, np.where((rng.random(400) < right) == truth, 1, -1), 0)
+    m = toxicity.LabelModel.fit(votes, 0.3, rounds=500)
+    post = m.posterior(votes)
+    again = []
+    for row in range(400):
+        chance = [m.prior, 1 - m.prior]
+        for block in m.blocks:
+            for c in (0, 1):
+                weight = lambda r, c=c: post[r] if c == 0 else 1 - post[r]
+                same = sum(weight(r) for r in range(400) if (votes[r, block] == votes[row, block]).all()) + 0.1
+                kinds = len({tuple(v) for v in votes[:, block].tolist()})
+                chance[c] *= same / (sum(weight(r) for r in range(400)) + 0.1 * kinds)
+        again.append(chance[0] / sum(chance))
+    assert np.abs(np.array(again) - post).max() < 1e-3 and abs(m.prior - post.mean()) < 1e-3
+    assert ((post > 0.5) == truth).mean() > 0.85
+
+
+def test_logistic_regression_matches_newtons_method():
+    rng = np.random.default_rng(32)
+    width, n, l2 = 12, 300, 0.01
+    rows = [np.unique(rng.integers(0, width, rng.integers(1, 6))) for _ in range(n)]
+    x = np.zeros((n, width + 1))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    x[:, -1] = 1
+    target = 1 / (1 + np.exp(-(x @ rng.normal(size=width + 1))))
+    scale = np.append(1 / np.sqrt(np.maximum(1, x[:, :-1].sum(axis=0)) / n + 0.01), 1.0)
+    xs, penalty, z = x * scale, np.append(np.full(width, l2), 0.0), np.zeros(width + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-xs @ z))
+        z = z - np.linalg.solve((xs * (p * (1 - p))[:, None]).T @ xs / n + np.diag(penalty), xs.T @ (p - target) / n + penalty * z)
+    got = toxicity.logistic(rows, target, width, l2=l2, rounds=3000)
+    assert np.abs(got - z * scale).max() < 1e-3

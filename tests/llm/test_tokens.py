@@ -123,3 +123,23 @@ def test_every_capacity_holds(rule):
         assert own.sum() <= 100 and len(own) <= 5 and (own.astype(float) ** 2).sum() <= 10_000 + 1e-6
     free = best_fit(lengths, 100, 100, 10_000.0, rule=rule)
     assert len(np.unique(free)) <= 1.02 * lengths.sum() / 100 + 1
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("docs_each,cost", [(10**9, 1e18), (5, 6e5)])
+def test_every_piece_goes_to_the_best_sequence(rule, docs_each, cost):
+    """Against a plain simulation: of all sequences that hold the piece under every capacity, the chosen one has the least
+    score; a new one is opened only where none holds it."""
+    rng = np.random.default_rng(41)
+    lengths = np.sort(rng.choice([1, 3, 50, 128, 256, 300, 511, 640, 777], 250))[::-1]
+    caps, w = np.array([1024, docs_each, cost]), np.array([1.0, 0.1, 0.1])
+    out, left = best_fit(lengths, 1024, docs_each, cost, rule=rule), []
+    for length, place in zip(lengths.tolist(), out.tolist(), strict=True):
+        d = np.array([length, 1.0, float(length) ** 2]) / caps
+        scores = {k: float(w @ (v * d if rule == "dot" else (v - d) ** 2)) for k, v in enumerate(left) if ((v - d) >= -1e-9).all()}
+        if place == len(left):
+            assert not scores
+            left.append(np.ones(3))
+        else:
+            assert scores[place] <= min(scores.values()) + 1e-12
+        left[place] = left[place] - d
