@@ -275,7 +275,8 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         s2 = sheets(y2, d, gram, every)
         s2 = replace(s2, rows=kept(s2.rows.join(s1.rows.select("sample", "theta"), "sample", "left"), "sheets"))
     watch.stage("correction")
-    known = solvers(s2)
+    if zeros is not None or lost:  # else the same samples are observed as before
+        known = solvers(s2)
     beta2, _ = fit(s2, known, None, None)
     watch.stage("mle2")
     est2 = estimates(s2, known, beta2, None, missing)
