@@ -8,7 +8,7 @@ import xxhash
 
 from countloom.llm import simhash
 from countloom.llm.components import components
-from countloom.llm.passages import compact_windows, multipliers, remove_passages, repeated_passages, shingle_hashes, without_spans
+from countloom.llm.passages import compact_windows, frequent_values, multipliers, packed, places, remove_passages, repeated_passages, shingle_hashes, without_spans
 
 
 def closure(n, links):
@@ -270,6 +270,38 @@ def test_short_passages_of_large_groups(spark):
     assert not missed_passages(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect(), places)
 
 
+def test_packed_places():
+    rng = np.random.default_rng(2)
+    top = rng.choice([1, 5, 1000, 4095, 4096, 70_000, (1 << 31) - 1], (500, 3))
+    left, c, right = np.sort(rng.integers(0, top + 1), axis=1).T
+    context = rng.integers(0, 1 << 32, 500, dtype=np.uint32)
+    near, far = packed(context, left, c, right)
+    assert ((near >> 32 & 0xFFFFFFFF) == context).all()
+    assert all((x == y).all() for x, y in zip(places(near, far), (left, c, right), strict=True))
+
+
+@pytest.mark.parametrize("splits", [1, 3, 256])
+def test_split_values_lose_no_passage(spark, splits):
+    rows, where = scattered_passages(4, 40)
+    twice = " ".join(f"p{k}" for k in range(55))
+    rows += [(9000 + i, f"a{i} {twice} " + " ".join(f"b{i}x{k}" for k in range(80)) + f" {twice} c{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = frequent_values(docs, 5, 46, 8, one_in=1, most=1 << 20, fewest=2)
+    assert len(hot) > 30 and len(hot) == len(set(hot.tolist()))
+    found = repeated_passages(docs, hot=hot, splits=splits).collect()
+    assert not missed_passages(found, where)
+    for i in range(1, 5):  # both places in each later document
+        assert {s for r in found if r.doc_id == 9000 + i for s in (1, 136) if r.first_word <= s and r.last_word >= s + 54} == {1, 136}
+
+
+def test_frequent_values(spark):
+    shared, rng = " ".join(f"s{k}" for k in range(60)), np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, (shared + " " if i % 3 == 0 else "") + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 150))) for i in range(90)], "doc_id long, text string")
+    hot = frequent_values(docs, 5, 46, 8, one_in=1, most=200, fewest=10)
+    assert 8 <= len(hot) < 200 and {int(v) & 0xFF for v in hot} == set(range(8))
+    assert len(frequent_values(docs.where("doc_id < 0"), 5, 46, 8)) == 0
+
+
 def test_cutting(docs, texts):
     found = repeated_passages(docs)
     left = {r.doc_id: r.text for r in remove_passages(docs, found).select("doc_id", "text").where("doc_id >= 100").collect()}
