@@ -251,6 +251,55 @@ def test_missing_counts(spark):
     assert rows["taxon"].tolist() == ["t0", "t1", "t4", "t5"] and np.allclose(rows["lfc"], GAPS_LFC, atol=1e-7) and np.allclose(rows["se"], GAPS_SE, atol=1e-7)
 
 
+# Three more of two groups of five samples: settings, counts, estimates and their errors, taxa kept, structural zeros.
+ABSENT = [
+    [0, 0, 0, 0, 0, 49, 44, 27, 47, 35],
+    [42, 45, 42, 37, 43, 49, 55, 43, 37, 39],
+    [36, 38, 37, 30, 45, 46, 48, 31, 33, 49],
+    [41, 43, 40, 32, 41, 36, 34, 56, 35, 42],
+    [47, 34, 34, 42, 46, 42, 38, 28, 39, 36],
+    [43, 45, 49, 39, 26, 43, 30, 47, 31, 47],
+]
+ABSENT_LFC = [0.031088113063451561, 0.070855200249195158, -0.0075272359850871093, -0.12608414594877462, -0.041290413600772541]
+ABSENT_SE = [0.13028313037023448, 0.14781320518939525, 0.16460749416842083, 0.15112798561276178, 0.18741820844627363]
+PRESENT = [
+    [35, 33, 34, 38, 36, 46, 42, 39, 40, 35],
+    [40, 37, 29, 30, 44, 41, 38, 36, 38, 37],
+    [31, 40, 38, 36, 43, 40, 47, 45, 39, 35],
+    [28, 40, 45, 36, 42, 38, 34, 41, 44, 39],
+    [36, 56, 45, 38, 39, 38, 40, 45, 46, 34],
+    [47, 38, 41, 40, 36, 44, 33, 37, 48, 19],
+]
+PRESENT_LFC = [0.044091629778648091, -0.024042312146148652, 0.0015861597356090604, -0.054451898223066959, -0.13435311616085815, -0.23959348213573955]
+PRESENT_SE = [0.10586844487741533, 0.12942310224898487, 0.10963496007417083, 0.12690274734212417, 0.11778281661246899, 0.16228891797296882]
+AT_THE_CUT = [
+    [0, 0, 0, 0, 0, 0, 0, 39, 44, 33],
+    [0, 0, 0, 0, 0, 0, 0, 43, 46, 25],
+    [0, 0, 0, 0, 0, 0, 0, 0, 38, 54],
+    [42, 39, 47, 51, 46, 47, 37, 44, 39, 38],
+    [60, 41, 34, 47, 46, 54, 48, 40, 28, 48],
+]
+AT_THE_CUT_LFC = [2.1010199052926417, 2.0745311858810496, -0.60354542957559842, -0.56292421922568314]
+AT_THE_CUT_SE = [1.0368789537492109, 1.0332455657179902, 1.0135581041121311, 1.0612678529369637]
+
+
+@pytest.mark.parametrize(
+    "matrix,cut,zeros,lfc,se,kept,flagged",
+    [
+        (ABSENT, 0, True, ABSENT_LFC, ABSENT_SE, [1, 2, 3, 4, 5], {("t00", "1")}),
+        (PRESENT, 0, True, PRESENT_LFC, PRESENT_SE, [0, 1, 2, 3, 4, 5], set()),
+        (AT_THE_CUT, 0.3, False, AT_THE_CUT_LFC, AT_THE_CUT_SE, [0, 1, 3, 4], None),
+    ],
+    ids=["absent", "present", "at_the_cut"],
+)
+def test_published_small_cases(spark, matrix, cut, zeros, lfc, se, kept, flagged):
+    own = analyze(*tables(spark, matrix, [1] * 5 + [2] * 5), Config("group", group="group", p_adjust="BH", pseudo=0.5, prv_cut=cut, struc_zero=zeros, neg_lb=zeros))
+    rows = own.primary.toPandas().query("coef == 'group2'").sort_values("taxon")
+    assert rows["taxon"].tolist() == [f"t{k:02}" for k in kept]
+    assert np.allclose(rows["lfc"], lfc, atol=1e-6) and np.allclose(rows["se"], se, atol=1e-6)
+    assert flagged is None or {(r.taxon, r.grp) for r in own.zeros.where("is_zero").collect()} == flagged
+
+
 def test_inputs_are_checked(spark):
     counts, samples = tables(spark, COUNTS, GROUPS)
     with pytest.raises(ValueError, match="no covariates of sample s00"):
