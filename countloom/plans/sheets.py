@@ -59,6 +59,13 @@ def basis_of(frame: Frame, gram: np.ndarray) -> np.ndarray:
     return basis
 
 
+def centred_rows(frame: Frame, basis: np.ndarray) -> DataFrame:
+    """The design's rows in terms of centred, scaled covariates."""
+    inverse = np.linalg.inv(basis)
+    x = F.array(*(sum((F.get("x", F.lit(i)) * float(inverse[i, j]) for i in range(len(basis)) if inverse[i, j]), F.lit(0.0)) for j in range(len(basis))))
+    return frame.rows.withColumn("x", x)
+
+
 def sheets(logs: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int) -> Sheets:
     """``logs``: taxon, sample, y; responses that are null or of samples outside the design are left out."""
     spark = logs.sparkSession
@@ -66,10 +73,8 @@ def sheets(logs: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int) -> S
     taxa = sorted(r.taxon for r in seen.select("taxon").distinct().collect())  # a name a taxon
     numbers = spark.createDataFrame(list(zip(taxa, range(len(taxa)), strict=True)), "taxon string, k int")
     basis = basis_of(frame, gram)
-    inverse = np.linalg.inv(basis)
-    x = F.array(*(sum((F.get("x", F.lit(i)) * float(inverse[i, j]) for i in range(len(basis)) if inverse[i, j]), F.lit(0.0)) for j in range(len(basis))))
     cells = seen.join(F.broadcast(numbers), "taxon").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("cells"))
-    rows = cells.join(frame.rows.withColumn("x", x), "sample")
+    rows = cells.join(centred_rows(frame, basis), "sample")
     rows = rows.select("sample", "x", "whole", "level", F.col("cells.k").alias("at"), F.col("cells.y").alias("y"))
     return Sheets(kept(rows, "sheets"), frame, taxa, basis, gram, n_samples)
 

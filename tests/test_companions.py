@@ -65,6 +65,49 @@ def test_nonconservative_sensitivity(study, main):
     assert all(np.isnan(v).all() for v in sensitivity.refit(d, np.full(45, np.nan), theta, np.array([0.2])).values())
 
 
+def test_refits_come_from_sums(spark):
+    """Against least squares by taxon, with a covariate far from zero, missing cells, missing covariates, a level that is
+    unseen and zeros written as rows; no table of samples is collected."""
+    rng = np.random.default_rng(21)
+    n, taxa = 60, 8
+    matrix = rng.poisson(6, (taxa, n)).astype(float) * (rng.random((taxa, n)) < 0.7)
+    matrix[2, np.arange(n) % 3 == 1] = np.nan
+    matrix[rng.random((taxa, n)) < 0.03] = np.nan
+    group, x, theta = np.arange(n) % 3, 2000 + rng.normal(size=n), rng.normal(size=n)
+    x[5], theta[7] = np.nan, np.nan
+    cells = [(f"t{i}", f"s{j:02}", None if np.isnan(v) else float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row) if v != 0 or (i + j) % 2]
+    counts = spark.createDataFrame(cells, "taxon string, sample string, n double")
+    samples = spark.createDataFrame([(f"s{j:02}", f"g{group[j]}", None if np.isnan(x[j]) else float(x[j])) for j in range(n)], "sample string, grp string, x double")
+    biases = spark.createDataFrame([(f"s{j:02}", None if np.isnan(theta[j]) else float(theta[j])) for j in range(n)], "sample string, theta double")
+    from types import SimpleNamespace
+
+    from countloom.functions.dist import t_two_sided
+    from countloom.functions.kernels import pivots
+    from countloom.plans.formula import frame
+
+    cfg, grid = Config("grp + x", group="grp", alpha=0.3), np.array([0.05, 0.2, 0.5])
+    main = SimpleNamespace(design=frame(samples, parse("grp + x"), "grp"), table=counts, samples=samples, theta=biases)
+    got = sensitivity.refit_scores(main, cfg, grid).toPandas().set_index(["taxon", "kind", "term"])["ss"]
+    assert len(got) == taxa * (4 + 3 + 1)
+    full = np.column_stack([np.ones(n), group == 1, group == 2, x]).astype(float)
+    for i in range(taxa):
+        for c, name in enumerate(main.design.columns):
+            above = []
+            for value in grid:
+                logs = np.log(np.where(matrix[i] == 0, value, matrix[i]))
+                y = logs - np.nanmean(logs) - theta
+                use = np.isfinite(y) & np.isfinite(x)
+                keep = pivots(full[use])
+                if c not in keep:
+                    above.append(True)
+                    continue
+                own = full[use][:, keep]
+                beta, rss = np.linalg.lstsq(own, y[use], rcond=None)[:2]
+                se = np.sqrt(np.linalg.inv(own.T @ own)[keep.index(c), keep.index(c)] * rss[0] / (use.sum() - len(keep)))
+                above.append(t_two_sided(beta[keep.index(c)] / se, use.sum() - len(keep)) > cfg.alpha)
+            assert np.isclose(got[f"t{i}", "primary", name], np.mean(above)), (i, name)
+
+
 def test_dunnett_and_trend(main):
     cfg, result = main
     rows = group_tests.dunnett(result, cfg, draws=200).toPandas()
