@@ -156,6 +156,10 @@ def density(x, mean, var):
     return np.exp(-((x - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
 
 
+def log_density(x, mean, var):
+    return -((x - mean) ** 2) / (2 * var) - np.log(2 * np.pi * var) / 2
+
+
 def bias_mixture(beta: np.ndarray, nu: np.ndarray, tol: float = 1e-5, most: int = 100) -> Mixture:
     """EM for the bias of a coefficient over taxa, and its weighted least squares estimate with variance."""
     ok = np.isfinite(beta) & np.isfinite(nu)
@@ -185,6 +189,10 @@ def bias_mixture(beta: np.ndarray, nu: np.ndarray, tol: float = 1e-5, most: int
         parts = np.stack([pi[0] * density(b, delta, v), pi[1] * density(b, delta + l1, v + k1), pi[2] * density(b, delta + l2, v + k2)])
         with np.errstate(all="ignore"):
             r = np.nan_to_num(parts / parts.sum(axis=0))
+            if not r.any():  # all underflow, as with very small variances: their ratios come from their logs
+                logs = np.log(pi)[:, None] + np.stack([log_density(b, delta, v), log_density(b, delta + l1, v + k1), log_density(b, delta + l2, v + k2)])
+                r = np.exp(logs - logs.max(axis=0))
+                r /= r.sum(axis=0)
         new_pi = r.mean(axis=1)
         w0, w1, w2 = r[0] / v, r[1] / (v + k1), r[2] / (v + k2)
         new_delta = (w0 * b + w1 * (b - l1) + w2 * (b - l2)).sum() / (w0 + w1 + w2).sum()

@@ -129,7 +129,7 @@ def mixtures(long: DataFrame, columns: list[str], tol: float, most: int) -> dict
 
     names = ["pi0", "pi1", "pi2", "delta", "l1", "l2", "kappa1", "kappa2", "rounds", "delta_wls", "var_delta"]
     schema = "coef string, " + ", ".join(f"{c} {'int' if c == 'rounds' else 'double'}" for c in names)
-    found = {r.coef: Mixture(np.array([r.pi0, r.pi1, r.pi2]), *(r[c] for c in names[3:])) for r in long.groupBy("coef").applyInPandas(run, schema).collect()}
+    found = {r.coef: Mixture(np.array([r.pi0, r.pi1, r.pi2]), *(np.nan if r[c] is None else r[c] for c in names[3:])) for r in long.groupBy("coef").applyInPandas(run, schema).collect()}
     return {c: found[c] for c in columns if c in found}
 
 

@@ -160,6 +160,12 @@ def test_bias_is_found():
         bias_mixture(beta, np.zeros(400))
 
 
+def test_mixture_of_values_far_beyond_their_variances():
+    beta = np.array([-3.0, -1.0, 0.5, 2.0])
+    m = bias_mixture(beta, np.full(4, 1e-9))
+    assert np.isfinite([m.delta, m.l1, m.l2, m.kappa1, m.kappa2, m.delta_wls, m.var_delta, *m.pi]).all() and -3 <= m.delta <= 2
+
+
 def test_formulas(spark):
     assert parse("~ a + b:c + a*d - b").terms == (("a",), ("d",), ("b", "c"), ("a", "d"))
     assert not parse("a - 1").intercept and not parse("0 + a").intercept and parse("x.y").variables == ["x.y"]
