@@ -27,9 +27,9 @@ def row_means(logs: DataFrame) -> DataFrame:
 
 
 def center(logs: DataFrame) -> DataFrame:
-    """Subtracts each taxon's mean. Means are pre-aggregated and joined, so a taxon's cells need not meet in one task."""
+    """Subtracts each taxon's mean. Means are pre-aggregated and broadcast, so a taxon's cells need not meet in one task."""
     means = logs.groupBy("taxon").agg(F.avg("y").alias("mean"))
-    return logs.join(means, "taxon").select("taxon", "sample", (F.col("y") - F.col("mean")).alias("y"))
+    return logs.join(F.broadcast(means), "taxon").select("taxon", "sample", (F.col("y") - F.col("mean")).alias("y"))
 
 
 def subtract_by_sample(logs: DataFrame, theta: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def quantile(values: DataFrame, column: str, p: float, *by: str) -> DataFrame:
 def winsorize(logs: DataFrame, share: float) -> DataFrame:
     """Clips each taxon to its quantiles at ``share`` and 1 - ``share``."""
     q = logs.groupBy("taxon").agg(F.percentile("y", F.array(F.lit(share), F.lit(1 - share))).alias("q"))
-    joined = logs.join(q, "taxon")
+    joined = logs.join(F.broadcast(q), "taxon")
     return joined.select("taxon", "sample", F.when(F.col("y").isNotNull(), F.greatest(F.least("y", F.col("q")[1]), F.col("q")[0])).alias("y"))
 
 

@@ -230,7 +230,8 @@ def within_taxa(tested: DataFrame, screen: DataFrame, tests: int, method: str, a
 
 def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
     """The centred log table; only a positive pseudo-count asks for the absent cells."""
-    return transforms.center(log_table(counts, samples, pseudo))
+    logs = log_table(counts, samples, pseudo)
+    return transforms.center(kept(logs, "dense") if pseudo > 0 else logs)  # read twice
 
 
 def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
@@ -320,11 +321,12 @@ def analyze_plain(counts: DataFrame, samples: DataFrame, cfg: Config, conserve:
     coefficient are 0 and it is called different.
     """
     spark: SparkSession = counts.sparkSession
+    counts, samples = kept(counts, "counts"), kept(samples, "samples")  # each is read many times
     screened = screens.library_filter(screens.prevalence_filter(counts, samples.count(), cfg.prv_cut), cfg.lib_cut)
     own = samples if cfg.lib_cut <= 0 else samples.join(screened.select("sample").distinct(), "sample", "left_semi")
     d = frame(own, parse(cfg.formula), cfg.group)
     gram, _, every = check_identifiable(d)
-    t = sheets(log_table(screened, own, cfg.pseudo), d, gram, every)
+    t = sheets(kept(log_table(screened, own, cfg.pseudo), "logs"), d, gram, every)
     known = solvers(t)
     beta, _, _ = iterate(t, known, cfg.tol, cfg.max_iter)
     est = estimates(t, known, beta, beta, None if cfg.strict else 0.1)

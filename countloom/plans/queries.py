@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from countloom.functions.padjust import METHODS, adjust
 from countloom.operators import screens, transforms
 from countloom.sources.counts import aggregate_taxa, densify, from_events
+from countloom.sources.shared import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,7 +215,7 @@ def _chain(spark: SparkSession, means: DataFrame) -> DataFrame:
     return rounded(out.select("taxon", "coef", "se"), "se", places=8)
 
 
-def _one_factor(spark: SparkSession, d: str, what: str, pseudo: float = 0.5, missing: float | None = 0.1) -> DataFrame:
+def _one_factor(spark: SparkSession, d: str, what: str, pseudo: float = 0.5, missing: float | None = 0.1, known_counts: DataFrame | None = None) -> DataFrame:
     """The fit of the segment alone to the centred logs of the filled-up table, or of the table with gaps (``pseudo`` 0), where
     closed forms exist."""
     import numpy as np
@@ -228,7 +229,8 @@ def _one_factor(spark: SparkSession, d: str, what: str, pseudo: float = 0.5, mis
     if what == "design":
         return long_design(plan)
     gram, _, every = check_identifiable(plan)
-    table = passes.sheets(centred(counts(spark, d), own, pseudo), plan, gram, every)
+    logs = centred(kept(counts(spark, d), "counts") if known_counts is None else known_counts, own, pseudo)
+    table = passes.sheets(logs, plan, gram, every)
     known = passes.solvers(table)
     beta, _ = passes.fit(table, known, None, None)
     if what == "fit":
@@ -236,7 +238,7 @@ def _one_factor(spark: SparkSession, d: str, what: str, pseudo: float = 0.5, mis
         return rounded(long_estimates(fits, plan).select("taxon", "coef", "lfc", "variance", "dof"), "lfc", places=8).withColumn("variance", F.round("variance", 10))
     theta = passes.theta_of(passes.with_biases(table, passes.unscaled(np.linalg.inv(table.basis), beta)))
     if what == "corrected":
-        return rounded(transforms.subtract_by_sample(centred(counts(spark, d), own, pseudo), theta), "y")
+        return rounded(transforms.subtract_by_sample(logs, theta), "y")
     return rounded(theta, "theta")
 
 
@@ -282,7 +284,8 @@ register(
 def _across(spark: SparkSession, d: str) -> DataFrame:
     from countloom.sources.results import fractions_across
 
-    return fractions_across({"half": _one_factor(spark, d, "theta"), "whole": _one_factor(spark, d, "theta", 1.0)})
+    own = kept(counts(spark, d), "counts")
+    return fractions_across({n: _one_factor(spark, d, "theta", v, known_counts=own) for n, v in (("half", 0.5), ("whole", 1.0))})
 
 
 register(
@@ -466,7 +469,7 @@ def _companion(spark: SparkSession, d: str, what: str) -> DataFrame:
 
     from countloom.plans import analysis, correlations, group_tests, log_ratios, sensitivity
 
-    table, own = counts(spark, d), samples(spark, d)
+    table, own = kept(counts(spark, d), "counts"), samples(spark, d)
     cfg = analysis.Config("grp + x", group="grp", global_test=True, pairwise=True)
     if what == "plain":
         return analysis.analyze_plain(table, own, analysis.Config("grp + x", group="grp", pseudo=1, tol=1e-5, max_iter=100)).primary
@@ -494,7 +497,7 @@ def _two_tables(spark: SparkSession, d: str) -> DataFrame:
     """Correlations of brands and of brands' sizes as two tables, over the customers of both."""
     from countloom.plans.correlations import linear_correlations
 
-    tables = {"brand": counts(spark, d), "size": counts(spark, d, "very_sparse")}
+    tables = {"brand": kept(counts(spark, d), "counts"), "size": kept(counts(spark, d, "very_sparse"), "counts")}
     found = linear_correlations(tables, prv_cut=0.02, lib_cut=0, n_cv=2, corr_cut=0.3, regular=False)
     return rounded(found.select("a", "b", "n", "corr"), "corr")
 
@@ -523,11 +526,12 @@ FROM pairs JOIN marked p ON p.taxon = a JOIN marked q ON q.taxon = b""",
 
 
 def _losses(spark: SparkSession, d: str) -> DataFrame:
-    from countloom.plans.correlations import pair_rows, threshold_losses
+    from countloom.plans.correlations import losses_of, pair_correlations, pair_rows, with_splits
 
-    logs = transforms.log_counts(counts(spark, d)).where("y IS NOT NULL")
-    taxa = logs.select("taxon").distinct().count()
-    own = [threshold_losses(pair_rows(logs), logs.select("sample").distinct(), taxa, "pearson", soft, 0.75, 31, (0.0, 0.01), 3, 3).withColumn("soft", F.lit(soft)) for soft in (False, True)]
+    logs = kept(transforms.log_counts(counts(spark, d)).where("y IS NOT NULL"), "logs")
+    together = with_splits(pair_rows(logs), logs.select("sample").distinct(), 3, 3)
+    found = kept(pair_correlations(together, 3), "found")
+    own = [losses_of(found, len(together.taxa), soft, 0.75, 31, (0.0, 0.01)).withColumn("soft", F.lit(soft)) for soft in (False, True)]
     return rounded(own[0].unionByName(own[1]), "thresh", "loss")
 
 

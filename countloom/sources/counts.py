@@ -98,10 +98,15 @@ def aggregate_taxa(counts: DataFrame, taxonomy: DataFrame, level: str) -> DataFr
 
 
 def densify(counts: DataFrame, samples: DataFrame) -> DataFrame:
-    """Every taxon with every sample, absent cells as zero. Each taxon's row of samples is built where the taxon is."""
-    names = samples.select("sample").distinct()
-    grid = counts.select("taxon").distinct().join(names)
-    return grid.join(counts, ["taxon", "sample"], "left").select("taxon", "sample", F.when(F.col("n").isNull() & ~F.coalesce(F.col("seen"), F.lit(False)), 0.0).otherwise(F.col("n")).alias("n")) if "seen" in counts.columns else grid.join(counts.withColumn("seen", F.lit(True)), ["taxon", "sample"], "left").select("taxon", "sample", F.when(F.col("seen").isNull(), 0.0).otherwise(F.col("n")).alias("n"))
+    """Every taxon with every sample, absent cells as zero. A sample's absent taxa are found beside its own, so only counts
+    that are there pass a shuffle; the names of the taxa are broadcast."""
+    taxa = counts.select("taxon").distinct().agg(F.collect_list(F.struct("taxon")).alias("every"))
+    own = counts.where("taxon IS NOT NULL").groupBy("sample").agg(F.collect_list(F.struct("taxon", F.col("n").cast("double").alias("n"))).alias("own"))
+    beside = samples.select("sample").distinct().join(own, "sample", "left").join(F.broadcast(taxa))
+    absent = F.when(F.col("own").isNull(), F.col("every.taxon")).otherwise(F.array_except("every.taxon", "own.taxon"))
+    zeros = F.transform(absent, lambda t: F.struct(t.alias("taxon"), F.lit(0.0).alias("n")))
+    cells = F.when(F.col("own").isNull(), zeros).otherwise(F.concat("own", zeros))
+    return beside.select("sample", F.explode(cells).alias("cell")).select("cell.taxon", "sample", "cell.n")
 
 
 def number_text(v: float) -> str:
