@@ -217,3 +217,18 @@ def test_audit_matches_brute_force(spark, audited, spread):
     assert tuple(none) == (0, 0)
     two = filter_audit.audit(table, marks, {"A": F.size("words") < 10}, duplicates="Z").select("filter_order").distinct().collect()
     assert sorted(r[0] for r in two) == ["AZ", "ZA"]
+
+
+def test_templates_that_look_back_to_the_start_are_rendered_whole():
+    from countloom.llm.chat_format import pieces, steps
+
+    def numbered(turns):  # each turn by its number, and a last line that names the first turn
+        return "".join(f"{k}:{text};" for k, (_, text) in enumerate(turns)) + (f"#{turns[0][1]}" if turns else "")
+
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(40)]
+    out = ""
+    for _, step in steps(numbered, turns, None):
+        out = out[: len(out) - step.back] + step.text
+    assert out == numbered(turns)
+    [(number, last, text, spans, rewrites)] = pieces(numbered, turns, None, 50, {"assistant"})
+    assert (number, last, text) == (0, True, numbered(turns)) and len(spans) == 40 and rewrites == 39
