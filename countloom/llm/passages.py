@@ -11,16 +11,20 @@ A passage is a run of words; its set is that of its ``width``-word shingles (A-Z
    one as far after c: linear in the bucket, whatever its size, and never all pairs. One of these two places lies
    within the passage wherever c does, so a group that shares a passage meets in its smallest document under every
    function, whatever stands around it. A window alone in both ways is also linked to the one before it. A frequent
-   min-hash is dealt by document to several buckets, whose firsts then meet.
+   min-hash is dealt by document to several buckets, whose firsts then meet; its windows stand together again by either
+   shingle as well.
 3. Two documents' linked windows are joined as intervals: those of about one offset that overlap form a candidate if
    ``enough`` functions agree.
 4. A candidate's shingles are compared: the stretches that share shingles are cut out, and stay if both have ``least``
    words and a Jaccard similarity of ``similar`` or more.
+5. Windows that share c's shingle and one of the two beside it with a first, but no stretch of equal words, may have one
+   with each other. Of these all runs of ``least`` words around c are matched, each with the first document's equal one.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -129,10 +133,21 @@ def numbered(mixed: np.ndarray, f: np.ndarray | int) -> np.ndarray:
     return (mixed & ~np.uint64(FUNCTION)).view(np.int64) | f
 
 
+#: Stands in for the shingles before and after, in rows whose value tells one of them.
+TOLD = np.uint32(0xFFFFFFFF)
+
+
+def beside_value(value: np.ndarray, beside: np.ndarray, kind: int) -> np.ndarray:
+    """A value for windows that share ``value`` and 16 bits of the shingle before (kind 1) or after (kind 2)."""
+    mixed = (value.view(np.uint64) ^ (beside.astype(np.uint64) | np.uint64(kind << 16)) * MIX[1]) * MIX[2]
+    return numbered((mixed ^ mixed >> np.uint64(32)) * MIX[0], value & FUNCTION)
+
+
 def window_rows(docs: DataFrame, width: int, least: int, hashes: int, hot: np.ndarray = np.zeros(0, np.int64), splits: int = 1) -> DataFrame:
     """doc_id, split, value (min shingle and function), near and far (places; 16 bits each of the shingle before and after).
 
-    Windows of values in ``hot`` are dealt to splits 1, 2, .. by their document; all others have split 0."""
+    Windows of values in ``hot`` are dealt to splits 1, 2, .. by their document; all others have split 0. They have two
+    more rows, whose values are those of min shingle, function and the shingle before, or after; ``hot`` may have these too."""
     if hashes > FUNCTION + 1:
         raise ValueError(f"at most {FUNCTION + 1} hash functions")
     odds = multipliers(hashes)
@@ -151,8 +166,16 @@ def window_rows(docs: DataFrame, width: int, least: int, hashes: int, hot: np.nd
                     before = np.where(c >= CONTEXT, at - CONTEXT, -1)
                     after = np.where(at + CONTEXT < begins[text + 1], at + CONTEXT, -1)
                     near, far = packed(short[before] | short[after] << np.uint32(16), left, c, right)
-                    split = np.where(np.isin(value, hot), dealt[text], 0) if len(hot) else np.zeros(len(at), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[text], split, value, near, far)], WINDOW)
+                    often = np.isin(value, hot) if len(hot) else np.zeros(len(at), bool)
+                    split = np.where(often, dealt[text], 0)
+                    rows = [[own[text], split, value, near, far]]
+                    for kind, beside in enumerate((before, after), 1):
+                        k = np.flatnonzero(often & (beside >= 0))
+                        if len(k):
+                            told = beside_value(value[k], short[beside[k]], kind)
+                            near, far = packed(np.full(len(k), TOLD), left[k], c[k], right[k])
+                            rows.append([own[text[k]], np.where(np.isin(told, hot), dealt[text[k]], 0), told, near, far])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], WINDOW)
 
     return docs.mapInArrow(run, WINDOW_TYPES)
 
@@ -165,18 +188,22 @@ def frequent_values(docs: DataFrame, width: int, least: int, hashes: int, *, one
     counted = window_rows(sample, width, least, hashes).rollup("value").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.orderBy(F.desc("n"), F.asc_nulls_first("value")).limit(most + 1).collect()
     total = max((r.n for r in rows if r.value is None), default=0)
-    return np.array([r.value for r in rows if r.value is not None and r.n > total / most and r.n >= fewest], np.int64)
+    hot = np.array([r.value for r in rows if r.value is not None and r.n > total / most and r.n >= fewest], np.int64)
+    if not len(hot):
+        return hot
+    told = window_rows(sample, width, least, hashes, hot).where((F.col("split") == 0) & (F.expr("shiftright(near, 32)") == -1)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return np.append(hot, np.array([r.value for r in told.where((F.col("n") > total / most) & (F.col("n") >= fewest)).collect()], np.int64))
 
 
 def linked(windows: DataFrame, split: bool = False) -> DataFrame:
-    """Links between windows of different documents: a < b, f, and l, c, r of either.
+    """Links between windows of different documents: a < b, f, l, c, r of either, and whether they share the shingle before
+    or after too.
 
-    With ``split`` a value's windows may be dealt to splits. Each split is linked within; then the windows that are a
-    first there, and its document's others, meet those of the other splits: the first of all, and by value and shingle
-    before, or after. So no task holds a frequent value, and a group that shares a passage still meets, by way of its
-    smallest document in each split.
+    With ``split`` a value's windows may be dealt to splits. Each split is linked within; then the windows of a split's
+    first document meet those of the other splits, by value, and by value and shingle before or after. So no task holds
+    a frequent value, and a group that shares a passage still meets, by way of its smallest document in each split.
     """
-    names = ["a", "b", "f", "la", "ca", "ra", "lb", "cb", "rb"]
+    names = ["a", "b", "f", "la", "ca", "ra", "lb", "cb", "rb", "beside"]
 
     def firsts(group: np.ndarray, key: np.ndarray) -> np.ndarray:
         """For each row the first of its group with the same 16 bits."""
@@ -200,7 +227,7 @@ def linked(windows: DataFrame, split: bool = False) -> DataFrame:
     def link(batches):
         for rows, at, old, first, before, after in buckets(batches):
             alone = (before == at) & (after == at) & (first != at)
-            partners = [(first, True), (before, before != first), (after, (after != first) & (after != before)), (np.maximum(at - 1, 0), alone & (at - 1 != first))]
+            partners = [(first, (rows[:, 1] == 0) | (rows[:, 3] >> 32 != -1)), (before, before != first), (after, (after != first) & (after != before)), (np.maximum(at - 1, 0), alone & (at - 1 != first))]
             y = [np.flatnonzero(keep & (at >= old) & (x != at) & (rows[x, 0] != rows[:, 0])) for x, keep in partners]
             x = np.concatenate([x[k] for (x, _), k in zip(partners, y, strict=True)])
             y = np.concatenate(y)
@@ -208,22 +235,21 @@ def linked(windows: DataFrame, split: bool = False) -> DataFrame:
                 swap = rows[x, 0] > rows[y, 0]
                 x, y = rows[np.where(swap, y, x)], rows[np.where(swap, x, y)]
                 cols = [x[:, 0], y[:, 0], x[:, 2] & FUNCTION, *places(x[:, 3], x[:, 4]), *places(y[:, 3], y[:, 4])]
-                yield pa.RecordBatch.from_arrays([pa.array(c if k < 2 else c.astype(np.int32)) for k, c in enumerate(cols)], names)
+                halves = [(x[:, 3] >> shift & 0xFFFF, y[:, 3] >> shift & 0xFFFF) for shift in (32, 48)]
+                beside = np.logical_or(*((u == v) & (u != 0) for u, v in halves))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c if k < 2 else c.astype(np.int32)) for k, c in enumerate(cols)), pa.array(beside)], names)
 
     def remaining(batches):
-        for rows, at, old, *of in buckets(batches):
-            for kind, (first, shift) in enumerate(zip(of, (None, 32, 48), strict=True)):
-                own = rows[(rows[first, 0] == rows[:, 0]) & (at >= old)]
-                key = np.full(len(own), kind << 16) if shift is None else own[:, 3] >> shift & 0xFFFF | kind << 16
-                mixed = (own[:, 2].view(np.uint64) ^ key.astype(np.uint64) * MIX[1]) * MIX[2]
-                mixed = (mixed ^ mixed >> np.uint64(32)) * MIX[0]
-                cols = [own[:, 0], np.zeros(len(own), np.int64), numbered(mixed, own[:, 2] & FUNCTION), own[:, 3] & 0xFFFFFFFF, own[:, 4]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], WINDOW)
+        for rows, at, old, first, *_ in buckets(batches):
+            own = rows[(rows[first, 0] == rows[:, 0]) & (at >= old)]
+            told = own[:, 3] >> 32 == -1
+            cols = [own[:, 0], np.zeros(len(own), np.int64), own[:, 2], np.where(told, own[:, 3], own[:, 3] & 0xFFFFFFFF), own[:, 4]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], WINDOW)
 
     def in_order(rows: DataFrame) -> DataFrame:
         return rows.sortWithinPartitions("value", "split", "doc_id", F.expr("shiftright(far, 42)"), F.expr("near & 4095"))
 
-    types = "a long, b long, f int, la int, ca int, ra int, lb int, cb int, rb int"
+    types = "a long, b long, f int, la int, ca int, ra int, lb int, cb int, rb int, beside boolean"
     n = parts(windows.sparkSession)
     together = windows.repartition(n, "value", "split")
     links = in_order(together).mapInArrow(link, types)
@@ -294,11 +320,9 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
     least = max(1, least_words - width + 1)
     own = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     hot = frequent_values(own, width, least, hashes) if hot is None else np.asarray(hot, np.int64)
-    links = linked(window_rows(own, width, least, hashes, hot, splits), len(hot) > 0)
-    grouped = links.groupBy("a", "b").agg(F.collect_list(F.struct("f", "la", "ca", "ra", "lb", "cb", "rb")).alias("links"))
-    grouped = grouped.where(F.size(F.array_distinct("links.f")) >= enough)
+    links = written(linked(window_rows(own, width, least, hashes, hot, splits), len(hot) > 0), "links")
 
-    def join_intervals(batches):
+    def join_intervals(enough, batches):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             lists = batch.column("links")
@@ -308,10 +332,6 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
             types = [pa.int64(), pa.int64()] + [pa.int32()] * 5
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["a", "b", "a0", "a1", "b0", "b1", "agree"])
 
-    pairs = written(grouped.mapInArrow(join_intervals, "a long, b long, a0 int, a1 int, b0 int, b1 int, agree int"), "passages")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = own.join(sized(ids), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-
     def cut(side: str, rest: list[str]):
         """The shingles of a pair's span on one side, beside the other columns."""
 
@@ -343,10 +363,70 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
             names = ["doc_id", "first_word", "last_word", "source_id", "source_first", "source_last", "similarity", "n_hashes"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").mapInArrow(take_a, "a long, b long, a0 int, b0 int, b1 int, agree int, shingles binary")
-    both = one.join(texts.withColumnRenamed("doc_id", "b"), "b")
-    found = both.mapInArrow(compare, "doc_id long, first_word int, last_word int, source_id long, source_first int, source_last int, similarity double, n_hashes int")
-    return found.distinct()
+    def compared(links: DataFrame, enough: int) -> DataFrame:
+        grouped = links.groupBy("a", "b").agg(F.collect_list(F.struct("f", "la", "ca", "ra", "lb", "cb", "rb")).alias("links"))
+        grouped = grouped.where(F.size(F.array_distinct("links.f")) >= enough)
+        pairs = written(grouped.mapInArrow(partial(join_intervals, enough), "a long, b long, a0 int, a1 int, b0 int, b1 int, agree int"), "passages")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = own.join(sized(ids), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").mapInArrow(take_a, "a long, b long, a0 int, b0 int, b1 int, agree int, shingles binary")
+        both = one.join(texts.withColumnRenamed("doc_id", "b"), "b")
+        return written(both.mapInArrow(compare, "doc_id long, first_word int, last_word int, source_id long, source_first int, source_last int, similarity double, n_hashes int").distinct(), "found")
+
+    found = compared(links, enough)
+    left = apart(links, found, width)
+    if left.isEmpty():
+        return found
+    return found.unionByName(compared(run_links(left, own, width, least), 1)).distinct()
+
+
+def apart(links: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """doc_id, c: windows that share a shingle beside c with a first, but no stretch of equal words at c, where the first has
+    two such or more."""
+    equal = found.where("similarity = 1").select(F.col("source_id").alias("p"), F.col("doc_id").alias("q"), F.col("source_first").alias("s"), (F.col("source_last") - (width - 1)).alias("e"), F.col("first_word").alias("u"), (F.col("last_word") - (width - 1)).alias("v"))
+    own = links.where("beside").select("a", "ca", "f", "b", "cb").distinct()
+    inside = (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")) & F.col("ca").between(F.col("s"), F.col("e")) & F.col("cb").between(F.col("u"), F.col("v"))
+    left = own.join(equal, inside, "left_anti")
+    stars = left.groupBy("a", "ca", "f").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("a", "ca", "f")
+    return written(left.join(stars, ["a", "ca", "f"], "left_semi").select(F.col("b").alias("doc_id"), F.col("cb").alias("c")).distinct(), "apart")
+
+
+def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
+    """Links, as ``linked``'s but of no function, between equal runs of ``least`` shingles that hold a place of ``left``: each
+    with the one of the smallest document."""
+
+    def runs(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                shingles, begins = shingle_hashes(part.column("text"), width)
+                n = len(shingles) - least + 1
+                if n <= 0:
+                    continue
+                held = part.column("places")
+                base = np.repeat(begins[:-1], held.value_lengths().to_numpy())
+                end = np.repeat(begins[1:], held.value_lengths().to_numpy())
+                c = held.flatten().to_numpy().astype(np.int64) + base
+                marks = np.zeros(n + 1, np.int64)
+                low, high = np.maximum(c - least + 1, base), np.minimum(c, end - least)
+                ok = low <= high
+                np.add.at(marks, low[ok], 1)
+                np.add.at(marks, high[ok] + 1, -1)
+                at = np.flatnonzero(np.cumsum(marks[:-1]))
+                total = np.zeros(len(at), np.uint64)
+                for k in range(least):
+                    total = (total ^ shingles[at + k]) * MIX[1]
+                    total ^= total >> np.uint64(29)
+                text = np.searchsorted(begins, at, "right") - 1
+                own = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.view(np.int64)), pa.array((at - begins[text]).astype(np.int32))], ["doc_id", "run", "place"])
+
+    places = left.groupBy("doc_id").agg(F.collect_list("c").alias("places"))
+    texts = docs.join(sized(places), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("places").alias("places"))
+    all_runs = written(texts.select("doc_id", "places", "text").mapInArrow(runs, "doc_id long, run long, place int"), "runs")
+    firsts = all_runs.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("x"), F.max("doc_id").alias("high")).where("x.doc_id < high")
+    met = all_runs.join(firsts.select("run", "x"), "run").where("doc_id <> x.doc_id")
+    ca, cb, last = F.col("x.place"), F.col("place"), least - 1
+    return met.select(F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("f"), ca.alias("la"), ca.alias("ca"), (ca + last).alias("ra"), cb.alias("lb"), cb.alias("cb"), (cb + last).alias("rb"))
 
 
 WORD = re.compile(r"[^ \t\n\r\f\v]+")

@@ -338,3 +338,16 @@ def test_sketches_rule_out_no_similar_pair(spark):
     sketched = spark.createDataFrame([(i, int(n[i]), bits[i].tolist()) for i in range(len(sets))], "doc long, n long, bits array<long>")
     got = {(r.a, r.b) for r in simhash.plausible(spark.createDataFrame(pairs, "a long, b long"), sketched, 0.8).collect()}
     assert similar <= got and len(got) < len(pairs) / 2
+
+
+def test_passages_between_documents_that_their_common_first_does_not_share(spark):
+    """Two documents share 51 words; two earlier ones share the first and the last 49 of them, one too few."""
+    rows = []
+    for g in range(6):
+        words, at = [f"g{g}w{k}" for k in range(51)], len(rows)
+        for k, part in enumerate((words[:49], words[2:], words, words)):
+            rows.append((at + k, " ".join([*(f"a{at + k}x{i}" for i in range(70)), *part, *(f"b{at + k}x{i}" for i in range(70))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in ([], frequent_values(docs, 5, 46, 8, one_in=1, most=1 << 20, fewest=2)):
+        found = {(r.source_id, r.doc_id): (r.first_word, r.last_word) for r in repeated_passages(docs, hot=hot, splits=3).collect()}
+        assert found == {(at + 2, at + 3): (70, 120) for at in range(0, len(rows), 4)}
