@@ -44,9 +44,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays: a similarity of 0.8 or more on five-word
-    shingles."""
-    return one_of_each(docs, near_copies(docs, width=5, similar=0.8))
+    """Of each group of linked documents the one with the smallest id stays: fingerprints linked within two bits, or a
+    common key of min-hashes, and then a similarity of 0.8 or more on five-word shingles."""
+    return one_of_each(docs, near_copies(docs, width=5, similar=0.8, radius=2))
 
 
 @in_small_batches

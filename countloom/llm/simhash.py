@@ -388,11 +388,11 @@ def verified_links(keys: DataFrame, docs: DataFrame, *, width: int, similar: flo
         hubs_each *= 4
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands: int = 24, rows: int = 5, bucket: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands: int = 24, rows: int = 5, bucket: int = 32, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (the smallest id linked, directly or not) of rows with an id.
 
     Equal texts (A-Z lower-cased, white space as one space) are linked. Different ones are, if they share one of their
-    band keys and their ``width``-word shingles verify; of pairs with a similarity of 0.8, 1 in 10,000 shares none, of
+    band keys, or with ``radius`` their fingerprints are linked as ``near_duplicates`` links them, and their ``width``-word shingles verify; of pairs with a similarity of 0.8, 1 in 10,000 shares none, of
     more similar ones fewer. Null texts count as empty, and empty ones are linked like any other; so short a text that it
     has no shingle is only linked to equal ones.
     """
@@ -422,7 +422,12 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bands:
         texts = written(own.mapInArrow(run, "doc_id long, key binary, bands binary, n long, bits array<long>"), "texts")
         firsts = (F.first(c).alias(c) for c in ("bands", "n", "bits"))
         nodes = written(texts.groupBy("key").agg(F.min("doc_id").alias("doc"), *firsts), "nodes")
-        keys = written(nodes.select("doc", "bands").mapInArrow(spread, "slot int, key long, doc long"), "keys")
+        keys = nodes.select("doc", "bands").mapInArrow(spread, "slot int, key long, doc long")
+        if radius is not None:
+            alike = near_duplicates(own, width=width, radius=radius, bucket=bucket).groupBy("doc_id").agg(F.collect_set("component_id").alias("keys"))
+            whole = nodes.where("n > 0").select("doc").join(alike, F.col("doc") == F.col("doc_id"))
+            keys = keys.unionByName(whole.select(F.lit(bands).alias("slot"), F.explode("keys").alias("key"), "doc"))
+        keys = written(keys, "keys")
         found = components(verified_links(keys, own, width=width, similar=similar, bucket=bucket, sketched=nodes.select("doc", "n", "bits")))
     grouped = nodes.join(found, nodes.doc == found.node, "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     return texts.select("doc_id", "key").join(grouped, "key").select("doc_id", "component_id")

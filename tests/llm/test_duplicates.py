@@ -351,3 +351,18 @@ def test_passages_between_documents_that_their_common_first_does_not_share(spark
     for hot in ([], frequent_values(docs, 5, 46, 8, one_in=1, most=1 << 20, fewest=2)):
         found = {(r.source_id, r.doc_id): (r.first_word, r.last_word) for r in repeated_passages(docs, hot=hot, splits=3).collect()}
         assert found == {(at + 2, at + 3): (70, 120) for at in range(0, len(rows), 4)}
+
+
+def test_fingerprints_within_the_radius_are_candidates(spark):
+    """With hardly any chance of a common band key, near copies whose fingerprints are linked are found."""
+    rng, rows = np.random.default_rng(6), []
+    for g in range(8):
+        words = [f"g{g}w{k}" for k in range(400)]
+        for at in (None, *rng.integers(10, 390, 2)):
+            rows.append((len(rows), " ".join("edit" if k == at else w for k, w in enumerate(words))))
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    want = closure(len(rows), [(a, b) for a, b in combinations(range(len(rows)), 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.component_id for r in simhash.near_copies(docs, bands=1, rows=250, radius=4).orderBy("doc_id").collect()]
+    assert sum(want[k] != k for k in range(len(rows))) >= 6 and all(got[k] == got[want[k]] for k in range(len(rows)))
+    assert all(g // 3 == k // 3 for k, g in enumerate(got))
