@@ -17,8 +17,10 @@ A passage is a run of words; its set is that of its ``width``-word shingles (A-Z
    ``enough`` functions agree.
 4. A candidate's shingles are compared: the stretches that share shingles are cut out, and stay if both have ``least``
    words and a Jaccard similarity of ``similar`` or more.
-5. Windows that share c's shingle and one of the two beside it with a first, but no stretch of equal words, may have one
-   with each other. Of these all runs of ``least`` words around c are matched, each with the first document's equal one.
+5. A window that shares c's shingle and one of the two beside it with a first, but not all words of the runs that have c as
+   their min-hash, may share such a run with another one. A run of ``least`` words has one place c of a function, and two
+   documents that share it are linked to one first there, so one function's windows are enough: their runs are matched
+   word by word, each with the first document's equal one.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import fresh, id_and_text, parts, sized, written
+from countloom.llm.common import batches_of, fresh, id_and_text, parts, reclaim, sized, written
 from countloom.llm.wordbpe import slices, split_words
 
 CONTEXT = 12  # shingles from c to those, before and after it, that windows may agree on beside c
@@ -126,6 +128,8 @@ WINDOW = ["doc_id", "split", "value", "near", "far"]
 WINDOW_TYPES = ", ".join(f"{name} long" for name in WINDOW)
 #: The low bits of a value are its function's number.
 FUNCTION = 0xFF
+LINK = ["a", "b", "near_a", "far_a", "near_b", "far_b"]
+BESIDE, ALONE = 0x100, 0x200
 
 
 def numbered(mixed: np.ndarray, f: np.ndarray | int) -> np.ndarray:
@@ -150,7 +154,7 @@ def window_rows(docs: DataFrame, width: int, least: int, hashes: int, hot: np.nd
     more rows, whose values are those of min shingle, function and the shingle before, or after; ``hot`` may have these too."""
     if hashes > FUNCTION + 1:
         raise ValueError(f"at most {FUNCTION + 1} hash functions")
-    odds = multipliers(hashes)
+    odds, hot = multipliers(hashes), np.sort(hot)
 
     def run(batches):
         for batch in batches:
@@ -166,7 +170,7 @@ def window_rows(docs: DataFrame, width: int, least: int, hashes: int, hot: np.nd
                     before = np.where(c >= CONTEXT, at - CONTEXT, -1)
                     after = np.where(at + CONTEXT < begins[text + 1], at + CONTEXT, -1)
                     near, far = packed(short[before] | short[after] << np.uint32(16), left, c, right)
-                    often = np.isin(value, hot) if len(hot) else np.zeros(len(at), bool)
+                    often = among(value, hot) if len(hot) else np.zeros(len(at), bool)
                     split = np.where(often, dealt[text], 0)
                     rows = [[own[text], split, value, near, far]]
                     for kind, beside in enumerate((before, after), 1):
@@ -174,7 +178,7 @@ def window_rows(docs: DataFrame, width: int, least: int, hashes: int, hot: np.nd
                         if len(k):
                             told = beside_value(value[k], short[beside[k]], kind)
                             near, far = packed(np.full(len(k), TOLD), left[k], c[k], right[k])
-                            rows.append([own[text[k]], np.where(np.isin(told, hot), dealt[text[k]], 0), told, near, far])
+                            rows.append([own[text[k]], np.where(among(told, hot), dealt[text[k]], 0), told, near, far])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], WINDOW)
 
     return docs.mapInArrow(run, WINDOW_TYPES)
@@ -196,14 +200,13 @@ def frequent_values(docs: DataFrame, width: int, least: int, hashes: int, *, one
 
 
 def linked(windows: DataFrame, split: bool = False) -> DataFrame:
-    """Links between windows of different documents: a < b, f, l, c, r of either, and whether they share the shingle before
-    or after too.
+    """Links between windows of different documents: a < b, and packed places of either; the high half of the first is the
+    function, plus ``BESIDE`` if they share the shingle before or after too, and ``ALONE`` if no third window does.
 
     With ``split`` a value's windows may be dealt to splits. Each split is linked within; then the windows of a split's
     first document meet those of the other splits, by value, and by value and shingle before or after. So no task holds
     a frequent value, and a group that shares a passage still meets, by way of its smallest document in each split.
     """
-    names = ["a", "b", "f", "la", "ca", "ra", "lb", "cb", "rb", "beside"]
 
     def firsts(group: np.ndarray, key: np.ndarray) -> np.ndarray:
         """For each row the first of its group with the same 16 bits."""
@@ -226,18 +229,22 @@ def linked(windows: DataFrame, split: bool = False) -> DataFrame:
 
     def link(batches):
         for rows, at, old, first, before, after in buckets(batches):
+            closed = (first >= old) & (first != first[-1])  # the bucket is whole in this batch
+            two = closed & (np.bincount(before)[before] <= 2) & (np.bincount(after)[after] <= 2)
             alone = (before == at) & (after == at) & (first != at)
             partners = [(first, (rows[:, 1] == 0) | (rows[:, 3] >> 32 != -1)), (before, before != first), (after, (after != first) & (after != before)), (np.maximum(at - 1, 0), alone & (at - 1 != first))]
             y = [np.flatnonzero(keep & (at >= old) & (x != at) & (rows[x, 0] != rows[:, 0])) for x, keep in partners]
             x = np.concatenate([x[k] for (x, _), k in zip(partners, y, strict=True)])
             y = np.concatenate(y)
+            two = two[y]
             if len(x):
                 swap = rows[x, 0] > rows[y, 0]
                 x, y = rows[np.where(swap, y, x)], rows[np.where(swap, x, y)]
-                cols = [x[:, 0], y[:, 0], x[:, 2] & FUNCTION, *places(x[:, 3], x[:, 4]), *places(y[:, 3], y[:, 4])]
                 halves = [(x[:, 3] >> shift & 0xFFFF, y[:, 3] >> shift & 0xFFFF) for shift in (32, 48)]
                 beside = np.logical_or(*((u == v) & (u != 0) for u, v in halves))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c if k < 2 else c.astype(np.int32)) for k, c in enumerate(cols)), pa.array(beside)], names)
+                kind = x[:, 2] & FUNCTION | np.where(beside, np.where(two, BESIDE | ALONE, BESIDE), 0)
+                cols = [x[:, 0], y[:, 0], x[:, 3] & 0xFFFFFFFF | kind << 32, x[:, 4], y[:, 3] & 0xFFFFFFFF, y[:, 4]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], LINK)
 
     def remaining(batches):
         for rows, at, old, first, *_ in buckets(batches):
@@ -249,7 +256,7 @@ def linked(windows: DataFrame, split: bool = False) -> DataFrame:
     def in_order(rows: DataFrame) -> DataFrame:
         return rows.sortWithinPartitions("value", "split", "doc_id", F.expr("shiftright(far, 42)"), F.expr("near & 4095"))
 
-    types = "a long, b long, f int, la int, ca int, ra int, lb int, cb int, rb int, beside boolean"
+    types = ", ".join(f"{name} long" for name in LINK)
     n = parts(windows.sparkSession)
     together = windows.repartition(n, "value", "split")
     links = in_order(together).mapInArrow(link, types)
@@ -320,17 +327,31 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
     least = max(1, least_words - width + 1)
     own = id_and_text(docs, id_col, text_col).where("doc_id IS NOT NULL")
     hot = frequent_values(own, width, least, hashes) if hot is None else np.asarray(hot, np.int64)
-    links = written(linked(window_rows(own, width, least, hashes, hot, splits), len(hot) > 0), "links")
+    links = linked(window_rows(own, width, least, hashes, hot, splits), len(hot) > 0)
 
     def join_intervals(enough, batches):
+        """Candidates, and with agree 0 the spans and places of function 0's links that share a shingle beside c; of those that
+        are alone in this only the ones in no candidate."""
+        names, types = ["a", "b", "a0", "a1", "b0", "b1", "agree", "ca", "cb"], [pa.int64(), pa.int64()] + [pa.int32()] * 7
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             lists = batch.column("links")
             flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
-            table = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(7)], axis=1).astype(np.int64)
-            rows = [(p, q, *c) for k, (p, q) in enumerate(zip(a, b, strict=True)) for c in candidates(table[at[k] : at[k + 1]], enough)]
-            types = [pa.int64(), pa.int64()] + [pa.int32()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["a", "b", "a0", "a1", "b0", "b1", "agree"])
+            near_a, far_a, near_b, far_b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            table = np.stack([near_a >> 32 & FUNCTION, *places(near_a, far_a), *places(near_b, far_b)], axis=1)
+            rows, stars = [], near_a >> 32 & (FUNCTION | BESIDE) == BESIDE
+            for k, (p, q) in enumerate(zip(a, b, strict=True)):
+                own, spans = table[at[k] : at[k + 1]], candidates(table[at[k] : at[k + 1]], enough)
+                rows += [(p, q, *c, None, None) for c in spans]
+                for a0, a1, b0, b1, _ in spans:
+                    inside = (own[:, 1] >= a0) & (own[:, 3] <= a1) & (own[:, 4] >= b0) & (own[:, 6] <= b1)
+                    stars[at[k] : at[k + 1]][inside & (near_a[at[k] : at[k + 1]] >> 32 >= ALONE)] = False
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+            stars = np.flatnonzero(stars)
+            pair = np.searchsorted(at, stars, "right") - 1
+            x = table[stars]
+            cols = [*(batch.column(c).to_numpy()[pair] for c in ("a", "b")), x[:, 1], x[:, 3], x[:, 4], x[:, 6], np.zeros(len(x)), x[:, 2], x[:, 5]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(t) for c, t in zip(cols, types, strict=True)], names)
 
     def cut(side: str, rest: list[str]):
         """The shingles of a pair's span on one side, beside the other columns."""
@@ -363,37 +384,66 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
             names = ["doc_id", "first_word", "last_word", "source_id", "source_first", "source_last", "similarity", "n_hashes"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
-    def compared(links: DataFrame, enough: int) -> DataFrame:
-        grouped = links.groupBy("a", "b").agg(F.collect_list(F.struct("f", "la", "ca", "ra", "lb", "cb", "rb")).alias("links"))
-        grouped = grouped.where(F.size(F.array_distinct("links.f")) >= enough)
-        pairs = written(grouped.mapInArrow(partial(join_intervals, enough), "a long, b long, a0 int, a1 int, b0 int, b1 int, agree int"), "passages")
+    def intervals(links: DataFrame, enough: int) -> DataFrame:
+        grouped = links.groupBy("a", "b").agg(F.collect_list(F.struct(*LINK[2:])).alias("links"))
+        functions = F.array_distinct(F.transform("links.near_a", lambda x: F.shiftright(x, 32).bitwiseAND(FUNCTION)))
+        grouped = grouped.where((F.size(functions) >= enough) | F.exists("links.near_a", lambda x: F.shiftright(x, 32).bitwiseAND(FUNCTION | BESIDE) == BESIDE))
+        with batches_of(docs.sparkSession, 1000):
+            return written(grouped.mapInArrow(partial(join_intervals, enough), "a long, b long, a0 int, a1 int, b0 int, b1 int, agree int, ca int, cb int"), "passages")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("agree > 0").drop("ca", "cb")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = own.join(sized(ids), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        ids = sized(ids)
+        reclaim(docs.sparkSession)  # a job after those whose files go: until then Spark's listeners hold their plans
+        texts = own.join(ids, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         one = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").mapInArrow(take_a, "a long, b long, a0 int, b0 int, b1 int, agree int, shingles binary")
         both = one.join(texts.withColumnRenamed("doc_id", "b"), "b")
         return written(both.mapInArrow(compare, "doc_id long, first_word int, last_word int, source_id long, source_first int, source_last int, similarity double, n_hashes int").distinct(), "found")
 
-    found = compared(links, enough)
-    left = apart(links, found, width)
+    pairs = intervals(links, enough)
+    found = compared(pairs)
+    left = apart(pairs.where("agree = 0"), found, width, least)
     if left.isEmpty():
         return found
-    return found.unionByName(compared(run_links(left, own, width, least), 1)).distinct()
+    met = run_links(left, own, width, least)
+    known = (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")) & F.col("ca").between(F.col("s"), F.col("e") - (least - 1)) & F.col("cb").between(F.col("u"), F.col("v") - (least - 1))
+    met = met.join(spans_of(found, width), known, "left_anti")
+    ahead = least - 1
+    for side in "ab":  # packed: c is the run's begin
+        c = F.col(f"c{side}")
+        met = met.withColumn(f"near_{side}", c.bitwiseAND(4095) + ((ahead & 1023) << 22)).withColumn(f"far_{side}", F.shiftleft(F.shiftright(c, 12), 42) + (ahead >> 10))
+    return found.unionByName(compared(intervals(met, 1))).distinct()
+
+
+def spans_of(found: DataFrame, width: int) -> DataFrame:
+    """p, q, s, e, u, v: found stretches in shingles, s to e of the source p and u to v of q."""
+    last = width - 1
+    return found.select(F.col("source_id").alias("p"), F.col("doc_id").alias("q"), F.col("source_first").alias("s"), (F.col("source_last") - last).alias("e"), F.col("first_word").alias("u"), (F.col("last_word") - last).alias("v"), "similarity")
+
 
+def apart(stars: DataFrame, found: DataFrame, width: int, least: int) -> DataFrame:
+    """doc_id, low, high: where the runs begin that have c as min-hash, of windows that share a shingle beside c with a first
+    but not all these runs, and of such firsts. ``stars``: links of one function, a0 to a1 and b0 to b1 their windows.
 
-def apart(links: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """doc_id, c: windows that share a shingle beside c with a first, but no stretch of equal words at c, where the first has
-    two such or more."""
-    equal = found.where("similarity = 1").select(F.col("source_id").alias("p"), F.col("doc_id").alias("q"), F.col("source_first").alias("s"), (F.col("source_last") - (width - 1)).alias("e"), F.col("first_word").alias("u"), (F.col("last_word") - (width - 1)).alias("v"))
-    own = links.where("beside").select("a", "ca", "f", "b", "cb").distinct()
-    inside = (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")) & F.col("ca").between(F.col("s"), F.col("e")) & F.col("cb").between(F.col("u"), F.col("v"))
-    left = own.join(equal, inside, "left_anti")
-    stars = left.groupBy("a", "ca", "f").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").select("a", "ca", "f")
-    return written(left.join(stars, ["a", "ca", "f"], "left_semi").select(F.col("b").alias("doc_id"), F.col("cb").alias("c")).distinct(), "apart")
+    Left out are firsts whose every window has a stretch with them over all its runs."""
+    begin, end = F.greatest(F.col("b0"), F.col("cb") - (least - 1)), F.least(F.col("b1"), F.col("cb") + (least - 1))
+    over = (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")) & (F.col("u") <= begin) & (F.col("v") >= end)
+    equal = F.coalesce((F.col("similarity") == 1) & (F.col("e") - F.col("s") == F.col("v") - F.col("u")) & (F.col("s") - F.col("u") == F.col("ca") - F.col("cb")), F.lit(False))
+    own = stars.join(spans_of(found, width), over, "left").groupBy(*stars.columns).agg(F.max(equal).alias("equal"), F.max(F.col("p").isNotNull()).alias("over"))
+    own = written(own.where("NOT equal"), "stars")
+    left = own.join(own.where("NOT over").select("a", "ca").distinct(), ["a", "ca"], "left_semi")
+
+    def side(i: str) -> DataFrame:
+        low, high = F.greatest(F.col(i + "0"), F.col("c" + i) - (least - 1)), F.least(F.col("c" + i), F.col(i + "1") - (least - 1))
+        return left.select(F.col(i).alias("doc_id"), low.alias("low"), high.alias("high"))
+
+    return written(side("a").unionByName(side("b")).distinct(), "apart")
 
 
 def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
-    """Links, as ``linked``'s but of no function, between equal runs of ``least`` shingles that hold a place of ``left``: each
-    with the one of the smallest document."""
+    """a, b, ca, cb: equal runs of ``least`` shingles, of those that begin where ``left`` says, each with the one of the smallest
+    document."""
 
     def runs(batches):
         for batch in batches:
@@ -404,13 +454,9 @@ def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
                     continue
                 held = part.column("places")
                 base = np.repeat(begins[:-1], held.value_lengths().to_numpy())
-                end = np.repeat(begins[1:], held.value_lengths().to_numpy())
-                c = held.flatten().to_numpy().astype(np.int64) + base
-                marks = np.zeros(n + 1, np.int64)
-                low, high = np.maximum(c - least + 1, base), np.minimum(c, end - least)
-                ok = low <= high
-                np.add.at(marks, low[ok], 1)
-                np.add.at(marks, high[ok] + 1, -1)
+                marks, ends = np.zeros(n + 1, np.int64), held.flatten()
+                np.add.at(marks, ends.field("low").to_numpy() + base, 1)
+                np.add.at(marks, ends.field("high").to_numpy() + base + 1, -1)
                 at = np.flatnonzero(np.cumsum(marks[:-1]))
                 total = np.zeros(len(at), np.uint64)
                 for k in range(least):
@@ -420,13 +466,23 @@ def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
                 own = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.view(np.int64)), pa.array((at - begins[text]).astype(np.int32))], ["doc_id", "run", "place"])
 
-    places = left.groupBy("doc_id").agg(F.collect_list("c").alias("places"))
-    texts = docs.join(sized(places), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("places").alias("places"))
-    all_runs = written(texts.select("doc_id", "places", "text").mapInArrow(runs, "doc_id long, run long, place int"), "runs")
-    firsts = all_runs.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("x"), F.max("doc_id").alias("high")).where("x.doc_id < high")
-    met = all_runs.join(firsts.select("run", "x"), "run").where("doc_id <> x.doc_id")
-    ca, cb, last = F.col("x.place"), F.col("place"), least - 1
-    return met.select(F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("f"), ca.alias("la"), ca.alias("ca"), (ca + last).alias("ra"), cb.alias("lb"), cb.alias("cb"), (cb + last).alias("rb"))
+    def firsts(batches):
+        held = np.zeros((3, 0), np.int64)  # the open run's first row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            run, doc, place = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("run", "doc_id", "place")])], axis=1)
+            first = np.maximum.accumulate(np.where(np.append(True, run[1:] != run[:-1]), np.arange(len(run)), 0))
+            met = np.flatnonzero(doc != doc[first])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first[met]], doc[met], place[first[met]], place[met])], ["a", "b", "ca", "cb"])
+            held = np.array([[run[first[-1]]], [doc[first[-1]]], [place[first[-1]]]])
+
+    places = left.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("places"))
+    own = docs.join(sized(places.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    n = parts(docs.sparkSession)
+    rows = own.join(places, "doc_id").select("doc_id", "places", "text").mapInArrow(runs, "doc_id long, run long, place int")
+    ordered = rows.repartition(n, "run").sortWithinPartitions("run", "doc_id", "place")
+    return ordered.mapInArrow(firsts, "a long, b long, ca long, cb long")
 
 
 WORD = re.compile(r"[^ \t\n\r\f\v]+")

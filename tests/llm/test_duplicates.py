@@ -366,3 +366,22 @@ def test_fingerprints_within_the_radius_are_candidates(spark):
     got = [r.component_id for r in simhash.near_copies(docs, bands=1, rows=250, radius=4).orderBy("doc_id").collect()]
     assert sum(want[k] != k for k in range(len(rows))) >= 6 and all(got[k] == got[want[k]] for k in range(len(rows)))
     assert all(g // 3 == k // 3 for k, g in enumerate(got))
+
+
+def test_runs_of_near_copies_are_not_listed_again(spark):
+    """Near copies are found whole; the runs of equal words inside a found stretch of the same pair give no more rows, while a
+    passage that only two of them share does."""
+    words, rows = [f"w{k}" for k in range(400)], []
+    for k in range(6):
+        own = list(words)
+        for at in (60 + 50 * k, 75 + 50 * k):
+            own[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(own)))
+    added = " ".join(f"added{k}" for k in range(52))
+    rows = [(k, f"{text} {added}" if k >= 4 else text) for k, text in rows]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = [(r.source_id, r.doc_id, r.first_word, r.last_word) for r in found]
+    assert {d for _, d, _, _ in pairs} == set(range(1, 6))
+    assert any(s == 4 and d == 5 and last >= 451 for s, d, _, last in pairs)
+    inside = [(p, q) for p in pairs for q in pairs if p is not q and p[:2] == q[:2] and q[2] <= p[2] and p[3] <= q[3]]
+    assert not inside
