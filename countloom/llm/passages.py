@@ -92,22 +92,20 @@ def compact_windows(shingles: np.ndarray, begins: np.ndarray, least: int, functi
     at = (low & np.uint64(0xFFFFFFFF))[np.cumsum(valid[:-1]) > 0].astype(np.int64)
     at = at[np.append(True, np.diff(at) != 0)] if len(at) else at
     text = np.searchsorted(begins, at, "right") - 1
-    left, right = begins[text].copy(), begins[text + 1] - 1
     # Cartesian tree of the nodes: the nearest smaller node on either side bounds a node's span.
-    stack: list[int] = []
-    keys, places, owner = key[at].tolist(), at.tolist(), text.tolist()
-    lefts, rights, of = left.tolist(), right.tolist(), -1
-    for i, k in enumerate(keys):
-        if owner[i] != of:
-            stack, of = [], owner[i]
-        p = places[i]
-        while stack and keys[stack[-1]] > k:
-            rights[stack.pop()] = p - 1
-        if stack:
-            lefts[i] = places[stack[-1]] + 1
-        stack.append(i)
+    nodes, own = key[at], np.arange(len(at))
+    low, high = np.searchsorted(text, text, "left"), np.searchsorted(text, text, "right")
+    before, after = own - 1, own + 1
+    for near, ends in ((before, low - 1), (after, high)):
+        rest = own
+        while len(rest):  # past nodes that are greater, by what these have passed
+            rest = rest[near[rest] != ends[rest]]
+            rest = rest[nodes[near[rest]] > nodes[rest]]
+            near[rest] = near[near[rest]]
     base = begins[text]
-    return text, np.array(lefts, np.int64) - base, at - base, np.array(rights, np.int64) - base
+    left = np.where(before >= low, at[before] + 1 - base, 0) if len(at) else none
+    right = np.where(after < high, at[np.minimum(after, len(at) - 1)] - 1, begins[text + 1] - 1) - base if len(at) else none
+    return text, left, at - base, right
 
 
 def packed(context: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +225,9 @@ def linked(windows: DataFrame, split: bool = False) -> DataFrame:
             yield rows, at, len(held), first, before, after
             held = rows[(group == group[-1]) & ((first == at) | (before == at) | (after == at) | (at == at[-1]))]
 
-    def link(batches):
+    def link(whole, batches):
         for rows, at, old, first, before, after in buckets(batches):
-            closed = (first >= old) & (first != first[-1])  # the bucket is whole in this batch
+            closed = whole & (rows[:, 1] == 0) & (first >= old) & (first != first[-1])  # all windows of the value are in this batch
             two = closed & (np.bincount(before)[before] <= 2) & (np.bincount(after)[after] <= 2)
             alone = (before == at) & (after == at) & (first != at)
             partners = [(first, (rows[:, 1] == 0) | (rows[:, 3] >> 32 != -1)), (before, before != first), (after, (after != first) & (after != before)), (np.maximum(at - 1, 0), alone & (at - 1 != first))]
@@ -259,13 +257,13 @@ def linked(windows: DataFrame, split: bool = False) -> DataFrame:
     types = ", ".join(f"{name} long" for name in LINK)
     n = parts(windows.sparkSession)
     together = windows.repartition(n, "value", "split")
-    links = in_order(together).mapInArrow(link, types)
+    links = in_order(together).mapInArrow(partial(link, True), types)
     if not split:
         return links
     # A condition that isn't deterministic stays above the exchange, so that both readers share it.
     dealt = together.where(F.when(F.spark_partition_id() >= 0, F.col("split") > 0).otherwise(False))
     met = in_order(dealt).mapInArrow(remaining, WINDOW_TYPES).repartition(n, "value")
-    return links.unionByName(in_order(met).mapInArrow(link, types))
+    return links.unionByName(in_order(met).mapInArrow(partial(link, False), types))
 
 
 def candidates(links: np.ndarray, enough: int, drift: int = 8) -> list[tuple[int, int, int, int, int]]:
@@ -387,7 +385,8 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
     def intervals(links: DataFrame, enough: int) -> DataFrame:
         grouped = links.groupBy("a", "b").agg(F.collect_list(F.struct(*LINK[2:])).alias("links"))
         functions = F.array_distinct(F.transform("links.near_a", lambda x: F.shiftright(x, 32).bitwiseAND(FUNCTION)))
-        grouped = grouped.where((F.size(functions) >= enough) | F.exists("links.near_a", lambda x: F.shiftright(x, 32).bitwiseAND(FUNCTION | BESIDE) == BESIDE))
+        # Few links: the condition saves a way to Python, where candidates are counted again.
+        grouped = grouped.where((F.size("links") >= 16) | ((F.size("links") >= enough) & (F.size(functions) >= enough)) | F.exists("links.near_a", lambda x: F.shiftright(x, 32).bitwiseAND(FUNCTION | BESIDE) == BESIDE))
         with batches_of(docs.sparkSession, 1000):
             return written(grouped.mapInArrow(partial(join_intervals, enough), "a long, b long, a0 int, a1 int, b0 int, b1 int, agree int, ca int, cb int"), "passages")
 
@@ -406,7 +405,7 @@ def repeated_passages(docs: DataFrame, *, width: int = 5, least_words: int = 50,
     left = apart(pairs.where("agree = 0"), found, width, least)
     if left.isEmpty():
         return found
-    met = run_links(left, own, width, least)
+    met = run_links(left, found, own, width, least)
     known = (F.col("a") == F.col("p")) & (F.col("b") == F.col("q")) & F.col("ca").between(F.col("s"), F.col("e") - (least - 1)) & F.col("cb").between(F.col("u"), F.col("v") - (least - 1))
     met = met.join(spans_of(found, width), known, "left_anti")
     ahead = least - 1
@@ -441,9 +440,10 @@ def apart(stars: DataFrame, found: DataFrame, width: int, least: int) -> DataFra
     return written(side("a").unionByName(side("b")).distinct(), "apart")
 
 
-def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
+def run_links(left: DataFrame, found: DataFrame, docs: DataFrame, width: int, least: int) -> DataFrame:
     """a, b, ca, cb: equal runs of ``least`` shingles, of those that begin where ``left`` says, each with the one of the smallest
-    document."""
+    document. Runs inside a stretch that a document was found to have word by word from an earlier one are left out: the
+    first that has such a run, and so all others, don't need them."""
 
     def runs(batches):
         for batch in batches:
@@ -454,10 +454,13 @@ def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
                     continue
                 held = part.column("places")
                 base = np.repeat(begins[:-1], held.value_lengths().to_numpy())
-                marks, ends = np.zeros(n + 1, np.int64), held.flatten()
-                np.add.at(marks, ends.field("low").to_numpy() + base, 1)
-                np.add.at(marks, ends.field("high").to_numpy() + base + 1, -1)
-                at = np.flatnonzero(np.cumsum(marks[:-1]))
+                ends, marked = held.flatten(), []
+                for known in (False, True):
+                    k, marks = np.flatnonzero(ends.field("known").to_numpy(zero_copy_only=False) == known), np.zeros(n + 1, np.int64)
+                    np.add.at(marks, ends.field("low").to_numpy()[k] + base[k], 1)
+                    np.add.at(marks, ends.field("high").to_numpy()[k] + base[k] + 1, -1)
+                    marked.append(np.cumsum(marks[:-1]) > 0)
+                at = np.flatnonzero(marked[0] & ~marked[1])
                 total = np.zeros(len(at), np.uint64)
                 for k in range(least):
                     total = (total ^ shingles[at + k]) * MIX[1]
@@ -477,7 +480,10 @@ def run_links(left: DataFrame, docs: DataFrame, width: int, least: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first[met]], doc[met], place[first[met]], place[met])], ["a", "b", "ca", "cb"])
             held = np.array([[run[first[-1]]], [doc[first[-1]]], [place[first[-1]]]])
 
-    places = left.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("places"))
+    known = spans_of(found, width).where("similarity = 1 AND e - s = v - u").select(F.col("q").alias("doc_id"), F.col("u").alias("low"), (F.col("v") - (least - 1)).alias("high")).where("low <= high")
+    known = known.distinct().withColumn("known", F.lit(True))
+    places = left.withColumn("known", F.lit(False)).unionByName(known).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "known")).alias("places"))
+    places = places.where(F.exists("places", lambda x: ~x["known"]))
     own = docs.join(sized(places.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     n = parts(docs.sparkSession)
     rows = own.join(places, "doc_id").select("doc_id", "places", "text").mapInArrow(runs, "doc_id long, run long, place int")
