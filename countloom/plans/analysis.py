@@ -20,7 +20,7 @@ from countloom.functions.kernels import Mixture, bias_mixture, ginv
 from countloom.functions.padjust import adjust
 from countloom.operators import screens, transforms
 from countloom.plans.formula import Design, Frame, check_identifiable, frame, parse
-from countloom.plans.sheets import estimates, fit, iterate, sheets, solvers, theta_of, unscaled, with_biases
+from countloom.plans.sheets import Sheets, count_sheets, estimates, fit, iterate, log_sheets, only_taxa, sheets, solvers, theta_of, unscaled, with_biases
 from countloom.sources.counts import densify
 from countloom.sources.results import checked
 from countloom.sources.shared import kept
@@ -234,28 +234,46 @@ def centred(counts: DataFrame, samples: DataFrame, pseudo: float) -> DataFrame:
     return transforms.center(kept(logs, "dense") if pseudo > 0 else logs)  # read twice
 
 
-def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
-    """``counts``: taxon, sample, n. ``samples``: sample and covariates; a null group is no group."""
-    spark: SparkSession = counts.sparkSession
-    watch = Stopwatch()
+@dataclass
+class Prepared:
+    """What runs share whose configurations differ in the pseudo-count only: screened tables, the design, counts by sample."""
+
+    first: DataFrame
+    second: DataFrame
+    samples: DataFrame
+    zeros: DataFrame | None
+    warnings: list[str]
+    counts: Sheets
+
+
+def prepare(counts: DataFrame, samples: DataFrame, cfg: Config) -> Prepared:
     formula = parse(cfg.formula)
     counts, samples = kept(counts, "counts"), kept(samples, "samples")  # each is read many times
     warnings = checked(counts, samples)[1]
     if cfg.group:
         warnings += screens.check_groups(samples, cfg.group)
-    n_samples = samples.count()
     zeros = None
     if cfg.struc_zero:
         if not cfg.group:
             raise ValueError("structural zeros need a group")
         zeros = kept(screens.structural_zeros(counts, samples.select("sample", F.col(cfg.group).alias("grp")), cfg.neg_lb), "zeros")
-    o1, o2 = screens.two_tables(counts.join(samples.select("sample"), "sample", "left_semi"), n_samples, zeros, cfg.prv_cut, cfg.lib_cut)
+    # Every counted sample has covariates: ``checked`` raises otherwise.
+    o1, o2 = screens.two_tables(counts, samples.count(), zeros, cfg.prv_cut, cfg.lib_cut)
     own = samples if cfg.lib_cut <= 0 else samples.join(screens.library_size(o1).where(F.col("size") >= cfg.lib_cut).select("sample"), "sample", "left_semi")
     d = frame(own, formula, cfg.group)
     gram, _, every = check_identifiable(d)
+    return Prepared(o1, o2, own, zeros, warnings, count_sheets(o1, d, gram, every))
+
+
+def analyze(counts: DataFrame, samples: DataFrame, cfg: Config, ready: Prepared | None = None) -> Result:
+    """``counts``: taxon, sample, n. ``samples``: sample and covariates; a null group is no group. ``ready``: what ``prepare``
+    gave for them and a configuration that differs from ``cfg`` in the pseudo-count at most."""
+    spark: SparkSession = counts.sparkSession
+    watch = Stopwatch()
+    ready = ready or prepare(counts, samples, cfg)
+    o2, own, zeros, warnings, d = ready.second, ready.samples, ready.zeros, list(ready.warnings), ready.counts.frame
     missing = None if cfg.strict else 0.1
-    y1 = kept(centred(o1, own, cfg.pseudo), "logs")
-    s1 = sheets(y1, d, gram, every)
+    s1 = log_sheets(ready.counts, cfg.pseudo)
     watch.stage("preprocess")
     known = solvers(s1)
     watch.stage("pattern_grouping")
@@ -270,11 +288,9 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
     theta = theta_of(s1)
     if lost := theta.where("theta IS NULL").count():
         warnings.append(f"the biases of {lost} samples can't be estimated: too few counts")
-    y2, s2 = y1, s1
+    s2 = s1
     if zeros is not None:
-        y2 = kept(centred(o2, own, cfg.pseudo), "logs")
-        s2 = sheets(y2, d, gram, every)
-        s2 = replace(s2, rows=kept(s2.rows.join(s1.rows.select("sample", "theta"), "sample", "left"), "sheets"))
+        s2 = only_taxa(s1, {r.taxon for r in o2.select("taxon").distinct().collect()})  # a name a taxon
     watch.stage("correction")
     if zeros is not None or lost:  # else the same samples are observed as before
         known = solvers(s2)
@@ -299,7 +315,7 @@ def analyze(counts: DataFrame, samples: DataFrame, cfg: Config) -> Result:
         warnings=warnings,
         global_test=global_test(primary, est2, d, cfg.p_adjust, cfg.alpha) if cfg.global_test and wide else None,
         pairwise=pairwise_test(primary, est2, d, cfg.fwer, cfg.alpha, cfg.strict) if cfg.pairwise and wide else None,
-        corrected=transforms.subtract_by_sample(y2, theta_table),
+        corrected=transforms.subtract_by_sample(transforms.center(log_table(o2, own, cfg.pseudo)), theta_table),
         table=o2,
         samples=own,
         seconds=watch.seconds,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from countloom.functions.dist import f_tails, t_two_sided
 from countloom.functions.kernels import gram_pivots
 from countloom.operators.transforms import sensitivity_scores
-from countloom.plans.analysis import Config, Result, analyze, kept
+from countloom.plans.analysis import Config, Result, analyze, kept, prepare
 from countloom.plans.formula import Design, moments
 from countloom.plans.group_tests import dunnett, trend
 from countloom.plans.sheets import Batch, add, by_taxon, centred_rows, sheets
@@ -58,7 +58,8 @@ def conservative(counts: DataFrame, samples: DataFrame, cfg: Config, main: Resul
     tests; trends are scored by the global test, which must be asked for, or with ``own_trend`` by their own q."""
     if patterns and not (cfg.global_test or own_trend):
         raise ValueError("trends are scored by the global test")
-    runs = [main or analyze(counts, samples, cfg), *(analyze(counts, samples, replace(cfg, pseudo=v)) for v in pseudos)]
+    ready = prepare(counts, samples, cfg)  # screens, design and counts by sample don't depend on the pseudo-count
+    runs = [main or analyze(counts, samples, cfg, ready), *(analyze(counts, samples, replace(cfg, pseudo=v), ready) for v in pseudos)]
     tables = [tables_of(r, cfg, many_to_one, patterns if k == 0 or own_trend else None) for k, r in enumerate(runs)]
     out = {}
     for name, table in tables[0].items():

@@ -79,6 +79,98 @@ def sheets(logs: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int) -> S
     return Sheets(kept(rows, "sheets"), frame, taxa, basis, gram, n_samples)
 
 
+def count_sheets(counts: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int) -> Sheets:
+    """Sheets whose responses are the counts themselves (nan: missing), with a row for every sample of the design. ``counts``:
+    taxon, sample, n, of samples of the design. They pass the shuffle once, whatever is made of them by ``log_sheets``."""
+    taxa = sorted(r.taxon for r in counts.where("taxon IS NOT NULL").select("taxon").distinct().collect())  # a name a taxon
+    numbers = counts.sparkSession.createDataFrame(list(zip(taxa, range(len(taxa)), strict=True)), "taxon string, k int")
+    basis = basis_of(frame, gram)
+    own = counts.select("taxon", "sample", F.coalesce(F.col("n").cast("double"), F.lit(float("nan"))).alias("y"))
+    cells = own.join(F.broadcast(numbers), "taxon").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("cells"))
+    rows = centred_rows(frame, basis).join(cells, "sample", "left")
+    at, y = F.coalesce("cells.k", F.array().cast("array<int>")), F.coalesce("cells.y", F.array().cast("array<double>"))
+    rows = rows.select("sample", "x", "whole", "level", at.alias("at"), y.alias("y"))
+    return Sheets(kept(rows, "counts-by-sample"), frame, taxa, basis, gram, n_samples)
+
+
+def logs_of(n: np.ndarray, pseudo: float) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.where(n + pseudo > 0, np.log(n + pseudo), np.nan)
+
+
+def log_sheets(c: Sheets, pseudo: float) -> Sheets:
+    """Sheets of the logs of counts, less their taxon's mean over all samples; a positive pseudo-count is added to every cell,
+    those of absent taxa too. Rows stay where they are: nothing is shuffled but sums by taxon. Taxa without a log go."""
+
+    def first(b: Batch) -> np.ndarray:
+        new = np.ones(len(b.at), bool)
+        new[1:] = (b.row[1:] != b.row[:-1]) | (b.at[1:] != b.at[:-1])
+        return new
+
+    def own(b: Batch, total: np.ndarray) -> None:
+        y = logs_of(b.y, pseudo)
+        ok = np.isfinite(y)
+        add(total, 0, b.at, first(b).astype(float))
+        add(total, 1, b.at[ok], np.ones(int(ok.sum())))
+        add(total, 2, b.at[ok], y[ok])
+
+    sums = np.zeros((len(c.taxa), 3))
+    with c.batches():
+        for r in by_taxon(c, 3, own).where("k >= 0").collect():  # a row a taxon
+            sums[r.k] = [r.v0, r.v1, r.v2]
+    absent = (c.n_samples - sums[:, 0]) * (pseudo > 0)
+    observed = sums[:, 1] + absent
+    with np.errstate(all="ignore"):
+        mean = (sums[:, 2] + absent * (np.log(pseudo) if pseudo > 0 else 0.0)) / observed
+    number, taxa, p = numbers_of(observed > 0), len(c.taxa), c.p
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                b = Batch(batch, p)
+                row, at, y = b.row, b.at, logs_of(b.y, pseudo)
+                if pseudo > 0:
+                    there = np.zeros((batch.num_rows, taxa), bool)
+                    there[row, at] = True
+                    zero_row, zero_at = np.nonzero(~there)
+                    row, at, y = np.append(row, zero_row), np.append(at, zero_at), np.append(y, np.full(len(zero_row), np.log(pseudo)))
+                    order = np.argsort(row * taxa + at, kind="stable")
+                    row, at, y = row[order], at[order], y[order]
+                yield with_cells(batch, row, at, y - mean[at], np.isfinite(y), number)
+
+    with c.batches():
+        rows = kept(c.rows.mapInArrow(run, c.rows.schema), "sheets")
+    return replace(c, rows=rows, taxa=[t for t, k in zip(c.taxa, number, strict=True) if k >= 0])
+
+
+def numbers_of(stay: np.ndarray) -> np.ndarray:
+    """New numbers of the taxa that stay; -1 of the others."""
+    return np.where(stay, np.cumsum(stay) - 1, -1)
+
+
+def with_cells(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, y: np.ndarray, use: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    """The batch with other cells, in order of rows: those in use whose taxon has a number."""
+    use = use & (number[at] >= 0)
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(row[use], minlength=batch.num_rows))).astype(np.int32))
+    new = {"at": pa.array(number[at[use]].astype(np.int32)), "y": pa.array(y[use])}
+    columns = [pa.ListArray.from_arrays(ends, new[c]) if c in new else batch.column(c) for c in batch.schema.names]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def only_taxa(s: Sheets, names: set[str]) -> Sheets:
+    """The sheets without the cells of other taxa; rows stay, without a cell too."""
+    number, p = numbers_of(np.array([t in names for t in s.taxa], bool)), s.p
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                b = Batch(batch, p)
+                yield with_cells(batch, b.row, b.at, b.y, np.ones(len(b.at), bool), number)
+
+    with s.batches():
+        return replace(s, rows=kept(s.rows.mapInArrow(run, s.rows.schema), "sheets"), taxa=[t for t in s.taxa if t in names])
+
+
 class Batch:
     """Arrays of a batch of rows: x (0 where missing) and whole by row; row, taxon and response by cell."""
 
