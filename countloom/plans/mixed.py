@@ -1,8 +1,8 @@
 """The analysis with a random term: restricted likelihood fits of every taxon, iterated with the samples' biases.
 
-Cells stay long. Of a taxon's cells in one group of the random term only sums are needed (``functions.mixed``), which are
-grouped sums here; with one random effect per group, groups of one size are summed again, so that a taxon's task has a row
-for each size, not for each group. Biases are a table by sample, joined, never collected.
+Cells stand by sample (``sheets``) and stay where they are. Of a taxon's cells in one group of the random term only sums are
+needed (``functions.mixed``), made in passes over these rows; with one random effect per group, groups of one size are
+summed again, so that a taxon's task has a row for each size, not for each group. Biases are recomputed within a pass.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +21,11 @@ from countloom.functions.kernels import Mixture
 from countloom.functions.mixed import Sums, effects, mixed_fit, ratio_test
 from countloom.functions.padjust import adjust
 from countloom.operators import screens, transforms
-from countloom.plans.analysis import Config, Result, centred, group_blocks, mixtures, primary_test, variance_chain, within_taxa
+from countloom.plans.analysis import Config, Result, group_blocks, log_table, mixtures, primary_test, variance_chain, within_taxa
 from countloom.plans.formula import Frame, RandomTerm, check_identifiable, frame, parse, parse_random
+from countloom.plans.sheets import BATCH_CELLS, Batch, Sheets, count_sheets, log_sheets, only_taxa, theta_of, with_biases
 from countloom.sources.results import checked
-from countloom.sources.shared import kept
+from countloom.sources.shared import batches_of, kept
 
 FIT = "taxon string, beta array<double>, vcov array<double>, dofs array<double>, factor array<double>, sigma2 double, fitted boolean"
 
@@ -124,29 +126,130 @@ def shifted(cells: DataFrame, theta: DataFrame | None) -> DataFrame:
     return cells if theta is None else cells.join(theta, "sample").withColumn("y", F.col("y") - F.col("theta")).drop("theta").where("y IS NOT NULL")
 
 
-def iterate(cells: DataFrame, p: int, q: int, tol: float, most: int) -> tuple[DataFrame, DataFrame, list[float]]:
-    """The last round's fits, the biases after it (sample, theta), and each round's change of coefficients and biases."""
-    theta, last, trace = None, None, []
+#: So many sums a task holds before it hands them on.
+HELD_SUMS = 4_000_000
+
+
+def rows_of(cells: DataFrame, d: Frame, p: int) -> Sheets:
+    """The cells of a table by sample."""
+    taxa = sorted(r.taxon for r in cells.select("taxon").distinct().collect())  # a name a taxon
+    numbers = cells.sparkSession.createDataFrame(list(zip(taxa, range(len(taxa)), strict=True)), "taxon string, k int")
+    own = cells.join(F.broadcast(numbers), "taxon").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("cells"), *(F.first(c).alias(c) for c in ("x", "z", "subject", "whole")))
+    rows = own.select("sample", "x", "whole", F.lit(-1).alias("level"), F.col("z").alias("_z"), F.col("subject").alias("_subject"), F.col("cells.k").alias("at"), F.col("cells.y").alias("y"))
+    return Sheets(kept(rows, "sheets"), d, taxa, np.eye(p), np.eye(p), 0)
+
+
+def round_biases(b: Batch, batch: pa.RecordBatch, z: np.ndarray, beta: np.ndarray, name: str) -> np.ndarray:
+    """By sample, the mean over fitted taxa of the response less its fit with random effects, which stand in column ``name``
+    beside their taxa's numbers (``uk``). A sample that a taxon's fit leaves out has a fit of 0 there."""
+    taxa, q = len(beta), z.shape[1]
+    u = np.zeros((batch.num_rows, taxa, q))
+    at = batch.column("uk")
+    row = np.repeat(np.arange(batch.num_rows), np.nan_to_num(at.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+    u[row, at.flatten().to_numpy()] = np.nan_to_num(batch.column(name).flatten().flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(-1, q)
+    return b.mean_rest(b.fitted(beta) + np.einsum("ij,ij->i", z[b.row], u[b.row, b.at]) * b.whole[b.row])
+
+
+def sums_by_group(s: Sheets, q: int, rounds: list[tuple[np.ndarray, DataFrame]]) -> DataFrame:
+    """``group_sums`` of responses less biases, from rows by sample, and beside them the squared change of the biases (taxon
+    null). Biases follow from the last of ``rounds`` (coefficients by taxon, random effects by taxon and subject), their
+    change from the one before it too; without rounds they are the rows' theta, or 0."""
+    p, taxa, names = s.p, len(s.taxa), s.taxa
+    pairs, halves = [(i, j) for i in range(p + 1) for j in range(i, p + 1)], [(i, j) for i in range(q) for j in range(i, q)]
+    width = 1 + len(pairs) + len(halves) + q * (p + 1)
+    rows, betas = s.rows, [beta for beta, _ in rounds]
+    if rounds:
+        numbers = s.rows.sparkSession.createDataFrame(list(zip(names, range(taxa), strict=True)), "taxon string, k int")
+        effects_of = [u.withColumnRenamed("u", f"u{k}") for k, (_, u) in enumerate(rounds)]
+        both = effects_of[0] if len(rounds) == 1 else effects_of[0].join(effects_of[1], ["taxon", "subject"], "full")
+        none = F.array_repeat(F.lit(0.0), q)
+        own = both.join(F.broadcast(numbers), "taxon").groupBy("subject").agg(F.collect_list(F.struct("k", *(F.coalesce(f"u{k}", none).alias(f"u{k}") for k in range(len(rounds))))).alias("own"))
+        by_subject = kept(own.select(F.col("subject").alias("_subject"), F.col("own.k").alias("uk"), *(F.col(f"own.u{k}").alias(f"u{k}") for k in range(len(rounds)))), "effects")
+        rows = rows.join(by_subject, "_subject", "left")
+
+    def run(batches):
+        held: dict[str, np.ndarray] = {}
+        change = 0.0
+
+        def out():
+            who = list(held)
+            sums = np.array([held[w] for w in who]).reshape(len(who), taxa, width)
+            i, k = np.nonzero(sums[:, :, 0])
+            own = pa.RecordBatch.from_arrays([pa.array([names[j] for j in k], pa.string()), pa.array([who[j] for j in i], pa.string()), *(pa.array(sums[i, k, c]) for c in range(width))], ["taxon", "subject", *(f"v{c}" for c in range(width))])
+            held.clear()
+            return own
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = Batch(batch, p)
+            b.whole = np.array(b.whole, bool)
+            z = np.zeros((batch.num_rows, q))
+            z[b.whole] = np.array(batch.column("_z").filter(pa.array(b.whole)).to_pylist(), float).reshape(-1, q)
+            theta = b.theta
+            if betas:
+                every = [round_biases(b, batch, z, beta, f"u{k}") for k, beta in enumerate(betas)]
+                theta = every[-1]
+                change += float(np.nansum((theta - (every[0] if len(every) > 1 else 0.0)) ** 2))
+            value = b.y - theta[b.row]
+            use = b.whole[b.row] & np.isfinite(value)
+            at, row = b.at[use], b.row[use]
+            who, home = np.unique(np.array(["" if w is None else w for w in batch.column("_subject").to_pylist()], object).astype(str), return_inverse=True)
+            cell, size = home[row] * taxa + at, len(who) * taxa
+            x = b.x[row]
+            v = [*(x[:, j] for j in range(p)), value[use]]
+            zz = [z[row, i] for i in range(q)]
+            columns = [np.ones(len(row)), *(v[i] * v[j] for i, j in pairs), *(zz[i] * zz[j] for i, j in halves), *(zz[i] * v[j] for i in range(q) for j in range(p + 1))]
+            sums = np.stack([np.bincount(cell, c, minlength=size) for c in columns], axis=1).reshape(len(who), taxa, width)
+            for w, own in zip(who.tolist(), sums, strict=True):
+                held[w] = held[w] + own if w in held else own
+            if len(held) * taxa * width > HELD_SUMS:
+                yield out()
+        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), *(pa.array([change if c == 0 else 0.0]) for c in range(width))], ["taxon", "subject", *(f"v{c}" for c in range(width))])
+
+    own = [F.sum(f"v{c}").alias(f"v{c}") for c in range(width)]
+    found = rows.mapInArrow(run, "taxon string, subject string, " + ", ".join(f"v{c} double" for c in range(width))).groupBy("taxon", "subject").agg(*own)
+    at = np.cumsum([1, len(pairs), len(halves), q * (p + 1)])
+    part = lambda lo, hi: F.array(*(F.col(f"v{c}") for c in range(lo, hi)))
+    with batches_of(rows.sparkSession, max(1, BATCH_CELLS // (8 * max(1, taxa)))):
+        return kept(found.select("taxon", "subject", F.col("v0").alias("n"), part(at[0], at[1]).alias("full"), part(at[1], at[2]).alias("zz"), part(at[2], at[3]).alias("zv")), "groups")
+
+
+def coefficients(found: DataFrame, s: Sheets) -> np.ndarray:
+    """Taxa x p; nan where a taxon has no fit."""
+    number, beta = {t: k for k, t in enumerate(s.taxa)}, np.full((len(s.taxa), s.p), np.nan)
+    for r in found.select("taxon", "beta").collect():  # a row a taxon
+        beta[number[r.taxon]] = [np.nan if v is None else v for v in r.beta]
+    return beta
+
+
+def rounds_of(s: Sheets, q: int, tol: float, most: int) -> tuple[DataFrame, list[tuple[np.ndarray, DataFrame]], list[float]]:
+    """The last round's fits, the last two rounds (the later one last), and each round's change of coefficients and biases.
+    A round is a pass over rows by sample: biases are recomputed within it, so no cell is shuffled."""
+    held, fitted, trace, moved = [], None, [], 0.0
     while True:
-        own = shifted(cells, theta)
-        groups = kept(group_sums(own.where("whole"), p, q), "groups")
-        now = kept(fits(class_sums(groups, p, q), p, q, dof=False), "fits")
-        effects_of = predicted(groups, now, p, q)
-        # A sample that a taxon's fit leaves out has a fit of 0 there; a taxon without a fit says nothing.
-        fitted = cells.join(now.where("fitted").select("taxon", "beta"), "taxon").join(effects_of, ["taxon", "subject"], "left")
-        value = F.when(F.col("whole"), dot("x", "beta") + F.coalesce(dot("z", "u"), F.lit(0.0))).otherwise(0.0)
-        new = kept(fitted.groupBy("sample").agg(F.avg(F.col("y") - value).alias("theta")), "biases")
-        before = new.select("sample", F.lit(0.0).alias("before")) if theta is None else theta.withColumnRenamed("theta", "before")
-        change = new.join(before, "sample").agg(F.sum((F.col("theta") - F.col("before")) ** 2)).first()[0] or 0.0
-        moved = 0.0
-        if last is not None:
-            both = now.select("taxon", "beta").join(last.select("taxon", F.col("beta").alias("old")), "taxon")
-            gap = F.transform(F.zip_with("beta", "old", lambda a, b: a - b), lambda v: F.coalesce(v * v, F.lit(0.0)))
-            moved = both.agg(F.sum(F.aggregate(gap, F.lit(0.0), lambda t, v: t + v))).first()[0] or 0.0
-        trace.append(float(np.sqrt(moved + change)))
-        theta, last = new, now
-        if trace[-1] <= tol or len(trace) >= most:
-            return now, theta, trace
+        groups = sums_by_group(s, q, held)
+        if held:
+            # The round's biases follow from its fits; their change is found while the next sums are made.
+            trace.append(float(np.sqrt(moved + (groups.where("taxon IS NULL").agg(F.sum("n")).first()[0] or 0.0))))
+            if trace[-1] <= tol or len(trace) >= most:
+                return fitted, held, trace
+        groups = groups.where("taxon IS NOT NULL")
+        fitted = kept(fits(class_sums(groups, s.p, q), s.p, q, dof=False), "fits")
+        beta = coefficients(fitted, s)
+        moved = float(np.nansum((beta - held[-1][0]) ** 2)) if held else 0.0
+        held = [*held[-1:], (beta, kept(predicted(groups, fitted, s.p, q), "predicted"))]
+
+
+def iterate(cells: DataFrame, p: int, q: int, tol: float, most: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """``rounds_of`` the cells of ``table_of``: the last round's fits, the biases after it (sample, theta), and the changes."""
+    s = rows_of(cells, Frame(cells, [""] * p, []), p)
+    now, held, trace = rounds_of(s, q, tol, most)
+    beta, effects_of = now.where("fitted").select("taxon", "beta"), held[-1][1]
+    fitted = cells.join(beta, "taxon").join(effects_of, ["taxon", "subject"], "left")
+    value = F.when(F.col("whole"), dot("x", "beta") + F.coalesce(dot("z", "u"), F.lit(0.0))).otherwise(0.0)
+    return now, kept(fitted.groupBy("sample").agg(F.avg(F.col("y") - value).alias("theta")), "biases"), trace
 
 
 def long_fits(found: DataFrame, columns: list[str]) -> DataFrame:
@@ -231,20 +334,16 @@ def analyze_mixed(counts: DataFrame, samples: DataFrame, cfg: Config, random: st
     d, q = random_frame(own, cfg, term)
     check_identifiable(d)
     p = len(d.columns)
-    cells = table_of(centred(o1, own, cfg.pseudo), d)
-    first, _, trace = iterate(cells, p, q, cfg.tol, cfg.max_iter)
+    s1 = log_sheets(count_sheets(o1, d, np.eye(p), own.count(), np.eye(p), ("_z", "_subject")), cfg.pseudo)
+    first, held, trace = rounds_of(s1, q, cfg.tol, cfg.max_iter)
     mix: dict[str, Mixture] = mixtures(long_fits(first, d.columns), d.columns, cfg.em_tol, cfg.em_max_iter)
-    delta = [mix[c].delta if c in mix else 0.0 for c in d.columns]
-    unbiased = F.transform(F.zip_with("beta", F.array(*map(F.lit, delta)), lambda a, b: a - b), lambda v: F.coalesce(v, F.lit(0.0)))
-    fitted = F.coalesce(dot("x0", "b0"), F.lit(0.0))
-    based = cells.withColumn("x0", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))).join(first.select("taxon", unbiased.alias("b0")), "taxon", "left")
-    found = kept(based.groupBy("sample").agg(F.avg(F.col("y") - fitted).alias("theta")), "biases")
-    theta = own.select("sample").join(found, "sample", "left")
+    delta = np.array([mix[c].delta if c in mix else 0.0 for c in d.columns])
+    s1 = with_biases(s1, held[-1][0] - delta)
+    theta = theta_of(s1)
     if lost := theta.where("theta IS NULL").count():
         warnings.append(f"the biases of {lost} samples can't be estimated: too few counts")
-    y2 = kept(centred(o2, own, cfg.pseudo), "logs")
-    second = cells if zeros is None else table_of(y2, d)
-    classes = kept(class_sums(group_sums(shifted(second, found).where("whole"), p, q), p, q), "sums")
+    s2 = s1 if zeros is None else only_taxa(s1, {r.taxon for r in o2.select("taxon").distinct().collect()})  # a name a taxon
+    classes = kept(class_sums(sums_by_group(s2, q, []).where("taxon IS NOT NULL"), p, q), "sums")
     est = kept(fits(classes, p, q, dof=True), "fits")
     vd = spark.createDataFrame([(c, mix[c].var_delta if c in mix else 0.0) for c in d.columns], "coef string, vd double")
     primary = kept(primary_test(variance_chain(long_fits(est, d.columns), vd, cfg.s0_perc), cfg.p_adjust, cfg.alpha), "primary")
@@ -261,7 +360,7 @@ def analyze_mixed(counts: DataFrame, samples: DataFrame, cfg: Config, random: st
         warnings=warnings,
         global_test=likelihood_ratio_test(classes, d, q, cfg.group, cfg.p_adjust, cfg.alpha) if cfg.global_test and wide else None,
         pairwise=pairwise_test(primary, est, d, screen, cfg.fwer, cfg.alpha, cfg.strict) if screen is not None else None,
-        corrected=transforms.subtract_by_sample(y2, theta),
+        corrected=transforms.subtract_by_sample(transforms.center(log_table(o2, own, cfg.pseudo)), theta),
         table=o2,
         samples=own,
     )

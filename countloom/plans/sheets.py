@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countloom.functions.kernels import ginv, gram_pivots
 from countloom.plans.formula import Frame
@@ -79,17 +80,18 @@ def sheets(logs: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int) -> S
     return Sheets(kept(rows, "sheets"), frame, taxa, basis, gram, n_samples)
 
 
-def count_sheets(counts: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int) -> Sheets:
+def count_sheets(counts: DataFrame, frame: Frame, gram: np.ndarray, n_samples: int, basis: np.ndarray | None = None, keep: tuple[str, ...] = ()) -> Sheets:
     """Sheets whose responses are the counts themselves (nan: missing), with a row for every sample of the design. ``counts``:
-    taxon, sample, n, of samples of the design. They pass the shuffle once, whatever is made of them by ``log_sheets``."""
+    taxon, sample, n, of samples of the design. They pass the shuffle once, whatever is made of them by ``log_sheets``.
+    ``keep``: columns of the frame to carry along."""
     taxa = sorted(r.taxon for r in counts.where("taxon IS NOT NULL").select("taxon").distinct().collect())  # a name a taxon
     numbers = counts.sparkSession.createDataFrame(list(zip(taxa, range(len(taxa)), strict=True)), "taxon string, k int")
-    basis = basis_of(frame, gram)
+    basis = basis_of(frame, gram) if basis is None else basis
     own = counts.select("taxon", "sample", F.coalesce(F.col("n").cast("double"), F.lit(float("nan"))).alias("y"))
     cells = own.join(F.broadcast(numbers), "taxon").groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("cells"))
     rows = centred_rows(frame, basis).join(cells, "sample", "left")
     at, y = F.coalesce("cells.k", F.array().cast("array<int>")), F.coalesce("cells.y", F.array().cast("array<double>"))
-    rows = rows.select("sample", "x", "whole", "level", at.alias("at"), y.alias("y"))
+    rows = rows.select("sample", "x", "whole", "level", *keep, at.alias("at"), y.alias("y"))
     return Sheets(kept(rows, "counts-by-sample"), frame, taxa, basis, gram, n_samples)
 
 
@@ -390,7 +392,7 @@ def with_biases(s: Sheets, beta: np.ndarray) -> Sheets:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(theta, from_pandas=True)], [*names, "theta"])
 
     with s.batches():
-        return replace(s, rows=kept(s.rows.mapInArrow(run, "sample string, x array<double>, whole boolean, level int, at array<int>, y array<double>, theta double"), "biases"))
+        return replace(s, rows=kept(s.rows.mapInArrow(run, T.StructType([*s.rows.schema.fields, T.StructField("theta", T.DoubleType())])), "biases"))
 
 
 def theta_of(s: Sheets) -> DataFrame:

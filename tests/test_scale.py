@@ -7,6 +7,7 @@ import pytest
 from countloom.plans import sensitivity
 from countloom.plans.analysis import Config, analyze, centred
 from countloom.plans.formula import frame, moments, parse
+from countloom.plans.mixed import analyze_mixed
 from countloom.plans.sheets import count_sheets, log_sheets, only_taxa, sheets
 from countloom.sources import shared
 
@@ -61,3 +62,11 @@ def test_corrected_table_is_asked_for(study, written):
     theta = {r.sample: r.theta for r in run.theta.collect()}
     want = {(r.taxon, r.sample): r.y - theta[r.sample] for r in centred(counts, samples, 0.5).collect()}
     assert rows == pytest.approx(want, abs=1e-12)
+
+
+def test_mixed_rounds_shuffle_no_cells(study, written):
+    """Cells are put together by sample once; rounds hand on sums by taxon and group only."""
+    counts, samples = study
+    run = analyze_mixed(counts.where("n > 0"), samples, Config("grp + x", group="grp", prv_cut=0, max_iter=3, tol=0.0), "(1 | home)")
+    assert len(run.epsilons) == 3 and run.primary.count() == 24
+    assert written.count("counts-by-sample") == 1 and not {"cells", "dense", "logs"} & set(written)
