@@ -232,3 +232,23 @@ def test_templates_that_look_back_to_the_start_are_rendered_whole():
     assert out == numbered(turns)
     [(number, last, text, spans, rewrites)] = pieces(numbered, turns, None, 50, {"assistant"})
     assert (number, last, text) == (0, True, numbered(turns)) and len(spans) == 40 and rewrites == 39
+
+
+def test_prefixes_are_whole_unless_a_window_is_given(spark):
+    """Turns that depend on one 40 turns back, and the first turn's own opening, in long conversations."""
+
+    def answered(turns):  # each turn after the length of the one 40 before it
+        return "".join(f"{len(turns[k - 40][1]) if k >= 40 else '^'}:{text};" for k, (_, text) in enumerate(turns))
+
+    own = Template(answered, lambda text: [("", t.split(":", 1)[1]) for t in text.split(";")[:-1]], lambda t: t)
+    turns = [("user" if k % 2 else "assistant", "y" * (k % 7)) for k in range(130)]
+    assert "".join(s.text for _, s in steps(answered, turns)) == answered(turns)
+    assert "".join(s.text for _, s in steps(answered, turns, 16)) != answered(turns)
+    table = spark.createDataFrame([(c, k, r, t) for c in (1, 2) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for most, several in ((100, True), (10**6, False)):
+        parts = formatted(table, own, piece_chars=most).where("conv_id = 1").orderBy("piece").collect()
+        assert (len(parts) > 3) == several and "".join(p.formatted for p in parts) == answered(turns) and sum(len(p.spans) for p in parts) == 130
+        assert [p.formatted[s.text_start : s.text_stop] for p in parts for s in p.spans] == [t for _, t in turns]
+        masked = "".join(t for r, t in turns if r == "assistant")
+        for r in chat_format.format_conversations(table, own, piece_chars=most).collect():
+            assert (r.n_turns, r.formatted_chars, r.rewrites, r.loss_sha256) == (130, len(answered(turns)), 0, sha(masked))
