@@ -175,6 +175,52 @@ def test_log_ratios(study, formula):
         assert w[["t00", "t01", "t02", "t03"]].min() > w["t10"]
 
 
+@pytest.mark.parametrize("main,adjust_for", [("grp", "x"), ("x", None), ("half", "x")])
+def test_log_ratios_are_sums_over_samples(spark, monkeypatch, main, adjust_for):
+    """Missing cells and covariates, equal and nearly equal taxa, one that is seen in few samples: against a fit of each pair.
+    The design doesn't come to the driver."""
+    monkeypatch.setattr(log_ratios, "design", None, raising=False)
+    rng = np.random.default_rng(17)
+    n, y = 50, rng.normal(3, 1, (9, 50))
+    x = rng.normal(1000, 1, n)
+    x[4], x[5] = np.nan, np.inf
+    y[rng.random(y.shape) < 0.1] = np.nan
+    y[:3] = rng.normal(3, 1, (3, n))  # without missing cells
+    y[3] = y[0]
+    y[4] = y[1] + 1e-6 * rng.normal(size=n)
+    y[5, 3:] = np.nan
+    y[6] = np.nan
+    g = np.array([k % 3 for k in range(n)])
+    logs = spark.createDataFrame([(f"t{i}", f"s{j:02}", None if np.isnan(v) else float(v)) for i, row in enumerate(y) for j, v in enumerate(row)], "taxon string, sample string, y double")
+    samples = spark.createDataFrame([(f"s{j:02}", f"g{g[j]}", f"h{j % 2}", None if j == 4 else float(x[j])) for j in range(n)], "sample string, grp string, half string, x double")
+    own = {"grp": [g == 1, g == 2], "x": [x], "half": [np.arange(n) % 2 == 1]}[main]
+    columns = np.column_stack([np.ones(n), *own, *([x] if adjust_for else [])]).astype(float)
+    from countloom.functions.dist import f_tails, t_two_sided
+
+    for block in (256, 2):
+        found, n_taxa = log_ratios.pair_tests(logs, samples, main, adjust_for, block)
+        rows = found.toPandas().set_index(["a", "b"])
+        assert n_taxa == 8 and len(rows) == 28 and not rows.index.duplicated().any()
+        for a, b in combinations([k for k in range(9) if k != 6], 2):
+            v = y[b] - y[a]
+            use = np.isfinite(v) & np.isfinite(columns).all(axis=1)
+            got, m = rows.loc[(f"t{a}", f"t{b}")], columns[use] - np.append(0, columns[use][:, 1:].mean(axis=0)) if use.any() else None
+            if use.sum() <= columns.shape[1] or (a, b) == (0, 3):
+                assert np.isnan(got["stat"]) and np.isnan(got["p"])
+                continue
+            q, r = np.linalg.qr(m)
+            e, k = q.T @ v[use], len(own)
+            dof, rss = use.sum() - m.shape[1], ((v[use] - q @ (q.T @ v[use])) ** 2).sum()
+            if k == 2:
+                stat = (e[1:3] ** 2).sum() / 2 / (rss / dof)
+                p = f_tails(stat, 2, dof)[1]
+            else:
+                inverse = np.linalg.inv(r)
+                stat = (inverse @ e)[1] / np.sqrt((inverse @ inverse.T)[1, 1] * rss / dof)
+                p = t_two_sided(stat, dof)
+            assert np.allclose([got["stat"], got["p"]], [stat, p], rtol=1e-6)
+
+
 def test_linear_correlations(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=60)
